@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .castore import op1_content_store
 from .minhash import op3_minhash_dedup
 
-QUERIES = {"op3_minhash_dedup": op3_minhash_dedup}
+QUERIES = {q.__name__: q for q in (op1_content_store, op3_minhash_dedup)}
 #: No operator of this subpackage has an equivalent in SQL that runs on whole tables; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
