@@ -94,3 +94,10 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", size: int
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A batch from NumPy arrays, lists or Arrow arrays."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows if they are ``most`` at most, else those with about the ``most`` smallest hashes of ``key``; the driver sees hashes alone."""
+    h = F.xxhash64(F.col(key), F.lit(41))
+    low = [x[0] for x in rows.filter(F.col(key).isNotNull()).select(h.alias("h")).orderBy("h").limit(most).collect()]
+    return rows.filter(h <= low[-1]) if len(low) == most else rows
