@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import pieces, table, two_columns
 from .words import LOWER
 
@@ -213,6 +214,22 @@ def contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", t
     return result
 
 
+def without_passages(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.075) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no part of an item."""
+    ship(docs.sparkSession)
+    for block in _blocks(two_columns(bench, item_col, item_text_col)):
+
+        def run(batches, block=block):
+            index = Index(block, rate)
+            for batch, data, at in pieces(batches, text_col, 1 << 18):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[x[0] for x in find_passages(index, data, at)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of ``benchmark``, one row for each document and item."""
     found = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import bounded_sample, fold, pieces, table, two_columns
 from .decontam import normal
 
@@ -92,6 +93,15 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Model(x, [v for _, v in got], landmarks, ridge)
 
 
+def _scored(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+    lang, score = model.predict(data, at)
+    low = np.concatenate([[0], np.cumsum((data | 32) - 97 < 26)])
+    for i in np.flatnonzero(low[at[1:]] == low[at[:-1]]).tolist():
+        if not any(c.isalpha() for c in data[at[i] : at[i + 1]].tobytes().decode("utf8", "replace")):
+            lang[i], score[i] = "und", 0.0
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row; ``und`` and 0 for null texts and texts without a letter.
 
@@ -101,16 +111,25 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch, data, at in pieces(batches):
-            lang, score = shared.value.predict(data, at)
-            low = np.concatenate([[0], np.cumsum((data | 32) - 97 < 26)])
-            for i in np.flatnonzero(low[at[1:]] == low[at[:-1]]).tolist():
-                if not any(c.isalpha() for c in data[at[i] : at[i + 1]].tobytes().decode("utf8", "replace")):
-                    lang[i], score[i] = "und", 0.0
+            lang, score = _scored(shared.value, data, at)
             yield table(SCORED, batch.column("id"), lang, score)
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, "id long, lang_pred string, score double")
 
 
+def known(docs: DataFrame, model: Model, least: float = 0.3, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and a score of ``least`` (chance among four is 0.25)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch, data, at in pieces(batches, text_col):
+            lang, score = _scored(shared.value, data, at)
+            yield batch.filter(pa.array([v != "und" and p >= least for v, p in zip(lang, score)], pa.bool_()))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the whole ``documents`` table, learned from the rows outside fold 2 of 4."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,15 +6,18 @@ from .castore import op1_content_store
 from .decontam import op9_decontamination
 from .langid import op6_language_id
 from .minhash import op3_minhash_dedup
+from .multiindex import op8_vector_dedup
+from .ngram import op5_interpolated_lm
 from .packing import op4_best_fit_packing
 from .quality import op2_quality_mil
 from .secretscan import op10_secret_scan
+from .toxicity import op7_toxicity_crf
 
 QUERIES = {
     q.__name__: q
     for q in (
-        op1_content_store, op2_quality_mil, op3_minhash_dedup, op4_best_fit_packing, op6_language_id,
-        op9_decontamination, op10_secret_scan,
+        op1_content_store, op2_quality_mil, op3_minhash_dedup, op4_best_fit_packing, op5_interpolated_lm,
+        op6_language_id, op7_toxicity_crf, op8_vector_dedup, op9_decontamination, op10_secret_scan,
     )
 }
 #: No operator of this subpackage has an equivalent in SQL that runs on whole tables; tests hold them against brute force.

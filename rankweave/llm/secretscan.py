@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import pieces, table, two_columns
 
 KINDS = ("assign", "access", "hex")
@@ -204,6 +205,25 @@ def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return two_columns(docs, id_col, text_col).mapInArrow(run, SPANS_SQL)
 
 
+def redacted(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with every secret in the text as ``[secret]`` and the length column, if any, made to match."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch, _, _ in pieces(batches, text_col):
+            texts = batch.column(text_col).to_pylist()
+            new = [redact(t, every) if (every := find(t)[1]) else t for t in texts]
+            cols = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            if new != texts:
+                cols[text_col] = pa.array(new, batch.schema.field(text_col).type)
+                if length_col in cols:
+                    sizes = [n if a == b else len(b) for n, a, b in zip(cols[length_col].to_pylist(), texts, new)]
+                    cols[length_col] = pa.array(sizes, batch.schema.field(length_col).type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text of ``documents``."""
     found = scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
