@@ -522,13 +522,10 @@ query("event_slots")(lambda s, d: N.slots(_sections(s, d).filter("stop is not nu
 
 
 def dense_problem(s, d, r=RANK) -> Problem:
-    """The matrix with 0-based indexes and values near 1, factors between 0 and 1."""
+    """The matrix with values near 1, factors between 0 and 1."""
     v, w, h = matrix(s, d), row_factor(s, d, r, 1), column_factor(s, d, r, 1)
-    size = (w.agg(F.max("i")).first()[0], h.agg(F.max("j")).first()[0])
-    return Problem(
-        v.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), (F.col("x") / 25).alias("x")),
-        w.select((F.col("i") - 1).alias("i"), "w"), h.select((F.col("j") - 1).alias("j"), "h"), MatrixMeta(*size), r,
-    )
+    size = (w.agg(F.max("i")).first()[0] + 1, h.agg(F.max("j")).first()[0] + 1)
+    return Problem(v.withColumn("x", F.col("x") / 25), w, h, MatrixMeta(*size), r)
 
 
 def fitted(**spec):
@@ -551,7 +548,7 @@ query("auto_decay_fit")(fitted(method="dsgd", update="Nzsl", loss="Nzsl", decay=
 query("generate_sparse")(lambda s, d: G.sparse(s, G.RandomMatrix(1000, 800, 5000)))
 query("generate_problem")(lambda s, d: G.problem(s, G.RandomMatrix(500, 400, 4000, 400, 5))[0].v)
 query("generate_poisson")(lambda s, d: P.poisson(G.sparse(s, G.RandomMatrix(300, 200, 2000), "Uniform(0,5)"), 3))
-query("random_submatrix")(lambda s, d: P.random_submatrix(matrix(s, d).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), "x"), MatrixMeta(10, 200), 5, 100).data)
+query("random_submatrix")(lambda s, d: P.random_submatrix(matrix(s, d), MatrixMeta(10, 200), 5, 100).data)
 query("shuffle_rows")(lambda s, d: P.permuted(G.factor(s, 500, 4, "Normal(0,1)", 1), "i", P.permutation(500, s, 2)))
 
 

@@ -108,7 +108,7 @@ def factorize(problem: Problem, spec: Spec) -> Result:
 
     In alternating methods an epoch updates one factor: ALS and Lee start with W, GNMF with H.
     """
-    spec = spec.checked()
+    spec, problem = spec.checked(), problem.verified()
     spark, rank = problem.v.sparkSession, problem.rank
     tables = Tables(spark)
     test_loss = "Biased" if parse(spec.loss).name == "Biased" else "Nzsl"

@@ -2,8 +2,8 @@
 
 Entries are cut into blocks (b1, b2) once and kept as rows of three arrays; factors as one row a
 block.  In a sub-epoch every row block meets one column block, as a schedule says, and no two
-meet the same; so blocks run side by side and the result is that of some serial order.  A
-sub-epoch moves factor blocks only, joins d block rows and writes the d + d new factor blocks.
+meet the same; so blocks run side by side and the result is that of some serial order.  An
+epoch is one job: each sub-epoch deals the factor blocks anew, and each data block moves once.
 Seeds are of (seed, epoch, b1, b2): results do not depend on the cluster.
 """
 
@@ -87,40 +87,44 @@ class Stratified:
         self.data = self.tables.put(v.groupBy("b1", "b2").applyInArrow(pack, "b1 long, b2 long, i binary, j binary, x binary, n1 binary, n2 binary"))
         self.factors = self.tables.put(_to_blocks(problem.w, "i", "w", self.rows, "w").union(_to_blocks(problem.h, "j", "h", self.cols, "h")))
 
-    def sub_epoch(self, meets: np.ndarray, eps: float, seed: tuple) -> None:
-        """Row block b1 meets column block ``meets[b1]``; other column blocks stay as they are."""
-        spark, rank, rule = self.problem.v.sparkSession, self.problem.rank, self.rule
-        pairs = spark.createDataFrame([(b1, int(b2)) for b1, b2 in enumerate(meets)], "b1 long, b2 long")  # d rows
-        w = self.factors.filter("side = 'w'").select(F.col("b").alias("b1"), F.col("flat").alias("fw"))
-        h = self.factors.filter("side = 'h'").select(F.col("b").alias("b2"), F.col("flat").alias("fh"))
-        work = F.broadcast(pairs).join(w, "b1").join(h, "b2").join(self.data, ["b1", "b2"], "left")
-
-        def run(batches):
-            for batch in batches:
-                for r in batch.to_pylist():
-                    wv, hv = (np.frombuffer(r[c]).reshape(-1, rank).copy() for c in ("fw", "fh"))
-                    if r["x"] is not None:
-                        i, j, n1, n2 = (np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("i", "j", "n1", "n2"))
-                        per_w, per_h = np.ones(len(wv)), np.ones(len(hv))
-                        per_w[i], per_h[j] = n1, n2
-                        rng = np.random.default_rng([*seed, r["b1"], r["b2"]])
-                        kernels.epoch(rule.kind, rule.args, i, j, np.frombuffer(r["x"]), wv, hv, eps, rng, per_w, per_h, rule.order, rule.abs_, rule.truncate, rule.max_norm)
-                    yield pa.RecordBatch.from_pydict({"side": pa.array(["w", "h"]), "b": pa.array([r["b1"], r["b2"]], pa.int64()), "flat": pa.array([wv.tobytes(), hv.tobytes()], pa.binary())})
-
-        new = work.repartition(len(meets), "b1").mapInArrow(run, FACTOR_SQL)
-        idle = sorted(set(range(self.cols.blocks)) - {int(b) for b in meets})
-        if idle:
-            new = new.union(self.factors.filter((F.col("side") == "h") & F.col("b").isin(idle)))
-        self.factors = self.tables.put(new)
+    def sub_epoch(self, factors: DataFrame, meets: np.ndarray, eps: float, seed: tuple) -> DataFrame:
+        """New factors after row block b1 met column block ``meets[b1]``; other column blocks pass as they are.
+
+        Factor blocks are dealt to the row block they meet, and so is the one data block each needs:
+        one exchange of factors, and over an epoch one of the data.
+        """
+        rank, rule, d = self.problem.rank, self.rule, self.rows.blocks
+        host = {int(b2): b1 for b1, b2 in enumerate(meets)}
+        to = F.element_at(F.array(*(F.lit(host.get(b, b % d)) for b in range(self.cols.blocks))), (F.col("b") + 1).cast("int"))
+        left = factors.withColumn("key", F.when(F.col("side") == "w", F.col("b")).otherwise(to).cast("long")).repartition(4 * d, "key")
+        now = F.element_at(F.array(*(F.lit(int(b)) for b in meets)), (F.col("b1") + 1).cast("int"))
+        right = self.data.filter(F.col("b2") == now).withColumnRenamed("b1", "key").repartition(4 * d, "key")
+
+        def run(key, own, block):
+            rows = own.select(["side", "b", "flat"]).to_pylist()
+            if block.num_rows:
+                r = block.to_pylist()[0]
+                at = {(x["side"], x["b"]): x for x in rows}
+                w, h = at["w", r["key"]], at["h", r["b2"]]
+                wv, hv = (np.frombuffer(x["flat"]).reshape(-1, rank).copy() for x in (w, h))
+                i, j, n1, n2 = (np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("i", "j", "n1", "n2"))
+                per_w, per_h = np.ones(len(wv)), np.ones(len(hv))
+                per_w[i], per_h[j] = n1, n2
+                rng = np.random.default_rng([*seed, r["key"], r["b2"]])
+                kernels.epoch(rule.kind, rule.args, i, j, np.frombuffer(r["x"]), wv, hv, eps, rng, per_w, per_h, rule.order, rule.abs_, rule.truncate, rule.max_norm)
+                w["flat"], h["flat"] = wv.tobytes(), hv.tobytes()
+            return pa.table({"side": pa.array([x["side"] for x in rows], pa.string()), "b": pa.array([x["b"] for x in rows], pa.int64()), "flat": pa.array([x["flat"] for x in rows], pa.binary())})
+
+        return left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(run, FACTOR_SQL)
 
     def epoch(self, number: int, eps: float, seed: int, order: str = "COWOR", group: int = 1) -> None:
+        """All sub-epochs of one pass in one job; only its end is written."""
         rng = np.random.default_rng([seed, number])
         plan = overlapped_schedule(self.rows.blocks, rng) if self.cols.blocks == 2 * self.rows.blocks else stratum_schedule(order, self.rows.blocks, rng, group)
+        factors = self.factors
         for s, meets in enumerate(plan):
-            if len(set(meets.tolist())) == len(meets):
-                self.sub_epoch(meets, eps, (seed, number, s))
-            else:
-                raise ValueError("a schedule row uses a column block twice")
+            factors = self.sub_epoch(factors, meets, eps, (seed, number, s))
+        self.factors = self.tables.put(factors)
 
     def set_factors(self, w: DataFrame, h: DataFrame) -> None:
         self.factors = self.tables.put(_to_blocks(w, "i", "w", self.rows, "w").union(_to_blocks(h, "j", "h", self.cols, "h")))
