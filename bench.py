@@ -35,7 +35,8 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{scratch}/checkpoints").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{scratch}/checkpoints")
+        .config("spark.sql.autoBroadcastJoinThreshold", "64m").config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     done = lambda df: df.write.format("noop").mode("overwrite").save()

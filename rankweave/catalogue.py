@@ -25,7 +25,9 @@ from .plans import als, multiplicative
 from .plans.factorize import Spec, factorize
 from .plans.schedule import sequential
 from .plans.store import Tables
+from .sources import blocked as K
 from .sources import generate as G
+from .sources import matrix_market as M
 from .streaming import entries as E
 
 RANK = 4
@@ -518,6 +520,90 @@ query("windowed_counts_batch", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start
 query("predict_entries", BASE + "SELECT i, j, x, dot AS prediction, x - dot AS error FROM e")(lambda s, d: E.predicted(*problem_parts(s, d), RANK))
 query("event_slots")(lambda s, d: N.slots(_sections(s, d).filter("stop is not null").select(F.col("user_id").alias("rank"), F.col("start").alias("task"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))))
 
+# --- sources and sinks: what is written is what is read ------------------------------------------
+
+
+def _path(s, name: str) -> str:
+    t = Tables(s)
+    return f"{t.path}/{name}"
+
+
+def _small(s, d) -> DataFrame:
+    return matrix(s, d).filter("i < 40 and j < 60")
+
+
+@query("io_coordinate", f"WITH {V} SELECT i, j, x FROM v")
+def io_coordinate(s, d):
+    path = _path(s, "m.mmc")
+    M.write_matrix(matrix(s, d), MatrixMeta(100_000, 100_000), path)
+    return M.read_matrix(s, path)[0]
+
+
+@query("io_array", f"WITH {V} SELECT a.range AS i, b.range AS j, coalesce(x, 0) AS x FROM range(40) a CROSS JOIN range(60) b LEFT JOIN v ON v.i = a.range AND v.j = b.range")
+def io_array(s, d):
+    path = _path(s, "m.mma")
+    M.write_matrix(_small(s, d), MatrixMeta(40, 60), path)
+    return M.read_matrix(s, path)[0]
+
+
+@query("io_factor", f"WITH {V} SELECT a.range AS i, CAST(b.range AS INTEGER) AS k, coalesce(x, 0) AS value FROM range(40) a CROSS JOIN range(60) b LEFT JOIN v ON v.i = a.range AND v.j = b.range")
+def io_factor(s, d):
+    path = _path(s, "f.mma")
+    M.write_matrix(_small(s, d), MatrixMeta(40, 60), path)
+    return long(M.read_factor(s, path, "w"), "i", "w")
+
+
+@query("io_csv_to_parquet", f"WITH {V} SELECT i, j, x FROM v")
+def io_csv_to_parquet(s, d):
+    one, two = _path(s, "m.csv"), _path(s, "m.parquet")
+    M.write_matrix(matrix(s, d), MatrixMeta(0, 0), one)
+    M.convert(s, one, two)
+    return M.read_matrix(s, two)[0]
+
+
+@query("io_blocked", f"WITH {V} SELECT i, j, x FROM v WHERE i // 1429 = 0 AND j < 14286")
+def io_blocked(s, d):
+    """Blocks (0, 0) of 7 x 7; the others' files are not opened."""
+    path = _path(s, "blocked")
+    K.write_blocked(matrix(s, d), MatrixMeta(10_003, 99_997), 7, 7, path)
+    return K.read_blocked(s, path, [0], [0])[0]
+
+
+@query("io_projected", f"WITH {_OP}, {_FREQ.format(t=4)} SELECT r.old AS i, c.old AS j, x FROM v JOIN r ON r.old = v.i JOIN c ON c.old = v.j")
+def io_projected(s, d):
+    """A projection written and read again, led back to its original indexes by its maps."""
+    path = _path(s, "projected")
+    K.write_projected(P.frequent(order_matrix(s, d), 4), path)
+    p = K.read_projected(s, path)
+    back = p.data.join(p.map1.select(F.col("new").alias("i"), F.col("old").alias("oi")), "i").join(p.map2.select(F.col("new").alias("j"), F.col("old").alias("oj")), "j")
+    return back.select(F.col("oi").alias("i"), F.col("oj").alias("j"), "x")
+
+
+@query("io_map", f"WITH {_OP}, {_FREQ.format(t=4)} SELECT new, old FROM r")
+def io_map(s, d):
+    path = _path(s, "rows.mfm")
+    K.write_map(P.frequent(order_matrix(s, d), 4).map1, 1_000_000, path)
+    return K.read_map(s, path)
+
+
+@query("parse_event_log", "SELECT CAST(event_id AS DOUBLE) AS elapsed, 'host' AS host, CAST(user_id AS INTEGER) AS rank, CAST(event_id % 7 AS INTEGER) AS task, value AS time, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS type, event_type AS event FROM events")
+def parse_event_log(s, d):
+    e = table(s, d, "events")
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), F.lit("host"), "user_id", (F.col("event_id") % 7).cast("string"), F.col("value").cast("string"), F.when(F.col("event_id") % 2 == 0, "+").otherwise("-"), "event_type")
+    return N.parse_events(e.select(line.alias("value")).union(s.createDataFrame([("no event",), ("",)], "value string")))
+
+
+@query("generate_counts", "SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS cells, TRUE AS inside")
+def generate_counts(s, d):
+    v = G.sparse(s, G.RandomMatrix(1000, 800, 5000))
+    return v.agg(F.count("*").alias("n"), F.countDistinct("i", "j").alias("cells"), (F.max(F.col("i")) < 1000).alias("inside"))
+
+
+query("permutation_is_one_to_one", "SELECT count(*) AS n, CAST(sum(range) AS BIGINT) AS total, max(range) AS top FROM range(500)")(
+    lambda s, d: P.permutation(500, s, 2).agg(F.countDistinct("new").alias("n"), F.sum("new").alias("total"), F.max("new").alias("top"))
+)
+query("from_factors", f"WITH {V}, {wl()}, {hl()}, {e_()} SELECT i, j, dot AS x FROM e")(lambda s, d: G.from_factors(matrix(s, d).select("i", "j"), row_factor(s, d), column_factor(s, d), RANK))
+
 # --- fits and generators: no SQL ----------------------------------------------------------------
 
 
