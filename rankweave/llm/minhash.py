@@ -12,14 +12,17 @@ Steps, each linear in the documents and in the candidate links:
    shingle set, and band keys.  No text or set is kept.
 2. Documents with one fingerprint are one class; only classes go on, so a group of copies of
    any size is a single member from here.
-3. Classes that share a band key form a bucket.  Each member is verified against the bucket's
-   smallest and largest class (full sets, integer test), and verified links give components.
-4. Buckets whose members still lie in several components are finished exactly: every member
-   outside the bucket's largest component is verified against every member of another
-   component.  Buckets that are already whole, as those of copies are, need nothing.
-
-So every pair that shares a bucket is either verified or already linked through others.
-With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket with probability 3e-6.
+3. Classes that share a band key form a bucket.  Each member is verified (full sets, integer
+   test) against the bucket's hub, the class that meets most others over all buckets, which
+   in a group of near copies is their original; verified links give components.
+4. Buckets whose members still lie in several components are finished: every member outside
+   the bucket's largest component meets every member of another component, and those pairs
+   that agree in enough of 2,048 further coordinates are verified.  Buckets that are already
+   whole, as those of copies are, need nothing.
+
+So every pair that shares a bucket is verified, already linked through others, or ruled out by
+its sketches.  With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket with probability
+3e-6; its sketches rule it out with probability 3e-5.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from .graph import components
 SIGS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("ck", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("ck", pa.binary()), ("n", pa.int64()), ("hashes", pa.binary())])
 EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+VIEWS = pa.schema([("ck", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+SKETCH = 2048
 #: Members of one leader that one streaming group verifies.
 SALT_ROWS = 256
 
@@ -56,9 +61,10 @@ def signature(hashes: np.ndarray, bits: int, shifts: int, seed: int) -> np.ndarr
     """Circulant MinHash of a non-empty set of 64-bit hashes."""
     scatter, windows = permutations(bits, shifts, seed)
     slots = scatter[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
-    best = windows[slots[:2048]].min(axis=0)
-    for i in range(2048, len(slots), 2048):
-        np.minimum(best, windows[slots[i : i + 2048]].min(axis=0), out=best)
+    step = max(1, (1 << 18) // shifts)
+    best = windows[slots[:step]].min(axis=0)
+    for i in range(step, len(slots), step):
+        np.minimum(best, windows[slots[i : i + step]].min(axis=0), out=best)
     return best
 
 
@@ -104,6 +110,23 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "ck binary, n long, hashes binary")
 
 
+def sketches(sets: DataFrame, bits: int, seed: int) -> DataFrame:
+    """(ck, n, sketch): one bit of each of ``SKETCH`` circulant coordinates, as longs."""
+
+    def run(batches):
+        for batch in batches:
+            out = [np.packbits(signature(np.frombuffer(x.as_buffer(), np.uint64), bits, SKETCH, seed + 1) & 1).view(np.int64) for x in batch.column("hashes")]
+            yield table(VIEWS, batch.column("ck"), batch.column("n"), out)
+
+    return sets.mapInArrow(run, "ck binary, n long, sketch array<long>")
+
+
+def _most_apart(similarity: float) -> int:
+    """Bits in which the sketches of sets of this similarity differ at most, but for 4 standard deviations: one pair in 30,000."""
+    p = (1 - similarity) / 2
+    return int(SKETCH * p + 4 * (SKETCH * p * (1 - p)) ** 0.5)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have ``den * |intersection| >= num * |union|``.
 
@@ -156,15 +179,16 @@ def near_duplicates(
     sigs = store.put(signatures(docs, k, bands, rows, universe_bits, seed), "sigs")
     classes = sigs.filter("n > 0").groupBy("ck").agg(F.min_by(F.struct("id", "bands"), F.col("id")).alias("x")).select("ck", "x.id", "x.bands")
     keyed = classes.select("ck", F.explode("bands").alias("bk"))
-    ends = keyed.groupBy("bk").agg(F.count("*").alias("size"), F.min("ck").alias("low"), F.max("ck").alias("high")).filter("size > 1")
-    members = store.put(keyed.join(ends, "bk").select("bk", "ck", "low", "high"), "members")
+    sizes = keyed.groupBy("bk").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = store.put(keyed.join(sizes, "bk"), "shared")
+    # copies of one original meet it in more buckets, and larger ones, than each other
+    score = shared.groupBy("ck").agg(F.sum("size").alias("score"))
+    members = store.put(shared.select("bk", "ck").join(score, "ck"), "members")
+    hubs = members.groupBy("bk").agg(F.max_by("ck", F.struct("score", "ck")).alias("hub"))
     wanted = members.select("ck").distinct().join(classes.select("ck", "id"), "ck")
     sets = store.put(shingle_sets(docs.join(wanted.select("id").distinct(), "id"), k).join(wanted.select("ck"), "ck", "left_semi").dropDuplicates(["ck"]), "sets")
 
-    pairs = store.put(
-        members.select(F.col("low").alias("a"), F.col("ck").alias("b")).union(members.select(F.col("high").alias("a"), F.col("ck").alias("b")))
-        .filter("a <> b").distinct(), "pairs",
-    )
+    pairs = store.put(members.select("bk", "ck").join(hubs, "bk").select(F.col("hub").alias("a"), F.col("ck").alias("b")).filter("a <> b").distinct(), "pairs")
     links = store.put(verify(pairs, sets, num, den), "verified")
     comps = components(store, links)
 
@@ -173,10 +197,17 @@ def near_duplicates(
     broken = shares.groupBy("bk").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("share", "comp")).alias("main")).filter("parts > 1").select("bk", "main")
     rest = store.put(placed.join(broken, "bk"), "broken")
     if not rest.isEmpty():
-        few = rest.filter("comp <> main").select("bk", F.col("ck").alias("a"), F.col("comp").alias("ca"))
-        more = few.join(rest.select("bk", F.col("ck").alias("b"), F.col("comp").alias("cb"), "main"), "bk").filter("ca <> cb and (cb = main or a < b)")
-        tried = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        more = more.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+        views = sketches(sets.join(rest.select("ck").distinct(), "ck", "left_semi"), universe_bits, seed)
+        rest = rest.join(store.put(views.join(classes.select("ck", "bands"), "ck"), "sketches"), "ck")
+        rest = rest.withColumn("bands", F.expr("slice(bands, 1, cast(array_position(bands, bk) as int) - 1)"))  # those before this one
+        few = rest.filter("comp <> main").select("bk", F.col("ck").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"))
+        all_ = rest.select("bk", F.col("ck").alias("b"), F.col("comp").alias("cb"), "main", F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
+        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH // 64)), F.lit(0))
+        alike = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (apart <= _most_apart(num / den))
+        once = ~F.arrays_overlap("ba", "bb")  # in the first band that both share
+        more = few.join(all_, (few["bk"] == all_["bk"]) & F.expr("ca <> cb and (cb = main or a < b)") & alike & once)
+        more = more.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+        more = more.join(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), ["x", "y"], "left_anti")
         links = links.union(store.put(verify(more.select(F.col("x").alias("a"), F.col("y").alias("b")), sets, num, den), "verified2"))
         comps = components(store, links)
 
