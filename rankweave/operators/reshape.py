@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import Blocking, MatrixMeta, Projected
+from ..plans.store import Tables
 from . import aggregate as A
 
 
@@ -16,15 +17,20 @@ def renumbered(ids: DataFrame, index: str) -> DataFrame:
     """(new, old): the distinct ids of a column in ascending order.
 
     Ranks come from range partitions: each is numbered alone and shifted by the sizes of those
-    before it, so no single task sorts all ids.
+    before it, so no single task sorts all ids.  The partitions are written, as two plans must see
+    the same ones.
     """
     own = ids.select(F.col(index).cast("long").alias("old")).filter("old is not null").distinct()
-    parts = own.repartitionByRange("old").withColumn("part", F.spark_partition_id())
-    inner = Window.partitionBy("part").orderBy("old")
-    ranked = parts.withColumn("r", F.row_number().over(inner))
-    sizes = ranked.groupBy("part").agg(F.max("r").alias("n"), F.min("old").alias("low"))
-    ahead = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    return ranked.join(F.broadcast(ahead.select("part", "before")), "part").select((F.col("before") + F.col("r") - 1).cast("long").alias("new"), "old")
+    return _ranked(own, "old").select("new", "old")
+
+
+def _ranked(df: DataFrame, key: str) -> DataFrame:
+    """``df`` (distinct ``old``) with ``new``: the place of a row in the order of ``key`` and ``old``."""
+    parts = Tables(df.sparkSession).put(df.repartitionByRange(key, "old").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a partition
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(key, "old"))
+    return parts.withColumn("r", rank).join(F.broadcast(ahead), "part").withColumn("new", (F.col("before") + F.col("r") - 1).cast("long"))
 
 
 def submatrix(v: DataFrame, rows: DataFrame, cols: DataFrame) -> Projected:
@@ -114,17 +120,7 @@ def square_blocks(v: DataFrame, meta: MatrixMeta, blocks: int) -> DataFrame:
 
 def permutation(size: int, spark, seed: int) -> DataFrame:
     """(old, new): a random permutation."""
-    order = renumbered_by(spark.range(size).select(F.col("id").alias("old"), F.rand(seed).alias("r")), "r")
-    return order.select("old", "new")
-
-
-def renumbered_by(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with ``new``: the place of a row in the order of ``key``."""
-    parts = df.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(key, "old")))
-    sizes = ranked.groupBy("part").agg(F.max("r").alias("n"), F.min(key).alias("low"))
-    ahead = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(F.broadcast(ahead.select("part", "before")), "part").withColumn("new", (F.col("before") + F.col("r") - 1).cast("long"))
+    return _ranked(spark.range(size).select(F.col("id").alias("old"), F.rand(seed).alias("r0")), "r0").select("old", "new")
 
 
 def permuted(factor: DataFrame, index: str, perm: DataFrame) -> DataFrame:
