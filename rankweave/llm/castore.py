@@ -4,8 +4,8 @@ A rolling hash over the last ``WINDOW`` ids cuts each document's id stream where
 says so, hence an edit moves only the cuts near it and copies fall into equal chunks.  Layout
 below one folder, all Parquet:
 
-``chunks``    (digest, n, data): each distinct chunk once; ``data`` is its ids as little-endian
-              unsigned 32-bit integers, ``digest`` the 16-byte BLAKE2b of ``data``.
+``raw``       kind=chunk has (key, n, data): each distinct chunk once; ``data`` is its ids as little-endian
+              unsigned 32-bit integers, ``key`` the 16-byte BLAKE2b of ``data``.
 ``recipes``   (part, id, start, n, root, digests): in ascending id order, part by part; ``digests``
               rebuild the document in order, ``root`` is the root of their Merkle tree.
 ``manifest``  (part, docs, tokens, first, root): ``root`` is the Merkle root of the part's document
@@ -71,9 +71,9 @@ def cut(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(tokenizer)
-        for batch, _, _ in pieces(batches):
+        for batch, data, at in pieces(batches):
             rows, own = [], {}
-            for row, i, ids in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
+            for row, i, ids in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), enc.encode(data, at)):
                 ids = np.append(ids, END_ID).astype("<u4")
                 names, a = [], 0
                 for b in cuts(ids):
@@ -99,7 +99,7 @@ def write_store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     both = cut(docs, tokenizer or default_path()).withColumn("kind", F.when(F.col("data").isNull(), "recipe").otherwise("chunk"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     both.repartition(parts, "key").dropDuplicates(["key"]).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/raw")
-    raw = spark.read.schema(both.drop("kind").schema).parquet(f"{path}/raw/kind=recipe").select("id", "n", "root", "digests")
+    raw = _raw(spark, path, "recipe").select("id", "n", "root", "digests")
     ranged = raw.repartitionByRange(parts, F.col("id").asc_nulls_first(), "root").sortWithinPartitions(F.col("id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
     ranged.write.parquet(f"{path}/ranged")
     ranged = spark.read.parquet(f"{path}/ranged")
@@ -124,8 +124,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"{CUT_SQL}, kind string").parquet(f"{path}/raw").filter(F.col("kind") == kind)
+
+
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, n long, data binary").parquet(f"{path}/raw/kind=chunk")
+    return _raw(spark, path, "chunk").select("key", "n", "data")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
