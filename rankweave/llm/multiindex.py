@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Store, bounded_sample, table
 from .graph import components
 
-CELL_ROWS, BLOCK, MOST_WORDS = 32, 1024, 256
+CELL_ROWS, BLOCK, MOST_WORDS = 256, 1024, 256
 PROBES = pa.schema([("row", pa.int64()), ("g", pa.string()), ("cell", pa.int32()), ("own", pa.bool_()), ("copies", pa.int64()), ("vec", pa.binary())])
 PROBES_SQL = "row long, g string, cell int, own boolean, copies long, vec binary"
 
