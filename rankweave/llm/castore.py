@@ -4,8 +4,8 @@ A rolling hash over the last ``WINDOW`` ids cuts each document's id stream where
 says so, hence an edit moves only the cuts near it and copies fall into equal chunks.  Layout
 below one folder, all Parquet:
 
-``raw``       kind=chunk has (key, n, data): each distinct chunk once; ``data`` is its ids as little-endian
-              unsigned 32-bit integers, ``key`` the 16-byte BLAKE2b of ``data``.
+``raw``       kind=chunk has (key, n, data): each distinct chunk once; ``data`` is its ``n`` ids as little-endian
+              unsigned integers, of 16 bits if all fit and else of 32, ``key`` the 16-byte BLAKE2b of ``data``.
 ``recipes``   (part, id, start, n, root, digests): in ascending id order, part by part; ``digests``
               rebuild the document in order, ``root`` is the root of their Merkle tree.
 ``manifest``  (part, docs, tokens, first, root): ``root`` is the Merkle root of the part's document
@@ -40,6 +40,16 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def stored(ids: np.ndarray) -> bytes:
+    """A chunk's bytes: two an id if all are below 2**16, else four."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def loaded(data, n: int) -> np.ndarray:
+    """The ids of a chunk of ``n``, as little-endian unsigned 32-bit integers."""
+    return np.frombuffer(data, f"<u{len(memoryview(data).cast('B')) // n}" if n else "<u2").astype("<u4", copy=False)
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of the binary tree over ``leaves``; an odd last node goes up as it is, leaves and nodes are hashed under different tags."""
     level = [digest(b"\0" + x) for x in leaves] or [digest(b"")]
@@ -77,12 +87,12 @@ def cut(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ids = np.append(ids, END_ID).astype("<u4")
                 names, a = [], 0
                 for b in cuts(ids):
-                    data = ids[a:b].tobytes()
+                    data = stored(ids[a:b])
                     names.append(key := digest(data))
-                    own[key] = data
+                    own[key] = b - a, data
                     a = b
                 rows.append((row, i, len(ids), row.to_bytes(8, "little"), None, merkle(names), names))
-            rows += [(None, None, len(v) // 4, k, v, None, None) for k, v in own.items()]
+            rows += [(None, None, n, k, v, None, None) for k, (n, v) in own.items()]
             yield table(CUT, *map(list, zip(*rows)))
 
     return docs.mapInArrow(run, CUT_SQL)
@@ -142,7 +152,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     joined = refs.join(chunks(spark, path), "key")
 
     def build(key, own):
-        ids = np.frombuffer(b"".join(own.sort_by("pos").column("data").to_pylist()), "<u4").astype(np.int64)
+        own = own.sort_by("pos")
+        ids = np.concatenate([loaded(d, n) for d, n in zip(own.column("data").to_pylist(), own.column("n").to_pylist())]).astype(np.int64)
         return pa.table({"id": pa.array([key[1].as_py()], pa.int64()), "start": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64()))})
 
     return joined.groupBy("start", "id").applyInArrow(build, "id long, start long, ids array<long>")
@@ -187,7 +198,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             keys = [digest(x) for x in data]
             if keys != batch.column("key").to_pylist():
                 raise ValueError("a chunk differs from its digest")
-            yield table(READ, keys, [x.size // 4 for x in data], [zlib.crc32(x) for x in data])
+            n = batch.column("n").to_pylist()
+            yield table(READ, keys, n, [zlib.crc32(loaded(x, k)) for x, k in zip(data, n)])
 
     found = chunks(spark, path).mapInArrow(scan, "key binary, n long, crc long")
     refs = recipes(spark, path).select("id", "start", "n", "root", F.posexplode("digests").alias("pos", "key"))
