@@ -1,8 +1,8 @@
 """Secrets in texts and in what texts hide: a worklist of decoded layers, scanned until nothing new appears.
 
 Three kinds of secret are looked for in the text itself.  Then every layer is decoded where it
-holds percent escapes, ``\\uXXXX`` / ``\\xXX`` / numeric character references, or base64 runs that
-hold text or a gzip, zlib, bzip2 or xz stream; each result is a further layer, scanned and decoded
+holds percent escapes, ``\\uXXXX`` / ``\\xXX`` / numeric character references, characters that stand
+for ASCII ones, or base64 runs that hold text or a gzip, zlib, bzip2 or xz stream; each result is a further layer, scanned and decoded
 in turn.  A layer seen before in the document is not entered again, so cycles (a gzip file that
 unpacks to itself) end.  Each character of a layer carries the span of the document it came from,
 so a hit anywhere has offsets in the document, in code points, end exclusive.
@@ -19,6 +19,7 @@ import bz2
 import hashlib
 import lzma
 import re
+import unicodedata
 import zlib
 
 import pyarrow as pa
@@ -34,6 +35,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a shorter run holds no longer one
 HEX = re.compile(r"[0-9a-f]{24,}")
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+WIDE = re.compile("[^\\x00-\\u00ff]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a0-\\ud7ff\\uf900-\\U0010ffff]+")
 #: Bytes that one compressed stream may unpack to.
@@ -98,6 +100,16 @@ def _codes(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _compatible(text: str) -> list[tuple[int, int, str]]:
+    """Characters that stand for printable ASCII (full-width forms, mathematical letters and the like), by compatibility normalization."""
+    out = []
+    for m in WIDE.finditer(text):
+        new = unicodedata.normalize("NFKC", m[0])
+        if new != m[0] and new.isascii() and new.isprintable():
+            out.append((m.start(), m.end(), new))
+    return out
+
+
 def _unpacked(data: bytes) -> bytes | None:
     try:
         if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
@@ -147,7 +159,7 @@ def layers(text: str):
         layer, where = work.pop()
         if where is not None:
             yield layer, where
-        for edits in (_percent(layer) if "%" in layer else [], _codes(layer) if "\\" in layer or "&#" in layer else []):
+        for edits in (_percent(layer) if "%" in layer else [], _codes(layer) if "\\" in layer or "&#" in layer else [], [] if layer.isascii() else _compatible(layer)):
             if edits:
                 where = where or [(i, i + 1) for i in range(len(layer))]
                 new(*_replaced(layer, where, edits))
