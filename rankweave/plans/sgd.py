@@ -84,7 +84,7 @@ class Stratified:
             flat = {"i": (get("i") - rows[b1]).astype(np.int32), "j": (get("j") - cols[b2]).astype(np.int32), "x": get("x").astype(np.float64), "n1": get("n1").astype(np.int32), "n2": get("n2").astype(np.int32)}
             return pa.table({"b1": pa.array([b1], pa.int64()), "b2": pa.array([b2], pa.int64()), **{c: pa.array([a.tobytes()], pa.binary()) for c, a in flat.items()}})
 
-        self.data = self.tables.put(v.groupBy("b1", "b2").applyInArrow(pack, "b1 long, b2 long, i binary, j binary, x binary, n1 binary, n2 binary"))
+        self.data = self.tables.put(v.groupBy("b1", "b2").applyInArrow(pack, "b1 long, b2 long, i binary, j binary, x binary, n1 binary, n2 binary"), by=("b1", "b2"))
         self.factors = self.tables.put(_to_blocks(problem.w, "i", "w", self.rows, "w").union(_to_blocks(problem.h, "j", "h", self.cols, "h")))
 
     def sub_epoch(self, factors: DataFrame, meets: np.ndarray, eps: float, seed: tuple) -> DataFrame:
@@ -98,7 +98,8 @@ class Stratified:
         to = F.element_at(F.array(*(F.lit(host.get(b, b % d)) for b in range(self.cols.blocks))), (F.col("b") + 1).cast("int"))
         left = factors.withColumn("key", F.when(F.col("side") == "w", F.col("b")).otherwise(to).cast("long")).repartition(4 * d, "key")
         now = F.element_at(F.array(*(F.lit(int(b)) for b in meets)), (F.col("b1") + 1).cast("int"))
-        right = self.data.filter(F.col("b2") == now).withColumnRenamed("b1", "key").repartition(4 * d, "key")
+        mine = self.data.filter(F.col("b2") == now)  # on folders: a sub-epoch opens the files of its blocks alone
+        right = mine.withColumnRenamed("b1", "key").repartition(4 * d, "key")
 
         def run(key, own, block):
             rows = own.select(["side", "b", "flat"]).to_pylist()

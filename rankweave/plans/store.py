@@ -24,8 +24,9 @@ class Tables:
             base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rankweave-plans-"))
         self.spark, self.path, self.n = spark, f"{base.rstrip('/')}/rankweave-plan-{uuid.uuid4().hex}", 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """``df`` as written and read back; with ``by``, in folders that filters on those columns prune."""
         self.n += 1
         path = f"{self.path}/{self.n:05d}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
