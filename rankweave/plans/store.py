@@ -12,17 +12,21 @@ from ..session import ship
 _OWN: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder's name below ``spark.checkpoint.dir``; only local sessions without that setting get a base of their own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rankweave-"))
+    return f"{base.rstrip('/')}/rankweave-{uuid.uuid4().hex}"
+
+
 class Tables:
-    """Numbered Parquet tables below ``spark.checkpoint.dir``; only local sessions without that setting get a folder of their own."""
+    """Numbered Parquet tables below one shared folder."""
 
     def __init__(self, spark: SparkSession):
-        ship(spark)
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rankweave-plans-"))
-        self.spark, self.path, self.n = spark, f"{base.rstrip('/')}/rankweave-plan-{uuid.uuid4().hex}", 0
+        self.spark, self.path, self.n = ship(spark), shared_dir(spark), 0
 
     def put(self, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         """``df`` as written and read back; with ``by``, in folders that filters on those columns prune."""
