@@ -2,14 +2,11 @@
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
 all executors see; a lost executor costs a re-read, not a recomputation of the
-stages before the table.  Only where the setting is absent (local tests) does
-:func:`shared_dir` pick a folder of its own.
+stages before the table.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,20 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import shared_dir
 from ..session import ship
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this run's own below ``spark.checkpoint.dir``."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rankweave-"))
-    return f"{base.rstrip('/')}/rankweave-{uuid.uuid4().hex}"
-
 
 class Store:
     """Named Parquet tables below one shared folder: the points where lineage is cut."""
@@ -66,11 +52,11 @@ def fold(id_col: str, modulus: int):
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all strings end to end, and the n + 1 offsets; null counts as empty."""
+    """Bytes of all strings (or binaries) end to end, and the n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -2,10 +2,11 @@
 
 Three kinds of secret are looked for in the text itself.  Then every layer is decoded where it
 holds percent escapes, ``\\uXXXX`` / ``\\xXX`` / numeric character references, characters that stand
-for ASCII ones, or base64 runs that hold text or a gzip, zlib, bzip2 or xz stream; each result is a further layer, scanned and decoded
-in turn.  A layer seen before in the document is not entered again, so cycles (a gzip file that
-unpacks to itself) end.  Each character of a layer carries the span of the document it came from,
-so a hit anywhere has offsets in the document, in code points, end exclusive.
+for ASCII ones, or base64 runs that hold text or a gzip, zlib, bzip2 or xz stream; each result is
+a further layer, scanned and decoded in turn.  A layer seen before in the document is not entered
+again, so cycles (a gzip file that unpacks to itself) end.  Each character of a layer carries the
+span of the document it came from, so a hit anywhere has offsets in the document, in code points,
+end exclusive.
 
 Texts are scanned whole, one row at a time; a row needs nothing of another, so the scan has no
 shuffle and a lost executor repeats only its own splits.
