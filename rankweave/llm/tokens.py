@@ -75,12 +75,14 @@ class _Slots:
 
     def add(self, keys: np.ndarray) -> None:
         """Number new distinct keys from the last one on."""
-        if 2 * (self.n + len(keys)) > 1 << self.bits:
+        if 5 * (self.n + len(keys)) > 3 << self.bits:  # at most three fifths full
             old = np.flatnonzero(self.vals >= 0)
-            old = old[np.argsort(self.vals[old])]
-            grown = _Slots(int(2 * (self.n + len(keys))).bit_length() + 1)
-            grown.add(self.keys[old])
-            self.bits, self.keys, self.vals = grown.bits, grown.keys, grown.vals
+            kept = self.keys[old[np.argsort(self.vals[old])]]
+            n = self.n + len(keys)
+            while 5 * n > 3 << self.bits:
+                self.bits += 1
+            self.keys, self.vals, self.n = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 0
+            self.add(kept)
         at, left = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
         while len(left):
             free = self.vals[at] < 0
