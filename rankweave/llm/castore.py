@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import Store, pieces, table, two_columns
+from .common import Store, pieces, table, two_columns, utf8
 from .tokens import END_ID, default_path, encoder
 
 WINDOW, LEAST, MASK, MOST = 16, 64, 255, 1024
@@ -47,7 +47,7 @@ def stored(ids: np.ndarray) -> bytes:
 
 def loaded(data, n: int) -> np.ndarray:
     """The ids of a chunk of ``n``, as little-endian unsigned 32-bit integers."""
-    return np.frombuffer(data, f"<u{len(memoryview(data).cast('B')) // n}" if n else "<u2").astype("<u4", copy=False)
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u2").astype("<u4", copy=False)
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -58,21 +58,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document: where the rolling hash of the last ids is 0 under the mask, no chunk below ``LEAST`` or above ``MOST`` ids but the last."""
+def cuts(ids: np.ndarray, at: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each document in ``ids``, whose bounds are ``at``: where the rolling hash of the document's last ids is 0 under the mask, no chunk below ``LEAST`` or above ``MOST`` ids but the last."""
     n = len(ids)
     up, down = W._powers(n + 1)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(W.mix(ids.astype(np.uint64) + np.uint64(77)) * up[:n], out=run[1:])
-    at = np.flatnonzero(W.mix((run[WINDOW:] - run[: n + 1 - WINDOW]) * down[: n + 1 - WINDOW]) & np.uint64(MASK) == 0) + WINDOW if n >= WINDOW else np.zeros(0, np.int64)
-    out, last = [], 0
-    for c in [*at.tolist(), n]:
-        while c - last > MOST:
-            last += MOST
-            out.append(last)
-        if c - last >= LEAST or c == n and c > last:
-            out.append(c)
-            last = c
+    hashed = W.mix((run[WINDOW:] - run[: n + 1 - WINDOW]) * down[: n + 1 - WINDOW]) if n >= WINDOW else np.zeros(0, np.uint64)
+    where = np.flatnonzero(hashed & np.uint64(MASK) == 0) + WINDOW
+    doc = np.searchsorted(at, where, side="left") - 1
+    where = where[where - at[doc] >= WINDOW]  # a window lies in one document
+    first = np.searchsorted(where, at, side="left")
+    spots, out = where.tolist(), []
+    for start, stop, a, b in zip(at[:-1].tolist(), at[1:].tolist(), first[:-1].tolist(), first[1:].tolist()):
+        ends, last = [], start
+        for c in (*spots[a:b], stop):
+            while c - last > MOST:
+                last += MOST
+                ends.append(last)
+            if c - last >= LEAST or c == stop and c > last:
+                ends.append(c)
+                last = c
+        out.append(ends)
     return out
 
 
@@ -83,15 +90,18 @@ def cut(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc = encoder(tokenizer)
         for batch, data, at in pieces(batches):
             rows, own = [], {}
-            for row, i, ids in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), enc.encode(data, at)):
-                ids = np.append(ids, END_ID).astype("<u4")
-                names, a = [], 0
-                for b in cuts(ids):
-                    data = stored(ids[a:b])
-                    names.append(key := digest(data))
-                    own[key] = b - a, data
+            end = np.array([END_ID], np.int32)
+            each = enc.encode(data, at)
+            ids = np.concatenate([x for own_ids in each for x in (own_ids, end)])
+            bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in each])])
+            for row, i, a, z, ends in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), cuts(ids, bounds)):
+                names, n = [], z - a
+                for b in ends:
+                    part = stored(ids[a:b])
+                    names.append(key := digest(part))
+                    own[key] = b - a, part
                     a = b
-                rows.append((row, i, len(ids), row.to_bytes(8, "little"), None, merkle(names), names))
+                rows.append((row, i, n, row.to_bytes(8, "little"), None, merkle(names), names))
             rows += [(None, None, n, k, v, None, None) for k, (n, v) in own.items()]
             yield table(CUT, *map(list, zip(*rows)))
 
@@ -194,12 +204,13 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            data = [x.as_buffer() for x in batch.column("data")]
-            keys = [digest(x) for x in data]
+            data, at = utf8(batch.column("data"))
+            n, raw, cut_at = batch.column("n").to_pylist(), memoryview(data), at.tolist()
+            parts = [raw[a:b] for a, b in zip(cut_at, cut_at[1:])]
+            keys = [digest(x) for x in parts]
             if keys != batch.column("key").to_pylist():
                 raise ValueError("a chunk differs from its digest")
-            n = batch.column("n").to_pylist()
-            yield table(READ, keys, n, [zlib.crc32(loaded(x, k)) for x, k in zip(data, n)])
+            yield table(READ, keys, n, [zlib.crc32(loaded(x, k)) for x, k in zip(parts, n)])
 
     found = chunks(spark, path).mapInArrow(scan, "key binary, n long, crc long")
     refs = recipes(spark, path).select("id", "start", "n", "root", F.posexplode("digests").alias("pos", "key"))

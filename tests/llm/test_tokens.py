@@ -76,12 +76,15 @@ def test_damage_is_found(spark, odd, tmp_path):
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 20_000).astype("<u4")
-    cut = lambda x: {castore.digest(x[a:b].tobytes()) for a, b in zip([0, *castore.cuts(x)], castore.cuts(x))}
+    ends = lambda x: castore.cuts(x, np.array([0, len(x)]))[0]
+    cut = lambda x: {castore.digest(x[a:b].tobytes()) for a, b in zip([0, *ends(x)], ends(x))}
     whole, edited = cut(ids), cut(np.concatenate([ids[:100], ids[:1], ids[100:]]))
     assert len(whole & edited) > 0.9 * len(whole)
-    sizes = np.diff([0, *castore.cuts(ids)])
+    sizes = np.diff([0, *ends(ids)])
     assert sizes.max() <= castore.MOST and sizes[:-1].min() >= castore.LEAST and sizes.sum() == len(ids)
-    assert castore.cuts(np.zeros(5000, "<u4"))[-1] == 5000 and castore.cuts(np.zeros(0, "<u4")) == []
+    assert ends(np.zeros(5000, "<u4"))[-1] == 5000 and ends(np.zeros(0, "<u4")) == []
+    both = castore.cuts(np.concatenate([ids[:7000], ids]), np.array([0, 7000, 27_000]))  # neighbours change nothing
+    assert both[0] == ends(ids[:7000]) and [x - 7000 for x in both[1]] == ends(ids)
 
 
 def test_joined_crc():
