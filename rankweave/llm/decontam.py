@@ -8,6 +8,10 @@ with fewer hits of any segment than that within a region's length are passed ove
 hits are counted in diagonal bands of width 2w that start every w > e; bands that reach the bound are the only
 regions aligned, and a band's alignment needs only the diagonals of the band and e on each side.
 
+A part of an item need not cover a segment: every run of ``RUN`` characters of an item, wherever it
+starts, is looked up by a hash of its q-grams and compared with the document.  Items of fewer than
+``LEAST`` characters are found as they stand, as whole words.
+
 The items are read by the driver in blocks of at most ``BLOCK_BYTES`` of text, each block is
 sent to the executors and met by all documents in one scan: no shuffle, whatever the sizes.
 """
@@ -21,9 +25,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import pieces, table, two_columns
-from .words import LOWER
+from .words import LOWER, mix
 
 Q, SEGMENT, STRIDE, LEAST, BLOCK_BYTES = 8, 120, 60, 24, 4 << 20
+RUN = 50  # the shortest exact part of a longer item that counts
 CELL = 16  # width w of the half-bands; over the largest number of edits
 FOUND = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("segments", pa.int32()), ("of", pa.int32()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 FOUND_SQL = "id long, item_id long, segments int, of int, edits int, start long, end long"
@@ -49,17 +54,46 @@ def normal(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return low[kept], np.searchsorted(kept, at), kept
 
 
+_PLACES = [*range(0, RUN - Q, Q), RUN - Q]  # of the q-grams that cover a run
+
+
+def _grams(body: np.ndarray | bytes) -> np.ndarray:
+    return np.ndarray(max(0, len(body) - Q + 1), "<u8", body, strides=(1,)) if len(body) >= Q else np.zeros(0, np.uint64)
+
+
+def _runs(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the run that starts at each place."""
+    h = np.zeros(len(at), np.uint64)
+    for o in _PLACES:
+        h = mix(h + grams[at + o])
+    return h
+
+
+def _word_edges(body: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a word may start or end before each byte (or at the end): beside a space, a text's edge or a character of three bytes or more."""
+    free = np.zeros(len(body) + 4, bool)
+    space, wide = np.flatnonzero(body == 32), np.flatnonzero(body >= 0xE0)
+    free[space] = free[space + 1] = free[wide] = free[ends] = True
+    free[np.minimum(wide + 3 + (body[wide] >= 0xF0), len(body))] = True
+    return free[: len(body) + 1]
+
+
 class Index:
-    """The segments of a block of items and their q-grams."""
+    """The segments of a block of items, their q-grams, runs and short items."""
 
     def __init__(self, items: list[tuple[int, str | None]], rate: float):
         self.items, self.segments, self.edits, self.owner, self.of = [i for i, _ in items], [], [], [], []
+        bodies, short = [], {}
         for k, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             body = normal(raw, np.array([0, len(raw)]))[0].tobytes().rstrip()
             starts = [0] if len(body) <= SEGMENT else [*range(0, len(body) - SEGMENT, STRIDE), len(body) - SEGMENT]
             starts = starts if len(body) >= LEAST else []
-            self.of.append(len(starts))
+            self.of.append(max(len(starts), min(len(body), 1)))
+            if starts:
+                bodies.append((k, body))
+            elif body:
+                short.setdefault(len(body), {}).setdefault(body, []).append(k)
             for a in starts:
                 s = body[a : a + SEGMENT]
                 self.segments.append(s)
@@ -78,21 +112,89 @@ class Index:
         self.first = np.append(first, len(every))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.spread(self.keys)] = True
+        self.short = [(n, np.array(sorted(x), f"S{n}"), [x[b] for b in sorted(x)]) for n, x in sorted(short.items())]
+        longer = [(k, body) for k, body in bodies if len(body) >= RUN]
+        self.text = np.frombuffer(b"".join(body for _, body in longer), np.uint8)
+        ends = np.cumsum([0] + [len(body) for _, body in longer])
+        run_at = np.concatenate([*[np.arange(a, b - RUN + 1) for a, b in zip(ends[:-1], ends[1:])], np.zeros(0, np.int64)])
+        hashes = _runs(_grams(self.text), run_at)
+        order = np.argsort(hashes, kind="stable")
+        self.run_at = run_at[order]
+        self.run_item = np.array([k for k, _ in longer], np.int64)[np.searchsorted(ends, self.run_at, side="right") - 1] if len(run_at) else run_at
+        self.runs, first = np.unique(hashes[order], return_index=True)
+        self.run_first = np.append(first, len(order))
 
     @staticmethod
     def spread(v: np.ndarray) -> np.ndarray:
         return (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
-    def bands(self, body: np.ndarray) -> list[tuple[int, int]]:
-        """(segment, first diagonal) of each band of 2 * CELL diagonals with enough shared q-grams."""
+    def hits(self, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the items' q-grams in a text, and their numbers."""
         if len(body) < Q or not len(self.keys):
-            return []
-        grams = np.ndarray(len(body) - Q + 1, "<u8", body, strides=(1,))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        grams = _grams(body)
         at = np.flatnonzero(self.bits[self.spread(grams)])
         own = grams[at]
         k = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
         same = self.keys[k] == own
-        at, k = at[same], k[same]
+        return at[same], k[same]
+
+    def exact(self, body: np.ndarray, ends: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, start, end) from the first to the last run of each item in each text; ``at`` are the places of hits."""
+        if not len(self.runs) or not len(at):
+            return []
+        hit = np.zeros(len(body) + RUN, bool)
+        hit[at] = True
+        for o in reversed(_PLACES[1:]):
+            at = at[hit[at + o]]
+        text = np.searchsorted(ends, at, side="right") - 1
+        inside = at + RUN <= ends[text + 1]
+        at, text = at[inside], text[inside]
+        grams, own = _grams(body), _grams(self.text)
+        h = _runs(grams, at)
+        k = np.minimum(np.searchsorted(self.runs, h), len(self.runs) - 1)
+        same = self.runs[k] == h
+        at, text, k = at[same], text[same], k[same]
+        if not len(at):
+            return []
+        size = self.run_first[k + 1] - self.run_first[k]
+        stops = np.cumsum(size)
+        post = np.arange(stops[-1]) + np.repeat(self.run_first[k] - (stops - size), size)
+        at, text = np.repeat(at, size), np.repeat(text, size)
+        same = np.logical_and.reduce([grams[at + o] == own[self.run_at[post] + o] for o in _PLACES])
+        at, key = at[same], text[same] * len(self.items) + self.run_item[post[same]]
+        order = np.lexsort((at, key))
+        at, key = at[order], key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(key)) - 1
+        return [(int(x) // len(self.items), int(x) % len(self.items), int(a), int(b) + RUN) for x, a, b in zip(key[first], at[first], at[last])]
+
+    def whole(self, body: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, start, end) of each place where an item of fewer than ``LEAST`` characters stands as whole words."""
+        out: list[tuple[int, int, int, int]] = []
+        if not self.short or not len(body):
+            return out
+        free = _word_edges(body, ends)
+        starts = np.flatnonzero(free[:-1] & (body != 32))
+        text = np.searchsorted(ends, starts, side="right") - 1
+        for n, keys, owners in self.short:
+            fits = starts + n <= ends[text + 1]
+            at, d = starts[fits], text[fits]
+            good = free[at + n]
+            at, d = at[good], d[good]
+            if not len(at):
+                continue
+            words = np.ndarray(len(body) - n + 1, f"S{n}", body, strides=(1,))[at]
+            k = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+            for i in np.flatnonzero(keys[k] == words).tolist():
+                out += [(int(d[i]), item, int(at[i]), int(at[i]) + n) for item in owners[k[i]]]
+        return out
+
+    def bands(self, body: np.ndarray, hits: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
+        """(segment, first diagonal) of each band of 2 * CELL diagonals with enough shared q-grams."""
+        at, k = self.hits(body) if hits is None else hits
+        if not len(at):
+            return []
         close = np.zeros(len(at) + 1, np.int64)
         for length, bound in self.classes:  # so many hits lie within a region's length, or none of this class is there
             i = np.flatnonzero(at[bound - 1 :] - at[: len(at) - bound + 1] < length)
@@ -144,11 +246,12 @@ def align(segment: bytes, region: bytes, low: int, high: int, edits: int) -> tup
 
 
 def find_passages(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(text, item, segments, of, edits, start, end) for each text and item with a segment in it; offsets are bytes of the text."""
+    """(text, item, segments, of, edits, start, end) for each text and item with a segment or a run in it; offsets are bytes of the text."""
     body, ends, source = normal(data, at)
     found: dict[tuple[int, int], list] = {}
     done: set[tuple[int, int]] = set()
-    for seg, low in sorted(index.bands(body)):
+    hits = index.hits(body)
+    for seg, low in sorted(index.bands(body, hits)):
         s, e = index.segments[seg], index.edits[seg]
         docs = np.searchsorted(ends, [max(low, 0), min(low + 2 * CELL + len(s) // 2, len(body) - 1)], side="right") - 1
         for d in range(int(docs[0]), int(docs[1]) + 1):
@@ -173,6 +276,12 @@ def find_passages(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[
             entry[1] = max(entry[1], n)
             entry[2] = min(entry[2], int(source[a + max(0, start)]))
             entry[3] = max(entry[3], int(source[a + end - 1]) + 1)
+    exact, whole = index.exact(body, ends, hits[0]), index.whole(body, ends)
+    for n, (d, k, start, end) in enumerate([*exact, *whole]):
+        entry = found.setdefault((d, k), [0, 0, 1 << 60, 0])
+        entry[0] = entry[0] if n < len(exact) else 1
+        entry[2] = min(entry[2], int(source[start]))
+        entry[3] = max(entry[3], int(source[end - 1]) + 1)
     return [(d, k, x[0], index.of[k], x[1], x[2] - int(at[d]), x[3] - int(at[d])) for (d, k), x in sorted(found.items())]
 
 
@@ -191,9 +300,11 @@ def contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", t
     """(id, item_id, segments, of, edits, start, end): the documents that hold part of an item.
 
     ``segments`` of the item's ``of`` segments lie in the document, with at most ``edits`` edits
-    each, between the code points ``start`` and ``end``.  Null and empty texts hold nothing, items
-    of fewer than ``LEAST`` normalised characters are no evidence; rows with null or repeated ids
-    are reported like others; other columns are not read; an empty table on either side gives no rows.
+    each, between the code points ``start`` and ``end``; so do exact runs of ``RUN`` bytes or more
+    of it, which stand alone if ``segments`` is 0.  An item of fewer than ``LEAST`` normalised bytes is
+    one segment, found as whole words.  Null and empty texts hold nothing, and nothing holds an item
+    without letters and digits; rows with null or repeated ids are reported like others; other
+    columns are not read; an empty table on either side gives no rows.
     """
     docs, result = two_columns(docs, id_col, text_col), None
     for block in _blocks(two_columns(bench, item_col, item_text_col)):

@@ -163,6 +163,36 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     assert decontam.without_passages(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_exact_parts_of_items_at_any_place():
+    """A run of RUN characters of an item is found wherever it starts, a shorter one is not."""
+    rng = random.Random(9)
+    bench, want, docs = items(6), set(), []
+    norm = [re.sub("[^a-z]+", " ", t.lower()).strip() for _, t in bench]
+    for k, body in enumerate(norm):
+        for a in range(0, len(body) - decontam.RUN, 7):
+            for n in (decontam.RUN, 90, 119):
+                if not (body[a : a + n].startswith(" ") or body[a : a + n].endswith(" ")):
+                    want.add((len(docs), k)) if len(body[a : a + n]) >= decontam.RUN else None
+                    docs.append("qq " + rng.choice(["", "zz "]) + "x" + body[a : a + n] + "x vv")
+        docs.append("x" + body[3 : 2 + decontam.RUN] + "x")
+    raw = "".join(docs).encode()
+    at = np.cumsum([0] + [len(t) for t in docs])
+    got = decontam.find_passages(decontam.Index(bench, 0.075), np.frombuffer(raw, np.uint8), at)
+    assert {(d, k) for d, k, *_ in got} == want
+    alone = [x for x in got if not x[2]]
+    assert len(alone) > 100 and all(docs[d][a:b] in norm[k] for d, k, _, _, _, a, b in alone)
+
+
+def test_short_items_as_whole_words():
+    bench = [(10, "Short one!"), (11, "你好"), (12, "..."), (13, "x1"), (14, "short ONE"), (15, None)]
+    docs = ["a short\n one.", "short ones", "ashort one", "我说你好吗", "", "x12 3x1", "x1", "short", " one"]
+    raw = "".join(docs).encode()
+    at = np.cumsum([0] + [len(t.encode()) for t in docs])
+    got = decontam.find_passages(decontam.Index(bench, 0.075), np.frombuffer(raw, np.uint8), at)
+    assert [(d, bench[k][0], n, of, e) for d, k, n, of, e, _, _ in got] == [(0, 10, 1, 1, 0), (0, 14, 1, 1, 0), (3, 11, 1, 1, 0), (6, 13, 1, 1, 0)]
+    assert docs[0][got[0][5] : got[0][6]] == "short\n one" and docs[3].encode()[got[2][5] : got[2][6]].decode() == "你好"
+
+
 def test_decontamination_table(spark):
     """Items that are in a text as they stand are found; the filter loses no region that a plain alignment of every segment finds."""
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
