@@ -2,7 +2,8 @@
 
 Three kinds of secret are looked for in the text itself.  Then every layer is decoded where it
 holds percent escapes, ``\\uXXXX`` / ``\\xXX`` / numeric character references, characters that stand
-for ASCII ones, or base64 runs that hold text or a gzip, zlib, bzip2 or xz stream; each result is
+for ASCII ones, or base64 runs that hold text or gzip, zlib, bzip2 or xz streams (all members, whatever
+their size and characters); each result is
 a further layer, scanned and decoded in turn.  A layer seen before in the document is not entered
 again, so cycles (a gzip file that unpacks to itself) end.  Each character of a layer carries the
 span of the document it came from, so a hit anywhere has offsets in the document, in code points,
@@ -17,11 +18,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +43,10 @@ CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6}
 WIDE = re.compile("[^\\x00-\\u00ff]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a0-\\ud7ff\\uf900-\\U0010ffff]+")
-#: Bytes that one compressed stream may unpack to.
-MOST_BYTES = 64 << 20
+#: Streams unpack in pieces of so many bytes, to layers of so many characters and more up to a place that no
+#: secret or code runs over; without such a place for MOST_BYTES characters, layers overlap by OVERLAP.
+PIECE, LAYER, OVERLAP, MOST_BYTES = 1 << 20, 8 << 20, 1 << 20, 64 << 20
+BREAK = re.compile(r"(?<=[A-Za-z.])\x20(?=[A-Za-z])|[,<>(){}\[\]|!?*$@^~`\0-\x08\x0e-\x1f\x7f]")
 
 SPANS = pa.schema([("id", pa.int64()), ("base", pa.list_(pa.string())), ("spans", pa.list_(pa.string())), ("redacted", pa.string())])
 SPANS_SQL = "id long, base array<string>, spans array<string>, redacted string"
@@ -111,72 +117,139 @@ def _compatible(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            d = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\0":
-            d = lzma.LZMADecompressor()
-        else:
+def _opener(data: bytes):
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\0" else None
+
+
+def _filled(stream: Iterator[bytes], data: bytes = b"") -> bytes:
+    """``data`` and what follows, until a header's length is there."""
+    for more in stream:
+        data += more
+        if len(data) >= 6:
+            break
+    return data
+
+
+def _unpacked(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members of a packed stream unpack to, in pieces of ``PIECE`` bytes at most.
+
+    A member that breaks off gives what came before the fault; one that gives nothing, and what
+    follows the last member, come as they are.
+    """
+    data = _filled(stream)
+    while (d := _opener(data)) is not None:
+        held, some = [data], False
+        try:
+            while not d.eof:
+                out = d.decompress(data, PIECE)
+                data = getattr(d, "unconsumed_tail", b"")
+                if out:
+                    held, some = [], True
+                    yield out
+                elif not d.eof and not data:
+                    if (data := next(stream, b"")) == b"":
+                        break
+                    held += [] if some else [data]
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            yield from held
+            yield from [] if some else stream
+            return
+        if not d.eof:
+            return
+        data = d.unused_data
+        if len(data) < 6:
+            data = _filled(stream, data)
+        data = data.lstrip(b"\0") or _filled(stream)  # padding between members
+    if data:
+        yield data
+    yield from stream
+
+
+def _peeled(data: bytes) -> Iterator[bytes] | None:
+    """The innermost stream of streams in streams, until it is none or comes back; None if ``data`` is no stream."""
+    stream, met, head = iter(()), set(), data
+    while _opener(head) is not None and (key := hashlib.sha256(head).digest()) not in met:
+        met.add(key)
+        stream = _unpacked(chain([head], stream))
+        head = _filled(stream)
+        if len(met) == 1 and head == data:
             return None
-        return d.decompress(data, MOST_BYTES)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
+    return chain([head], stream) if met else None
+
+
+def _texts(stream: Iterator[bytes]) -> Iterator[str]:
+    """The stream as texts of bounded size, cut where no secret or code runs on; other bytes than UTF-8 become replacement characters."""
+    decoder, text = codecs.getincrementaldecoder("utf8")("replace"), ""
+    for piece in stream:
+        text += decoder.decode(piece)
+        if len(text) >= LAYER:
+            cut = len(text) - OVERLAP if len(text) >= MOST_BYTES else 0
+            for m in BREAK.finditer(text, len(text) - 2 * OVERLAP, len(text) - OVERLAP):
+                cut = m.start()
+            if cut:
+                yield text
+                text = text[cut:]
+    yield text + decoder.decode(b"", True)
 
 
-def _hidden(run: str) -> tuple[str, bool] | None:
-    """The text in a base64 run, and whether characters still follow the run's order (not after unpacking)."""
+def _bytes_of(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    packed, met = None, set()
-    while (inner := _unpacked(data if packed is None else packed)) is not None and (key := hashlib.sha256(inner).digest()) not in met:
-        met.add(key)  # a stream in a stream, until it is none or comes back
-        packed = inner
-    try:
-        text = (data if packed is None else packed).decode()
-    except UnicodeDecodeError:
-        return None
-    return (text, packed is None) if PLAIN.fullmatch(text) else None
 
 
-def layers(text: str):
-    """Every decoded layer of ``text``, with the source span of each character; the text itself is not among them."""
-    work, seen = [(text, None)], {hashlib.sha256(text.encode("utf8", "replace")).digest()}
+def _hidden(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """The texts in the base64 runs of a layer; a stream's text carries the span of its whole run."""
+    source = (lambda i: (i, i + 1)) if where is None else where.__getitem__
+    for m in BASE64.finditer(layer):
+        a = m.start()
+        if (data := _bytes_of(m[0])) is None:
+            continue
+        if (stream := _peeled(data)) is not None:
+            span = (source(a)[0], source(m.end() - 1)[1])
+            for text in _texts(stream):
+                yield text, [span] * len(text)
+            continue
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            continue
+        if PLAIN.fullmatch(text):
+            at, spans = 0, []
+            for ch in text:
+                n = len(ch.encode())
+                spans.append((source(a + at * 4 // 3)[0], source(min(m.end(), a + -(-(at + n) * 4 // 3)) - 1)[1]))
+                at += n
+            yield text, spans
+
+
+def _inner(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """The layers decoded from this one."""
+    for edits in (_percent(layer) if "%" in layer else [], _codes(layer) if "\\" in layer or "&#" in layer else [], [] if layer.isascii() else _compatible(layer)):
+        if edits:
+            yield _replaced(layer, where or [(i, i + 1) for i in range(len(layer))], edits)
+    yield from _hidden(layer, where)
 
-    def new(layer, where):
-        key = hashlib.sha256(layer.encode("utf8", "replace")).digest()
-        if key not in seen:
-            seen.add(key)
-            work.append((layer, where))
 
+def layers(text: str):
+    """Every decoded layer of ``text``, with the source span of each character; the text itself is not among them."""
+    key = lambda x: hashlib.sha256(x.encode("utf8", "replace")).digest()
+    work, seen = [_inner(text, None)], {key(text)}
     while work:
-        layer, where = work.pop()
-        if where is not None:
-            yield layer, where
-        for edits in (_percent(layer) if "%" in layer else [], _codes(layer) if "\\" in layer or "&#" in layer else [], [] if layer.isascii() else _compatible(layer)):
-            if edits:
-                where = where or [(i, i + 1) for i in range(len(layer))]
-                new(*_replaced(layer, where, edits))
-        for m in BASE64.finditer(layer):
-            if (got := _hidden(m[0])) is not None:
-                a = m.start()
-                source = (lambda i: (i, i + 1)) if where is None else where.__getitem__
-                if got[1]:
-                    at, spans = 0, []
-                    for ch in got[0]:
-                        n = len(ch.encode())
-                        spans.append((source(a + at * 4 // 3)[0], source(min(m.end(), a + -(-(at + n) * 4 // 3)) - 1)[1]))
-                        at += n
-                else:
-                    spans = [(source(a)[0], source(m.end() - 1)[1])] * len(got[0])
-                new(got[0], spans)
+        if (got := next(work[-1], None)) is None:
+            work.pop()
+        elif (k := key(got[0])) not in seen:
+            seen.add(k)
+            yield got
+            work.append(_inner(*got))
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -254,6 +254,35 @@ def test_layers(outer, inner):
     assert all("hunter2" not in x for x in [secretscan.redact(text, every)])
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_streams_are_read_to_their_end(pack, monkeypatch):
+    """All members, past any piece, over every boundary, and whatever other characters are there."""
+    secret, kinds = SECRET.encode(), lambda raw: {k for _, k, _ in secretscan.find("x " + base64.b64encode(raw).decode() + " y")[1]}
+    for raw in (pack(b"first") + pack(secret), pack(b"") + b"\0" * 8 + bz2.compress(b"x, y" * 99) + pack(secret), pack(pack(b"first") + pack(secret)), pack(b"first") + secret):
+        assert kinds(raw) == {0, 1}
+    for c in (b"\0", b"\x1b[0m", b"\f", b"\xe9\xff", "\ue000".encode()):
+        assert kinds(pack(c + secret + c)) == {0, 1}
+    assert kinds(pack(b"no secret here" * 9) + pack(b"nor here")) == set()
+    monkeypatch.setattr(secretscan, "PIECE", 64)
+    monkeypatch.setattr(secretscan, "LAYER", 512)
+    monkeypatch.setattr(secretscan, "OVERLAP", 128)
+    monkeypatch.setattr(secretscan, "MOST_BYTES", 2048)
+    for fill in (b"lorem ipsum ", b"\0", b"z", b"a=b;"):
+        for n in (*range(400, 640, 23), 5000):
+            body = (fill * n)[:n]
+            assert kinds(pack(body + b" " + secret + b" " + body)) == {0, 1}, (fill, n)
+    assert kinds(pack(b"ab, " * 300 + base64.b64encode(pack(b"q" * 3000 + secret)) + b" ok" * 400)) == {0, 1}
+
+
+def test_large_stream_in_bounded_memory():
+    import resource
+
+    raw = gzip.compress(b"plain words, " * (7 << 20) + SECRET.encode(), 1)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert {k for _, k, _ in secretscan.find("x " + base64.b64encode(raw).decode())[1]} == {0, 1}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+
+
 def test_spans_are_narrow():
     text = "x token%3Dabcdef123 y"
     _, every = secretscan.find(text)
