@@ -3,7 +3,7 @@
 Three kinds of secret are looked for in the text itself.  Then every layer is decoded where it
 holds percent escapes, ``\\uXXXX`` / ``\\xXX`` / numeric character references, characters that stand
 for ASCII ones, or base64 runs that hold text or gzip, zlib, bzip2 or xz streams (all members, whatever
-their size and characters); each result is
+their size and characters), over line breaks and amid other characters too, or streams given as escapes; each result is
 a further layer, scanned and decoded in turn.  A layer seen before in the document is not entered
 again, so cycles (a gzip file that unpacks to itself) end.  Each character of a layer carries the
 span of the document it came from, so a hit anywhere has offsets in the document, in code points,
@@ -15,7 +15,6 @@ shuffle and a lost executor repeats only its own splits.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import codecs
@@ -24,7 +23,7 @@ import lzma
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -42,6 +41,14 @@ URL = re.compile(r"%[0-9A-Fa-f]{2}")
 CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 WIDE = re.compile("[^\\x00-\\u00ff]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs over line breaks; where a stream may start in a run, or in bytes; bytes of text in a run that is not text as a whole.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+HEAD = re.compile(r"H4sI|Qlpo|[/_]Td6WFoA|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
+MAGIC = re.compile("\x1f\x8b\x08|BZh[1-9](?=1AY&SY|\x17rE8P)|\xfd7zXZ\0|x[\x01\x5e\x9c\xda]")
+LATIN = re.compile("[\0-\xff]+")
+STRETCH = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+RAW = re.compile(r"(?:%|\\x|\\u00)([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,2});|&#([0-9]{1,3});|\\([abfnrtv0\\'\"])")
+SHORT = dict(zip("abfnrtv0", "\a\b\f\n\r\t\v\0"))
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a0-\\ud7ff\\uf900-\\U0010ffff]+")
 #: Streams unpack in pieces of so many bytes, to layers of so many characters and more up to a place that no
 #: secret or code runs over; without such a place for MOST_BYTES characters, layers overlap by OVERLAP.
@@ -134,11 +141,11 @@ def _filled(stream: Iterator[bytes], data: bytes = b"") -> bytes:
     return data
 
 
-def _unpacked(stream: Iterator[bytes]) -> Iterator[bytes]:
+def _unpacked(stream: Iterator[bytes], rest: list[int] | None = None) -> Iterator[bytes]:
     """What all members of a packed stream unpack to, in pieces of ``PIECE`` bytes at most.
 
     A member that breaks off gives what came before the fault; one that gives nothing, and what
-    follows the last member, come as they are.
+    follows the last member, come as they are, or ``rest`` gets the size of what was read of the latter.
     """
     data = _filled(stream)
     while (d := _opener(data)) is not None:
@@ -164,23 +171,31 @@ def _unpacked(stream: Iterator[bytes]) -> Iterator[bytes]:
         if len(data) < 6:
             data = _filled(stream, data)
         data = data.lstrip(b"\0") or _filled(stream)  # padding between members
+    if rest is not None:
+        rest.append(len(data))
+        return
     if data:
         yield data
     yield from stream
 
 
-def _peeled(data: bytes) -> Iterator[bytes] | None:
-    """The innermost stream of streams in streams, until it is none or comes back; None if ``data`` is no stream."""
-    stream, met, head = iter(()), set(), data
+def _peeled(stream: Iterator[bytes]) -> Iterator[bytes] | None:
+    """The innermost stream of streams in streams, until it is none or comes back; None if this is no stream."""
+    met, head = set(), _filled(stream)
+    bare = head
     while _opener(head) is not None and (key := hashlib.sha256(head).digest()) not in met:
         met.add(key)
         stream = _unpacked(chain([head], stream))
         head = _filled(stream)
-        if len(met) == 1 and head == data:
+        if len(met) == 1 and head == bare:
             return None
     return chain([head], stream) if met else None
 
 
+def _cut(data, size: int = 1 << 16) -> Iterator:
+    return (data[a : a + size] for a in range(0, len(data), size))
+
+
 def _texts(stream: Iterator[bytes]) -> Iterator[str]:
     """The stream as texts of bounded size, cut where no secret or code runs on; other bytes than UTF-8 become replacement characters."""
     decoder, text = codecs.getincrementaldecoder("utf8")("replace"), ""
@@ -196,39 +211,95 @@ def _texts(stream: Iterator[bytes]) -> Iterator[str]:
     yield text + decoder.decode(b"", True)
 
 
-def _bytes_of(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+def _decoded(body: str, start: int = 0) -> Iterator[bytes]:
+    """The bytes of a base64 run from one of its characters on; a last character alone holds none."""
+    for a in range(start, len(body), 1 << 16):
+        part = body[a : a + (1 << 16)]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        yield binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+
+def _runs(layer: str) -> Iterator[tuple[str, Sequence[int]]]:
+    """Base64 runs and the place of each character, those over line breaks too."""
+    for m in BASE64.finditer(layer):
+        yield m[0], range(m.start(), m.end())
+    if "\n" in layer:
+        for m in LINES.finditer(layer):
+            at = [i for i in range(m.start(), m.end()) if layer[i] not in "\x20\t\r\n"]
+            if len(at) >= 16:
+                yield "".join([layer[i] for i in at]), at
 
 
 def _hidden(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """The texts in the base64 runs of a layer; a stream's text carries the span of its whole run."""
+    """The texts in the base64 runs of a layer.
+
+    A run that is not text or a stream as a whole may have other characters of the alphabet around
+    it, so text is looked for in all four phases, and streams wherever one may start.  A stream's
+    text carries the span of its run from there on.
+    """
     source = (lambda i: (i, i + 1)) if where is None else where.__getitem__
-    for m in BASE64.finditer(layer):
-        a = m.start()
-        if (data := _bytes_of(m[0])) is None:
-            continue
-        if (stream := _peeled(data)) is not None:
-            span = (source(a)[0], source(m.end() - 1)[1])
-            for text in _texts(stream):
-                yield text, [span] * len(text)
-            continue
+
+    def placed(text, at, start):
+        spans = []
+        for ch in text:
+            n = len(ch.encode())
+            spans.append((source(place[start + at * 4 // 3])[0], source(place[min(len(place), start - (-(at + n) * 4 // 3)) - 1])[1]))
+            at += n
+        return text, spans
+
+    for run, place in _runs(layer):
+        body = run.rstrip("=").replace("-", "+").replace("_", "/")
+        whole = b"".join(_decoded(body)) if len(body) % 4 != 1 else b""
         try:
-            text = data.decode()
+            text = whole.decode() if _opener(whole) is None else ""
         except UnicodeDecodeError:
-            continue
+            text = ""
         if PLAIN.fullmatch(text):
-            at, spans = 0, []
-            for ch in text:
-                n = len(ch.encode())
-                spans.append((source(a + at * 4 // 3)[0], source(min(m.end(), a + -(-(at + n) * 4 // 3)) - 1)[1]))
-                at += n
-            yield text, spans
+            yield placed(text, 0, 0)
+            continue
+        packed = False
+        for a in sorted({0, *(m.start() for m in HEAD.finditer(body))}):
+            if (stream := _peeled(_decoded(body, a))) is not None:
+                packed = packed or not a
+                span = (source(place[a])[0], source(place[-1])[1])
+                for text in _texts(stream):
+                    yield text, [span] * len(text)
+        for a in range(0 if not packed else 4, 4):
+            for m in STRETCH.finditer(b"".join(_decoded(body, a))):
+                try:
+                    yield placed(m[0].decode(), m.start(), a)
+                except UnicodeDecodeError:  # surrogates and the like: one character for each byte outside ASCII
+                    yield placed("".join(chr(b) if b < 128 else "\x1a" for b in m[0]), m.start(), a)
+
+
+def _raw(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """The texts in streams whose bytes are given as escapes (or as characters of that number)."""
+    def byte(m):
+        n = int(m[3]) if m[3] else int(m[1] or m[2], 16) if m[1] or m[2] else -1
+        return SHORT.get(m[4], m[4]) if n < 0 else chr(n) if n < 256 else m[0]
+
+    if not MAGIC.search(RAW.sub(byte, layer)):
+        return
+    data, spans = _replaced(layer, where or [(i, i + 1) for i in range(len(layer))], [(m.start(), m.end(), new) for m in RAW.finditer(layer) if len(new := byte(m)) == 1])
+    for m in MAGIC.finditer(data):
+        body = data[m.start() : LATIN.match(data, m.start()).end()].encode("latin-1")
+        rest, given = [], 0
+
+        def counted(body=body):
+            nonlocal given
+            for part in _cut(body):
+                given += len(part)
+                yield part
+
+        for _ in _unpacked(counted(), rest):
+            pass
+        end = given - rest[0] if rest else len(body)
+        while not rest and end > 1 and spans[m.start() + end - 1][1] - spans[m.start() + end - 1][0] == 1:
+            end -= 1  # a stream that breaks off ends with its last escape
+        if (stream := _peeled(_cut(body[:end]))) is not None:
+            span = (spans[m.start()][0], spans[m.start() + end - 1][1])
+            for text in _texts(stream):
+                yield text, [span] * len(text)
 
 
 def _inner(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
@@ -236,6 +307,8 @@ def _inner(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[st
     for edits in (_percent(layer) if "%" in layer else [], _codes(layer) if "\\" in layer or "&#" in layer else [], [] if layer.isascii() else _compatible(layer)):
         if edits:
             yield _replaced(layer, where or [(i, i + 1) for i in range(len(layer))], edits)
+    if "%" in layer or "\\" in layer or "&#" in layer:
+        yield from _raw(layer, where)
     yield from _hidden(layer, where)
 
 

@@ -274,6 +274,36 @@ def test_streams_are_read_to_their_end(pack, monkeypatch):
     assert kinds(pack(b"ab, " * 300 + base64.b64encode(pack(b"q" * 3000 + secret)) + b" ok" * 400)) == {0, 1}
 
 
+PACKS = [lambda b: b, gzip.compress, zlib.compress, bz2.compress, lzma.compress]
+
+
+@pytest.mark.parametrize("pack", PACKS)
+@pytest.mark.parametrize("shape", ["{}", "com/{}", "session-{}", "key_{}", "a{}", "ab+{}/tail", "{}x", "{}\nThanks for all", "see certificate\n{}\n\nend"])
+@pytest.mark.parametrize("width", [None, 64, 76])
+def test_base64_in_lines_and_amid_its_alphabet(pack, shape, width):
+    rng = random.Random(11)
+    words = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    for k in range(4):
+        b64 = base64.b64encode(pack(f"{words[: 40 + k]} {SECRET} {words}".encode())).decode().rstrip("=")
+        for br in ("\n", "\r\n", "\n  ") if width else ("",):
+            hidden = shape.format(br.join(b64[i : i + (width or len(b64))] for i in range(0, len(b64), width or len(b64))))
+            text = f"ça {hidden} fin"
+            every = secretscan.find(text)[1]
+            assert {kind for _, kind, _ in every} >= {0, 1}
+            assert all(3 <= a < b <= 3 + len(hidden) for a, _, b in every)
+
+
+@pytest.mark.parametrize("pack", PACKS[1:])
+def test_streams_as_escapes(pack):
+    for k in range(8):
+        raw = pack(f"{'lorem ' * k}{SECRET}".encode())
+        for hidden in ("".join(f"%{b:02X}" for b in raw), urllib.parse.quote_from_bytes(raw, safe=""), "".join(f"\\x{b:02x}" for b in raw), repr(raw)[2:-1], "".join(f"&#{b};" for b in raw), "".join(f"\\u{b:04x}" for b in raw)):
+            text = f"ça {hidden} fin de la page"
+            every = secretscan.find(text)[1]
+            assert {kind for a, kind, b in every if (a, b) == (3, 3 + len(hidden))} >= {0, 1}
+            assert all(3 <= a < b <= 3 + len(hidden) for a, _, b in every)  # xz may hold bytes as they are
+
+
 def test_large_stream_in_bounded_memory():
     import resource
 
