@@ -72,6 +72,12 @@ def signed_factor(df: DataFrame, c: str, r=RANK) -> DataFrame:
     return df.withColumn(c, each(r, lambda k: F.col(c)[k] - 0.5))
 
 
+def sizes(s, d) -> MatrixMeta:
+    """Numbers of rows and columns: the largest ids of the tables and 1."""
+    top = lambda name, key: table(s, d, name).agg(F.max(key)).first()[0]
+    return MatrixMeta(top("supplier", "s_suppkey") + 1, top("part", "p_partkey") + 1)
+
+
 def problem_parts(s, d, r=RANK, plus=0):
     return matrix(s, d), row_factor(s, d, r, plus), column_factor(s, d, r, plus)
 
@@ -553,6 +559,28 @@ def io_factor(s, d):
     return long(M.read_factor(s, path, "w"), "i", "w")
 
 
+@query("io_array_whole")
+def io_array_whole(s, d):
+    """The whole matrix in dense form; no SQL, as it has every cell."""
+    path = _path(s, "whole.mma")
+    M.write_matrix(matrix(s, d), sizes(s, d), path)
+    return M.read_matrix(s, path)[0]
+
+
+@query("io_factor_rows", f"WITH {wl()} SELECT a.range AS i, CAST(b.range AS INTEGER) AS k, coalesce(w, 0) AS value FROM range((SELECT max(s_suppkey) + 1 FROM supplier)) a CROSS JOIN range({RANK}) b LEFT JOIN wl ON wl.i = a.range AND wl.k = b.range")
+def io_factor_rows(s, d):
+    path = _path(s, "w.mma")
+    M.write_matrix(long(row_factor(s, d), "i", "w").select("i", F.col("k").cast("long").alias("j"), F.col("value").alias("x")), MatrixMeta(sizes(s, d).size1, RANK), path)
+    return long(M.read_factor(s, path, "w"), "i", "w")
+
+
+@query("io_factor_columns", f"WITH {hl()} SELECT a.range AS j, CAST(b.range AS INTEGER) AS k, coalesce(h, 0) AS value FROM range((SELECT max(p_partkey) + 1 FROM part)) a CROSS JOIN range({RANK}) b LEFT JOIN hl ON hl.j = a.range AND hl.k = b.range")
+def io_factor_columns(s, d):
+    path = _path(s, "h.mma")
+    M.write_matrix(long(column_factor(s, d), "j", "h").select(F.col("k").cast("long").alias("i"), "j", F.col("value").alias("x")), MatrixMeta(RANK, sizes(s, d).size2), path)
+    return long(M.read_factor(s, path, "h"), "j", "h")
+
+
 @query("io_csv_to_parquet", f"WITH {V} SELECT i, j, x FROM v")
 def io_csv_to_parquet(s, d):
     one, two = _path(s, "m.csv"), _path(s, "m.parquet")

@@ -44,6 +44,24 @@ def test_others_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """Tables of more rows and columns than sf0.001, with values that tell their cell."""
+    d = str(tmp_path_factory.mktemp("wide"))
+    spark.range(45).selectExpr("id as s_suppkey").write.parquet(f"{d}/supplier.parquet")
+    spark.range(700).selectExpr("id as p_partkey").write.parquet(f"{d}/part.parquet")
+    spark.range(45 * 700).selectExpr("id div 700 as l_suppkey", "id % 700 as l_partkey", "cast(id + 1 as double) as l_quantity").filter("l_quantity % 3 > 0").write.parquet(f"{d}/lineitem.parquet")
+    return d
+
+
+def test_dense_forms_are_whole(spark, wide):
+    got = {(r.i, r.j): r.x for r in catalogue.QUERIES["io_array_whole"](spark, wide).collect()}
+    assert got == {(i, j): float(i * 700 + j + 1) if (i * 700 + j + 1) % 3 else 0.0 for i in range(45) for j in range(700)}
+    for name, key, size, a, b in (("io_factor_rows", "i", 45, 7, 13), ("io_factor_columns", "j", 700, 5, 11)):
+        got = {(r[key], r.k): r.value for r in catalogue.QUERIES[name](spark, wide).collect()}
+        assert got == {(i, k): (a * i + b * k) % 16 / 16 for i in range(size) for k in range(catalogue.RANK)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
