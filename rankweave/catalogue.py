@@ -247,6 +247,11 @@ query("csgd_block_ids", f"WITH {V} SELECT i, j, x, least(i // 14, 6) AS b1, leas
 query("split_indexes", "SELECT p_partkey AS j, p_partkey // 13 AS block, p_partkey % 13 AS offset FROM part WHERE p_partkey < 78")(
     lambda s, d: P.split_indexes(column_factor(s, d).filter("j < 78"), "j", Blocking(78, 6))
 )
+query("split_indexes_whole", """WITH p AS (SELECT p_partkey AS j FROM part), n AS (SELECT (max(j) + 1) // 6 AS least, (max(j) + 1) % 6 AS over FROM p),
+    b AS (SELECT j, least, over, CASE WHEN j < over * (least + 1) THEN j // (least + 1) ELSE over + (j - over * (least + 1)) // least END AS block FROM p, n)
+    SELECT j, block, j - block * least - least(block, over) AS offset FROM b""")(
+    lambda s, d: P.split_indexes(column_factor(s, d), "j", Blocking(sizes(s, d).size2, 6))
+)
 query("copy_by_columns", f"WITH {V} SELECT i, j, x FROM v")(lambda s, d: P.by_columns(matrix(s, d)))
 query("apply_expression", f"WITH {V} SELECT i, j, CASE WHEN i >= 2 AND i < 8 THEN x * 2 + 1 ELSE x END AS x FROM v")(lambda s, d: P.mapped(matrix(s, d), "x * 2 + 1", rows=(2, 8)))
 
@@ -662,7 +667,7 @@ query("auto_decay_fit")(fitted(method="dsgd", update="Nzsl", loss="Nzsl", decay=
 query("generate_sparse")(lambda s, d: G.sparse(s, G.RandomMatrix(1000, 800, 5000)))
 query("generate_problem")(lambda s, d: G.problem(s, G.RandomMatrix(500, 400, 4000, 400, 5))[0].v)
 query("generate_poisson")(lambda s, d: P.poisson(G.sparse(s, G.RandomMatrix(300, 200, 2000), "Uniform(0,5)"), 3))
-query("random_submatrix")(lambda s, d: P.random_submatrix(matrix(s, d), MatrixMeta(10, 200), 5, 100).data)
+query("random_submatrix")(lambda s, d: P.random_submatrix(matrix(s, d), sizes(s, d), 5, 100).data)
 query("shuffle_rows")(lambda s, d: P.permuted(G.factor(s, 500, 4, "Normal(0,1)", 1), "i", P.permutation(500, s, 2)))
 
 

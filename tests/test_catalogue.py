@@ -62,6 +62,13 @@ def test_dense_forms_are_whole(spark, wide):
         assert got == {(i, k): (a * i + b * k) % 16 / 16 for i in range(size) for k in range(catalogue.RANK)}
 
 
+def test_splits_and_draws_cover_the_tables(spark, wide):
+    got = {r.j: (r.block, r.offset) for r in catalogue.QUERIES["split_indexes_whole"](spark, wide).collect()}
+    assert got == {j: (b, o) for b, ids in enumerate([range(a, a + n) for a, n in zip((0, 117, 234, 351, 468, 584), (117, 117, 117, 117, 116, 116))]) for o, j in enumerate(ids)}
+    cells = [int(r.x) - 1 for r in catalogue.QUERIES["random_submatrix"](spark, wide).collect()]
+    assert any(c // 700 >= 10 for c in cells) and any(c % 700 >= 200 for c in cells)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
