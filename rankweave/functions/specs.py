@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from . import draws
+
 _SPEC = re.compile(r"\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?:\(([^()]*)\))?\s*$")
 
 
@@ -37,10 +39,9 @@ class Distribution:
             raise ValueError(f"unknown distribution {text!r}")
         return cls(s.name.lower(), *s.args)
 
-    def column(self, seed: int):
-        from pyspark.sql import functions as F
-
-        return F.randn(seed) * self.b + self.a if self.name == "normal" else F.rand(seed) * (self.b - self.a) + self.a
+    def column(self, seed: int, *keys):
+        """A draw for each row that depends on the seed and the key columns alone."""
+        return draws.normal(seed, *keys) * self.b + self.a if self.name == "normal" else draws.uniform(seed, *keys) * (self.b - self.a) + self.a
 
     def draw(self, rng, n):
         return rng.normal(self.a, self.b, n) if self.name == "normal" else rng.uniform(self.a, self.b, n)

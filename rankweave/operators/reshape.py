@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import draws
 from ..model import Blocking, MatrixMeta, Projected
 from ..plans.store import Tables
+from ..session import ship
 from . import aggregate as A
 
 
@@ -47,7 +51,7 @@ def random_submatrix(v: DataFrame, meta: MatrixMeta, n1: int, n2: int | None = N
     def draw(size, n, seed):
         if n > size:
             raise ValueError(f"cannot draw {n} of {size}")
-        return renumbered(spark.range(size).select(F.col("id").alias("old")).orderBy(F.rand(seed), "old").limit(n), "old")
+        return renumbered(permutation(size, spark, seed).filter(F.col("new") < n), "old")
 
     n2 = n1 if n2 is None else n2
     return submatrix(v, draw(meta.size1, n1, seed), draw(meta.size2, n2, seed + 1))._replace(meta=MatrixMeta(n1, n2))
@@ -72,15 +76,19 @@ def compose(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def core(v: DataFrame, threshold: int, write) -> Projected:
-    """:func:`frequent` until nothing goes.  ``write`` stores a table and returns it as read back, which cuts the lineage of every round."""
-    data, n = write(v.select("i", "j", "x")), None
+    """:func:`frequent` until nothing goes.  ``write`` stores a table and returns it as read back, which cuts the lineage of every round.
+
+    A round counts both axes in one pass over grouping sets and drops by the rare indexes, which
+    are few in all rounds but the first; it ends when there are none.
+    """
+    data = write(v.select("i", "j", "x"))
     while True:
-        now = data.count()
-        if now == n:
+        counts = data.groupingSets([["i"], ["j"]], "i", "j").agg(F.count("*").alias("nnz"), F.grouping("i").alias("of_j"))
+        rare = write(counts.filter(F.col("nnz") <= threshold).select(F.when(F.col("of_j") == 0, F.col("i")).alias("ri"), F.when(F.col("of_j") == 1, F.col("j")).alias("rj")))
+        if rare.isEmpty():
             break
-        n = now
-        keep = [A.nnz_of(data, axis).filter(F.col("nnz") > threshold).select(axis) for axis in ("i", "j")]
-        data = write(data.join(keep[0], "i", "left_semi").join(keep[1], "j", "left_semi").select("i", "j", "x"))
+        lost_i, lost_j = rare.filter("ri is not null").select(F.col("ri").alias("i")), rare.filter("rj is not null").select(F.col("rj").alias("j"))
+        data = write(data.join(lost_i, "i", "left_anti").join(lost_j, "j", "left_anti").select("i", "j", "x"))
     return submatrix(data, renumbered(data, "i"), renumbered(data, "j"))
 
 
@@ -112,6 +120,15 @@ def with_blocks(v: DataFrame, rows: Blocking, cols: Blocking) -> DataFrame:
     return v.withColumns({"b1": rows.block(F.col("i")), "b2": cols.block(F.col("j"))})
 
 
+def per_block(v: DataFrame, rows: Blocking, cols: Blocking, f, schema: str) -> DataFrame:
+    """``f(b1, b2, entries)`` on the entries (i, j, x, an Arrow table) of each block, one task a block; ``schema`` is that of the tables it returns."""
+
+    def run(key, own):
+        return f(key[0].as_py(), key[1].as_py(), own.select(["i", "j", "x"]))
+
+    return with_blocks(v.select("i", "j", "x"), rows, cols).groupBy("b1", "b2").applyInArrow(run, schema)
+
+
 def square_blocks(v: DataFrame, meta: MatrixMeta, blocks: int) -> DataFrame:
     """Entries with b1 and b2 of a blocks x blocks grid whose last blocks take what is over."""
     f = lambda index, size: F.least(F.floor(F.col(index) / max(1, size // blocks)), F.lit(blocks - 1)).cast("long")
@@ -119,8 +136,8 @@ def square_blocks(v: DataFrame, meta: MatrixMeta, blocks: int) -> DataFrame:
 
 
 def permutation(size: int, spark, seed: int) -> DataFrame:
-    """(old, new): a random permutation."""
-    return _ranked(spark.range(size).select(F.col("id").alias("old"), F.rand(seed).alias("r0")), "r0").select("old", "new")
+    """(old, new): a random permutation, the same for a seed whatever the cluster."""
+    return _ranked(spark.range(size).select(F.col("id").alias("old"), draws.uniform(seed, F.col("id")).alias("r0")), "r0").select("old", "new")
 
 
 def permuted(factor: DataFrame, index: str, perm: DataFrame) -> DataFrame:
@@ -147,18 +164,18 @@ def centred(train: DataFrame, other: DataFrame | None = None) -> DataFrame:
 
 
 def noisy(v: DataFrame, distribution, seed: int) -> DataFrame:
-    """Values plus noise of a distribution."""
-    return v.withColumn("x", F.col("x") + distribution.column(seed))
+    """Values plus noise of a distribution, drawn for each cell."""
+    return v.withColumn("x", F.col("x") + distribution.column(seed, F.col("i"), F.col("j")))
 
 
 def poisson(v: DataFrame, seed: int) -> DataFrame:
-    """Values replaced by Poisson draws of that mean, each from its own cell's seed."""
+    """Values replaced by Poisson draws of that mean, one for each seed and cell; null and negative values become 0."""
+    ship(v.sparkSession)
 
     def run(batches):
-        import numpy as np
-
-        for pdf in batches:
-            pdf["x"] = [float(np.random.default_rng([seed, i, j]).poisson(x)) for i, j, x in zip(pdf.i, pdf.j, pdf.x)]
-            yield pdf
+        for batch in batches:
+            i, j, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "x"))
+            drawn = draws.poisson_array(np.where(x > 0, x, 0.0), seed, i, j)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(drawn)], names=["i", "j", "x"])
 
-    return v.select("i", "j", "x").mapInPandas(run, "i long, j long, x double")
+    return v.select("i", "j", "x").mapInArrow(run, "i long, j long, x double")

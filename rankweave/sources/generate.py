@@ -1,4 +1,8 @@
-"""Random matrices, factors and problems; every chunk of rows has a seed of its own, so results do not depend on the cluster."""
+"""Random matrices, factors and problems.
+
+Cells are drawn by chunks of rows with seeds of their own; values and noise are drawn from
+(seed, row, column) and factors from (seed, index, component): results do not depend on the cluster.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.specs import Distribution
-from ..functions.vectors import dot
+from ..functions.vectors import dot, each
 from ..model import MatrixMeta, Problem, Projected
-from ..operators.reshape import frequent, random_submatrix
+from ..operators.reshape import frequent, noisy, random_submatrix
 from ..session import ship
 
 
@@ -58,17 +62,9 @@ class RandomMatrix:
 
 
 def factor(spark: SparkSession, size: int, rank: int, distribution: str, seed: int, index: str = "i", vector: str = "w") -> DataFrame:
-    """A random factor (index, vector), i.i.d. entries; each row draws from a seed of its own."""
+    """A random factor (index, vector) with i.i.d. entries."""
     d = Distribution.parse(distribution)
-    ship(spark)
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            x = np.concatenate([d.draw(np.random.default_rng([seed, int(i)]), rank) for i in ids]) if len(ids) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * rank), pa.array(x))], names=[index, vector])
-
-    return spark.range(size).mapInArrow(run, f"{index} long, {vector} array<double>")
+    return spark.range(size).select(F.col("id").alias(index), each(rank, lambda k: d.column(seed, F.col("id"), F.lit(k))).alias(vector))
 
 
 def cells(spark: SparkSession, m: RandomMatrix, nnz: int, salt: int) -> DataFrame:
@@ -90,7 +86,7 @@ def cells(spark: SparkSession, m: RandomMatrix, nnz: int, salt: int) -> DataFram
 
 def sparse(spark: SparkSession, m: RandomMatrix, distribution: str | None = None) -> DataFrame:
     """V(i, j, x) with i.i.d. values."""
-    return cells(spark, m, m.nnz, 0).withColumn("x", Distribution.parse(distribution or m.values).column(m.seed))
+    return cells(spark, m, m.nnz, 0).withColumn("x", Distribution.parse(distribution or m.values).column(m.seed, F.col("i"), F.col("j")))
 
 
 def from_factors(at: DataFrame, w: DataFrame, h: DataFrame, rank: int) -> DataFrame:
@@ -101,7 +97,7 @@ def from_factors(at: DataFrame, w: DataFrame, h: DataFrame, rank: int) -> DataFr
 def problem(spark: SparkSession, m: RandomMatrix, initial: str = "Uniform(-0.5,0.5)") -> tuple[Problem, DataFrame, DataFrame]:
     """Training data with noise, test data without, starting factors; and the planted factors."""
     w, h = factor(spark, m.size1, m.rank, m.values, m.seed + 1), factor(spark, m.size2, m.rank, m.values, m.seed + 2, "j", "h")
-    train = from_factors(cells(spark, m, m.nnz, 0), w, h, m.rank).withColumn("x", F.col("x") + Distribution.parse(m.noise).column(m.seed + 3))
+    train = noisy(from_factors(cells(spark, m, m.nnz, 0), w, h, m.rank), Distribution.parse(m.noise), m.seed + 3)
     test = from_factors(cells(spark, m, m.nnz_test, 1), w, h, m.rank) if m.nnz_test else None
     w0, h0 = factor(spark, m.size1, m.rank, initial, m.seed + 4), factor(spark, m.size2, m.rank, initial, m.seed + 5, "j", "h")
     return Problem(train, w0, h0, MatrixMeta(m.size1, m.size2), m.rank, test), w, h
