@@ -114,6 +114,11 @@ def bold_driver_steps(trace: DataFrame, eps: float, shrink: float = 0.5, grow: f
     return steps.select("epoch", "loss", (eps * F.pow(F.lit(shrink), F.sum("d").over(run)) * F.pow(F.lit(grow), F.sum("u").over(run))).alias("eps"))
 
 
+def constant_steps(epochs: DataFrame, eps: float) -> DataFrame:
+    """(epoch, eps) of the constant step."""
+    return epochs.select("epoch", F.lit(float(eps)).alias("eps"))
+
+
 def sequential_steps(epochs: DataFrame, eps0: float, alpha: float = 1.0, a: float = 0.0) -> DataFrame:
     """(epoch, eps) of the sequential decay."""
     return epochs.select("epoch", (F.lit(eps0) * F.pow(F.lit(1 + a), F.lit(alpha)) / F.pow(F.col("epoch") + 1 + a, F.lit(alpha))).alias("eps"))

@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decay as D
+from ..functions import draws
 from ..functions.specs import parse
 from ..model import Problem
 from ..operators import loss as L
 from ..operators import regularize as R
 from ..operators.balance import balanced
-from . import als, multiplicative, sgd
+from . import als, kernels, local, multiplicative, sgd
 from .store import Tables
 
-METHODS = ("sgd", "psgd", "csgd", "dsgd", "dsgdpp", "asgd", "als", "gnmf", "lee")
+METHODS = ("sgd", "psgd", "csgd", "dsgd", "overlapped", "asgd", "als", "gnmf", "lee")
 #: Combinations of update, regularizer and loss that descend the loss they report.
 VALID = {
     ("Nzsl", "None", "Nzsl"), ("Nzsl_L2", "None", "Nzsl_L2"), ("Nzsl_Nzl2", "None", "Nzsl_Nzl2"), ("Nzsl_L1", "None", "Nzsl_L1"),
@@ -29,7 +30,12 @@ VALID = {
 
 @dataclass(frozen=True)
 class Spec:
-    """What to run.  ``blocks`` is the number of strata, whatever the cluster; only ``psgd`` and ``csgd`` names differ from ``dsgd``."""
+    """What to run.
+
+    ``blocks`` is the number of strata, whatever the cluster.  ``psgd`` is ``dsgd`` by another name (its
+    threads become strata), ``csgd`` visits each stratum by squares that fit ``cache_kb`` of cache,
+    ``overlapped`` has twice as many column blocks as row blocks.
+    """
 
     method: str = "dsgd"
     update: str = "Nzsl"
@@ -48,7 +54,7 @@ class Spec:
     max_norm: float | None = None
     average: bool = False
     seed: int = 1
-    extra: dict = field(default_factory=dict)
+    cache_kb: float = 256
 
     def checked(self) -> Spec:
         if self.method not in METHODS:
@@ -61,8 +67,8 @@ class Spec:
         triple = (parse(self.update).name, parse(self.regularize).name, parse(self.loss).name)
         if triple not in VALID:
             raise ValueError(f"update, regularizer and loss do not fit: {triple}")
-        if self.method == "dsgdpp" and triple[1] != "None":
-            raise ValueError("dsgdpp has no separate regularizer")
+        if self.method == "overlapped" and triple[1] != "None":
+            raise ValueError("the overlapped schedule has no separate regularizer")
         return self
 
 
@@ -129,11 +135,14 @@ def factorize(problem: Problem, spec: Spec) -> Result:
     if not alternating:
         u = parse(spec.update)
         args = u.args if u.name != "Biased" else (u.args + (0.0,) * 4)[:4]
-        rule = sgd.Rule(u.name, args, spec.order, spec.abs_, spec.truncate, spec.max_norm)
         d = 1 if spec.method == "sgd" else spec.blocks
-        stratified = sgd.Stratified(problem, rule, d, 2 * d if spec.method == "dsgdpp" else d, tables)
-        regularizer = regularizer_of(spec.regularize)
-        policy = D.parse_decay(spec.decay, trial=_trials(problem, rule, spec))
+        regularizer, r = regularizer_of(spec.regularize), parse(spec.regularize)
+        inside = spec.method != "asgd" and regularizer.per_stratum
+        cells = max(1, kernels.cache_blocks(problem.meta.size1, problem.meta.size2, problem.v.count(), rank, spec.cache_kb) // d) if spec.method == "csgd" else 1
+        rule = sgd.Rule(u.name, args, spec.order, spec.abs_, spec.truncate, spec.max_norm, (r.name, r.args) if inside else ("None", ()), cells)
+        stratified = sgd.Stratified(problem, rule, d, 2 * d if spec.method == "overlapped" else d, tables)
+        trials = Trials(problem, rule, spec)
+        policy = D.parse_decay(spec.decay, trial=trials)
     for epoch in range(1, spec.epochs + 1):
         t, eps = time.time(), float("nan")
         if alternating:
@@ -146,13 +155,14 @@ def factorize(problem: Problem, spec: Spec) -> Result:
                 new = (multiplicative.gnmf_step if spec.method == "gnmf" else multiplicative.kl_step)(problem.v, w, h, rank, side)
             w, h = (tables.put(new), h) if side == "w" else (w, tables.put(new))
         else:
+            trials.factors = w, h
             eps = policy.next(epoch - 1, previous, current)
             if spec.method == "asgd":
                 sgd.asynchronous_round(stratified, eps, (spec.seed, epoch), spec.average)
             else:
                 stratified.epoch(epoch, eps, spec.seed, spec.strata, spec.group)
             w, h = stratified.w(), stratified.h()
-            if regularizer.name != "None":
+            if regularizer.name != "None" and not inside:
                 w, h = (tables.put(x) for x in regularizer.apply(problem.v, w, h, rank, eps))
                 stratified.set_factors(w, h)
         if spec.balance.upper() != "NONE":
@@ -165,31 +175,56 @@ def factorize(problem: Problem, spec: Spec) -> Result:
     return Result(w, h, trace)
 
 
-def _trials(problem: Problem, rule: sgd.Rule, spec: Spec, most: int = 50_000):
-    """Losses after one epoch on a bounded sample of entries, for each of a list of step sizes; one job for all."""
-
-    def trial(ladder: list[float]) -> list[float]:
-        spark, rank = problem.v.sparkSession, problem.rank
-        total = problem.v.count()
-        sample = problem.v.sample(min(1.0, most / max(total, 1)), spec.seed).limit(most)
-        whole = sample.join(problem.w, "i").join(problem.h, "j").join(F.broadcast(spark.createDataFrame([(k, float(e)) for k, e in enumerate(ladder)], "trial long, eps double")))
+class Trials:
+    """Losses after one epoch on a sample, for each of a list of step sizes.
 
-        def run(pdf):
-            from . import kernels
-
-            i, wi = np.unique(pdf.i.to_numpy(), return_inverse=True)
-            j, hj = np.unique(pdf.j.to_numpy(), return_inverse=True)
-            w, h = np.empty((len(i), rank)), np.empty((len(j), rank))
-            w[wi], h[hj] = np.stack(pdf.w.to_numpy()), np.stack(pdf.h.to_numpy())
-            x = pdf.x.to_numpy()
-            n1, n2 = np.bincount(wi).astype(float), np.bincount(hj).astype(float)
-            with np.errstate(all="ignore"):
-                kernels.epoch(rule.kind, rule.args, wi, hj, x, w, h, float(pdf.eps.iloc[0]), np.random.default_rng(spec.seed), n1, n2, rule.order, rule.abs_, rule.truncate, rule.max_norm)
-                e = x - (w[wi] * h[hj]).sum(axis=1)
-                loss = float((e * e).sum())
-            return pdf.iloc[:1][["trial"]].assign(loss=loss if np.isfinite(loss) else float("nan"))
-
-        found = {r.trial: r.loss for r in whole.groupBy("trial").applyInPandas(run, "trial long, loss double").collect()}
-        return [found.get(k, float("nan")) for k in range(len(ladder))]
+    The sample is a random submatrix: all entries in rows and columns drawn at one rate, so that
+    there are about ``most`` entries and at most about ``most_rows`` rows and columns, with the factors of
+    those rows and columns as they are when a search begins.  It goes to the driver and from there
+    to one task a step size; each runs the spec's update and regularizer once and its loss.
+    """
 
-    return trial
+    def __init__(self, problem: Problem, rule: sgd.Rule, spec: Spec, most: int = 50_000, most_rows: int = 20_000):
+        self.problem, self.rule, self.spec, self.most, self.most_rows, self.factors, self.entries = problem, rule, spec, most, most_rows, (problem.w, problem.h), None
+
+    def _drawn(self, index: str, rate: float):
+        return draws.uniform(self.spec.seed, F.lit(index), F.col(index)) < rate
+
+    def _sample(self) -> tuple[np.ndarray, ...]:
+        meta, total = self.problem.meta, max(1, self.problem.v.count())
+        rate = min(1.0, (self.most / total) ** 0.5, self.most_rows / max(meta.size1, meta.size2))
+        while True:
+            v = self.problem.v.filter(self._drawn("i", rate) & self._drawn("j", rate))
+            n = v.count()
+            if n <= 2 * self.most:
+                return rate, v.orderBy("i", "j").toPandas()
+            rate *= (self.most / n) ** 0.5
+
+    def __call__(self, ladder: list[float]) -> list[float]:
+        spark, rule, spec = self.problem.v.sparkSession, self.rule, self.spec
+        if self.entries is None:
+            self.entries = self._sample()
+        rate, v = self.entries
+        w, h = (f.filter(self._drawn(c, rate)).orderBy(c).toPandas() for f, c in zip(self.factors, ("i", "j")))
+        i, j, x = np.searchsorted(w.i.to_numpy(), v.i.to_numpy()), np.searchsorted(h.j.to_numpy(), v.j.to_numpy()), v.x.to_numpy(float)
+        stack = lambda c: np.stack(c.to_numpy()) if len(c) else np.zeros((0, self.problem.rank))
+        shared = spark.sparkContext.broadcast((i, j, x, stack(w.w), stack(h.h)))  # bounded by ``most`` and ``most_rows``
+
+        def run(frames):
+            i, j, x, w, h = shared.value
+            n1, n2 = np.bincount(i, minlength=len(w)), np.bincount(j, minlength=len(h))
+            for frame in frames:
+                yield frame[["trial"]].assign(loss=[trial_loss(rule, spec, i, j, x, w, h, n1, n2, eps) for eps in frame.eps])
+
+        todo = spark.createDataFrame([(k, float(e)) for k, e in enumerate(ladder)], "trial long, eps double").repartition(len(ladder))
+        found = {r.trial: float("nan") if r.loss is None else r.loss for r in todo.mapInPandas(run, "trial long, loss double").collect()}
+        return [found[k] for k in range(len(ladder))]
+
+
+def trial_loss(rule: sgd.Rule, spec: Spec, i, j, x, w, h, n1, n2, eps: float) -> float:
+    """The spec's loss after one update pass and one regularization step from ``w`` and ``h``."""
+    w, h, s, r = w.copy(), h.copy(), parse(spec.loss), parse(spec.regularize)
+    with np.errstate(all="ignore"):
+        kernels.epoch(rule.kind, rule.args, i, j, x, w, h, eps, np.random.default_rng(spec.seed), np.maximum(n1, 1), np.maximum(n2, 1), rule.order, rule.abs_, rule.truncate, rule.max_norm)
+        w, h = local.regularize(r.name, r.args, w, h, eps, n1, n2, max(n1.max(initial=0), n2.max(initial=0), 1))
+        return local.loss(s.name, s.args, i, j, x, w, h, n1, n2)

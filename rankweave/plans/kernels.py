@@ -1,9 +1,9 @@
 """Stochastic gradient descent inside one block, on NumPy arrays.
 
-Steps on entries that share no row and no column commute.  Entries in random order are ranked
-within their row and within their column, and entries of one pair of ranks never share either;
-each pair is one vectorised step.  That is a sequential pass in an order that is random as
-well.  ``sequential=True`` keeps the storage order, one entry at a time.
+Steps on entries that share no row and no column commute.  In any sequence of entries, the depth of
+an entry is one more than that of the last entry before it in its row or column; entries of one
+depth never share either, and depth by depth the steps give what the sequence gives, one
+vectorised step a depth.
 """
 
 from __future__ import annotations
@@ -11,23 +11,24 @@ from __future__ import annotations
 import numpy as np
 
 
-def within_rank(key: np.ndarray) -> np.ndarray:
-    """Place of each element among those of its key, in the given order."""
-    order = np.argsort(key, kind="stable")
-    own = key[order]
-    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    out = np.empty(len(key), np.int64)
-    out[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
-    return out
+def batches(i: np.ndarray, j: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+    """Index arrays without a common row or column inside; one after another they are the sequence ``order``."""
+    row, col = [0] * (int(i.max(initial=-1)) + 1), [0] * (int(j.max(initial=-1)) + 1)
+    depth = []
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        x, y = row[a], col[b]
+        x = x if x > y else y
+        depth.append(x)
+        row[a] = col[b] = x + 1
+    depth = np.array(depth, np.int64)
+    by = np.argsort(depth, kind="stable")
+    return np.split(order[by], np.flatnonzero(np.diff(depth[by])) + 1) if len(by) else []
 
 
-def batches(i: np.ndarray, j: np.ndarray, order: np.ndarray):
-    """Index arrays without a common row or column inside, in random order of the batches."""
-    a, b = within_rank(i[order]), within_rank(j[order])
-    key = a * (int(b.max(initial=0)) + 1) + b
-    by = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(key[by]) != 0))
-    return [order[by[x:y]] for x, y in zip(cuts, np.append(cuts[1:], len(by)))]
+def cache_blocks(size1: int, size2: int, nnz: int, rank: int, cache_kb: float) -> int:
+    """Blocks a side so that the entries (three numbers each) and factor rows of a block fill the cache: the root of ``cache * b**2 = (size1 + size2) * rank * 8 * b + nnz * 24``."""
+    cache, factors = cache_kb * 1024, (size1 + size2) * rank * 8
+    return max(1, int((factors + (factors**2 + 4 * cache * nnz * 24) ** 0.5) / (2 * cache)))
 
 
 def step(kind: str, args: tuple, x, w, h, eps, n1=None, n2=None):
@@ -72,19 +73,27 @@ def finish(v: np.ndarray, abs_: bool, truncate: tuple | None, max_norm: float |
     return v
 
 
-def epoch(kind, args, i, j, x, w, h, eps, rng, n1=None, n2=None, order="WOR", abs_=False, truncate=None, max_norm=None) -> None:
-    """One pass over the entries, changing w and h in place.  ``order``: SEQ, WOR (random permutation) or WR (draws with replacement)."""
+def epoch(kind, args, i, j, x, w, h, eps, rng, n1=None, n2=None, order="WOR", abs_=False, truncate=None, max_norm=None, cells: int = 1) -> None:
+    """One pass over the entries, changing w and h in place.
+
+    ``order``: SEQ (as stored), WOR (random permutation) or WR (draws with replacement).  With
+    ``cells`` > 1, WOR visits the squares of a cells x cells grid in random order, and the
+    entries of a square in random order.
+    """
     if not len(x):
         return
     if order == "SEQ":
-        parts = [np.array([k]) for k in range(len(x))]
+        sequence = np.arange(len(x))
     elif order == "WR":
-        parts = batches(i, j, rng.integers(0, len(x), len(x)))
+        sequence = rng.integers(0, len(x), len(x))
     elif order == "WOR":
-        parts = batches(i, j, rng.permutation(len(x)))
+        sequence = rng.permutation(len(x))
+        if cells > 1:
+            square = rng.permutation(cells * cells)[i * cells // len(w) * cells + j * cells // len(h)]
+            sequence = sequence[np.argsort(square[sequence], kind="stable")]
     else:
         raise ValueError(f"unknown order {order!r}: SEQ, WOR or WR")
-    for p in parts:
+    for p in batches(i, j, sequence):
         a, b = i[p], j[p]
         nw, nh = step(kind, args, x[p], w[a], h[b], eps, None if n1 is None else n1[a], None if n2 is None else n2[b])
         w[a], h[b] = finish(nw, abs_, truncate, max_norm), finish(nh, abs_, truncate, max_norm)

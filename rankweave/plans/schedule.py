@@ -47,3 +47,10 @@ def overlapped_schedule(d: int, rng: np.random.Generator) -> np.ndarray:
     out = np.empty((2 * d, d), int)
     out[0::2], out[1::2] = even[a], odd[b]
     return out
+
+
+def schedule_table(spark: SparkSession, order: str, d: int, seed: int = 1, group: int = 1) -> DataFrame:
+    """(sub_epoch, b1, b2) of any order, or of the overlapped schedule with its 2d column blocks."""
+    rng = np.random.default_rng(seed)
+    t = overlapped_schedule(d, rng) if order.upper() == "OVERLAPPED" else stratum_schedule(order, d, rng, group)
+    return spark.createDataFrame([(s, b1, int(b2)) for s, line in enumerate(t) for b1, b2 in enumerate(line)], "sub_epoch long, b1 long, b2 long")

@@ -9,7 +9,7 @@ Seeds are of (seed, epoch, b1, b2): results do not depend on the cluster.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +19,18 @@ from pyspark.sql import functions as F
 from ..model import Blocking, Problem
 from ..operators import aggregate as A
 from ..operators.reshape import with_blocks
-from . import kernels
+from . import kernels, local
 from .schedule import overlapped_schedule, stratum_schedule
 from .store import Tables
 
-FACTOR_SQL = "side string, b long, flat binary"
+FACTOR_SQL = "side string, b long, flat binary, n binary"
+#: Regularizers that act inside each stratum, on the blocks it touches, with a step divided by the number of strata.
+PER_STRATUM = ("L1", "L2", "Nzl2")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Update name and arguments, order of entries, and what each step ends with."""
+    """Update name and arguments, order of entries, what each step ends with, and the regularizer of each stratum (name and arguments)."""
 
     kind: str = "Nzsl"
     args: tuple = ()
@@ -36,17 +38,28 @@ class Rule:
     abs_: bool = False
     truncate: tuple | None = None
     max_norm: float | None = None
-    extra: dict = field(default_factory=dict)
+    regularizer: tuple[str, tuple] = ("None", ())
+    cells: int = 1
 
 
-def _to_blocks(df: DataFrame, index: str, vector: str, blocking: Blocking, side: str) -> DataFrame:
-    """(side, b, flat): the vectors of each block end to end, in index order."""
+def _table(rows: list[dict]) -> pa.Table:
+    kinds = {"side": pa.string(), "b": pa.int64(), "flat": pa.binary(), "n": pa.binary()}
+    return pa.table({c: pa.array([r[c] for r in rows], t) for c, t in kinds.items()})
+
+
+def _to_blocks(df: DataFrame, index: str, vector: str, blocking: Blocking, side: str, counts: DataFrame | None = None) -> DataFrame:
+    """(side, b, flat, n): the vectors of each block end to end, in index order, and their numbers of entries if wanted."""
+    df = df.select(index, vector)
+    if counts is not None:
+        df = df.join(counts, index, "left").withColumn("nnz", F.coalesce("nnz", F.lit(0)))
 
     def run(key, own):
         own = own.sort_by(index)
-        return pa.table({"side": [side], "b": pa.array([key[0].as_py()], pa.int64()), "flat": pa.array([own.column(vector).combine_chunks().flatten().to_numpy().astype(np.float64).tobytes()], pa.binary())})
+        flat = own.column(vector).combine_chunks().flatten().to_numpy().astype(np.float64).tobytes()
+        n = own.column("nnz").to_numpy().astype(np.int32).tobytes() if "nnz" in own.column_names else None
+        return _table([{"side": side, "b": key[0].as_py(), "flat": flat, "n": n}])
 
-    return df.select(blocking.block(F.col(index)).alias("b"), index, vector).groupBy("b").applyInArrow(run, FACTOR_SQL)
+    return df.withColumn("b", blocking.block(F.col(index))).groupBy("b").applyInArrow(run, FACTOR_SQL)
 
 
 def from_blocks(blocks: DataFrame, side: str, blocking: Blocking, rank: int, index: str, vector: str) -> DataFrame:
@@ -85,7 +98,9 @@ class Stratified:
             return pa.table({"b1": pa.array([b1], pa.int64()), "b2": pa.array([b2], pa.int64()), **{c: pa.array([a.tobytes()], pa.binary()) for c, a in flat.items()}})
 
         self.data = self.tables.put(v.groupBy("b1", "b2").applyInArrow(pack, "b1 long, b2 long, i binary, j binary, x binary, n1 binary, n2 binary"), by=("b1", "b2"))
-        self.factors = self.tables.put(_to_blocks(problem.w, "i", "w", self.rows, "w").union(_to_blocks(problem.h, "j", "h", self.cols, "h")))
+        weighted = rule.regularizer[0] == "Nzl2"
+        self.most = A.nnz_max(problem.v).first()[0] if weighted else 0
+        self.set_factors(problem.w, problem.h)
 
     def sub_epoch(self, factors: DataFrame, meets: np.ndarray, eps: float, seed: tuple) -> DataFrame:
         """New factors after row block b1 met column block ``meets[b1]``; other column blocks pass as they are.
@@ -93,7 +108,7 @@ class Stratified:
         Factor blocks are dealt to the row block they meet, and so is the one data block each needs:
         one exchange of factors, and over an epoch one of the data.
         """
-        rank, rule, d = self.problem.rank, self.rule, self.rows.blocks
+        rank, rule, d, most = self.problem.rank, self.rule, self.rows.blocks, self.most
         host = {int(b2): b1 for b1, b2 in enumerate(meets)}
         to = F.element_at(F.array(*(F.lit(host.get(b, b % d)) for b in range(self.cols.blocks))), (F.col("b") + 1).cast("int"))
         left = factors.withColumn("key", F.when(F.col("side") == "w", F.col("b")).otherwise(to).cast("long")).repartition(4 * d, "key")
@@ -102,19 +117,23 @@ class Stratified:
         right = mine.withColumnRenamed("b1", "key").repartition(4 * d, "key")
 
         def run(key, own, block):
-            rows = own.select(["side", "b", "flat"]).to_pylist()
+            rows = own.select(["side", "b", "flat", "n"]).to_pylist()
+            at, k = {(x["side"], x["b"]): x for x in rows}, key[0].as_py()
+            w, h = at["w", k], at["h", int(meets[k])]
+            wv, hv = (np.frombuffer(x["flat"]).reshape(-1, rank).copy() for x in (w, h))
             if block.num_rows:
                 r = block.to_pylist()[0]
-                at = {(x["side"], x["b"]): x for x in rows}
-                w, h = at["w", r["key"]], at["h", r["b2"]]
-                wv, hv = (np.frombuffer(x["flat"]).reshape(-1, rank).copy() for x in (w, h))
                 i, j, n1, n2 = (np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("i", "j", "n1", "n2"))
                 per_w, per_h = np.ones(len(wv)), np.ones(len(hv))
                 per_w[i], per_h[j] = n1, n2
                 rng = np.random.default_rng([*seed, r["key"], r["b2"]])
-                kernels.epoch(rule.kind, rule.args, i, j, np.frombuffer(r["x"]), wv, hv, eps, rng, per_w, per_h, rule.order, rule.abs_, rule.truncate, rule.max_norm)
-                w["flat"], h["flat"] = wv.tobytes(), hv.tobytes()
-            return pa.table({"side": pa.array([x["side"] for x in rows], pa.string()), "b": pa.array([x["b"] for x in rows], pa.int64()), "flat": pa.array([x["flat"] for x in rows], pa.binary())})
+                kernels.epoch(rule.kind, rule.args, i, j, np.frombuffer(r["x"]), wv, hv, eps, rng, per_w, per_h, rule.order, rule.abs_, rule.truncate, rule.max_norm, rule.cells)
+            name, args = rule.regularizer
+            if name in PER_STRATUM:
+                n = (np.frombuffer(x["n"], np.int32) if x["n"] is not None else None for x in (w, h))
+                wv, hv = local.regularize(name, args, wv, hv, eps / d, *n, most)
+            w["flat"], h["flat"] = wv.tobytes(), hv.tobytes()
+            return _table(rows)
 
         return left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(run, FACTOR_SQL)
 
@@ -128,7 +147,8 @@ class Stratified:
         self.factors = self.tables.put(factors)
 
     def set_factors(self, w: DataFrame, h: DataFrame) -> None:
-        self.factors = self.tables.put(_to_blocks(w, "i", "w", self.rows, "w").union(_to_blocks(h, "j", "h", self.cols, "h")))
+        counts = [A.nnz_of(self.problem.v, axis) if self.rule.regularizer[0] == "Nzl2" else None for axis in ("i", "j")]
+        self.factors = self.tables.put(_to_blocks(w, "i", "w", self.rows, "w", counts[0]).union(_to_blocks(h, "j", "h", self.cols, "h", counts[1])))
 
     def w(self) -> DataFrame:
         return from_blocks(self.factors, "w", self.rows, self.problem.rank, "i", "w")
@@ -153,7 +173,7 @@ def asynchronous_round(run: Stratified, eps: float, seed: tuple, average: bool =
     def one(key, own):
         rows = own.to_pylist()
         wv = next(np.frombuffer(r["fw"]).reshape(-1, rank).copy() for r in rows if r["b2"] < 0)
-        out = {"side": [], "b": [], "flat": []}
+        out = []
         for r in sorted((r for r in rows if r["b2"] >= 0), key=lambda r: r["b2"]):
             hv = np.frombuffer(r["fh"]).reshape(-1, rank).copy()
             old = hv.copy()
@@ -162,16 +182,15 @@ def asynchronous_round(run: Stratified, eps: float, seed: tuple, average: bool =
             per_w[i], per_h[j] = n1, n2
             rng = np.random.default_rng([*seed, r["b1"], r["b2"]])
             kernels.epoch(rule.kind, rule.args, i, j, np.frombuffer(r["x"]), wv, hv, eps, rng, per_w, per_h, rule.order, rule.abs_, rule.truncate, rule.max_norm)
-            out["side"].append("d"), out["b"].append(r["b2"]), out["flat"].append((hv - old).tobytes())
-        out["side"].append("w"), out["b"].append(key[0].as_py()), out["flat"].append(wv.tobytes())
-        return pa.table({"side": pa.array(out["side"]), "b": pa.array(out["b"], pa.int64()), "flat": pa.array(out["flat"], pa.binary())})
+            out.append({"side": "d", "b": r["b2"], "flat": (hv - old).tobytes(), "n": None})
+        return _table([*out, {"side": "w", "b": key[0].as_py(), "flat": wv.tobytes(), "n": None}])
 
     done = run.tables.put(work.groupBy("b1").applyInArrow(one, FACTOR_SQL))
     share = 1 / d if average else 1.0
 
     def add(key, own):
         total = sum(np.frombuffer(f) * (share if s == "d" else 1.0) for s, f in zip(own.column("side").to_pylist(), own.column("flat").to_pylist()))
-        return pa.table({"side": ["h"], "b": pa.array([key[0].as_py()], pa.int64()), "flat": pa.array([np.asarray(total).tobytes()], pa.binary())})
+        return _table([{"side": "h", "b": key[0].as_py(), "flat": np.asarray(total).tobytes(), "n": None}])
 
     merged = run.factors.filter("side = 'h'").union(done.filter("side = 'd'")).groupBy("b").applyInArrow(add, FACTOR_SQL)
     run.factors = run.tables.put(merged.union(done.filter("side = 'w'")))
