@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import dot
+from ..functions.vectors import dot, each
 from .scale import cosine
 
 
@@ -24,8 +24,10 @@ def predictions(w: DataFrame, h: DataFrame, rank: int, which: int, top: int) ->
     return w.join(F.broadcast(one)).select("i", dot("w", "h", rank).alias("prediction")).orderBy(F.col("prediction").desc(), "i").limit(top)  # one row
 
 
-def cosine_distances(a: DataFrame, b: DataFrame, rank: int) -> DataFrame:
-    """(a, b, distance) of every vector of ``a`` (id, v) with every one of ``b`` of the same group ``g``; callers bound the groups."""
+def cosine_distances(a: DataFrame, b: DataFrame, rank: int, exp: bool = False) -> DataFrame:
+    """(a, b, distance) of every vector of ``a`` (id, v) with every one of ``b`` of the same group ``g``, or of their exponentials; callers bound the groups."""
+    if exp:
+        a, b = (x.withColumn("v", each(rank, lambda k: F.exp(F.col("v")[k]))) for x in (a, b))
     left, right = a.select("g", F.col("id").alias("a"), F.col("v").alias("va")), b.select("g", F.col("id").alias("b"), F.col("v").alias("vb"))
     return left.join(right, "g").select("a", "b", (1 - cosine("va", "vb", rank)).alias("distance"))
 
@@ -89,3 +91,14 @@ def offsets(sizes: DataFrame, order: str, value: str, keys: list[str]) -> DataFr
     """``sizes`` with ``offset``: the sum of what comes before in the order, by ``keys``."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("offset", F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
+def trace_lines(trace: DataFrame, name: str = "trace") -> DataFrame:
+    """(epoch, line): a trace as the source of an R list, one line an entry between a first and a last one."""
+    number = lambda c: F.when(F.isnan(c), "NaN").otherwise(F.format_string("%.10g", F.col(c)))
+    last = trace.agg(F.max("epoch").alias("last"))
+    fields = ["it", "epoch", *(c for c in ("loss", "loss_test", "eps", "t_elapsed", "t_epoch", "t_loss", "t_loss_test") if c in trace.columns)]
+    parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string") if c in ("it", "epoch") else number(c)) for c in fields]
+    entry = F.concat(F.lit("list("), F.concat_ws(", ", *parts), F.when(F.col("epoch") == F.col("last"), ")").otherwise("),"))
+    ends = trace.sparkSession.createDataFrame([(-1, f"{name} <- list(trace=list(")], "epoch long, line string").union(last.select((F.col("last") + 1).alias("epoch"), F.lit("));").alias("line")))
+    return trace.join(F.broadcast(last)).select(F.col("epoch").cast("long").alias("epoch"), entry.alias("line")).union(ends)  # one row

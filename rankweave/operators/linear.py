@@ -1,8 +1,15 @@
-"""Small dense linear algebra on the driver or inside a group; NumPy arrays in and out."""
+"""Small dense linear algebra on the driver or inside a group, NumPy arrays in and out; and the leading singular vectors of a matrix table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.vectors import each
+from . import aggregate as A
 
 
 def lu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,3 +66,45 @@ def svd_factors(v: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
     u, d, vt = np.linalg.svd(v, full_matrices=False)
     s = np.sqrt(d[:rank])
     return u[:, :rank] * s, s[:, None] * vt[:rank]
+
+
+def _product(v: DataFrame, fixed: DataFrame, by: str, to: str, vector: str, out: str, rank: int) -> DataFrame:
+    """(to, out): sums of x times the vectors of ``fixed`` (by, vector) over the entries of each ``to``; rows without entries are absent."""
+    sums = v.join(fixed, by).groupBy(to).agg(*(F.sum(F.col("x") * F.col(vector)[k]).alias(f"s{k}") for k in range(rank)))
+    return sums.select(to, each(rank, lambda k: F.col(f"s{k}")).alias(out))
+
+
+def _times(df: DataFrame, index: str, vector: str, m: np.ndarray) -> DataFrame:
+    """Vectors times a small matrix."""
+    return df.select(index, each(m.shape[1], lambda k: sum((F.col(vector)[a] * float(m[a, k]) for a in range(m.shape[0])), F.lit(0.0))).alias(vector))
+
+
+def _gram(df: DataFrame, vector: str, rank: int) -> np.ndarray:
+    g = np.zeros((rank, rank))
+    for a, b, value in A.gram(df, vector, rank).collect():  # rank x rank numbers
+        g[a, b] = value
+    return g
+
+
+def _root(g: np.ndarray, power: float) -> np.ndarray:
+    value, q = np.linalg.eigh(g)
+    good = value > np.finfo(float).eps * len(g) * max(value.max(), 0)
+    return q * np.where(good, np.where(good, value, 1.0) ** power, 0.0)
+
+
+def svd_start(v: DataFrame, start: DataFrame, rank: int, write: Callable[[DataFrame], DataFrame], rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Starting factors U sqrt(D) and V sqrt(D) of the leading ``rank`` singular triples of V(i, j, x), absent cells being 0.
+
+    Subspace iteration from ``start`` (j, h): each round is two joins with partial sums and one
+    small matrix on the driver.  ``write`` stores a table and returns it as read back.  Rows and
+    columns without entries are absent from the result: their vectors are 0.
+    """
+    h = start
+    for _ in range(rounds):
+        w = write(_product(v, h, "j", "i", "h", "w", rank))
+        h = write(_product(v, w, "i", "j", "w", "h", rank))
+        h = write(_times(h, "j", "h", _root(_gram(h, "h", rank), -0.5)))
+    w = write(_product(v, h, "j", "i", "h", "w", rank))
+    value, q = np.linalg.eigh(_gram(w, "w", rank))  # squared singular values
+    value, q = np.maximum(value[::-1], 0), q[:, ::-1]
+    return _times(w, "i", "w", q * np.where(value > 0, np.where(value > 0, value, 1.0) ** -0.25, 0.0)), _times(h, "j", "h", q * value**0.25)

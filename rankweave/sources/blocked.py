@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import Blocking, MatrixMeta, Projected
 from ..operators.reshape import with_blocks
+from .matrix_market import numbered_lines, read_coordinate, write_coordinate
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
@@ -25,25 +26,32 @@ def _get(spark: SparkSession, path: str) -> str:
 
 
 def write_blocked(v: DataFrame, meta: MatrixMeta, blocks1: int, blocks2: int, path: str) -> None:
-    """Entries in folders b1=/b2=, and ``description.json`` beside them; readers prune blocks by folder."""
+    """Entries in folders b1=/b2=, and their description as ``description.json`` and ``description.xml`` beside them; readers prune blocks by folder."""
     rows, cols = Blocking(meta.size1, blocks1), Blocking(meta.size2, blocks2)
     with_blocks(v, rows, cols).repartition("b1", "b2").sortWithinPartitions("b1", "b2", "i", "j").write.partitionBy("b1", "b2").parquet(f"{path}/blocks")
-    _put(v.sparkSession, f"{path}/description.json", json.dumps({"size1": meta.size1, "size2": meta.size2, "blocks1": blocks1, "blocks2": blocks2, "offsets1": rows.offsets, "offsets2": cols.offsets}))
+    about = {"size1": meta.size1, "size2": meta.size2, "blocks1": blocks1, "blocks2": blocks2}
+    _put(v.sparkSession, f"{path}/description.json", json.dumps(about | {"offsets1": rows.offsets, "offsets2": cols.offsets}))
+    write_descriptor(v.sparkSession, f"{path}/description.xml", about | {"blockOffsets1": rows.offsets, "blockOffsets2": cols.offsets, "path": f"{path}/blocks", "format": "parquet"})
 
 
 def read_blocked(spark: SparkSession, path: str, blocks1: list[int] | None = None, blocks2: list[int] | None = None) -> tuple[DataFrame, MatrixMeta]:
-    """V(i, j, x) of all or only the named blocks; other blocks' files are not opened."""
-    d = json.loads(_get(spark, f"{path}/description.json"))
-    v = spark.read.parquet(f"{path}/blocks")
+    """V(i, j, x) of all or only the named blocks; other blocks' files are not opened.  ``path`` is the folder, or an XML description that names one."""
+    if path.endswith(".xml"):
+        x = read_descriptor(spark, path)
+        size1, size2, data = int(x["size1"][0]), int(x["size2"][0]), x["path"][0]
+    else:
+        d = json.loads(_get(spark, f"{path}/description.json"))
+        size1, size2, data = d["size1"], d["size2"], f"{path}/blocks"
+    v = spark.read.parquet(data)
     for c, own in (("b1", blocks1), ("b2", blocks2)):
         if own is not None:
             v = v.filter(F.col(c).isin(own))
-    return v.select("i", "j", "x"), MatrixMeta(d["size1"], d["size2"])
+    return v.select("i", "j", "x"), MatrixMeta(size1, size2)
 
 
-def write_descriptor(spark: SparkSession, path: str, fields: dict) -> None:
+def write_descriptor(spark: SparkSession, path: str, fields: dict, root: str = "descriptor") -> None:
     """A flat XML description; lists become repeated elements."""
-    root = ElementTree.Element("descriptor")
+    root = ElementTree.Element(root)
     for k, v in fields.items():
         for x in v if isinstance(v, list) else [v]:
             ElementTree.SubElement(root, k).text = str(x)
@@ -58,22 +66,42 @@ def read_descriptor(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
 
 def write_map(m: DataFrame, original: int, path: str) -> None:
-    """An index map as text: ``size original-size``, then ``new old`` from 1."""
+    """An index map as text: ``size original-size``, then ``new old`` from 1, in parts that follow each other by name."""
     head = m.sparkSession.createDataFrame([(-1, f"{m.count()} {original}")], "new long, value string")
-    head.union(m.select("new", F.concat_ws(" ", F.col("new") + 1, F.col("old") + 1))).coalesce(1).sortWithinPartitions("new").select("value").write.text(path)
+    head.union(m.select("new", F.concat_ws(" ", F.col("new") + 1, F.col("old") + 1))).orderBy("new").select("value").write.text(path)
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """(new, old) from 0.  The head is the line whose order comes first in the file."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    p = F.split(F.trim("value"), r"\s+")
-    return lines.filter("at > 0 and trim(value) <> ''").select((p[0].cast("long") - 1).alias("new"), (p[1].cast("long") - 1).alias("old"))
-
-
-def write_projected(p: Projected, path: str) -> None:
-    for name in ("data", "map1", "map2"):
-        getattr(p, name).write.parquet(f"{path}/{name}")
+    """(new, old) from 0.  The head is the first line of the first file."""
+    p = F.split("value", r"\s+")
+    return numbered_lines(spark, path).filter("n > 0").select((p[0].cast("long") - 1).alias("new"), (p[1].cast("long") - 1).alias("old"))
+
+
+def write_projected(p: Projected, path: str, *, meta: MatrixMeta | None = None, original: str = "") -> None:
+    """A projection as Parquet tables below a folder, or, if ``path`` ends in ``.mfp``, as a description, the matrix and two index maps beside it.
+
+    ``meta`` has the sizes of the matrix it was taken from, whose file is ``original``; the
+    description needs both.
+    """
+    if not path.endswith(".mfp"):
+        for name in ("data", "map1", "map2"):
+            getattr(p, name).write.parquet(f"{path}/{name}")
+        return
+    if meta is None:
+        raise ValueError("a .mfp file needs the sizes of the matrix it was taken from")
+    stem, spark = path.removesuffix(".mfp"), p.data.sparkSession
+    write_coordinate(p.data, MatrixMeta(p.map1.count(), p.map2.count()), f"{stem}-projected.mmc")
+    write_map(p.map1, meta.size1, f"{stem}-1.mfm")
+    write_map(p.map2, meta.size2, f"{stem}-2.mfm")
+    name = stem.rsplit("/", 1)[-1]
+    write_descriptor(spark, path, {"matrixFilename": original, "projectedMatrixFilename": f"{name}-projected.mmc", "map1Filename": f"{name}-1.mfm", "map2Filename": f"{name}-2.mfm"}, "files")
 
 
 def read_projected(spark: SparkSession, path: str) -> Projected:
-    return Projected(*(spark.read.parquet(f"{path}/{n}") for n in ("data", "map1", "map2")))
+    """What :func:`write_projected` wrote; files named in a description lie beside it unless their paths are absolute."""
+    if not path.endswith(".mfp"):
+        return Projected(*(spark.read.parquet(f"{path}/{n}") for n in ("data", "map1", "map2")))
+    x = read_descriptor(spark, path)
+    beside = lambda name: name if name.startswith("/") or "://" in name else f"{path.rsplit('/', 1)[0]}/{name}"
+    data, meta = read_coordinate(spark, beside(x["projectedMatrixFilename"][0]))
+    return Projected(data, read_map(spark, beside(x["map1Filename"][0])), read_map(spark, beside(x["map2Filename"][0])), meta)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..model import MatrixMeta
+from ..plans.store import Tables
 
-FORMATS = {"mmc": "coordinate", "mma": "array", "parquet": "parquet", "csv": "csv", "mfp": "projected", "mfm": "map", "rm": "random"}
-SPARSE = {"coordinate": True, "array": False, "parquet": True, "csv": True, "projected": True, "random": True}
+FORMATS = {"mmc": "coordinate", "mma": "array", "parquet": "parquet", "csv": "csv", "mfp": "projected", "mfm": "map", "rm": "random", "xml": "blocked"}
+SPARSE = {"coordinate": True, "array": False, "parquet": True, "csv": True, "projected": True, "random": True, "blocked": True, "map": False}
 
 
 def format_of(path: str) -> str:
@@ -24,73 +28,101 @@ def is_sparse(fmt: str) -> bool:
     return SPARSE[fmt]
 
 
-def _head(spark: SparkSession, path: str) -> tuple[list[str], MatrixMeta, int | None, int]:
-    """Banner words, sizes, number of entries (coordinate form), and how many lines the head has; the driver reads the head alone."""
-    banner, n = None, 0
-    lines = spark.read.text(path).limit(10_000).toLocalIterator()
-    for line in (r[0] for r in lines):
-        n += 1
-        if banner is None:
-            banner = line.split()
-            if len(banner) != 5 or banner[0] != "%%MatrixMarket" or banner[1] != "matrix":
-                raise ValueError(f"{path}: not a MatrixMarket banner: {line!r}")
-            continue
-        if not line.strip() or line.startswith("%"):
-            continue
-        sizes = [int(x) for x in line.split()]
-        return banner, MatrixMeta(sizes[0], sizes[1]), sizes[2] if len(sizes) > 2 else None, n
+def natural(name: str) -> list:
+    """A sort key of file names in which numbers count as numbers."""
+    return [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", name)]
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    return sorted(spark.read.text(path).inputFiles(), key=natural)
+
+
+def _head(spark: SparkSession, path: str) -> tuple[list[str], MatrixMeta, int | None]:
+    """Banner words, sizes and number of entries (coordinate form); the driver reads the first lines of the first file that has any."""
+    banner = None
+    for file in _files(spark, path):
+        for (line,) in spark.read.text(file).limit(10_000).toLocalIterator():
+            if banner is None:
+                banner = line.split()
+                if len(banner) != 5 or banner[0] != "%%MatrixMarket" or banner[1] != "matrix":
+                    raise ValueError(f"{path}: not a MatrixMarket banner: {line!r}")
+            elif line.strip() and not line.startswith("%"):
+                sizes = [int(x) for x in line.split()]
+                return banner, MatrixMeta(sizes[0], sizes[1]), sizes[2] if len(sizes) > 2 else None
     raise ValueError(f"{path}: no sizes")
 
 
-def _body(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed lines but comments and empty ones."""
-    return spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' and not startswith(line, '%')")
+def matrix_info(spark: SparkSession, path: str) -> dict:
+    """Rows, columns, entries (cells of the array form), and the banner's form, field and symmetry."""
+    banner, meta, n = _head(spark, path)
+    return {"rows": meta.size1, "cols": meta.size2, "entries": meta.size1 * meta.size2 if n is None else n, "form": banner[2], "field": banner[3], "symmetry": banner[4]}
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): trimmed lines that are no comments and not empty, numbered from 0 in the order of files by name and of lines in them.
+
+    Splits are numbered alone and shifted by those before; they are written first, as two plans
+    must see the same ones.  The driver sees one number a split.
+    """
+    place = F.col("_metadata")
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), place["file_path"].alias("file"), place["file_block_start"].alias("first"), F.monotonically_increasing_id().alias("at"))
+    lines = Tables(spark).put(lines.filter("value <> '' and not startswith(value, '%')"))
+    sizes = {(r.file, r.first): r.n for r in lines.groupBy("file", "first").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for key in sorted(sizes, key=lambda k: (natural(k[0]), k[1])):
+        before.append((*key, total))
+        total += sizes[key]
+    shift = spark.createDataFrame(before, "file string, first long, before long")
+    n = F.row_number().over(Window.partitionBy("file", "first").orderBy("at")) + F.col("before") - 1
+    return lines.join(F.broadcast(shift), ["file", "first"]).select(n.alias("n"), "value")
 
 
 def read_coordinate(spark: SparkSession, path: str) -> tuple[DataFrame, MatrixMeta]:
-    """V(i, j, x) with 0-based indexes.  ``general`` and ``symmetric``, ``real`` and ``integer`` banners; another number of entries than the head says raises."""
-    banner, meta, n, _ = _head(spark, path)
-    if banner[2] != "coordinate" or banner[3] not in ("real", "integer") or banner[4] not in ("general", "symmetric"):
+    """V(i, j, x) with 0-based indexes.
+
+    Banners ``general``, ``symmetric`` and ``skew-symmetric``, ``real``, ``integer`` and ``pattern``
+    (entries without values, all 1); another number of entries than the head says raises.
+    """
+    banner, meta, n = _head(spark, path)
+    if banner[2] != "coordinate" or banner[3] not in ("real", "integer", "pattern") or banner[4] not in ("general", "symmetric", "skew-symmetric"):
         raise ValueError(f"{path}: {' '.join(banner[2:])} is not supported")
-    part = F.split("line", r"\s+")
-    rows = _body(spark, path).select(part.alias("p"))
-    bad = rows.filter(F.size("p") != 3).count()
-    rows = rows.filter(F.size("p") == 3).select((F.col("p")[0].cast("long") - 1).alias("i"), (F.col("p")[1].cast("long") - 1).alias("j"), F.col("p")[2].cast("double").alias("x"), F.concat_ws(" ", "p").alias("line"))
-    head = f"{meta.size1} {meta.size2} {n}"
-    # the size line has three numbers as well; it is one row more, and goes once
-    same = rows.filter(F.col("line") == head).count()
-    total = rows.count() - 1
-    if bad or same < 1 or total != n:
-        raise ValueError(f"{path}: {n} entries announced, {total} found, {bad} lines of another form")
-    v = rows.filter(F.col("line") != head).select("i", "j", "x")
-    if same > 1:
-        one = rows.filter(F.col("line") == head).limit(same - 1).select("i", "j", "x")
-        v = v.union(one)
-    if banner[4] == "symmetric":
-        v = v.union(v.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "x"))
+    width = 2 if banner[3] == "pattern" else 3
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' and not startswith(line, '%')")
+    rows = lines.select(F.split("line", r"\s+").alias("p")).select("p", (F.concat_ws(" ", "p") == f"{meta.size1} {meta.size2} {n}").alias("head"))
+    fits = F.size("p") == width
+    bad, same, total = rows.agg(F.count_if(~fits & ~F.col("head")), F.count_if("head"), F.count_if(fits & ~F.col("head"))).first()
+    # the size line is one row more, and goes once; an entry may look like it
+    extra = same - 1 if width == 3 else 0
+    if bad or same < 1 or total + extra != n or width == 2 and same > 1:
+        raise ValueError(f"{path}: {n} entries announced, {total + extra} found, {bad} lines of another form")
+    x = F.lit(1.0) if width == 2 else F.col("p")[2].cast("double")
+    cells = lambda df: df.select((F.col("p")[0].cast("long") - 1).alias("i"), (F.col("p")[1].cast("long") - 1).alias("j"), x.alias("x"))
+    v = cells(rows.filter(~F.col("head") & fits))
+    if extra:
+        v = v.union(cells(rows.filter("head").limit(extra)))
+    if banner[4] != "general":
+        sign = -1 if banner[4] == "skew-symmetric" else 1
+        v = v.union(v.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x") * sign))
     return v, meta
 
 
 def read_array(spark: SparkSession, path: str) -> tuple[DataFrame, MatrixMeta]:
-    """Dense values in column-major order as V(i, j, x); the file is one value a line."""
-    banner, meta, _, head = _head(spark, path)
-    if banner[2:] != ["array", "real", "general"]:
+    """Dense values in column-major order as V(i, j, x); one value a line, in one file or in parts ordered by name."""
+    banner, meta, _ = _head(spark, path)
+    if banner[2] != "array" or banner[3] not in ("real", "integer") or banner[4] != "general":
         raise ValueError(f"{path}: {' '.join(banner[2:])} is not supported")
-    # line numbers: partitions in file order, each numbered alone and shifted by those before
-    numbered = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).filter("trim(value) <> '' and not startswith(trim(value), '%')")
-    numbered = numbered.withColumn("part", F.shiftright("at", 33))
-    sizes = {r.part: r.n for r in numbered.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number a split
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    if total - 1 != meta.size1 * meta.size2:
-        raise ValueError(f"{path}: {meta.size1 * meta.size2} values announced, {total - 1} found")
-    from pyspark.sql.window import Window
-
-    shift = spark.createDataFrame(sorted(before.items()), "part long, before long")
-    n = F.row_number().over(Window.partitionBy("part").orderBy("at")) + F.col("before") - 2  # the size line is no value
-    rows = numbered.join(F.broadcast(shift), "part").withColumn("n", n).filter("n >= 0")
-    return rows.select((F.col("n") % meta.size1).alias("i"), F.floor(F.col("n") / meta.size1).alias("j"), F.trim("value").cast("double").alias("x")), meta
+    rows = numbered_lines(spark, path)
+    found = rows.count() - 1  # the size line is no value
+    if found != meta.size1 * meta.size2:
+        raise ValueError(f"{path}: {meta.size1 * meta.size2} values announced, {found} found")
+    rows = rows.filter("n > 0").withColumn("n", F.col("n") - 1)
+    return rows.select((F.col("n") % meta.size1).alias("i"), F.floor(F.col("n") / meta.size1).alias("j"), F.col("value").cast("double").alias("x")), meta
+
+
+def read_index(spark: SparkSession, path: str, values: int = 1) -> DataFrame:
+    """(key, value) or, with two values, (key, value1, value2) of a tab-separated index without a head; keys stay as in the file."""
+    names = ["value"] if values == 1 else [f"value{k + 1}" for k in range(values)]
+    return spark.read.option("quote", "").schema("key long, " + ", ".join(f"{x} string" for x in names)).csv(path, sep="\t")
 
 
 def read_matrix(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[DataFrame, MatrixMeta]:
@@ -104,35 +136,39 @@ def read_matrix(spark: SparkSession, path: str, fmt: str | None = None) -> tuple
         v = spark.read.parquet(path).select("i", "j", "x") if fmt == "parquet" else spark.read.schema("i long, j long, x double").csv(path)
         top = v.agg(F.max("i"), F.max("j")).first()
         return v, MatrixMeta((top[0] if top[0] is not None else -1) + 1, (top[1] if top[1] is not None else -1) + 1)
-    raise ValueError(f"{fmt} is not a single matrix")
+    raise ValueError(f"{fmt} is not a single matrix: see sources.described")
+
+
+def _lines(rows: DataFrame, order: tuple[str, ...], path: str, single: bool) -> None:
+    """Text in the order of columns: parts by range, whose names are in that order, or one part."""
+    (rows.coalesce(1).sortWithinPartitions(*order) if single else rows.orderBy(*order)).select("value").write.text(path)
 
 
-def write_coordinate(v: DataFrame, meta: MatrixMeta, path: str, single: bool = True) -> None:
-    """MatrixMarket coordinate text with 16 significant digits and 1-based indexes; one part file if ``single``."""
+def write_coordinate(v: DataFrame, meta: MatrixMeta, path: str, single: bool = False) -> None:
+    """MatrixMarket coordinate text with 17 significant digits and 1-based indexes, in parts that follow each other by name; one part if ``single``."""
     n = v.count()
     head = v.sparkSession.createDataFrame([(-2, 0, "%%MatrixMarket matrix coordinate real general"), (-1, 0, f"{meta.size1} {meta.size2} {n}")], "i long, j long, value string")
     body = v.select("i", "j", F.format_string("%d %d %.16e", F.col("i") + 1, F.col("j") + 1, F.col("x")).alias("value"))
-    rows = head.union(body)
-    (rows.coalesce(1).sortWithinPartitions("i", "j") if single else rows.orderBy("i", "j")).select("value").write.text(path)
+    _lines(head.union(body), ("i", "j"), path, single)
 
 
-def write_array(dense: DataFrame, meta: MatrixMeta, path: str) -> None:
-    """MatrixMarket array text, column by column; cells that ``dense`` lacks are 0."""
+def write_array(dense: DataFrame, meta: MatrixMeta, path: str, single: bool = False) -> None:
+    """MatrixMarket array text, column by column, in parts that follow each other by name; cells that ``dense`` lacks are 0."""
     spark = dense.sparkSession
-    cells = spark.range(meta.size1).select(F.col("id").alias("i")).join(spark.range(meta.size2).select(F.col("id").alias("j")))  # the form holds every cell
+    cells = spark.range(meta.size1 * meta.size2).select((F.col("id") % meta.size1).alias("i"), F.floor(F.col("id") / meta.size1).alias("j"))  # the form holds every cell
     full = cells.join(dense, ["i", "j"], "left").select("i", "j", F.format_string("%.16e", F.coalesce("x", F.lit(0.0))).alias("value"))
     head = spark.createDataFrame([(0, -2, "%%MatrixMarket matrix array real general"), (0, -1, f"{meta.size1} {meta.size2}")], "i long, j long, value string")
-    head.union(full).coalesce(1).sortWithinPartitions("j", "i").select("value").write.text(path)
+    _lines(head.union(full), ("j", "i"), path, single)
 
 
-def write_matrix(v: DataFrame, meta: MatrixMeta, path: str, fmt: str | None = None, *, dense: bool = False) -> None:
+def write_matrix(v: DataFrame, meta: MatrixMeta, path: str, fmt: str | None = None, *, dense: bool = False, single: bool = False) -> None:
     fmt = fmt or format_of(path)
     if fmt == "coordinate":
         if dense:
             raise NotImplementedError("a dense matrix is not written in coordinate form")
-        write_coordinate(v, meta, path)
+        write_coordinate(v, meta, path, single)
     elif fmt == "array":
-        write_array(v, meta, path)
+        write_array(v, meta, path, single)
     elif fmt == "parquet":
         v.write.parquet(path)
     elif fmt == "csv":
