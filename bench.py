@@ -63,7 +63,7 @@ def main() -> None:
     found["c1_test_loss"] = timed(lambda: L.squared(test, w, h, 10).collect())
     run = sgd.Stratified(c1, sgd.Rule("Nzsl_L2", (1.0,)), 4, 8)
     epochs = iter(range(1, 100))
-    found["c1_dsgdpp_epoch"] = timed(lambda: run.epoch(next(epochs), 0.001, 1))
+    found["c1_overlapped_epoch"] = timed(lambda: run.epoch(next(epochs), 0.001, 1))
     found["c1_als_half_step"] = timed(lambda: done(als.half_step(v, h, w, 10, lam=1.0)))
     spark.stop()
     shutil.rmtree(scratch, ignore_errors=True)

@@ -1,13 +1,17 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankweave.model import MatrixMeta, Problem
 from rankweave.operators import balance as B
 from rankweave.operators import loss as L
 from rankweave.operators import reshape as P
-from rankweave.plans import als, kernels, multiplicative
-from rankweave.plans.factorize import Spec, factorize
+from rankweave.functions.specs import parse
+from rankweave.operators import linear
+from rankweave.plans import als, kernels, local, multiplicative
+from rankweave.plans.factorize import Spec, Trials, factorize, loss_of, regularizer_of
 from rankweave.plans.sgd import Rule, Stratified
+from rankweave.plans.store import Tables
 from rankweave.sources import generate as G
 
 
@@ -114,8 +118,108 @@ def test_kl_is_infinite_where_the_product_is_zero(spark):
     assert L.kl(v, w, h, 1).first().loss == float("inf") and L.gkl(v, w, h, 1).first().loss == float("inf")
 
 
+LOSSES = ["Nzsl", "NzRmse", "Nzsl_L2(0.3)", "Nzsl_L1(0.3)", "Nzsl_Nzl2(0.2)", "Biased", "Biased(0.1)", "Biased(0.1,0.2)", "Biased(0.1,0.2,0.3,0.4)", "Sl", "Gkl", "Kl"]
+
+
+def counted(spark):
+    p, _, _ = planted(spark)
+    keep = Tables(spark).put
+    v = keep(p.v.withColumn("x", F.abs("x") + 0.1))
+    w, h = (keep(f.select(c, F.transform(x, lambda y: F.abs(y) + 0.1).alias(x))) for f, c, x in ((p.w, "i", "w"), (p.h, "j", "h")))
+    return Problem(v, w, h, p.meta, 3, keep(p.test))
+
+
+def arrays(p):
+    rows = sorted((r.i, r.j, r.x) for r in p.v.collect())
+    i, j, x = (np.array(c) for c in zip(*rows))
+    w, h = np.array([r.w for r in p.w.orderBy("i").collect()]), np.array([r.h for r in p.h.orderBy("j").collect()])
+    return i, j, x, w, h, np.bincount(i, minlength=60), np.bincount(j, minlength=50)
+
+
+def test_local_losses_and_regularizers_are_those_of_tables(spark):
+    p = counted(spark)
+    i, j, x, w, h, n1, n2 = arrays(p)
+    for name in LOSSES:
+        s = parse(name)
+        assert np.isclose(local.loss(s.name, s.args, i, j, x, w, h, n1, n2), loss_of(name, p.v, p.w, p.h, 3).first()[0]), name
+    for name in ("None", "L1(0.3)", "L2(0.3)", "L2(40)", "Nzl2(0.1)", "Nzl2(4)", "Sl", "Gkl"):
+        s = parse(name)
+        a, b = regularizer_of(name).apply(p.v, p.w, p.h, 3, 0.02)
+        c, d = local.regularize(s.name, s.args, w, h, 0.02, n1, n2, max(n1.max(), n2.max()))
+        assert np.allclose([r.w for r in a.orderBy("i").collect()], c) and np.allclose([r.h for r in b.orderBy("j").collect()], d), name
+
+
+@pytest.mark.parametrize("triple", [("Gkl", "Gkl", "Gkl"), ("Biased(0.1)", "None", "Biased(0.1)"), ("Nzsl", "Nzl2(0.05)", "Nzsl_Nzl2(0.05)")])
+def test_step_search_runs_the_spec_from_the_factors_of_the_moment(spark, triple):
+    p = counted(spark)
+    spec = Spec(method="dsgd", update=triple[0], regularize=triple[1], loss=triple[2], decay="Auto(0.02,4)", order="SEQ")
+    u, r, s = (parse(x) for x in triple)
+    rule = Rule(u.name, u.args if u.name != "Biased" else (u.args * 4)[:4], "SEQ")
+    trials, ladder = Trials(p, rule, spec), [0.02, 0.01, 1e9]
+    i, j, x, w, h, n1, n2 = arrays(p)
+    for scale in (1.0, 2.0):  # the factors move between two searches
+        a, b = w * scale, h.copy()
+        trials.factors = p.w.select("i", F.transform("w", lambda y: y * scale).alias("w")), p.h
+        want = []
+        for eps in ladder:
+            c, d = a.copy(), b.copy()
+            with np.errstate(all="ignore"):
+                for k in range(len(x)):
+                    nw, nh = kernels.step(rule.kind, rule.args, x[k : k + 1], c[i[k]][None], d[j[k]][None], eps)
+                    c[i[k]], d[j[k]] = nw[0], nh[0]
+                c, d = local.regularize(r.name, r.args, c, d, eps, n1, n2, max(n1.max(), n2.max()))
+                want.append(local.loss(s.name, s.args, i, j, x, c, d, n1, n2))
+        assert np.allclose(trials(ladder), want, equal_nan=True)
+    few = Trials(p, rule, spec, most=200)
+    rate, v = few._sample()
+    assert 0 < len(v) <= 400 and rate < 1 and all(np.isfinite(few([0.001])))
+
+
+@pytest.mark.parametrize("name", ["L1(0.3)", "L2(0.3)", "Nzl2(0.05)"])
+def test_regularizers_inside_strata(spark, name):
+    """Each block a stratum touches gets a step of 1 / d, d times an epoch."""
+    p, s = counted(spark), parse(name)
+    i, j, x, w, h, n1, n2 = arrays(p)
+    run = Stratified(p, Rule("None", regularizer=(s.name, s.args)), 3)
+    run.epoch(1, 0.02, 1, "SEQ")
+    for _ in range(3):
+        w, h = local.regularize(s.name, s.args, w, h, 0.02 / 3, n1, n2, max(n1.max(), n2.max()))
+    assert np.allclose([r.w for r in run.w().orderBy("i").collect()], w) and np.allclose([r.h for r in run.h().orderBy("j").collect()], h)
+
+
+def test_cache_squares():
+    assert kernels.cache_blocks(100, 100, 10, 4, 1e9) == 1
+    b = kernels.cache_blocks(100_000, 100_000, 1_000_000, 10, 256)
+    assert abs(256 * 1024 * b * b - 200_000 * 10 * 8 * b - 24_000_000) < 2 * 256 * 1024 * b
+    rng = np.random.default_rng(1)
+    i, j, seen = rng.integers(0, 40, 500), rng.integers(0, 40, 500), []
+    plain = kernels.batches
+    try:
+        kernels.batches = lambda i, j, o: seen.append(o) or plain(i, j, o)
+        kernels.epoch("Nzsl", (), i, j, np.ones(500), np.ones((40, 2)), np.ones((40, 2)), 1e-3, rng, cells=4)
+    finally:
+        kernels.batches = plain
+    square = (i * 4 // 40 * 4 + j * 4 // 40)[seen[0]]
+    assert sorted(seen[0]) == list(range(500)) and (np.diff(square) != 0).sum() == len(set(square)) - 1
+
+
+def test_svd_start_is_the_best_product(spark):
+    rng = np.random.default_rng(3)
+    m = (rng.normal(size=(30, 3)) * [9, 5, 3]) @ rng.normal(size=(3, 20)) + 0.1 * rng.normal(size=(30, 20))
+    m[:, 4] = 0
+    v = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(30) for j in range(20) if m[i, j]], "i long, j long, x double")
+    w, h = linear.svd_start(v, G.factor(spark, 20, 3, "Normal(0,1)", 2, "j", "h"), 3, Tables(spark).put)
+    a, b = np.zeros((30, 3)), np.zeros((20, 3))
+    for r in w.collect():
+        a[r.i] = r.w
+    for r in h.collect():
+        b[r.j] = r.h
+    u, d, vt = np.linalg.svd(m)
+    assert np.allclose(a @ b.T, u[:, :3] * d[:3] @ vt[:3], atol=1e-3) and np.allclose((a**2).sum(axis=0), d[:3], rtol=1e-4)
+
+
 def test_spec_validation():
-    for bad in (dict(method="xx"), dict(method="als", loss="Sl"), dict(update="Sl", loss="Nzsl"), dict(method="dsgdpp", regularize="L2(1)", loss="Nzsl_L2(1)")):
+    for bad in (dict(method="xx"), dict(method="als", loss="Sl"), dict(update="Sl", loss="Nzsl"), dict(method="overlapped", regularize="L2(1)", loss="Nzsl_L2(1)")):
         with pytest.raises(ValueError):
             Spec(**bad).checked()
 
@@ -139,5 +243,10 @@ def test_generators_are_exact_and_repeatable(spark):
     with pytest.raises(ValueError):
         m.chunk_sizes(1201, 0)
     assert G.sample_sizes(MatrixMeta(100, 50), 1000, target_nnz=10) == (10, 5)
+    full = [sorted(map(tuple, df.collect())) for df in (G.problem(spark, m)[0].v, G.problem(spark, m)[0].v.repartition(8))]
+    assert full[0] == full[1]
+    cells = spark.createDataFrame([(i, j, 40.0 if i else -1.0) for i in range(9) for j in range(30)], "i long, j long, x double")
+    counts = [sorted(map(tuple, P.poisson(cells.repartition(n), 3).collect())) for n in (1, 3, 8)]
+    assert counts[0] == counts[1] == counts[2] and all(x == 0 for i, _, x in counts[0] if not i) and 38 < np.mean([x for i, _, x in counts[0] if i]) < 42
     f = G.factor(spark, 500, 4, "Uniform(2,3)", 1).collect()
     assert len(f) == 500 and all(2 <= x < 3 for r in f for x in r.w)
