@@ -106,15 +106,16 @@ class Stratified:
         """New factors after row block b1 met column block ``meets[b1]``; other column blocks pass as they are.
 
         Factor blocks are dealt to the row block they meet, and so is the one data block each needs:
-        one exchange of factors, and over an epoch one of the data.
+        one exchange of factors, and over an epoch one of the data.  Row block b1 is partition b1,
+        so no two share a task.
         """
         rank, rule, d, most = self.problem.rank, self.rule, self.rows.blocks, self.most
         host = {int(b2): b1 for b1, b2 in enumerate(meets)}
         to = F.element_at(F.array(*(F.lit(host.get(b, b % d)) for b in range(self.cols.blocks))), (F.col("b") + 1).cast("int"))
-        left = factors.withColumn("key", F.when(F.col("side") == "w", F.col("b")).otherwise(to).cast("long")).repartition(4 * d, "key")
+        left = factors.withColumn("key", F.when(F.col("side") == "w", F.col("b")).otherwise(to).cast("int")).repartitionById(d, F.col("key"))
         now = F.element_at(F.array(*(F.lit(int(b)) for b in meets)), (F.col("b1") + 1).cast("int"))
         mine = self.data.filter(F.col("b2") == now)  # on folders: a sub-epoch opens the files of its blocks alone
-        right = mine.withColumnRenamed("b1", "key").repartition(4 * d, "key")
+        right = mine.withColumn("key", F.col("b1").cast("int")).drop("b1").repartitionById(d, F.col("key"))
 
         def run(key, own, block):
             rows = own.select(["side", "b", "flat", "n"]).to_pylist()
