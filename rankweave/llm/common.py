@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,10 @@ class Store:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``text`` alone, so that extra or clashing columns never reach an operator."""
+def two_columns(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """``id`` and ``text`` (and ``more``) alone, so that extra or clashing columns never reach an operator."""
     ship(df.sparkSession)
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
 
 
 def fold(id_col: str, modulus: int):
@@ -82,8 +83,43 @@ def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """All rows if they are ``most`` at most, else those with about the ``most`` smallest hashes of ``key``; the driver sees hashes alone."""
-    h = F.xxhash64(F.col(key), F.lit(41))
-    low = [x[0] for x in rows.filter(F.col(key).isNotNull()).select(h.alias("h")).orderBy("h").limit(most).collect()]
-    return rows.filter(h <= low[-1]) if len(low) == most else rows
+def with_row_key(docs: DataFrame, store: Store) -> tuple[DataFrame, str]:
+    """``docs`` with a 64-bit hash of each row's file and place in it, and that column's name.
+
+    The key is the same in every job, however the files are split; input that is no scan of files
+    is written first.  Two rows of one id share a key with probability 2**-64.
+    """
+    name = "row_key"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.withColumn(name, F.xxhash64(place["file_path"], place["row_index"])), name
+    except AnalysisException:
+        return with_row_key(store.put(docs, "docs"), store)
+
+
+def near_fraction(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows of about ``2 * most`` values of ``key``, by the smallest hashes; all rows if they are no more than that.  No text is read, nothing is moved."""
+    n = rows.select(key).count()
+    if n <= 2 * most:
+        return rows
+    return rows.filter(F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(41)), 1) < F.lit(int(2 * most / n * (1 << 63))))
+
+
+def bounded_sample(rows: DataFrame, most: int, text_col: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """At most ``most`` distinct rows with at most ``most_bytes`` of text in all, in the order of their hashes.
+
+    Equal rows count once; a row whose text is over what is left of ``most_bytes`` is passed over.
+    The driver sees ``most`` hashes and lengths.
+    """
+    order = F.xxhash64(*[F.col(c) for c in rows.columns], F.lit(43)).alias("sample_order")
+    keyed = rows.select("*", order).dropDuplicates(["sample_order"])
+    size = F.octet_length(text_col) if text_col else F.lit(0)
+    taken, left = [], most_bytes
+    for h, n in keyed.select("sample_order", F.coalesce(size, F.lit(0)).alias("n")).orderBy("sample_order").limit(most).collect():
+        if n <= left:
+            taken.append((h,))
+            left -= n
+    picks = rows.sparkSession.createDataFrame(taken, "sample_order long")
+    return keyed.join(F.broadcast(picks), "sample_order").drop("sample_order")  # ``most`` numbers

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import bounded_sample, fold, pieces, table, two_columns
+from .common import Store, bounded_sample, fold, near_fraction, pieces, table, two_columns
 from .decontam import normal
 
 SPECTRUM, BITS = 4, 14
@@ -78,10 +78,11 @@ class Model:
         return [self.langs[i] for i in margin.argmax(axis=1)], p.max(axis=1) / p.sum(axis=1)
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 3000, landmarks: int = 128, ridge: float = 1e-3) -> Model:
-    """Fit on at most about ``most`` rows (those of the smallest id hashes) with a language; only presence bits reach the driver."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 3000, most_bytes: int = 64 << 20, landmarks: int = 128, ridge: float = 1e-3) -> Model:
+    """Fit on at most ``most`` distinct rows with a language and ``most_bytes`` of their texts; only presence bits reach the driver."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    rows = bounded_sample(rows.filter("lang is not null and text is not null"), "id", most)
+    rows = Store(docs.sparkSession).put(near_fraction(rows.filter("lang is not null and text is not null"), "id", most), "labelled")
+    rows = bounded_sample(rows, most, "text", most_bytes)
 
     def run(batches):
         for batch, data, at in pieces(batches):

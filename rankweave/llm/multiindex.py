@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, bounded_sample, table
+from .common import Store, bounded_sample, near_fraction, table
 from .graph import components
 
 CELL_ROWS, BLOCK, MOST_WORDS = 256, 1024, 256
@@ -139,7 +139,7 @@ def vector_duplicates(
     links = None
     for size in sizes:
         part = classes.filter(F.col("g").startswith(f"{size['dim']}:"))
-        sample = sorted(bytes(r[0]) for r in bounded_sample(part.select("ck", "vec"), "ck", most).select("vec").collect())
+        sample = sorted(bytes(r[0]) for r in bounded_sample(near_fraction(part.select("ck", "vec"), "ck", most), most, "vec").select("vec").collect())
         index = spark.sparkContext.broadcast(Index(unit(sample), size["n"], size["groups"], threshold, recall))  # 512 centres at most
 
         def probe(batches, index=index):

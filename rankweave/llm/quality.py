@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import bounded_sample, fold, pieces, table, two_columns
+from .common import Store, bounded_sample, fold, near_fraction, pieces, table, two_columns
 
 PASSAGE = 64
 _CLASS = np.full(256, 5, np.int64)  # 5: bytes beyond ASCII
@@ -86,6 +86,18 @@ class Model:
         z = np.add.reduceat(h * a[:, None], first[:-1], axis=0)
         return x, h, t, s, a, z, 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Slope of the mean logistic loss in every weight."""
+        p, size = self.p, np.diff(first)
+        q, h, t, s, a, z, got = self._forward(x, first)
+        err = (got - y) / len(y)
+        dz = np.repeat(err[:, None] * p["c"], size, axis=0)
+        da = (dz * h).sum(axis=1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, first[:-1]), size))
+        dt, ds = de[:, None] * p["w"] * s * (1 - t**2), de[:, None] * p["w"] * t * s * (1 - s)
+        dh = (dz * a[:, None] + dt @ p["v"].T + ds @ p["u"].T) * (h > 0)
+        return {"a": q.T @ dh, "b": dh.sum(axis=0), "v": h.T @ dt, "u": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ err, "d": err.sum(keepdims=True)}
+
     def _fit(self, x, first, y, epochs, rate, rng):
         p, m, v, step = self.p, {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0
         for _ in range(epochs):
@@ -95,14 +107,7 @@ class Model:
                 size = np.diff(first)[docs]
                 at = np.concatenate([[0], np.cumsum(size)])
                 rows = np.arange(at[-1]) + np.repeat(first[docs] - at[:-1], size)
-                q, h, t, s, a, z, got = self._forward(x[rows], at)
-                dz = np.repeat(((got - y[docs]) / len(docs))[:, None] * p["c"], size, axis=0)
-                da = (dz * h).sum(axis=1)
-                de = a * (da - np.repeat(np.add.reduceat(a * da, at[:-1]), size))
-                dt, ds = de[:, None] * p["w"] * s * (1 - t**2), de[:, None] * p["w"] * t * s * (1 - s)
-                dh = (dz * a[:, None] + dt @ p["v"].T + ds @ p["u"].T) * (h > 0)
-                err = (got - y[docs]) / len(docs)
-                grad = {"a": q.T @ dh, "b": dh.sum(axis=0), "v": h.T @ dt, "u": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ err, "d": err.sum(keepdims=True)}
+                grad = self.gradient(x[rows], at, y[docs])
                 step += 1
                 for k, g in grad.items():
                     g = g + 1e-4 * p[k]
@@ -114,14 +119,15 @@ class Model:
         return self._forward(x, first)[-1]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, most: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, y) of at most about ``most`` labelled rows, those of the smallest id hashes."""
+def labelled(docs: DataFrame, labels: DataFrame, target: str, most: int, most_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, y) of at most ``most`` distinct labelled rows with at most ``most_bytes`` of text; rows of one id all count, null ids have no label."""
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(target).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
-    return two_columns(docs, id_col, text_col).join(F.broadcast(bounded_sample(rows, "id", most)), "id")  # ``most`` small rows
+    some = F.broadcast(bounded_sample(near_fraction(rows, "id", most), most))  # ``most`` small rows
+    return bounded_sample(Store(docs.sparkSession).put(two_columns(docs, id_col, text_col).join(some, "id"), "labelled"), most, "text", most_bytes)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 4000) -> Model:
-    """Fit on at most about ``most`` labelled rows; a document with no words trains as one empty passage."""
+def train(docs: DataFrame, labels: DataFrame, *, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 4000, most_bytes: int = 64 << 20) -> Model:
+    """Fit on at most ``most`` distinct labelled rows and ``most_bytes`` of their texts; a document with no words trains as one empty passage."""
 
     def run(batches):
         for batch, data, at in pieces(batches):
@@ -131,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, *, target: str = "quality", id_col
                 "x": pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:])], pa.binary()),
             })
 
-    got = sorted((r.id, r.y, bytes(r.x)) for r in labelled(docs, labels, target, most, id_col, text_col).mapInArrow(run, "id long, y int, x binary").toLocalIterator())
+    got = sorted((r.id, r.y, bytes(r.x)) for r in labelled(docs, labels, target, most, most_bytes, id_col, text_col).mapInArrow(run, "id long, y int, x binary").toLocalIterator())
     x = np.frombuffer(b"".join(r[2] for r in got), np.float16).reshape(-1, WIDTH).astype(np.float32)
     return Model(x, np.concatenate([[0], np.cumsum([len(r[2]) // (2 * WIDTH) for r in got])]).astype(np.int64), np.array([r[1] for r in got], float))
 

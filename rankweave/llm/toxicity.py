@@ -2,10 +2,10 @@
 
 Tokens are the words of a text, as features their hashed form, first 4 to 7 and last 3 bytes.
 Labels mark documents, so labelled tokens come first: a feature seen in toxic documents far
-more often than its share of clean ones explains marks its tokens toxic.  A two-state chain
-over windows of ``CHAIN`` words is then trained on those tags by its exact likelihood gradient
-(marginals of the forward-backward recursion), and every token of a text gets the marginal
-probability of the toxic tag.  A document's score is a logistic function of how certain its
+more often than its share of clean ones explains marks its tokens toxic.  A two-state chain is then
+trained on those tags, in stretches of ``CHAIN`` words, by its exact likelihood gradient
+(marginals of the forward-backward recursion).  Scoring runs the recursion over whole texts, one
+chain each, and every token gets the marginal probability of the toxic tag.  A document's score is a logistic function of how certain its
 surest token is and how many toxic tokens are expected; tokens over one half are its spans.
 
 Training runs on the driver over a bounded sample of labelled rows; scoring is one scan in
@@ -46,52 +46,99 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.column_stack(cols), start, end, word_at
 
 
-def _windows(word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each chain: windows of ``CHAIN`` words of one text."""
-    count = np.diff(word_at)
-    n = -(-count // CHAIN)
-    first = np.repeat(word_at[:-1], n) + CHAIN * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    return first, np.minimum(CHAIN, np.repeat(word_at[1:], n) - first)
+def _windows(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, length and number of each window of at most ``CHAIN`` words, in order, for chains of at least one word."""
+    n = -(-size // CHAIN)
+    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(first, n) + CHAIN * rank
+    return start, np.minimum(CHAIN, np.repeat(first + size, n) - start), rank
+
+
+def chains(word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and length of each text that has words."""
+    size = np.diff(word_at)
+    return word_at[:-1][size > 0], size[size > 0]
+
+
+def _carried(odds: np.ndarray, move: np.ndarray, first: np.ndarray, size: np.ndarray, rank: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages that enter each window from the left and from the right.
+
+    ``first`` and ``size`` are in decreasing length, ``live`` counts the windows longer than each
+    step, and ``rank`` is each window's number in its chain; the product of a window's transition
+    matrices carries messages over it in one step, so chains of any length take a few array steps a word of a window.
+    """
+    n = len(first)
+    left, right = np.ones((n, 2)), np.ones((n, 2))
+    if not rank.any():
+        return left, right
+    p = np.tile(np.eye(2), (n, 1, 1))
+    for t, m in enumerate(live.tolist()):
+        q = p[:m] @ move
+        if not t:
+            q = np.where(rank[:m, None, None] > 0, q, p[:m])  # nothing comes before a chain's first word
+        q[:, :, 1] *= odds[first[:m] + t][:, None]
+        p[:m] = q / q.sum(axis=(1, 2), keepdims=True)
+    where = np.argsort(first, kind="stable")  # windows in order of their words: a chain's follow each other
+    starts = np.flatnonzero(rank[where] == 0)
+    count = np.diff(np.append(starts, n))
+    long = np.argsort(-count, kind="stable")
+    starts, count = starts[long], count[long]
+    most = int(count[0])
+    more = np.searchsorted(-count, -np.arange(most), side="left")  # chains of more than r windows
+    for r in range(1, most):
+        at = where[starts[: more[r]] + r - 1]
+        m = (left[at][:, :, None] * p[at]).sum(axis=1)
+        left[where[starts[: more[r]] + r]] = m / m.sum(axis=1, keepdims=True)
+    for r in range(most - 1, 0, -1):
+        at = where[starts[: more[r]] + r]
+        m = (p[at] * right[at][:, None, :]).sum(axis=2)
+        right[where[starts[: more[r]] + r - 1]] = m / m.sum(axis=1, keepdims=True)
+    return left, right
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, size: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of tag 1 of each word, and expected counts of the four transitions, of chains with log-odds ``emission``."""
+    """Probability of tag 1 of each word, and expected counts of the four transitions, of chains (one word at least) with log-odds ``emission``."""
     out, pairs = np.zeros(len(emission)), np.zeros((2, 2))
     if not len(first):
         return out, pairs
+    first, size, rank = _windows(first, size)
     order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
+    first, size, rank = first[order], size[order], rank[order]
     steps = int(size[0])
-    live = np.searchsorted(-size, -np.arange(steps), side="left")  # chains longer than t
+    live = np.searchsorted(-size, -np.arange(steps), side="left")  # windows longer than t
     odds = np.exp(np.clip(emission, -30, 30))
     move = np.exp(trans)
-    forward, scale = [], []
-    f = None
+    left, right = _carried(odds, move, first, size, rank, live)
+    later = rank > 0
+    f, forward, scale = None, [], []
+
+    def add(f0, f1, x0, x1):
+        mass = np.stack([f0 * move[0, 0] * x0, f0 * move[0, 1] * x1, f1 * move[1, 0] * x0, f1 * move[1, 1] * x1])
+        pairs[:] += (mass / mass.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
     for t in range(steps):
         o = odds[first[: live[t]] + t]
+        f0, f1 = (left[:, 0], left[:, 1]) if f is None else (f[0][: live[t]], f[1][: live[t]])
+        a0, a1 = f0 * move[0, 0] + f1 * move[1, 0], (f0 * move[0, 1] + f1 * move[1, 1]) * o
         if f is None:
-            a0, a1 = np.ones(len(o)), o
-        else:
-            f0, f1 = f[0][: live[t]], f[1][: live[t]]
-            a0, a1 = f0 * move[0, 0] + f1 * move[1, 0], (f0 * move[0, 1] + f1 * move[1, 1]) * o
+            a0, a1 = np.where(later, a0, 1.0), np.where(later, a1, o)
         z = a0 + a1
         f = (a0 / z, a1 / z)
         forward.append(f)
         scale.append(z)
-    b0, b1 = np.ones(len(first)), np.ones(len(first))
+    b0, b1 = right[:, 0].copy(), right[:, 1].copy()
     for t in range(steps - 1, -1, -1):
         n = live[t]
         if t + 1 < steps:
             m = live[t + 1]
             o, z = odds[first[:m] + t + 1], scale[t + 1]
             x0, x1 = b0[:m] / z, b1[:m] * o / z
-            f0, f1 = forward[t][0][:m], forward[t][1][:m]
-            for i, fi in ((0, f0), (1, f1)):
-                for j, xj in ((0, x0), (1, x1)):
-                    pairs[i, j] += float((fi * move[i, j] * xj).sum())
+            add(forward[t][0][:m], forward[t][1][:m], x0, x1)
             b0[:m], b1[:m] = move[0, 0] * x0 + move[0, 1] * x1, move[1, 0] * x0 + move[1, 1] * x1
         p0, p1 = forward[t][0] * b0[:n], forward[t][1] * b1[:n]
         out[first[:n] + t] = p1 / (p0 + p1)
+    if later.any():
+        add(left[later, 0], left[later, 1], b0[later], b1[later] * odds[first[later]])
     return out, pairs
 
 
@@ -105,7 +152,7 @@ class Model:
             return
         doc = np.repeat(np.arange(len(y)), np.diff(word_at))
         tag = self._tags(f, doc, y)
-        first, size = _windows(word_at)
+        first, size, _ = _windows(*chains(word_at))
         hot = np.add.reduceat(tag, first) > 0
         rng = np.random.default_rng(seed)
         cold = rng.permutation(np.flatnonzero(~hot))[: 3 * hot.sum() + 500]
@@ -145,7 +192,10 @@ class Model:
         return np.any([taken[f[:, k].astype(np.int64) << 3 | k] for k in range(KINDS - 1)], axis=0)
 
     def _emission(self, f: np.ndarray) -> np.ndarray:
-        return self.w[f].sum(axis=1) + self.bias
+        out = np.full(len(f), self.bias)
+        for k in range(KINDS):
+            out += self.w[f[:, k]]
+        return out
 
     def _fit(self, f, tag, first, size, rounds, rate):
         chain_end = np.zeros(len(tag), bool)
@@ -177,7 +227,7 @@ class Model:
         return np.column_stack([np.ones(len(top)), np.log(top / (1 - top)) / 5, np.log1p(total)])
 
     def _calibrate(self, f, word_at, y):
-        s = self._summary(marginals(self._emission(f), *_windows(word_at), self.trans)[0], word_at)
+        s = self._summary(marginals(self._emission(f), *chains(word_at), self.trans)[0], word_at)
         for _ in range(25):  # Newton steps with a ridge
             q = 1 / (1 + np.exp(-(s @ self.doc)))
             self.doc -= np.linalg.solve(s.T @ (s * (q * (1 - q))[:, None]) + 0.1 * np.eye(3), s.T @ (q - y) + 0.1 * self.doc)
@@ -185,21 +235,21 @@ class Model:
     def score(self, data: np.ndarray, at: np.ndarray):
         """Document scores, and text number, start and end byte of each toxic token."""
         f, start, end, word_at = features(data, at)
-        p = marginals(self._emission(f), *_windows(word_at), self.trans)[0]
+        p = marginals(self._emission(f), *chains(word_at), self.trans)[0]
         bad = np.flatnonzero(p > 0.5)
         doc = np.searchsorted(word_at, bad, side="right") - 1
         return 1 / (1 + np.exp(-(self._summary(p, word_at) @ self.doc))), doc, start[bad] - at[doc], end[bad] - at[doc]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 3000) -> Model:
-    """Fit on at most about ``most`` labelled rows; their features alone reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 3000, most_bytes: int = 32 << 20) -> Model:
+    """Fit on at most ``most`` distinct labelled rows and ``most_bytes`` of their texts; their features alone reach the driver."""
 
     def run(batches):
         for batch, data, at in pieces(batches):
             f, _, _, word_at = features(data, at)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "y": batch.column("y"), "f": pa.array([f[a:b].tobytes() for a, b in zip(word_at, word_at[1:])], pa.binary())})
 
-    got = sorted((r.id, r.y, bytes(r.f)) for r in labelled(docs, labels, target, most, id_col, text_col).mapInArrow(run, "id long, y int, f binary").toLocalIterator())
+    got = sorted((r.id, r.y, bytes(r.f)) for r in labelled(docs, labels, target, most, most_bytes, id_col, text_col).mapInArrow(run, "id long, y int, f binary").toLocalIterator())
     f = np.frombuffer(b"".join(r[2] for r in got), np.int32).reshape(-1, KINDS)
     return Model(f, np.concatenate([[0], np.cumsum([len(r[2]) // (4 * KINDS) for r in got])]).astype(np.int64), np.array([r[1] for r in got], float))
 
