@@ -5,9 +5,9 @@ holds percent escapes, ``\\uXXXX`` / ``\\xXX`` / numeric character references, c
 for ASCII ones, or base64 runs that hold text or gzip, zlib, bzip2 or xz streams (all members, whatever
 their size and characters), over line breaks and amid other characters too, or streams given as escapes; each result is
 a further layer, scanned and decoded in turn.  A layer seen before in the document is not entered
-again, so cycles (a gzip file that unpacks to itself) end.  Each character of a layer carries the
-span of the document it came from, so a hit anywhere has offsets in the document, in code points,
-end exclusive.
+again, so cycles (a gzip file that unpacks to itself) end.  A layer knows which part of its parent
+each character came from and asks the parent only for hits, so a hit anywhere has offsets in the
+document, in code points, end exclusive, and no span is kept for each character.
 
 Texts are scanned whole, one row at a time; a row needs nothing of another, so the scan has no
 shuffle and a lost executor repeats only its own splits.
@@ -23,9 +23,12 @@ import lzma
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +40,7 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a shorter run holds no longer one
 HEX = re.compile(r"[0-9a-f]{24,}")
-URL = re.compile(r"%[0-9A-Fa-f]{2}")
+URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 WIDE = re.compile("[^\\x00-\\u00ff]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -70,58 +73,97 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _replaced(text: str, where: list[tuple[int, int]], edits: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The text with each (start, end, new) of ``edits`` done; new characters carry the span of what they replace."""
-    out, spans, at = [], [], 0
+class _Document:
+    """Spans of the characters of the document itself."""
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        return i, i + 1
+
+
+class _Edited:
+    """Spans of a layer that is its parent with parts replaced; new characters have the span of what they replace."""
+
+    def __init__(self, parent):
+        self.parent = parent
+        self.begin, self.stop, self.a, self.b = (array("q") for _ in range(4))
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.begin, i) - 1
+        if k < 0:
+            return self.parent[i]
+        if i < self.stop[k]:
+            return self.parent[self.a[k]][0], self.parent[self.b[k] - 1][1]
+        return self.parent[self.b[k] + i - self.stop[k]]
+
+
+class _Packed:
+    """One span for all characters."""
+
+    def __init__(self, start: int, end: int):
+        self.span = start, end
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        return self.span
+
+
+class _Base64:
+    """Spans of text that starts at byte ``at`` of what the base64 characters at ``place`` of the parent hold from number ``start`` on."""
+
+    def __init__(self, parent, place: Sequence[int], text: str, at: int, start: int):
+        self.parent, self.place, self.text, self.at, self.start, self.sizes = parent, place, text, at, start, None
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        if self.text.isascii():
+            a, b = self.at + i, self.at + i + 1
+        else:
+            if self.sizes is None:
+                code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                self.sizes = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
+            a, b = self.at + int(self.sizes[i]), self.at + int(self.sizes[i + 1])
+        first, last = self.start + a * 4 // 3, min(len(self.place), self.start - (-b * 4 // 3)) - 1
+        return self.parent[int(self.place[first])][0], self.parent[int(self.place[last])][1]
+
+
+def _replaced(text: str, where, edits: Iterable[tuple[int, int, str]]) -> tuple[str, _Edited] | None:
+    """The text with each (start, end, new) of ``edits`` done, and its spans; None if there are none."""
+    out, at, size, spans = [], 0, 0, _Edited(where)
     for a, b, new in edits:
         out += [text[at:a], new]
-        spans += where[at:a]
-        spans += [(where[a][0], where[b - 1][1])] * len(new)
-        at = b
-    out.append(text[at:])
-    spans += where[at:]
-    return "".join(out), spans
+        size += a - at
+        for column, x in zip((spans.begin, spans.stop, spans.a, spans.b), (size, size + len(new), a, b)):
+            column.append(x)
+        size, at = size + len(new), b
+    return ("".join([*out, text[at:]]), spans) if out else None
 
 
-def _percent(text: str) -> list[tuple[int, int, str]]:
+def _percent(text: str) -> Iterator[tuple[int, int, str]]:
     """Runs of percent escapes as text; bytes that are no UTF-8 stand for Latin-1 characters."""
-    edits, run = [], []
     for m in URL.finditer(text):
-        if run and run[-1].end() != m.start():
-            edits.append(run)
-            run = []
-        run.append(m)
-    out = []
-    for ms in [*edits, run] if run else []:
-        data = bytes(int(m[0][1:], 16) for m in ms)
+        data = bytes.fromhex(m[0].replace("%", ""))
         try:
-            i = 0
-            for ch in data.decode():  # character by character, for spans as narrow as they can be
-                n = len(ch.encode())
-                out.append((ms[i].start(), ms[i + n - 1].end(), ch))
-                i += n
+            decoded = data.decode()
         except UnicodeDecodeError:
-            out += [(m.start(), m.end(), chr(b)) for m, b in zip(ms, data)]
-    return out
+            decoded = None
+        at = m.start()
+        for ch in data.decode("latin-1") if decoded is None else decoded:  # character by character, for spans as narrow as they can be
+            n = 3 * (1 if decoded is None else len(ch.encode()))
+            yield at, at + n, ch
+            at += n
 
 
-def _codes(text: str) -> list[tuple[int, int, str]]:
-    out = []
+def _codes(text: str) -> Iterator[tuple[int, int, str]]:
     for m in CODE.finditer(text):
         n = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
         if n < 0x110000 and not 0xD800 <= n < 0xE000:
-            out.append((m.start(), m.end(), chr(n)))
-    return out
+            yield m.start(), m.end(), chr(n)
 
 
-def _compatible(text: str) -> list[tuple[int, int, str]]:
+def _compatible(text: str) -> Iterator[tuple[int, int, str]]:
     """Characters that stand for printable ASCII (full-width forms, mathematical letters and the like), by compatibility normalization."""
-    out = []
     for m in WIDE.finditer(text):
         new = unicodedata.normalize("NFKC", m[0])
         if new != m[0] and new.isascii() and new.isprintable():
-            out.append((m.start(), m.end(), new))
-    return out
+            yield m.start(), m.end(), new
 
 
 def _opener(data: bytes):
@@ -225,29 +267,21 @@ def _runs(layer: str) -> Iterator[tuple[str, Sequence[int]]]:
         yield m[0], range(m.start(), m.end())
     if "\n" in layer:
         for m in LINES.finditer(layer):
-            at = [i for i in range(m.start(), m.end()) if layer[i] not in "\x20\t\r\n"]
-            if len(at) >= 16:
-                yield "".join([layer[i] for i in at]), at
+            run = np.frombuffer(m[0].encode(), np.uint8)  # the pattern has ASCII alone
+            own = (run > 32).nonzero()[0]
+            if len(own) >= 16:
+                yield run[own].tobytes().decode(), own + m.start()
 
 
-def _hidden(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+def _hidden(layer: str, where) -> Iterator[tuple[str, object]]:
     """The texts in the base64 runs of a layer.
 
     A run that is not text or a stream as a whole may have other characters of the alphabet around
     it, so text is looked for in all four phases, and streams wherever one may start.  A stream's
     text carries the span of its run from there on.
     """
-    source = (lambda i: (i, i + 1)) if where is None else where.__getitem__
-
-    def placed(text, at, start):
-        spans = []
-        for ch in text:
-            n = len(ch.encode())
-            spans.append((source(place[start + at * 4 // 3])[0], source(place[min(len(place), start - (-(at + n) * 4 // 3)) - 1])[1]))
-            at += n
-        return text, spans
-
     for run, place in _runs(layer):
+        placed = lambda text, at, start: (text, _Base64(where, place, text, at, start))  # noqa: E731, B023
         body = run.rstrip("=").replace("-", "+").replace("_", "/")
         whole = b"".join(_decoded(body)) if len(body) % 4 != 1 else b""
         try:
@@ -261,9 +295,8 @@ def _hidden(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[s
         for a in sorted({0, *(m.start() for m in HEAD.finditer(body))}):
             if (stream := _peeled(_decoded(body, a))) is not None:
                 packed = packed or not a
-                span = (source(place[a])[0], source(place[-1])[1])
                 for text in _texts(stream):
-                    yield text, [span] * len(text)
+                    yield text, _Packed(where[int(place[a])][0], where[int(place[-1])][1])
         for a in range(0 if not packed else 4, 4):
             for m in STRETCH.finditer(b"".join(_decoded(body, a))):
                 try:
@@ -272,7 +305,7 @@ def _hidden(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[s
                     yield placed("".join(chr(b) if b < 128 else "\x1a" for b in m[0]), m.start(), a)
 
 
-def _raw(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+def _raw(layer: str, where) -> Iterator[tuple[str, object]]:
     """The texts in streams whose bytes are given as escapes (or as characters of that number)."""
     def byte(m):
         n = int(m[3]) if m[3] else int(m[1] or m[2], 16) if m[1] or m[2] else -1
@@ -280,7 +313,7 @@ def _raw(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str,
 
     if not MAGIC.search(RAW.sub(byte, layer)):
         return
-    data, spans = _replaced(layer, where or [(i, i + 1) for i in range(len(layer))], [(m.start(), m.end(), new) for m in RAW.finditer(layer) if len(new := byte(m)) == 1])
+    data, spans = _replaced(layer, where, ((m.start(), m.end(), new) for m in RAW.finditer(layer) if len(new := byte(m)) == 1)) or (layer, where)
     for m in MAGIC.finditer(data):
         body = data[m.start() : LATIN.match(data, m.start()).end()].encode("latin-1")
         rest, given = [], 0
@@ -297,25 +330,24 @@ def _raw(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str,
         while not rest and end > 1 and spans[m.start() + end - 1][1] - spans[m.start() + end - 1][0] == 1:
             end -= 1  # a stream that breaks off ends with its last escape
         if (stream := _peeled(_cut(body[:end]))) is not None:
-            span = (spans[m.start()][0], spans[m.start() + end - 1][1])
             for text in _texts(stream):
-                yield text, [span] * len(text)
+                yield text, _Packed(spans[m.start()][0], spans[m.start() + end - 1][1])
 
 
-def _inner(layer: str, where: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+def _inner(layer: str, where) -> Iterator[tuple[str, object]]:
     """The layers decoded from this one."""
-    for edits in (_percent(layer) if "%" in layer else [], _codes(layer) if "\\" in layer or "&#" in layer else [], [] if layer.isascii() else _compatible(layer)):
-        if edits:
-            yield _replaced(layer, where or [(i, i + 1) for i in range(len(layer))], edits)
+    for edits in (_percent(layer) if "%" in layer else (), _codes(layer) if "\\" in layer or "&#" in layer else (), () if layer.isascii() else _compatible(layer)):
+        if (got := _replaced(layer, where, edits)) is not None:
+            yield got
     if "%" in layer or "\\" in layer or "&#" in layer:
         yield from _raw(layer, where)
     yield from _hidden(layer, where)
 
 
 def layers(text: str):
-    """Every decoded layer of ``text``, with the source span of each character; the text itself is not among them."""
+    """Every decoded layer of ``text``, with the source spans of its characters by number; the text itself is not among them."""
     key = lambda x: hashlib.sha256(x.encode("utf8", "replace")).digest()
-    work, seen = [_inner(text, None)], {key(text)}
+    work, seen = [_inner(text, _Document())], {key(text)}
     while work:
         if (got := next(work[-1], None)) is None:
             work.pop()
@@ -372,13 +404,14 @@ def redacted(docs: DataFrame, *, text_col: str = "text", length_col: str | None
         for batch, _, _ in pieces(batches, text_col):
             texts = batch.column(text_col).to_pylist()
             new = [redact(t, every) if (every := find(t)[1]) else t for t in texts]
-            cols = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            names, cols = batch.schema.names, list(batch.columns)
             if new != texts:
-                cols[text_col] = pa.array(new, batch.schema.field(text_col).type)
-                if length_col in cols:
-                    sizes = [n if a == b else len(b) for n, a, b in zip(cols[length_col].to_pylist(), texts, new)]
-                    cols[length_col] = pa.array(sizes, batch.schema.field(length_col).type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), schema=batch.schema)
+                cols[names.index(text_col)] = pa.array(new, batch.schema.field(text_col).type)
+                if length_col in names:
+                    k = names.index(length_col)
+                    sizes = [n if a == b else len(b) for n, a, b in zip(cols[k].to_pylist(), texts, new)]
+                    cols[k] = pa.array(sizes, batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
 
