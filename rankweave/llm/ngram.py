@@ -9,7 +9,10 @@ Counting moves n-grams, not tokens: a block of neighbouring documents has each d
 and bigram once, as a sorted array of 64-bit hashes cut into ranges, one range a reducer.  The
 reducer returns counts in the order of the hashes, so the way back carries numbers only, and a
 very common n-gram is one entry a block like any other.  Then each block's texts meet its
-counts.  Nothing of the corpus reaches the driver but totals and a histogram of bounded size.
+counts.  A block has a row for each range that it has n-grams of, so at most one an n-gram,
+however many ranges a larger corpus has; a text of ``LONE`` bytes or more is a block of its own,
+so a block's size is bounded in bytes too.  Nothing of the corpus reaches the driver but totals
+and a histogram of bounded size.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import Store, fold, table, two_columns, utf8
 
-#: Rows of a block, text bytes a reducer's share, buckets of context frequency, histogram steps an octave.
-BLOCK_ROWS, SHARE, BUCKETS, STEPS = 1024, 8 << 20, 24, 4
+#: Rows of a block, bytes of a text that is a block of its own, text bytes a reducer's share, buckets of context frequency, histogram steps an octave.
+BLOCK_ROWS, LONE, SHARE, BUCKETS, STEPS = 1024, 1 << 17, 8 << 20, 24, 4
 _END, _START = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 _ONE = np.uint64(1)
 GRAMS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("main", pa.binary()), ("fold", pa.binary())])
@@ -53,17 +56,20 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def located(docs: DataFrame, store: Store) -> DataFrame:
-    """``docs`` with ``block``: rows that lie together in a file and a split of it; other input is written first."""
+    """``docs`` (id, text) with ``block``: rows that lie together in a file and a split of it, long texts alone; input that is no scan of files is written first."""
     try:
-        docs.select("_metadata.row_index")
+        place = docs.metadataColumn("_metadata")
     except AnalysisException:
         docs = store.put(docs, "docs")
-    block = F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
+        place = docs.metadataColumn("_metadata")
+    run = F.xxhash64(place["file_path"], place["file_block_start"], F.floor(place["row_index"] / BLOCK_ROWS))
+    alone = F.xxhash64(place["file_path"], place["row_index"], F.lit("alone"))
+    block = F.when(F.octet_length("text") >= LONE, alone).otherwise(run)
     return docs.withColumn("block", block.bitwiseAND(F.lit(-4)))
 
 
 def _count_grams(batches, bits):
-    """Rows of GRAMS for each block; blocks are runs of rows, across batches."""
+    """Rows of GRAMS for each block; blocks are runs of rows, across batches, but for long texts amid them."""
 
     def flush(block, held):
         for group in sorted({g for g, *_ in held}):
@@ -72,27 +78,31 @@ def _count_grams(batches, bits):
             at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in own]))])
             one, two, _ = tokens(data, at)
             grams, n = np.unique(np.concatenate([one, two]), return_counts=True)
-            cuts = np.searchsorted(grams, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64))
+            ranges = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+            cuts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if len(grams) else np.zeros(0, np.int64)
             n = n.astype(np.int32)
             none = np.zeros_like(n)
             main, fold_ = (n, none) if group == 0 else (none, n) if group == 1 else (none, none)
-            rows = [(block + group, k, grams[a:b].tobytes(), main[a:b].tobytes(), fold_[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(grams)])) if b > a]
+            rows = [(block + group, int(ranges[a]), grams[a:b].tobytes(), main[a:b].tobytes(), fold_[a:b].tobytes()) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(grams)])]
             yield table(GRAMS, *map(list, zip(*rows)))
 
     last, held = None, []
     for batch in batches:
         data, at = utf8(batch.column("text"))
         block, group = batch.column("block").to_numpy(), batch.column("part").to_numpy()
-        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
-        for a, b in zip(edges, [*edges[1:], len(block)]):
-            if last is not None and block[a] != last:
+        long = np.diff(at) >= LONE
+        for i in np.flatnonzero(long).tolist():
+            yield from flush(int(block[i]), [(int(group[i]), data[at[i] : at[i + 1]], at[i : i + 2] - at[i])])
+        rest = np.flatnonzero(~long)
+        edges = np.flatnonzero(np.append(True, block[rest][1:] != block[rest][:-1])) if len(rest) else np.zeros(0, np.int64)
+        for own in np.split(rest, edges[1:]) if len(rest) else []:
+            if last is not None and block[own[0]] != last:
                 yield from flush(last, held)
                 held = []
-            last = int(block[a])
-            for g in np.unique(group[a:b]).tolist():
-                pick = a + np.flatnonzero(group[a:b] == g)
-                own = np.concatenate([data[at[i] : at[i + 1]] for i in pick])
-                held.append((g, own, np.concatenate([[0], np.cumsum(at[pick + 1] - at[pick])])))
+            last = int(block[own[0]])
+            for g in np.unique(group[own]).tolist():
+                pick = own[group[own] == g]
+                held.append((g, np.concatenate([data[at[i] : at[i + 1]] for i in pick]), np.concatenate([[0], np.cumsum(at[pick + 1] - at[pick])])))
     if last is not None:
         yield from flush(last, held)
 
@@ -139,6 +149,7 @@ def _bucket(cv: np.ndarray) -> np.ndarray:
 def weights(cells: np.ndarray, n: np.ndarray, v_main: int, rounds: int = 60) -> np.ndarray:
     """EM: BUCKETS x 3 weights (bigram, unigram, uniform) from histogram cells (bucket, step of p2, step of p1; -1 for 0)."""
     out = np.tile([0.3, 0.6, 0.1], (BUCKETS, 1))
+    out[0] = 0, 0.85, 0.15
     if not len(n):
         return out
     b, q2, q1 = cells.T
@@ -147,6 +158,7 @@ def weights(cells: np.ndarray, n: np.ndarray, v_main: int, rounds: int = 60) ->
         post = p * out[b]
         post *= (n / post.sum(axis=1))[:, None]
         out = np.column_stack([np.bincount(b, post[:, k], BUCKETS) for k in range(3)]) + [[0.1, 0.2, 0.1]]  # a bucket without events keeps a prior
+        out[0, 0] = 0  # an unseen context says nothing of the next word
         out /= out.sum(axis=1, keepdims=True)
     return out
 
@@ -162,8 +174,8 @@ def language_scores(docs: DataFrame, held_out, deleted, *, id_col: str = "doc_id
     spark = docs.sparkSession
     store = Store(spark)
     part = F.when(F.coalesce(held_out, F.lit(False)), 2).when(F.coalesce(deleted, F.lit(False)), 1).otherwise(0)
-    docs = located(docs, store)
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), "block").withColumn("part", part)
+    docs = located(two_columns(docs, id_col, text_col), store)
+    docs = docs.withColumn("part", part)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size / SHARE))))
     grams = docs.mapInArrow(lambda it: _count_grams(it, bits), "block long, bucket int, hashes binary, main binary, fold binary")
