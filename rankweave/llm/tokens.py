@@ -3,8 +3,11 @@
 The pre-tokenizer of the vocabulary never lets a token cross from a non-white character into a
 white one.  So a text may be cut before any space or line feed that follows a non-white
 character, and the ids of the parts, encoded alone, are the ids of the text.  Most parts are
-words met before; they are found by a 64-bit hash of their bytes, and only new ones go through
-the tokenizers library, many in one string: the ids' byte lengths tell where each part ends.
+words met before; they are found by a 64-bit hash of their bytes and compared by length and by
+their first and last eight bytes (all of a word of up to 16; a longer one would have to share
+those and its hash with another).  Only new ones go through the tokenizers library, many in one
+string: the ids' byte lengths tell where each part ends.  A text with a word that hashes like
+another is encoded whole.
 Texts with other white space than single spaces and line feeds between words are encoded whole.
 """
 
@@ -34,6 +37,15 @@ def _hash(run: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray)
     return W.mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _ends(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """First and last eight bytes (or as many as there are) and length of each span."""
+    wide = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(wide) - 7, "<u8", wide, strides=(1,))
+    size = end - start
+    spare = (8 * np.maximum(8 - size, 0)).astype(np.uint64)
+    return np.column_stack([eight[start + 8] << spare, eight[end] >> spare << spare, size.astype(np.uint64)])
+
+
 def irregular(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which texts hold white space other than single spaces and line feeds between words, or control characters."""
     n = len(data)
@@ -114,15 +126,18 @@ class Encoder:
         self.slot = _Slots()
         self.flat = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int64)
+        self.ends = np.zeros((1 << 14, 3), np.uint64)
 
-    def _add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+    def _add(self, keys: np.ndarray, ends_of: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         n, first = self.slot.n, int(self.at[self.slot.n])
         ends = first + np.cumsum(sizes)
         while len(self.at) <= n + len(keys):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.at[n + 1 : n + 1 + len(keys)] = ends
+        self.ends[n : n + len(keys)] = ends_of
         self.flat[first : ends[-1]] = flat
         self.slot.add(keys)
 
@@ -132,7 +147,7 @@ class Encoder:
         ends = np.cumsum(size)
         return size, self.flat[np.arange(ends[-1]) + np.repeat(self.at[slots] - (ends - size), size)]
 
-    def _library(self, keys: np.ndarray, units: list[bytes]) -> None:
+    def _library(self, keys: np.ndarray, ends_of: np.ndarray, units: list[bytes]) -> None:
         """Learn distinct units.  Those that begin with white space go in one string; a text's first word goes alone."""
         lone = [not (u[0] == 32 or u[0] == 10) for u in units]
         joined, alone = [i for i, x in enumerate(lone) if not x], [i for i, x in enumerate(lone) if x]
@@ -144,10 +159,10 @@ class Encoder:
             ends = np.searchsorted(done, want)
             if not np.array_equal(done[ends], want):
                 raise ValueError("a token crosses a word's end: this vocabulary is not byte-level BPE over words")
-            self._add(keys[part], np.diff(ends + 1, prepend=0), ids)
+            self._add(keys[part], ends_of[part], np.diff(ends + 1, prepend=0), ids)
         if alone:
             ids = [e.ids for e in self.tok.encode_batch_fast([units[i].decode() for i in alone], add_special_tokens=False)]
-            self._add(keys[alone], np.array([len(x) for x in ids]), np.array([y for x in ids for y in x], np.int32))
+            self._add(keys[alone], ends_of[alone], np.array([len(x) for x in ids]), np.array([y for x in ids for y in x], np.int32))
 
     def _learn(self, data: np.ndarray, run: np.ndarray, down: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """A letter and a comma or full stop after it are never in one token: word and mark are looked up apart."""
@@ -162,7 +177,7 @@ class Encoder:
         fresh = self.slot.find(new) < 0
         raw = data.tobytes()
         if fresh.any():
-            self._library(new[fresh], [raw[x:y] for x, y in zip(a[first][fresh].tolist(), b[first][fresh].tolist())])
+            self._library(new[fresh], _ends(data, a[first][fresh], b[first][fresh]), [raw[x:y] for x, y in zip(a[first][fresh].tolist(), b[first][fresh].tolist())])
         left = (self.slot.find(keys) < 0) & marked
         if left.any():
             stem, own = self._gather(self.slot.find(stems[left[marked]]))
@@ -174,7 +189,7 @@ class Encoder:
             at_mark = np.zeros(len(flat), bool)
             at_mark[ends - 1] = True
             flat[at_mark], flat[~at_mark] = np.where(last == 44, self.marks[44][0], self.marks[46][0]), own
-            self._add(keys[left], stem + 1, flat)
+            self._add(keys[left], _ends(data, start[left], end[left]), stem + 1, flat)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, as int32 arrays without an end id; ``data`` and ``at`` are as of :func:`common.utf8`."""
@@ -208,10 +223,13 @@ class Encoder:
         if len(lost):
             self._learn(data, run, down, keys[lost], start[lost], end[lost])
             slots[lost] = self.slot.find(keys[lost])
+        other = np.flatnonzero((self.ends[slots] != _ends(data, start, end)).any(axis=1))
         size, ids = self._gather(slots)
         stop = np.cumsum(size)[np.append(first[1:], len(start)) - 1]
         for i, a, b in zip(texts.tolist(), [0, *stop[:-1].tolist()], stop.tolist()):
             out[i] = ids[a:b]
+        for i in np.unique(np.searchsorted(at, start[other], side="right") - 1).tolist():  # a word with the hash of another
+            out[i] = np.array(self.tok.encode(data[at[i] : at[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.int32)
         return out
 
 
