@@ -244,10 +244,7 @@ query("block_nnz", f"WITH {V} SELECT i // 1429 AS b1, CASE WHEN j < 28572 THEN j
     lambda s, d: P.with_blocks(matrix(s, d), Blocking(10_003, 7), Blocking(99_997, 7)).groupBy("b1", "b2").agg(F.count("*").alias("n"))
 )
 query("csgd_block_ids", f"WITH {V} SELECT i, j, x, least(i // 14, 6) AS b1, least(j // 285, 6) AS b2 FROM v")(lambda s, d: P.square_blocks(matrix(s, d), MatrixMeta(100, 2000), 7))
-query("split_indexes", "SELECT p_partkey AS j, p_partkey // 13 AS block, p_partkey % 13 AS offset FROM part WHERE p_partkey < 78")(
-    lambda s, d: P.split_indexes(column_factor(s, d).filter("j < 78"), "j", Blocking(78, 6))
-)
-query("split_indexes_whole", """WITH p AS (SELECT p_partkey AS j FROM part), n AS (SELECT (max(j) + 1) // 6 AS least, (max(j) + 1) % 6 AS over FROM p),
+query("split_indexes", """WITH p AS (SELECT p_partkey AS j FROM part), n AS (SELECT (max(j) + 1) // 6 AS least, (max(j) + 1) % 6 AS over FROM p),
     b AS (SELECT j, least, over, CASE WHEN j < over * (least + 1) THEN j // (least + 1) ELSE over + (j - over * (least + 1)) // least END AS block FROM p, n)
     SELECT j, block, j - block * least - least(block, over) AS offset FROM b""")(
     lambda s, d: P.split_indexes(column_factor(s, d), "j", Blocking(sizes(s, d).size2, 6))
@@ -539,10 +536,6 @@ def _path(s, name: str) -> str:
     return f"{t.path}/{name}"
 
 
-def _small(s, d) -> DataFrame:
-    return matrix(s, d).filter("i < 40 and j < 60")
-
-
 @query("io_coordinate", f"WITH {V} SELECT i, j, x FROM v")
 def io_coordinate(s, d):
     path = _path(s, "m.mmc")
@@ -550,26 +543,27 @@ def io_coordinate(s, d):
     return M.read_matrix(s, path)[0]
 
 
-@query("io_array", f"WITH {V} SELECT a.range AS i, b.range AS j, coalesce(x, 0) AS x FROM range(40) a CROSS JOIN range(60) b LEFT JOIN v ON v.i = a.range AND v.j = b.range")
+_DENSE = f"WITH {V} SELECT a.range AS i, b.range AS j, coalesce(x, 0) AS x FROM range((SELECT max(s_suppkey) + 1 FROM supplier)) a CROSS JOIN range((SELECT max(p_partkey) + 1 FROM part)) b LEFT JOIN v ON v.i = a.range AND v.j = b.range"
+
+
+@query("io_array", _DENSE)
 def io_array(s, d):
+    """The whole matrix in dense form."""
     path = _path(s, "m.mma")
-    M.write_matrix(_small(s, d), MatrixMeta(40, 60), path)
+    M.write_matrix(matrix(s, d), sizes(s, d), path)
     return M.read_matrix(s, path)[0]
 
 
-@query("io_factor", f"WITH {V} SELECT a.range AS i, CAST(b.range AS INTEGER) AS k, coalesce(x, 0) AS value FROM range(40) a CROSS JOIN range(60) b LEFT JOIN v ON v.i = a.range AND v.j = b.range")
-def io_factor(s, d):
-    path = _path(s, "f.mma")
-    M.write_matrix(_small(s, d), MatrixMeta(40, 60), path)
-    return long(M.read_factor(s, path, "w"), "i", "w")
-
-
-@query("io_array_whole")
-def io_array_whole(s, d):
-    """The whole matrix in dense form; no SQL, as it has every cell."""
-    path = _path(s, "whole.mma")
-    M.write_matrix(matrix(s, d), sizes(s, d), path)
-    return M.read_matrix(s, path)[0]
+@query("io_array_parts", _DENSE)
+def io_array_parts(s, d):
+    """The same from parts of unequal sizes, each larger than the one before it."""
+    one, two = _path(s, "m.mma"), _path(s, "parts.mma")
+    M.write_matrix(matrix(s, d), sizes(s, d), one)
+    lines = M.numbered_lines(s, one)
+    banner = s.createDataFrame([(-1, "%%MatrixMarket matrix array real general")], "n long, value string")
+    cut = F.pow(F.col("n") / lines.count(), F.lit(0.25))  # a fourth root: most lines come last
+    banner.union(lines).repartitionByRange(5, F.floor(cut * 5)).sortWithinPartitions("n").select("value").write.text(two)
+    return M.read_matrix(s, two)[0]
 
 
 @query("io_factor_rows", f"WITH {wl()} SELECT a.range AS i, CAST(b.range AS INTEGER) AS k, coalesce(w, 0) AS value FROM range((SELECT max(s_suppkey) + 1 FROM supplier)) a CROSS JOIN range({RANK}) b LEFT JOIN wl ON wl.i = a.range AND wl.k = b.range")
@@ -660,7 +654,7 @@ query("gnmf_fit")(fitted(method="gnmf", loss="Sl", epochs=4))
 query("lee_fit")(fitted(method="lee", loss="Gkl", epochs=4))
 query("sgd_fit")(fitted(method="sgd", update="Nzsl_Nzl2(0.01)", loss="Nzsl_Nzl2(0.01)", decay="BoldDriver(0.005)", epochs=2))
 query("dsgd_fit")(fitted(method="dsgd", update="Nzsl_L2(1)", loss="Nzsl_L2(1)", decay="BoldDriver(0.005)", epochs=2, blocks=4, group=2))
-query("dsgdpp_fit")(fitted(method="dsgdpp", update="Nzsl", loss="Nzsl", decay="Const(0.005)", epochs=1, blocks=3))
+query("overlapped_fit")(fitted(method="overlapped", update="Nzsl", loss="Nzsl", decay="Const(0.005)", epochs=1, blocks=3))
 query("asgd_fit")(fitted(method="asgd", update="Nzsl", loss="Nzsl", decay="Const(0.002)", epochs=2, blocks=4, average=True))
 query("csgd_fit")(fitted(method="csgd", update="Nzsl", regularize="L2(0.1)", loss="Nzsl_L2(0.1)", decay="Sequential(0.005,0.5)", epochs=2, blocks=4))
 query("auto_decay_fit")(fitted(method="dsgd", update="Nzsl", loss="Nzsl", decay="Auto(0.01,5)", epochs=2, blocks=2))
@@ -671,6 +665,9 @@ query("random_submatrix")(lambda s, d: P.random_submatrix(matrix(s, d), sizes(s,
 query("shuffle_rows")(lambda s, d: P.permuted(G.factor(s, 500, 4, "Normal(0,1)", 1), "i", P.permutation(500, s, 2)))
 
 
+from . import properties as _properties  # noqa: E402, F401  registers its queries
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """One alternating least squares half step on the supplier x part matrix."""
     v, w, h = problem_parts(s, d, plus=1)

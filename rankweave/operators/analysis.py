@@ -95,10 +95,9 @@ def offsets(sizes: DataFrame, order: str, value: str, keys: list[str]) -> DataFr
 
 def trace_lines(trace: DataFrame, name: str = "trace") -> DataFrame:
     """(epoch, line): a trace as the source of an R list, one line an entry between a first and a last one."""
-    number = lambda c: F.when(F.isnan(c), "NaN").otherwise(F.format_string("%.10g", F.col(c)))
     last = trace.agg(F.max("epoch").alias("last"))
     fields = ["it", "epoch", *(c for c in ("loss", "loss_test", "eps", "t_elapsed", "t_epoch", "t_loss", "t_loss_test") if c in trace.columns)]
-    parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string") if c in ("it", "epoch") else number(c)) for c in fields]
+    parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in fields]
     entry = F.concat(F.lit("list("), F.concat_ws(", ", *parts), F.when(F.col("epoch") == F.col("last"), ")").otherwise("),"))
     ends = trace.sparkSession.createDataFrame([(-1, f"{name} <- list(trace=list(")], "epoch long, line string").union(last.select((F.col("last") + 1).alias("epoch"), F.lit("));").alias("line")))
     return trace.join(F.broadcast(last)).select(F.col("epoch").cast("long").alias("epoch"), entry.alias("line")).union(ends)  # one row

@@ -31,7 +31,7 @@ def test_against_sql(spark, duck, name):
     same(catalogue.QUERIES[name](spark, SF).toPandas(), duck.execute(catalogue.ORACLE_SQL[name]).fetchdf())
 
 
-@pytest.mark.parametrize("name", ["als_fit", "gnmf_fit", "lee_fit", "dsgd_fit", "dsgdpp_fit", "asgd_fit", "csgd_fit", "sgd_fit", "auto_decay_fit"])
+@pytest.mark.parametrize("name", ["als_fit", "gnmf_fit", "lee_fit", "dsgd_fit", "overlapped_fit", "asgd_fit", "csgd_fit", "sgd_fit", "auto_decay_fit"])
 def test_fits_descend(spark, name):
     loss = [r.loss for r in catalogue.QUERIES[name](spark, SF).orderBy("epoch").collect()]
     assert loss[-1] < loss[0]
@@ -55,15 +55,16 @@ def wide(spark, tmp_path_factory):
 
 
 def test_dense_forms_are_whole(spark, wide):
-    got = {(r.i, r.j): r.x for r in catalogue.QUERIES["io_array_whole"](spark, wide).collect()}
+    got = {(r.i, r.j): r.x for r in catalogue.QUERIES["io_array"](spark, wide).collect()}
     assert got == {(i, j): float(i * 700 + j + 1) if (i * 700 + j + 1) % 3 else 0.0 for i in range(45) for j in range(700)}
+    assert got == {(r.i, r.j): r.x for r in catalogue.QUERIES["io_array_parts"](spark, wide).collect()}
     for name, key, size, a, b in (("io_factor_rows", "i", 45, 7, 13), ("io_factor_columns", "j", 700, 5, 11)):
         got = {(r[key], r.k): r.value for r in catalogue.QUERIES[name](spark, wide).collect()}
         assert got == {(i, k): (a * i + b * k) % 16 / 16 for i in range(size) for k in range(catalogue.RANK)}
 
 
 def test_splits_and_draws_cover_the_tables(spark, wide):
-    got = {r.j: (r.block, r.offset) for r in catalogue.QUERIES["split_indexes_whole"](spark, wide).collect()}
+    got = {r.j: (r.block, r.offset) for r in catalogue.QUERIES["split_indexes"](spark, wide).collect()}
     assert got == {j: (b, o) for b, ids in enumerate([range(a, a + n) for a, n in zip((0, 117, 234, 351, 468, 584), (117, 117, 117, 117, 116, 116))]) for o, j in enumerate(ids)}
     cells = [int(r.x) - 1 for r in catalogue.QUERIES["random_submatrix"](spark, wide).collect()]
     assert any(c // 700 >= 10 for c in cells) and any(c % 700 >= 200 for c in cells)
