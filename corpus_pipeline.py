@@ -19,23 +19,25 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8), the one of the smallest id; rows of one id go together, rows without an id stay."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): that of the smallest id, null ids last.
+
+    Rows are judged one by one, so repeated rows leave one, and another text under a duplicate's id stays.
+    """
+    return minhash.first_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no part of a ``benchmark`` item."""
+    """Documents that hold no part of a ``benchmark`` item; null texts, null ids and repeated rows stay."""
     return decontam.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets redacted."""
+    """All documents, their secrets redacted; null texts stay null, null ids and repeated rows stay."""
     return secretscan.redacted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 1,024 tokens."""
+    """Pieces of the documents and their places in sequences of 1,024 tokens; a null text is one piece, the end id, and each row has pieces of its own."""
     return packing.packed(docs)
 
 
