@@ -12,6 +12,7 @@ squares need no more to be near the bound, and each shard is one task of bounded
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from .common import Store, pieces, table, two_columns
 from .tokens import END_ID, default_path, encoder
 
 SHARD = 131_072
-PIECE = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-PIECE_SQL = "row long, id long, piece int, start long, length long, ids binary"
+PIECE = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+PIECE_SQL = "row long, id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +54,8 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def cut_pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
-    """(row, id, piece, start, length, ids): each document's ids and end id; a longer one in pieces of ``capacity``, the first with what is over."""
+def cut_pieces(docs: DataFrame, capacity: int, tokenizer: str, keep_ids: bool) -> DataFrame:
+    """(row, id, piece, start, length, ids_crc32, ids): each document's ids and end id; a longer one in pieces of ``capacity``, the first with what is over.  ``ids`` are null unless kept."""
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -64,7 +65,9 @@ def cut_pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
                 ids = np.append(ids, END_ID).astype("<u4")
                 first = (len(ids) - 1) % capacity + 1
                 edges = [0, *range(first, len(ids) + 1, capacity)]
-                rows += [(row, i, p, a, b - a, ids[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:]))]
+                for p, (a, b) in enumerate(zip(edges, edges[1:])):
+                    own = ids[a:b].tobytes()
+                    rows.append((row, i, p, a, b - a, zlib.crc32(own), own if keep_ids else None))
             yield table(PIECE, *map(list, zip(*rows)))
 
     return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, PIECE_SQL)
@@ -94,15 +97,14 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     as pieces belong to rows; other columns are not read; no rows give no pieces.
     """
     store = store or Store(docs.sparkSession)
-    cut = store.put(cut_pieces(two_columns(docs, id_col, text_col), capacity, tokenizer or default_path()), "pieces")
-    light = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return place(light, capacity).select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    cut = store.put(cut_pieces(two_columns(docs, id_col, text_col), capacity, tokenizer or default_path(), False).drop("ids"), "pieces")
+    return place(cut, capacity).select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str | None = None) -> DataFrame:
     """(sequence_id, ids, doc_ids, lengths): the sequences themselves, ready to train on."""
     store = Store(docs.sparkSession)
-    cut = store.put(cut_pieces(two_columns(docs, id_col, text_col), capacity, tokenizer or default_path()), "pieces")
+    cut = store.put(cut_pieces(two_columns(docs, id_col, text_col), capacity, tokenizer or default_path(), True), "pieces")
 
     def run(key, own):
         own = own.sort_by("offset")
