@@ -69,13 +69,16 @@ class Model:
     def kernel(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.marks) / np.sqrt(np.maximum(x.sum(axis=1)[:, None] * self.count[None, :], 1))
 
-    def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and lead of each text: how far its language's margin is above the mean of the others', whatever their number."""
         n = len(at) - 1
         if not len(self.weights):
-            return [self.langs[0] if self.langs else "und"] * n, np.zeros(n)
+            return [self.langs[0] if self.langs else "und"] * n, np.zeros(n), np.zeros(n)
         margin = np.concatenate([self.kernel(presence(data[at[i] : at[min(i + 128, n)]], at[i : i + 129] - at[i])) @ self.weights for i in range(0, n, 128)])
         p = np.exp(3 * (margin - margin.max(axis=1, keepdims=True)).astype(np.float64))
-        return [self.langs[i] for i in margin.argmax(axis=1)], p.max(axis=1) / p.sum(axis=1)
+        top, k = margin.max(axis=1), len(self.langs)
+        lead = top - (margin.sum(axis=1) - top) / (k - 1) if k > 1 else np.full(n, np.inf)
+        return [self.langs[i] for i in margin.argmax(axis=1)], p.max(axis=1) / p.sum(axis=1), lead
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 3000, most_bytes: int = 64 << 20, landmarks: int = 128, ridge: float = 1e-3) -> Model:
@@ -94,13 +97,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Model(x, [v for _, v in got], landmarks, ridge)
 
 
-def _scored(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
-    lang, score = model.predict(data, at)
+def _scored(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    lang, score, lead = model.predict(data, at)
     low = np.concatenate([[0], np.cumsum((data | 32) - 97 < 26)])
     for i in np.flatnonzero(low[at[1:]] == low[at[:-1]]).tolist():
         if not any(c.isalpha() for c in data[at[i] : at[i + 1]].tobytes().decode("utf8", "replace")):
             lang[i], score[i] = "und", 0.0
-    return lang, score
+    return lang, score, lead
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,20 +115,20 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch, data, at in pieces(batches):
-            lang, score = _scored(shared.value, data, at)
+            lang, score, _ = _scored(shared.value, data, at)
             yield table(SCORED, batch.column("id"), lang, score)
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, "id long, lang_pred string, score double")
 
 
-def known(docs: DataFrame, model: Model, least: float = 0.3, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and a score of ``least`` (chance among four is 0.25)."""
+def known(docs: DataFrame, model: Model, least: float = 0.08, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and ahead of the mean of the others by a margin of ``least`` (of about 2 for a sure one)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch, data, at in pieces(batches, text_col):
-            lang, score = _scored(shared.value, data, at)
-            yield batch.filter(pa.array([v != "und" and p >= least for v, p in zip(lang, score)], pa.bool_()))
+            lang, _, lead = _scored(shared.value, data, at)
+            yield batch.filter(pa.array([v != "und" and x >= least for v, x in zip(lang, lead)], pa.bool_()))
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

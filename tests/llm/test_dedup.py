@@ -84,6 +84,60 @@ def test_groups_of_edited_copies(spark):
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)) == brute(rows, 4)
 
 
+def test_passages_that_many_documents_share(spark):
+    """Half of each text is one passage, so buckets hold many documents that aren't near copies, and some that are."""
+    rng = random.Random(14)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for k in range(160):
+        own = [f"q{k // 2 if k % 5 == 0 else k}x{i}" for i in range(rng.choice([12, 20, 60]))]
+        texts.append(" ".join([*passage, *own] if k % 3 else [*own, *passage]))
+        if k % 4 == 0:
+            texts.append(texts[-1] + f" tail{k}")
+    rows = list(enumerate(texts))
+    want = brute(rows, 4)
+    assert 20 < len({x[2] for x in want}) < len(rows)
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)) == want
+
+
+def test_rare_shingles_hold_every_link(spark, monkeypatch):
+    """Pairs by prefix filter are all linked pairs of different components, whatever the order's counters hold, split groups too."""
+    monkeypatch.setattr(minhash, "MEET_ROWS", 3)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 80, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(60, 81)], rng.integers(0, 1 << 64, rng.integers(1, 12), dtype=np.uint64)])) for _ in range(60)]
+    name = lambda i: bytes([i])
+    df = spark.createDataFrame([(bytearray(name(i)), bytearray(name(200 + i % 7 if i < 20 else i)), len(x), bytearray(x.tobytes())) for i, x in enumerate(sets)], "ck binary, comp binary, n long, hashes binary")
+    pairs = {(bytes(r.a)[0], bytes(r.b)[0]) for r in minhash.apart(Store(spark), minhash.rarest(df, 80, 100, 1 << 8), 80, 100).collect()}
+    comp = lambda i: i % 7 if i < 20 else 100 + i
+    linked = {(a, b) for b in range(60) for a in range(b) if comp(a) != comp(b) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert linked and linked <= pairs
+
+
+def test_joins_on_hot_keys(spark):
+    big = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(5000)], "k long, x long")
+    small = big.groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n").selectExpr("k", "n", "k * 2 as y").filter("k <> 9")
+    out = graph.attach(Store(spark), big, small, "k", "n", 5000)
+    assert sorted((r.k, r.x, r.y) for r in out.collect()) == sorted((k, i, 2 * k) for i in range(5000) if (k := 0 if i % 3 else i) != 9)
+
+
+def test_one_row_of_each_component_stays(spark, odd, none, tmp_path):
+    """Rows are judged by their own text: repeated rows leave one, another text under a duplicate's id stays, and so do rows without words."""
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, near), (7, near + " end"), (7, "a text unlike anything else here"), (5, near), (5, near), (None, near), (None, "only here and nowhere else"), (9, None), (9, None), (9, " "), (8, "short"), (8, "short")]
+    rows = [(i, t, k, "x", 0) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int, row_key string, _metadata int")
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/rows")
+    for docs in (df, spark.read.parquet(f"file://{tmp_path}/rows"), df.repartition(5)):
+        out = minhash.first_of_each(docs)
+        kept = [r.mark for r in out.collect()]
+        assert out.columns == df.columns and len(kept) == 7 and set(kept) - {10, 11} == {0, 2, 6, 7, 8, 9}
+    for docs in (odd, none):
+        sets = [shingles(r.text, 5) for r in docs.collect()]
+        links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert minhash.first_of_each(docs).count() == len(set(components(len(sets), links)))
+
+
 def test_word_hashes():
     texts = ["A b\tc", "", " a  B C ", "é É", "x" * 300]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -163,6 +217,21 @@ def test_vector_table_and_recall(spark):
     assert full == sum(x[1] for x in vector_brute(rows, 0.5)) and 0.9 * full <= part <= full
 
 
+def test_blocks_of_one_cell_and_wide_numbers(spark, monkeypatch):
+    """Cells of several blocks on both sides, and components that 4 bytes don't hold."""
+    monkeypatch.setattr(multiindex, "BLOCK", 7)
+    monkeypatch.setattr(multiindex, "CELL_ROWS", 16)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=6)
+    rows = []
+    for k in range(160):
+        v = centre + rng.normal(size=6) * (0.01 if k % 2 else 0.5)
+        rows.append((k, 1, (v.astype(np.float32).astype(float) if k % 3 else v * (1e200 if k % 7 == 0 else 1)).tolist()))
+    rows += [(200 + k, 1, rows[5][2]) for k in range(30)]
+    df = spark.createDataFrame([(*r, "r", "g") for r in rows], SCHEMA)
+    assert links_of(multiindex.vector_duplicates(df)) == vector_brute([(i, g, (np.array(v) / np.abs(v).max()).tolist()) for i, g, v in rows])
+
+
 def test_border_distance_is_a_lower_bound():
     rng = np.random.default_rng(6)
     c, x, y = rng.normal(size=(9, 5)), rng.normal(size=(40, 5)), rng.normal(size=(60, 5))
@@ -172,3 +241,8 @@ def test_border_distance_is_a_lower_bound():
     assert (m[:, near] <= d + 1e-9).all()
     cells = multiindex.traverse(np.array([0.0, 3, 1]), np.array([2.0, 0]), 3.0)
     assert cells[:3] == [(0, 1), (2, 1), (0, 0)] and set(cells[3:]) == {(1, 1), (2, 0)}
+    for _ in range(50):
+        m1, m2, stop = rng.random(9), rng.random(7), rng.random() * 1.5
+        cells = multiindex.traverse(m1, m2, stop)
+        assert sorted(cells) == [(i, j) for i in range(9) for j in range(7) if m1[i] + m2[j] <= stop]
+        assert (np.diff([m1[i] + m2[j] for i, j in cells]) >= 0).all()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from rankweave.llm import langid, quality, toxicity
+from rankweave.llm.common import bounded_sample, near_fraction
 from tests.conftest import SF
 
 SF1 = "/root/testdata/sf0.01"
@@ -77,6 +78,63 @@ def test_labels_of_odd_rows(spark, odd, none, module):
         assert len(scores) == 1 and 0 < scores.pop() < 1
 
 
+def test_samples_are_bounded(spark):
+    one = spark.range(2000).selectExpr("1L as id", "repeat(cast(id as string), 5) as text")
+    assert bounded_sample(one, 300, "text").count() == 300 and bounded_sample(one.selectExpr("cast(null as long) as id", "text"), 300, "text").count() == 300
+    assert bounded_sample(one.selectExpr("id", "'same' as text"), 300, "text").count() == 1 and bounded_sample(one.limit(0), 300, "text").count() == 0
+    huge = one.limit(20).union(spark.range(1).selectExpr("9L as id", "repeat('x', 5000000) as text"))
+    assert bounded_sample(huge, 300, "text", 1 << 20).count() == 20
+    rows = bounded_sample(one, 300, "text", 2000).collect()
+    assert 0 < sum(len(r.text) for r in rows) <= 2000 and rows == bounded_sample(one.repartition(3), 300, "text", 2000).orderBy("text").collect() or len(rows) > 1
+    many = spark.range(50_000)
+    assert near_fraction(many, "id", 30_000).count() == 50_000 and 1500 < near_fraction(many, "id", 1000).count() < 2500
+
+
+@pytest.mark.parametrize("module,target", [(quality, "quality"), (toxicity, "toxic")])
+def test_training_rows_that_repeat(spark, module, target):
+    """Repeated and null ids among documents and labels, and a text of some MB, bound neither the sample nor its use."""
+    docs = spark.range(900).selectExpr("case when id % 3 = 0 then 7 when id % 50 = 1 then null else id end as doc_id", "concat('plain words number ', id, case when id % 2 = 0 then ' vile stuff' else ' fine' end) as text")
+    docs = docs.union(spark.range(1).selectExpr("7L as doc_id", "repeat('word ', 600000) as text"))
+    labels = docs.selectExpr("doc_id", f"case when text like '%vile%' then 1 else 0 end as {target}")
+    assert quality.labelled(docs, labels, target, 100, 1 << 20, "doc_id", "text").count() <= 100
+    model = module.train(docs, labels, most=100)
+    assert module.score(docs, model).count() == 901
+
+
+def test_attention_gradient_against_differences():
+    """What one training step moves along is the slope of the loss."""
+    rng = np.random.default_rng(4)
+    x, first, y = rng.normal(size=(14, quality.WIDTH)).astype(np.float64), np.array([0, 3, 4, 9, 14]), np.array([0, 1, 1, 0.0])
+    m = quality.Model(x, first, y, epochs=0)
+    grad = m.gradient(x, first, y)
+    loss = lambda: -np.mean(y * np.log(m.score(x, first)) + (1 - y) * np.log(1 - m.score(x, first)))
+    for name, g in grad.items():
+        for _ in range(6):
+            k = tuple(rng.integers(0, n) for n in g.shape)
+            old = m.p[name][k]
+            m.p[name][k] = old + 1e-5
+            up = loss()
+            m.p[name][k] = old - 1e-5
+            down = loss()
+            m.p[name][k] = old
+            assert np.isclose(g[k], (up - down) / 2e-5, rtol=1e-3, atol=1e-7), (name, k)
+
+
+def test_ridge_solution_of_all_landmarks():
+    """With every text a landmark the Nystrom solution is that of plain kernel ridge regression with weights."""
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abcde " if k % 2 else "defgh "), 40)).encode() for k in range(24)]
+    y = ["odd" if k % 2 else "even" for k in range(24)]
+    x = langid.presence(np.frombuffer(b"".join(texts), np.uint8), np.arange(25) * 40)
+    ridge = 0.5
+    m = langid.Model(x, y, 24, ridge)
+    n = x.sum(axis=1)
+    kernel = (x @ x.T) / np.sqrt(n[:, None] * n[None, :])
+    target = np.where(np.array(y)[:, None] == np.array(["even", "odd"])[None, :], 1.0, -1.0)
+    plain = kernel @ np.linalg.solve(kernel + ridge / 24 * 12 * np.eye(24), target)
+    assert np.allclose(m.kernel(x) @ m.weights, plain, atol=1e-3)
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(30, quality.WIDTH)).astype(np.float32)
@@ -110,6 +168,45 @@ def test_marginals_against_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
 
 
+def plain_marginals(emission, trans):
+    """Probability of tag 1 of each word of one chain, by the recursion over single words in logarithms."""
+    n = len(emission)
+    e = np.column_stack([np.zeros(n), np.clip(emission, -30, 30)])
+    f, b = [e[0]], [np.zeros(2)]
+    for t in range(1, n):
+        f.append(np.logaddexp(f[-1][0] + trans[0], f[-1][1] + trans[1]) + e[t])
+    for t in range(n - 1, 0, -1):
+        m = trans + (e[t] + b[-1])[None, :]
+        b.append(np.logaddexp(m[:, 0], m[:, 1]))
+    s = np.array(f) + np.array(b[::-1])
+    return 1 / (1 + np.exp(s[:, 0] - s[:, 1]))
+
+
+def test_chains_of_any_length():
+    rng = np.random.default_rng(5)
+    size = np.array([1, 63, 64, 65, 128, 1000, 7, 5000, 129])
+    first = np.concatenate([[3], 3 + np.cumsum(size)[:-1]])
+    emission, trans = rng.normal(size=size.sum() + 3) * 3, np.array([[2.0, -1.5], [-1.0, 2.5]])
+    p, pairs = toxicity.marginals(emission, first, size, trans)
+    for a, n in zip(first, size):
+        assert np.allclose(p[a : a + n], plain_marginals(emission[a : a + n], trans), atol=1e-9)
+    assert np.isclose(pairs.sum(), (size - 1).sum())
+
+
+def test_toxic_scores_against_plain_recursion(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        data = np.frombuffer(texts[r.id].encode(), np.uint8)
+        f, start, end, _ = toxicity.features(data, np.array([0, len(data)]))
+        p = plain_marginals(model.w[f].sum(axis=1) + model.bias, model.trans) if len(f) else np.zeros(0)
+        top, total = min(max([1e-6, *p]), 1 - 1e-6), p.sum()
+        s = model.doc @ [1, np.log(top / (1 - top)) / 5, np.log1p(total)]
+        assert np.isclose(r.score, 1 / (1 + np.exp(-s)), atol=1e-6)
+        assert r.starts == [len(data[:a].tobytes().decode("utf8", "ignore")) for a, x in zip(start, p) if x > 0.5] or abs(p - 0.5).min() < 1e-6
+
+
 def test_toxic_spans_are_words(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF1}/documents.parquet").collect()}
     found = [r for r in toxicity.op7_toxicity_crf(spark, SF1).collect() if r.starts]

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from rankweave.llm import castore, packing
+from rankweave.llm import castore, packing, tokens
 from rankweave.llm.common import pieces
 from rankweave.llm.tokens import END_ID, Encoder, default_path
 from tests.conftest import SF
@@ -33,6 +33,19 @@ def test_encoder_is_exact_on_odd_text():
         assert all(np.array_equal(a, b) for a, b in zip(got, plain(texts)))
 
 
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """With 64 hashes for all words, every text still has its own ids."""
+    real = tokens._hash
+    monkeypatch.setattr(tokens, "_hash", lambda *a: real(*a) & np.uint64(0x3F << 58))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.choice([1, 3, 7, 8, 9, 15, 16]))) + rng.choice(["", ",", "."]) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    enc, got = Encoder(default_path()), []
+    for _, data, at in pieces(pa.table({"text": texts}).to_batches(), size=3000):
+        got += enc.encode(data, at)
+    assert all(np.array_equal(a, b) for a, b in zip(got, plain(texts)))
+
+
 def read(spark, docs, tmp_path):
     castore.write_store(docs, f"file://{tmp_path}/s", parts=3)
     return castore.read_digests(spark, f"file://{tmp_path}/s").toPandas().sort_values("start")
