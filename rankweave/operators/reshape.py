@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,10 +58,21 @@ def random_submatrix(v: DataFrame, meta: MatrixMeta, n1: int, n2: int | None = N
     return submatrix(v, draw(meta.size1, n1, seed), draw(meta.size2, n2, seed + 1))._replace(meta=MatrixMeta(n1, n2))
 
 
+def _as_table(v: DataFrame) -> DataFrame:
+    """``v`` itself if it is a scan of files, else as written and read back: what several plans read is computed once."""
+    try:
+        v.metadataColumn("_metadata")
+        return v
+    except AnalysisException:
+        return Tables(v.sparkSession).put(v.select("i", "j", "x"))
+
+
 def frequent(v: DataFrame | Projected, threshold: int = 0) -> Projected:
     """Rows and columns with more than ``threshold`` entries, counted once on the input; maps of a projected input lead to its own originals."""
-    data = v.data if isinstance(v, Projected) else v
-    keep = [renumbered(A.nnz_of(data, axis).filter(F.col("nnz") > threshold), axis) for axis in ("i", "j")]
+    data = _as_table(v.data if isinstance(v, Projected) else v)
+    counts = data.groupingSets([["i"], ["j"]], "i", "j").agg(F.count("*").alias("nnz"), F.grouping("i").alias("of_j"))
+    counts = Tables(data.sparkSession).put(counts.filter(F.col("nnz") > threshold).drop("nnz"))  # both axes in one pass
+    keep = [renumbered(counts.filter(F.col("of_j") == k), axis) for k, axis in enumerate(("i", "j"))]
     out = submatrix(data, *keep)
     return Projected(out.data, compose(out.map1, v.map1), compose(out.map2, v.map2)) if isinstance(v, Projected) else out
 
