@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import Store, pieces, table, two_columns, with_row_key
-from .graph import attach, components
+from .graph import attach, components, sent
 
 SIGS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("ck", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("ck", pa.binary()), ("n", pa.int64()), ("hashes", pa.binary())])
@@ -100,13 +100,14 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, bits: int, seed:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(ck, n, hashes): the sorted 64-bit hashes of each document's shingle set, with the set's fingerprint."""
+    """(ck, n, hashes): the sorted 64-bit hashes of the shingle set of each document (text, ck) whose fingerprint is ``ck``."""
 
     def run(batches):
-        for _, sets in _sets(batches, k):
-            yield table(SETS, [_fingerprint(s) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets])
+        for batch, sets in _sets(batches, k):
+            own = [(c, s) for c, s in zip(batch.column("ck").to_pylist(), sets) if _fingerprint(s) == c]
+            yield table(SETS, [c for c, _ in own], [len(s) for _, s in own], [s.tobytes() for _, s in own])
 
-    return docs.mapInArrow(run, "ck binary, n long, hashes binary")
+    return docs.select("text", "ck").mapInArrow(run, "ck binary, n long, hashes binary")
 
 
 def _slot(hashes: np.ndarray, counters: int) -> np.ndarray:
@@ -166,12 +167,10 @@ def verify(store: Store, pairs: DataFrame, sets: DataFrame, num: int, den: int)
     The leaders' sets are sent once for every ``SALT_ROWS`` of their members, and a task streams
     over the members with one leader's set in memory: no group is ever held, whatever its size.
     """
-    size = pairs.groupBy("a").agg(F.count("*").alias("size")).withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int"))
-    member = (
-        attach(store, pairs, size, "a", "size", pairs.count()).join(sets.withColumnRenamed("ck", "b"), "b")
-        .select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "n", "hashes")
-    )
-    leader = size.join(sets.withColumnRenamed("ck", "a"), "a").select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "n", "hashes")
+    size = store.put(pairs.groupBy("a").agg(F.count("*").alias("size")).withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int")), "sizes")
+    salted = store.put(attach(store, pairs, size, "a", "size", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")), "salted")
+    member = sets.withColumnRenamed("ck", "b").join(sent(salted), "b").select("a", "b", "salt", "n", "hashes")
+    leader = sets.withColumnRenamed("ck", "a").join(sent(size), "a").select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "n", "hashes")
 
     def run(batches):
         whose, own = None, None
@@ -221,8 +220,8 @@ def decisions(
     members = store.put(shared.select("bk", "ck").join(score, "ck"), "members")
     n_members = members.count()
     hubs = members.groupBy("bk").agg(F.max_by("ck", F.struct("score", "ck")).alias("hub"), F.count("*").alias("size"))
-    wanted = members.select("ck").distinct().join(classes.select("ck", F.col("top.row").alias("row")), "ck")
-    sets = store.put(shingle_sets(docs.join(wanted.select("row").distinct(), "row"), k).join(wanted.select("ck"), "ck", "left_semi").dropDuplicates(["ck"]), "sets")
+    wanted = store.put(members.select("ck").distinct().join(classes.select("ck", F.col("top.row").alias("row")), "ck"), "wanted")
+    sets = store.put(shingle_sets(docs.join(sent(wanted), "row"), k), "sets")
 
     pairs = store.put(attach(store, members.select("bk", "ck"), hubs, "bk", "size", n_members).select(F.col("hub").alias("a"), F.col("ck").alias("b")).filter("a <> b").distinct(), "pairs")
     links = store.put(verify(store, pairs, sets, num, den), "verified")
@@ -232,7 +231,7 @@ def decisions(
     broken = placed.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("bk", "size")
     rest = store.put(attach(store, placed, broken, "bk", "size", n_members).select("ck", "comp").distinct(), "broken")
     if not rest.isEmpty():
-        more = apart(store, rarest(sets.join(rest, "ck"), num, den), num, den)
+        more = apart(store, rarest(sets.join(sent(rest), "ck"), num, den), num, den)
         more = store.put(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
         links = store.put(verify(store, more, sets, num, den), "verified2")
         if not links.isEmpty():
