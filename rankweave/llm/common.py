@@ -76,6 +76,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", size: int
             stop = max(start + 1, int(np.searchsorted(at, at[start] + size, side="right")) - 1)
             yield batch.slice(start, stop - start), data[at[start] : at[stop]], at[start : stop + 1] - at[start]
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on after a task
 
 
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ from . import words as W
 from .common import Store, fold, table, two_columns, utf8
 
 #: Rows of a block, bytes of a text that is a block of its own, text bytes a reducer's share, buckets of context frequency, histogram steps an octave.
-BLOCK_ROWS, LONE, SHARE, BUCKETS, STEPS = 1024, 1 << 17, 8 << 20, 24, 4
+BLOCK_ROWS, LONE, SHARE, BUCKETS, STEPS = 1024, 1 << 17, 8 << 20, 24, 8
 _END, _START = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 _ONE = np.uint64(1)
 GRAMS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("main", pa.binary()), ("fold", pa.binary())])

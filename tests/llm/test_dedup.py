@@ -60,6 +60,15 @@ def test_odd_texts(spark, odd, k):
     assert got(minhash.near_duplicates(odd, k=k)) == brute(rows, k)
 
 
+@pytest.mark.parametrize("rows", ["SENT_ROWS", "HOT_ROWS"])
+def test_table_by_shuffles_and_hot_keys(spark, monkeypatch, rows):
+    """The same without broadcasts, and with every key hot."""
+    monkeypatch.setattr(graph, "SENT_ROWS", 0)
+    monkeypatch.setattr(graph, rows, 0)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert got(minhash.op3_minhash_dedup(spark, SF)) == brute([(r.doc_id, r.text) for r in docs.collect()], 4)
+
+
 def test_no_rows(spark, none):
     assert minhash.near_duplicates(none).count() == 0
 
@@ -114,7 +123,9 @@ def test_rare_shingles_hold_every_link(spark, monkeypatch):
     assert linked and linked <= pairs
 
 
-def test_joins_on_hot_keys(spark):
+@pytest.mark.parametrize("sent_rows", [1 << 18, 10])
+def test_joins_on_hot_keys(spark, monkeypatch, sent_rows):
+    monkeypatch.setattr(graph, "SENT_ROWS", sent_rows)
     big = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(5000)], "k long, x long")
     small = big.groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n").selectExpr("k", "n", "k * 2 as y").filter("k <> 9")
     out = graph.attach(Store(spark), big, small, "k", "n", 5000)
