@@ -2,8 +2,8 @@
 
 Entries are cut into blocks (b1, b2) once and kept as rows of three arrays; factors as one row a
 block.  In a sub-epoch every row block meets one column block, as a schedule says, and no two
-meet the same; so blocks run side by side and the result is that of some serial order.  An
-epoch is one job: each sub-epoch deals the factor blocks anew, and each data block moves once.
+meet the same; so blocks run side by side and the result is that of some serial order.  Up to
+``CUT`` sub-epochs are one job: each deals the factor blocks anew, and each data block moves once.
 Seeds are of (seed, epoch, b1, b2): results do not depend on the cluster.
 """
 
@@ -26,6 +26,8 @@ from .store import Tables
 FACTOR_SQL = "side string, b long, flat binary, n binary"
 #: Regularizers that act inside each stratum, on the blocks it touches, with a step divided by the number of strata.
 PER_STRATUM = ("L1", "L2", "Nzl2")
+#: Sub-epochs of one job.
+CUT = 16
 
 
 @dataclass(frozen=True)
@@ -139,12 +141,14 @@ class Stratified:
         return left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(run, FACTOR_SQL)
 
     def epoch(self, number: int, eps: float, seed: int, order: str = "COWOR", group: int = 1) -> None:
-        """All sub-epochs of one pass in one job; only its end is written."""
+        """All sub-epochs of one pass; its end is written, and every ``CUT`` sub-epochs, so that plans and what a lost executor repeats stay bounded."""
         rng = np.random.default_rng([seed, number])
         plan = overlapped_schedule(self.rows.blocks, rng) if self.cols.blocks == 2 * self.rows.blocks else stratum_schedule(order, self.rows.blocks, rng, group)
         factors = self.factors
         for s, meets in enumerate(plan):
             factors = self.sub_epoch(factors, meets, eps, (seed, number, s))
+            if (s + 1) % CUT == 0 and s + 1 < len(plan):
+                factors = self.tables.put(factors)
         self.factors = self.tables.put(factors)
 
     def set_factors(self, w: DataFrame, h: DataFrame) -> None:
