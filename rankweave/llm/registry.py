@@ -19,6 +19,7 @@ from .multiindex import op8_vector_dedup
 from .ngram import op5_interpolated_lm
 from .packing import op4_best_fit_packing
 from .quality import op2_quality_mil
+from .repeats import op13_suffix_dedup
 from .secretscan import op10_secret_scan
 from .toxicity import op7_toxicity_crf
 
@@ -38,7 +39,7 @@ QUERIES = {
     for q in (
         op1_content_store, op2_quality_mil, op3_minhash_dedup, op4_best_fit_packing, op5_interpolated_lm,
         op6_language_id, op7_toxicity_crf, op8_vector_dedup, op9_decontamination, op10_secret_scan,
-        language_model_base, secret_base,
+        op13_suffix_dedup, language_model_base, secret_base,
     )
 }
 
@@ -77,6 +78,12 @@ ORACLE_SQL: dict[str, str] = {
         l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.98), {_REACH},
         n AS (SELECT a AS id, count(*) AS n FROM both_ GROUP BY 1)
         SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM e LEFT JOIN least ON least.id = vec_id LEFT JOIN n ON n.id = vec_id""",
+    "op13_suffix_dedup": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS p FROM t),
+        g AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY g) AS dup FROM (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x, CASE WHEN 2 * p + 100 <= len(h) THEN substr(h, 2 * p + 1, 100) END AS g FROM b)),
+        r AS (SELECT doc_id, p, x, coalesce(p - max(CASE WHEN g IS NOT NULL AND dup THEN p END) OVER (PARTITION BY doc_id ORDER BY p) < 50, false) AS gone FROM g),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS first FROM r),
+        s AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE first) AS n_spans, sha256(unhex(coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), ''))) AS kept_sha256 FROM e GROUP BY 1)
+        SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM t LEFT JOIN s USING (doc_id)""",
     "language_model_base": f"""WITH w AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS}, '') AS w FROM documents), u AS (SELECT doc_id, held_out, unnest(w) AS t FROM w),
         c AS (SELECT t, count(*) AS c FROM u WHERE NOT held_out GROUP BY 1), n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
         SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
