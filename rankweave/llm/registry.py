@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .castore import op1_content_store
 from .decontam import op9_decontamination
 from .langid import op6_language_id
+from .lexical import op12_lexical_search
 from .minhash import op3_minhash_dedup
 from .multiindex import op8_vector_dedup
 from .ngram import op5_interpolated_lm
@@ -39,11 +40,12 @@ QUERIES = {
     for q in (
         op1_content_store, op2_quality_mil, op3_minhash_dedup, op4_best_fit_packing, op5_interpolated_lm,
         op6_language_id, op7_toxicity_crf, op8_vector_dedup, op9_decontamination, op10_secret_scan,
-        op13_suffix_dedup, language_model_base, secret_base,
+        op12_lexical_search, op13_suffix_dedup, language_model_base, secret_base,
     )
 }
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x20\\x09-\\x0D]+')"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 #: Smallest id that each id reaches by links l(a, b).
 _REACH = """both_ AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON e.a = r.b),
     least AS (SELECT a AS id, least(a, min(b)) AS component_id FROM reach GROUP BY a)"""
@@ -78,6 +80,12 @@ ORACLE_SQL: dict[str, str] = {
         l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.98), {_REACH},
         n AS (SELECT a AS id, count(*) AS n FROM both_ GROUP BY 1)
         SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM e LEFT JOIN least ON least.id = vec_id LEFT JOIN n ON n.id = vec_id""",
+    "op12_lexical_search": f"""WITH d AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents), p AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY 1, 2), n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY 1),
+        a AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM n), f AS (SELECT t, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY 1),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score FROM q JOIN f USING (t) JOIN p USING (t) JOIN n USING (doc_id), a GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0)
+        SELECT item_id, k::INTEGER AS rank, doc_id, score FROM r WHERE k <= 50""",
     "op13_suffix_dedup": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS p FROM t),
         g AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY g) AS dup FROM (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x, CASE WHEN 2 * p + 100 <= len(h) THEN substr(h, 2 * p + 1, 100) END AS g FROM b)),
         r AS (SELECT doc_id, p, x, coalesce(p - max(CASE WHEN g IS NOT NULL AND dup THEN p END) OVER (PARTITION BY doc_id ORDER BY p) < 50, false) AS gone FROM g),

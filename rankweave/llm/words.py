@@ -36,12 +36,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the n + 1 offsets of the texts' words."""
+def spans(data: np.ndarray, at: np.ndarray, white: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the n + 1 offsets of the texts' words; ``white`` marks the bytes that no word holds."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     edge = np.ones(len(data) + 1, bool)  # here a word must end: a white byte or a text's end
-    edge[:-1] = _SPACE[data]
+    edge[:-1] = white[data]
     word = ~edge[:-1]
     edge[at] = True
     before = np.empty(len(data), bool)  # white byte before, or a text's start
