@@ -19,6 +19,7 @@ from .minhash import op3_minhash_dedup
 from .multiindex import op8_vector_dedup
 from .ngram import op5_interpolated_lm
 from .packing import op4_best_fit_packing
+from .phrases import op11_collocations
 from .quality import op2_quality_mil
 from .repeats import op13_suffix_dedup
 from .secretscan import op10_secret_scan
@@ -40,7 +41,7 @@ QUERIES = {
     for q in (
         op1_content_store, op2_quality_mil, op3_minhash_dedup, op4_best_fit_packing, op5_interpolated_lm,
         op6_language_id, op7_toxicity_crf, op8_vector_dedup, op9_decontamination, op10_secret_scan,
-        op12_lexical_search, op13_suffix_dedup, language_model_base, secret_base,
+        op11_collocations, op12_lexical_search, op13_suffix_dedup, language_model_base, secret_base,
     )
 }
 
@@ -80,6 +81,16 @@ ORACLE_SQL: dict[str, str] = {
         l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.98), {_REACH},
         n AS (SELECT a AS id, count(*) AS n FROM both_ GROUP BY 1)
         SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM e LEFT JOIN least ON least.id = vec_id LEFT JOIN n ON n.id = vec_id""",
+    "op11_collocations": f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p), i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        n AS (SELECT lang, count(*) AS n FROM i GROUP BY 1), g AS (SELECT lang, w[i:i + k - 1] AS g FROM i, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, array_to_string(g, ' ') AS x, any_value(g) AS g, count(*) AS a FROM g GROUP BY 1, 2 HAVING count(*) >= 10),
+        c AS (SELECT lang, x, g, a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+        s AS (SELECT c.lang, c.x, c.a, c.k, u.a AS l, v.a AS r, 1000000::HUGEINT * c.a * c.a // (u.a::HUGEINT * v.a) AS score FROM c JOIN f u ON u.lang = c.lang AND u.x = array_to_string(c.g[:c.k], ' ') JOIN f v ON v.lang = c.lang AND v.x = array_to_string(c.g[c.k + 1:], ' ')),
+        m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1),
+        h AS (SELECT lang, x, max(a) AS most FROM (SELECT lang, array_to_string(g[:2], ' ') AS x, a FROM f WHERE len(g) = 3 UNION ALL SELECT lang, array_to_string(g[2:], ' '), a FROM f WHERE len(g) = 3) GROUP BY 1, 2),
+        r AS (SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, encode(m.x)) AS rank, m.x AS phrase, a, l, r, score FROM m LEFT JOIN h ON h.lang = m.lang AND h.x = m.x WHERE most IS NULL OR 100 * most < 50 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000""",
     "op12_lexical_search": f"""WITH d AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents), p AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY 1, 2), n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY 1),
         a AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM n), f AS (SELECT t, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY 1),
         q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
