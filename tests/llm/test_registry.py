@@ -10,7 +10,7 @@ from tests.conftest import SF
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want, got = con.execute(registry.ORACLE_SQL[name]).fetchdf(), registry.QUERIES[name](spark, SF).toPandas()
     cols = sorted(want.columns)
