@@ -101,8 +101,8 @@ def with_row_key(docs: DataFrame, store: Store) -> tuple[DataFrame, str]:
 
 
 def near_fraction(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Rows of about ``2 * most`` values of ``key``, by the smallest hashes; all rows if they are no more than that.  No text is read, nothing is moved."""
-    n = rows.select(key).count()
+    """Rows of about ``2 * most`` values of ``key``, by the smallest hashes; all rows if their values are no more than that.  No text is read, only sketches are moved."""
+    n = rows.agg(F.approx_count_distinct(key)).head()[0]
     if n <= 2 * most:
         return rows
     return rows.filter(F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(41)), 1) < F.lit(int(2 * most / n * (1 << 63))))

@@ -26,7 +26,6 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,55 +72,74 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-class _Document:
-    """Spans of the characters of the document itself."""
+class _Spans:
+    """Source spans of the characters of a layer, by number.
+
+    ``step(i, side)`` gives the place in the parent layer of the first (side 0) or last (1) character
+    that character ``i`` came from; a layer without parent has ``edge(i, side)`` in the document.
+    """
+
+    parent = None
 
     def __getitem__(self, i: int) -> tuple[int, int]:
-        return i, i + 1
+        out = []
+        for side in (0, 1):
+            where, at = self, i
+            while where.parent is not None:  # however deep layers are
+                where, at = where.parent, where.step(at, side)
+            out.append(where.edge(at, side))
+        return out[0], out[1]
+
+
+class _Document(_Spans):
+    """Spans of the characters of the document itself."""
+
+    def edge(self, i: int, side: int) -> int:
+        return i + side
 
 
-class _Edited:
+class _Edited(_Spans):
     """Spans of a layer that is its parent with parts replaced; new characters have the span of what they replace."""
 
     def __init__(self, parent):
         self.parent = parent
         self.begin, self.stop, self.a, self.b = (array("q") for _ in range(4))
 
-    def __getitem__(self, i: int) -> tuple[int, int]:
+    def step(self, i: int, side: int) -> int:
         k = bisect_right(self.begin, i) - 1
         if k < 0:
-            return self.parent[i]
+            return i
         if i < self.stop[k]:
-            return self.parent[self.a[k]][0], self.parent[self.b[k] - 1][1]
-        return self.parent[self.b[k] + i - self.stop[k]]
+            return self.b[k] - 1 if side else self.a[k]
+        return self.b[k] + i - self.stop[k]
 
 
-class _Packed:
+class _Packed(_Spans):
     """One span for all characters."""
 
     def __init__(self, start: int, end: int):
         self.span = start, end
 
-    def __getitem__(self, i: int) -> tuple[int, int]:
-        return self.span
+    def edge(self, i: int, side: int) -> int:
+        return self.span[side]
 
 
-class _Base64:
+class _Base64(_Spans):
     """Spans of text that starts at byte ``at`` of what the base64 characters at ``place`` of the parent hold from number ``start`` on."""
 
     def __init__(self, parent, place: Sequence[int], text: str, at: int, start: int):
         self.parent, self.place, self.text, self.at, self.start, self.sizes = parent, place, text, at, start, None
 
-    def __getitem__(self, i: int) -> tuple[int, int]:
+    def step(self, i: int, side: int) -> int:
+        i += side
         if self.text.isascii():
-            a, b = self.at + i, self.at + i + 1
+            at = self.at + i
         else:
             if self.sizes is None:
                 code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
                 self.sizes = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
-            a, b = self.at + int(self.sizes[i]), self.at + int(self.sizes[i + 1])
-        first, last = self.start + a * 4 // 3, min(len(self.place), self.start - (-b * 4 // 3)) - 1
-        return self.parent[int(self.place[first])][0], self.parent[int(self.place[last])][1]
+            at = self.at + int(self.sizes[i])
+        return int(self.place[min(len(self.place), self.start - (-at * 4 // 3)) - 1 if side else self.start + at * 4 // 3])
 
 
 def _replaced(text: str, where, edits: Iterable[tuple[int, int, str]]) -> tuple[str, _Edited] | None:
@@ -174,22 +192,20 @@ def _opener(data: bytes):
     return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\0" else None
 
 
-def _filled(stream: Iterator[bytes], data: bytes = b"") -> bytes:
-    """``data`` and what follows, until a header's length is there."""
-    for more in stream:
+def _fill(data: bytes = b""):
+    """``data`` and what follows, until a header's length is there; yields None for each piece it asks for."""
+    while len(data) < 6 and (more := (yield)) is not None:
         data += more
-        if len(data) >= 6:
-            break
     return data
 
 
-def _unpacked(stream: Iterator[bytes], rest: list[int] | None = None) -> Iterator[bytes]:
-    """What all members of a packed stream unpack to, in pieces of ``PIECE`` bytes at most.
+def _unpacking(data: bytes = b"", rest: list[int] | None = None):
+    """A coroutine that unpacks all members of a stream: it yields None to be sent the next piece (None at the end), or a piece of at most ``PIECE`` bytes.
 
     A member that breaks off gives what came before the fault; one that gives nothing, and what
     follows the last member, come as they are, or ``rest`` gets the size of what was read of the latter.
     """
-    data = _filled(stream)
+    data = yield from _fill(data)
     while (d := _opener(data)) is not None:
         held, some = [data], False
         try:
@@ -200,38 +216,92 @@ def _unpacked(stream: Iterator[bytes], rest: list[int] | None = None) -> Iterato
                     held, some = [], True
                     yield out
                 elif not d.eof and not data:
-                    if (data := next(stream, b"")) == b"":
+                    if not (data := (yield)):
                         break
                     held += [] if some else [data]
         except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-            yield from held
-            yield from [] if some else stream
+            for piece in held:
+                yield piece
+            while not some and (more := (yield)) is not None:
+                yield more
             return
         if not d.eof:
             return
         data = d.unused_data
         if len(data) < 6:
-            data = _filled(stream, data)
-        data = data.lstrip(b"\0") or _filled(stream)  # padding between members
+            data = yield from _fill(data)
+        data = data.lstrip(b"\0")  # padding between members
+        if not data:
+            data = yield from _fill()
     if rest is not None:
         rest.append(len(data))
         return
     if data:
         yield data
-    yield from stream
+    while (more := (yield)) is not None:
+        yield more
+
+
+class _Stages:
+    """A stream through any number of unpacking stages, without recursion."""
+
+    def __init__(self, stream: Iterator[bytes], stages: Iterable = ()):
+        self.stream, self.stages = stream, list(stages)
+
+    def piece(self) -> bytes | None:
+        """The next piece of the last stage; None at the end."""
+        asked, given = [len(self.stages) - 1], None
+        while True:
+            k = asked[-1]
+            if k < 0:
+                out = next(self.stream, None)
+            else:
+                try:
+                    out = self.stages[k].send(given)
+                except StopIteration:
+                    out = None
+                else:
+                    if out is None:
+                        asked.append(k - 1)
+                        given = None
+                        continue
+            asked.pop()
+            if not asked:
+                return out
+            given = out
+
+    def pieces(self, head: bytes = b"") -> Iterator[bytes]:
+        if head:
+            yield head
+        while (out := self.piece()) is not None:
+            yield out
+
+    def head(self) -> bytes:
+        """A header's length at least and, if what comes next is all there is, the whole; then no stage is needed any more."""
+        data = b""
+        while len(data) < 6 and (more := self.piece()) is not None:
+            data += more
+        if (more := self.piece()) is None:
+            self.stream, self.stages = iter(()), []
+        return data + (more or b"")
+
+
+def _unpacked(stream: Iterator[bytes], rest: list[int] | None = None) -> Iterator[bytes]:
+    """What all members of a packed stream unpack to."""
+    return _Stages(stream, [_unpacking(rest=rest)]).pieces()
 
 
 def _peeled(stream: Iterator[bytes]) -> Iterator[bytes] | None:
     """The innermost stream of streams in streams, until it is none or comes back; None if this is no stream."""
-    met, head = set(), _filled(stream)
-    bare = head
+    met, stages = set(), _Stages(stream)
+    head = bare = stages.head()
     while _opener(head) is not None and (key := hashlib.sha256(head).digest()) not in met:
         met.add(key)
-        stream = _unpacked(chain([head], stream))
-        head = _filled(stream)
+        stages.stages.append(_unpacking(head))
+        head = stages.head()
         if len(met) == 1 and head == bare:
             return None
-    return chain([head], stream) if met else None
+    return stages.pieces(head) if met else None
 
 
 def _cut(data, size: int = 1 << 16) -> Iterator:

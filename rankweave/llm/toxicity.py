@@ -265,12 +265,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def run(batches):
         for batch, data, at in pieces(batches):
             p, doc, start, end = shared.value.score(data, at)
-            starts, ends = [[] for _ in p], [[] for _ in p]
-            for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist()):
-                text = data[at[d] : at[d] + b].tobytes()
-                ends[d].append(len(text.decode("utf8", "ignore")))
-                starts[d].append(len(text[:a].decode("utf8", "ignore")))
-            yield table(SCORED, batch.column("id"), p, starts, ends)
+            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+            by = np.argsort(doc, kind="stable")
+            size = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(p)))]), pa.int32())
+            spans = (points[at[doc] + x][by] - points[at[doc]][by] for x in (start, end))
+            yield table(SCORED, batch.column("id"), p, *(pa.ListArray.from_arrays(size, pa.array(x, SCORED.field("starts").type.value_type)) for x in spans))
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, SCORED_SQL)
 

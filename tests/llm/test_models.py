@@ -101,6 +101,31 @@ def test_training_rows_that_repeat(spark, module, target):
     assert module.score(docs, model).count() == 901
 
 
+@pytest.mark.parametrize("ids", [1, 3, 10])
+def test_few_ids_with_many_rows(spark, ids):
+    """A sample is of rows whatever their ids, never an empty one while labelled rows are there."""
+    rows = spark.range(100_000).selectExpr(f"id % {ids} as doc_id", "concat(case when id % 2 = 0 then 'vile stuff ' else 'plain words ' end, id) as text", "case when id % 2 = 0 then 'en' else 'de' end as lang")
+    assert near_fraction(rows, "doc_id", 10).count() == 100_000 and near_fraction(rows.selectExpr("cast(null as long) as doc_id"), "doc_id", 10).count() == 100_000
+    few = rows.limit(2000)
+    found = langid.identify(few, langid.train(rows, most=10))
+    assert {r.lang_pred for r in found.collect()} <= {"en", "de"}
+    for module, target in ((quality, "quality"), (toxicity, "toxic")):
+        labels = spark.range(ids).selectExpr("id as doc_id", f"1 as {target}").union(spark.range(ids).selectExpr("id", "0"))
+        assert 0 < quality.labelled(rows, labels, target, 10, 1 << 20, "doc_id", "text").count() <= 10
+        assert module.score(few, module.train(few, labels, most=10)).count() == 2000
+
+
+def test_many_toxic_words_in_one_text(spark):
+    """Offsets take time in proportion to the text, and count code points."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    model.bias += 50.0
+    words = ["wört", "mot", "слово"] * 30_000
+    (row,) = toxicity.score(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), model).collect()
+    at = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+    assert row.starts == at.tolist() and row.ends == [a + len(w) for a, w in zip(at.tolist(), words)]
+
+
 def test_attention_gradient_against_differences():
     """What one training step moves along is the slope of the loss."""
     rng = np.random.default_rng(4)

@@ -318,13 +318,53 @@ def test_long_texts_are_blocks_of_their_own(spark, monkeypatch):
 def test_rows_of_a_block_do_not_grow_with_the_ranges():
     rng = random.Random(1)
     texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(200)) for _ in range(50)]
-    batch = pa.RecordBatch.from_pydict({"block": pa.array([4] * 50, pa.int64()), "part": pa.array([0] * 50, pa.int32()), "text": texts})
+    batch = pa.RecordBatch.from_pydict({"block": pa.array([4] * 50, pa.int64()), "place": pa.array(range(50), pa.int64()), "part": pa.array([0] * 50, pa.int32()), "text": texts})
     few, many = (list(ngram._count_grams(iter([batch]), bits)) for bits in (2, 30))
     grams = lambda got: np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for b in got for x in b.column("hashes")])
     assert sum(b.num_rows for b in few) == 4 and sum(b.num_rows for b in many) <= len(grams(many))
     assert (grams(few) == grams(many)).all() and (np.diff(grams(few).astype(object)) > 0).all()
 
 
+def test_splits_that_change_between_counting_and_scoring(spark, tmp_path, monkeypatch):
+    """Blocks that splits of a file cut, here and there otherwise, give the counts of the whole."""
+    rng, conf = random.Random(2), "spark.sql.files.maxPartitionBytes"
+    monkeypatch.setattr(ngram, "BLOCK_ROWS", 100)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(30)))) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.option("parquet.block.size", 8192).option("parquet.page.size", 1024).option("parquet.block.size.row.check.min", 10).parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want, n = model(rows, lambda i: CRC(i) % 7 == 2, lambda i: CRC(i) % 7 == 3)
+    was = spark.conf.get(conf)
+    try:
+        for before, after in (("9000", "40000"), ("40000", "7000"), (was, "9000")):
+            spark.conf.set(conf, before)
+            found = ngram.language_scores(docs, fold("id", 7) == 2, fold("id", 7) == 3)
+            spark.conf.set(conf, after)
+            got, total = scored(found)
+            assert total == {n} and got.keys() == want.keys()
+            for k in want:
+                assert [x[:2] for x in got[k]] == [x[:2] for x in want[k]] and np.allclose([x[2:] for x in got[k]], [x[2:] for x in want[k]], rtol=1e-6)
+    finally:
+        spark.conf.set(conf, was)
+
+
+def test_three_thousand_layers(spark):
+    text = "x %" + "25" * 3000 + "74oken=abcdef1234 "
+    base, every = secretscan.find(text)
+    assert (2, 0, len(text) - 1) in every and set(base) <= set(every)
+    for pack in (gzip.compress, zlib.compress):
+        data = b"token=abcdef1234 "
+        for _ in range(3000):
+            data = pack(data)
+        hidden = base64.b64encode(data).decode()
+        assert (3, 0, 3 + len(hidden)) in {(a, k, b) for a, k, b in secretscan.find(f"ça {hidden} fin")[1]}
+    large = gzip.compress(b"secret=abcdef99 " + bytes(range(256)) * 20_000)
+    for _ in range(30):
+        large = gzip.compress(large, 0)
+    assert [k for _, k, _ in secretscan.find(base64.b64encode(large).decode())[1]].count(0) >= 1
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    assert secretscan.redacted(docs).filter("text like '%[secret]%'").count() == 1
+
+
 def test_one_escape_in_a_long_text():
     """Spans are kept for edits and layers, not for characters."""
     import tracemalloc
