@@ -30,6 +30,8 @@ from .common import Store, pieces, table, two_columns, utf8
 from .tokens import END_ID, default_path, encoder
 
 WINDOW, LEAST, MASK, MOST = 16, 64, 255, 1024
+#: Digests that a task remembers, documents of a part of the recipes.
+SEEN, PART_DOCS = 1 << 18, 1 << 17
 CUT = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("data", pa.binary()), ("root", pa.binary()), ("digests", pa.list_(pa.binary()))])
 CUT_SQL = "row long, id long, n long, key binary, data binary, root binary, digests array<binary>"
 READ = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("crc", pa.int64())])
@@ -84,10 +86,10 @@ def cuts(ids: np.ndarray, at: np.ndarray) -> list[list[int]]:
 
 
 def cut(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Recipe rows (``digests`` set) and chunk rows (``data`` set) of one encoding pass; chunks of one slice are unique already."""
+    """Recipe rows (``digests`` set) and chunk rows (``data`` set) of one encoding pass; a task sends a chunk once (of its last ``SEEN`` ones)."""
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc, sent = encoder(tokenizer), set()
         for batch, data, at in pieces(batches):
             rows, own = [], {}
             end = np.array([END_ID], np.int32)
@@ -102,7 +104,8 @@ def cut(docs: DataFrame, tokenizer: str) -> DataFrame:
                     own[key] = b - a, part
                     a = b
                 rows.append((row, i, n, row.to_bytes(8, "little"), None, merkle(names), names))
-            rows += [(None, None, n, k, v, None, None) for k, (n, v) in own.items()]
+            rows += [(None, None, n, k, v, None, None) for k, (n, v) in own.items() if k not in sent]
+            sent = sent | own.keys() if len(sent) < SEEN else set(own)
             yield table(CUT, *map(list, zip(*rows)))
 
     return docs.mapInArrow(run, CUT_SQL)
@@ -117,9 +120,9 @@ def write_store(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     docs = two_columns(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     both = cut(docs, tokenizer or default_path()).withColumn("kind", F.when(F.col("data").isNull(), "recipe").otherwise("chunk"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both.repartition(parts, "key").dropDuplicates(["key"]).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/raw")
+    both.repartition("key").dropDuplicates(["key"]).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/raw")
     raw = _raw(spark, path, "recipe").select("id", "n", "root", "digests")
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + raw.count() // PART_DOCS)
     ranged = raw.repartitionByRange(parts, F.col("id").asc_nulls_first(), "root").sortWithinPartitions(F.col("id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
     ranged.write.parquet(f"{path}/ranged")
     ranged = spark.read.parquet(f"{path}/ranged")
@@ -156,6 +159,25 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("part int, id long, start long, n long, root binary, digests array<binary>").parquet(f"{path}/recipes")
 
 
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Hold the recipes against the manifest: each part's number of documents, ids and Merkle root, and where each document and part starts; any difference raises."""
+    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    parts = spark.read.parquet(f"{path}/manifest").withColumn("before", F.coalesce(F.sum("tokens").over(first), F.lit(0)))
+
+    def check(key, own, listed):
+        own, said = own.sort_by([("start", "ascending"), ("root", "ascending")]), listed.to_pylist()
+        n, start = (own.column(c).to_numpy() for c in ("n", "start"))
+        if len(said) != 1 or said[0]["first"] != said[0]["before"] or said[0]["docs"] != len(n) or said[0]["tokens"] != n.sum():
+            raise ValueError(f"part {key[0]} is not what the manifest says")
+        if not np.array_equal(start, said[0]["first"] + np.cumsum(n) - n):
+            raise ValueError(f"a document of part {key[0]} starts elsewhere")
+        if merkle(own.column("root").to_pylist()) != said[0]["root"]:
+            raise ValueError(f"part {key[0]} differs from its Merkle root")
+        return pa.table({"ok": pa.array([1])})
+
+    recipes(spark, path).select("part", "start", "n", "root").groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(check, "ok long").count()
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, ids): every document rebuilt from its chunks, as an array of ids."""
     refs = recipes(spark, path).select("id", "start", F.posexplode("digests").alias("pos", "key"))
@@ -197,7 +219,7 @@ def joined_crc(crc: np.ndarray, after: np.ndarray, at: np.ndarray) -> np.ndarray
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n, crc): read the files back and verify them.
 
-    Every chunk is read once, its digest recomputed from its ids; a document's Merkle root is
+    The recipes are held against the manifest first.  Every chunk is read once, its digest recomputed from its ids; a document's Merkle root is
     recomputed from the verified digests and its length from the chunks' lengths, and any
     difference raises.  Its CRC-32 is that of its chunks joined, so no ids travel.
     """
@@ -212,6 +234,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError("a chunk differs from its digest")
             yield table(READ, keys, n, [zlib.crc32(loaded(x, k)) for x, k in zip(parts, n)])
 
+    verify_manifest(spark, path)
     found = chunks(spark, path).mapInArrow(scan, "key binary, n long, crc long")
     refs = recipes(spark, path).select("id", "start", "n", "root", F.posexplode("digests").alias("pos", "key"))
     back = refs.join(found.withColumnRenamed("n", "size"), "key", "left")

@@ -20,6 +20,9 @@ from ..plans.store import shared_dir
 from ..session import ship
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Store:
     """Named Parquet tables below one shared folder: the points where lineage is cut."""
 
@@ -30,7 +33,12 @@ class Store:
         """Write ``df`` and return it as read back."""
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        was = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # what was shuffled for the table is of no use once it is there
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, was) if was else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

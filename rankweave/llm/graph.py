@@ -15,25 +15,16 @@ from .common import Store
 
 #: A key is hot with more than HOT_ROWS rows and more than 1 / HOT of all; there are fewer than HOT such keys, whatever the data.
 HOT, HOT_ROWS = 1024, 1000
-#: The most rows, of a few dozen bytes each, that are sent to all tasks.
-SENT_ROWS = 1 << 18
-
-
-def sent(small: DataFrame) -> DataFrame:
-    """A written table, to be broadcast in a join if it has ``SENT_ROWS`` at most; larger ones shuffle."""
-    return F.broadcast(small) if small.count() <= SENT_ROWS else small
 
 
 def attach(store: Store, big: DataFrame, small: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """``big`` inner join ``small`` on ``key``, where ``small`` has each key once, with ``size``, its number of rows in ``big``.
 
-    ``total`` is the number of rows of ``big``.  ``small`` is written first.  If it has ``SENT_ROWS``
-    at most, it meets ``big`` where that lies.  Else only hot keys do, by broadcast, and the others
-    shuffle, so no task gets more than a few thousandths of the rows for one key.
+    ``total`` is the number of rows of ``big``.  ``small`` is written first.  Its hot keys meet ``big``
+    where that lies, by broadcast, and the others shuffle, so no task gets more than a few
+    thousandths of the rows for one key.
     """
     small = store.put(small, "small")
-    if small.count() <= SENT_ROWS:
-        return big.join(F.broadcast(small.drop(size)), key)
     is_hot = (F.col(size) > HOT_ROWS) & (F.col(size) * HOT > total)
     hot = small.filter(is_hot).drop(size)
     if hot.isEmpty():

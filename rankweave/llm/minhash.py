@@ -18,7 +18,8 @@ Steps, each linear in the documents and in the candidate links:
 4. Buckets whose members still lie in several components are finished exactly: two linked sets
    share one of the rarest fifth of their shingles (prefix filter), so the members of such
    buckets meet by those shingles, never bucket by bucket, as passages that many documents
-   share are not among the rarest.  Pairs of different components whose sizes and places
+   share are not among the rarest; of the smaller set the rarest ninth and one more will do, so
+   neither do pages of one template meet.  Pairs of different components whose sizes and places
    allow a link are verified.
 
 So every pair that shares a bucket is verified, already linked through others, or ruled out by
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import Store, pieces, table, two_columns, with_row_key
-from .graph import attach, components, sent
+from .graph import attach, components
 
 SIGS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("ck", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("ck", pa.binary()), ("n", pa.int64()), ("hashes", pa.binary())])
@@ -137,11 +138,15 @@ def rarest(sets: DataFrame, num: int, den: int, counters: int = COUNTERS) -> Dat
 
     def run(batches):
         for batch in batches:
-            for ck, comp, x in zip(batch.column("ck"), batch.column("comp"), batch.column("hashes")):
+            rare, took = [], []
+            for x in batch.column("hashes"):
                 own = np.frombuffer(x.as_buffer(), np.uint64)
-                take = len(own) + 1 + (-num * len(own) // den)
-                own = own[np.lexsort((own, order.value[_slot(own, counters)]))[:take]]
-                yield table(RARE, own.view(np.int64), [ck.as_py()] * take, [comp.as_py()] * take, [len(x.as_buffer()) // 8] * take, np.arange(take, dtype=np.int32))
+                took.append(len(own) + 1 + (-num * len(own) // den))
+                rare.append(own[np.lexsort((own, order.value[_slot(own, counters)]))[: took[-1]]])
+            if took:
+                which = pa.array(np.repeat(np.arange(len(took)), took))
+                n = np.repeat([len(x.as_buffer()) // 8 for x in batch.column("hashes")], took)
+                yield table(RARE, np.concatenate(rare).view(np.int64), *(batch.column(c).take(which) for c in ("ck", "comp")), n, np.concatenate([np.arange(k) for k in took]).astype(np.int32))
 
     return sets.select("ck", "comp", "hashes").mapInArrow(run, "h long, ck binary, comp binary, n long, at int")
 
@@ -157,7 +162,10 @@ def apart(store: Store, rare: DataFrame, num: int, den: int) -> DataFrame:
     every = placed.select("h", F.pmod(F.xxhash64("ck"), "salts").cast("int").alias("salt"), F.col("ck").alias("b"), F.col("comp").alias("cb"), "main", F.col("n").alias("nb"), F.col("at").alias("ib"))
     sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (num + den) >= (F.col("na") + F.col("nb")) * num  # at the first shingle in common
-    got = few.join(every, ["h", "salt"]).filter(F.expr("ca <> cb and (cb = main or a < b)") & sizes & left)
+    # of two linked sets the smaller shares one of its first shingles; without them texts of one template would all meet
+    first = lambda n, at: F.expr(f"{at} <= {n} - ceil({2 * num} * {n} / {num + den})")
+    small, large = few.filter(first("na", "ia")).join(every, ["h", "salt"]).filter("na <= nb"), few.join(every.filter(first("nb", "ib")), ["h", "salt"]).filter("na > nb")
+    got = small.unionByName(large).filter(F.expr("ca <> cb and (cb = main or a < b)") & sizes & left)
     return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -169,8 +177,8 @@ def verify(store: Store, pairs: DataFrame, sets: DataFrame, num: int, den: int)
     """
     size = store.put(pairs.groupBy("a").agg(F.count("*").alias("size")).withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int")), "sizes")
     salted = store.put(attach(store, pairs, size, "a", "size", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")), "salted")
-    member = sets.withColumnRenamed("ck", "b").join(sent(salted), "b").select("a", "b", "salt", "n", "hashes")
-    leader = sets.withColumnRenamed("ck", "a").join(sent(size), "a").select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "n", "hashes")
+    member = sets.withColumnRenamed("ck", "b").join(salted, "b").select("a", "b", "salt", "n", "hashes")
+    leader = sets.withColumnRenamed("ck", "a").join(size, "a").select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "n", "hashes")
 
     def run(batches):
         whose, own = None, None
@@ -221,7 +229,7 @@ def decisions(
     n_members = members.count()
     hubs = members.groupBy("bk").agg(F.max_by("ck", F.struct("score", "ck")).alias("hub"), F.count("*").alias("size"))
     wanted = store.put(members.select("ck").distinct().join(classes.select("ck", F.col("top.row").alias("row")), "ck"), "wanted")
-    sets = store.put(shingle_sets(docs.join(sent(wanted), "row"), k), "sets")
+    sets = store.put(shingle_sets(docs.join(wanted, "row"), k), "sets")
 
     pairs = store.put(attach(store, members.select("bk", "ck"), hubs, "bk", "size", n_members).select(F.col("hub").alias("a"), F.col("ck").alias("b")).filter("a <> b").distinct(), "pairs")
     links = store.put(verify(store, pairs, sets, num, den), "verified")
@@ -231,7 +239,7 @@ def decisions(
     broken = placed.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("bk", "size")
     rest = store.put(attach(store, placed, broken, "bk", "size", n_members).select("ck", "comp").distinct(), "broken")
     if not rest.isEmpty():
-        more = apart(store, rarest(sets.join(sent(rest), "ck"), num, den), num, den)
+        more = apart(store, rarest(sets.join(rest, "ck"), num, den), num, den)
         more = store.put(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
         links = store.put(verify(store, more, sets, num, den), "verified2")
         if not links.isEmpty():

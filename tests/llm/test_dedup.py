@@ -60,11 +60,9 @@ def test_odd_texts(spark, odd, k):
     assert got(minhash.near_duplicates(odd, k=k)) == brute(rows, k)
 
 
-@pytest.mark.parametrize("rows", ["SENT_ROWS", "HOT_ROWS"])
-def test_table_by_shuffles_and_hot_keys(spark, monkeypatch, rows):
-    """The same without broadcasts, and with every key hot."""
-    monkeypatch.setattr(graph, "SENT_ROWS", 0)
-    monkeypatch.setattr(graph, rows, 0)
+def test_table_with_hot_keys(spark, monkeypatch):
+    """The same with every key hot."""
+    monkeypatch.setattr(graph, "HOT_ROWS", 0)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert got(minhash.op3_minhash_dedup(spark, SF)) == brute([(r.doc_id, r.text) for r in docs.collect()], 4)
 
@@ -109,6 +107,19 @@ def test_passages_that_many_documents_share(spark):
     assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)) == want
 
 
+def test_pages_of_one_template(spark):
+    """Common words and few of their own: not near copies, and candidates do not grow with the square of the pages."""
+    page = lambda i: f"home news about c{i} us login a b c d{i} e f g"
+    rows = [(i, page(i)) for i in range(600)] + [(600 + i, page(i).upper()) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(docs, k=4).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i if i < 600 else i - 600 for i in range(605)}
+    words = np.arange(13)[None, :] + np.where(np.isin(np.arange(13), (3, 9)), 1000 * (1 + np.arange(600))[:, None], 0)
+    sets = [np.unique([hash(tuple(w[i : i + 3])) & 0xFFFFFFFFFFFF for i in range(11)]).astype(np.uint64) for w in words.tolist()]
+    df = spark.createDataFrame([(bytearray(i.to_bytes(2)), bytearray(i.to_bytes(2)), len(x), bytearray(x.tobytes())) for i, x in enumerate(sets)], "ck binary, comp binary, n long, hashes binary")
+    assert minhash.apart(Store(spark), minhash.rarest(df, 80, 100), 80, 100).count() == 0
+
+
 def test_rare_shingles_hold_every_link(spark, monkeypatch):
     """Pairs by prefix filter are all linked pairs of different components, whatever the order's counters hold, split groups too."""
     monkeypatch.setattr(minhash, "MEET_ROWS", 3)
@@ -123,9 +134,9 @@ def test_rare_shingles_hold_every_link(spark, monkeypatch):
     assert linked and linked <= pairs
 
 
-@pytest.mark.parametrize("sent_rows", [1 << 18, 10])
-def test_joins_on_hot_keys(spark, monkeypatch, sent_rows):
-    monkeypatch.setattr(graph, "SENT_ROWS", sent_rows)
+@pytest.mark.parametrize("hot_rows", [1000, 10_000])
+def test_joins_on_hot_keys(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(graph, "HOT_ROWS", hot_rows)
     big = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(5000)], "k long, x long")
     small = big.groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n").selectExpr("k", "n", "k * 2 as y").filter("k <> 9")
     out = graph.attach(Store(spark), big, small, "k", "n", 5000)

@@ -86,6 +86,37 @@ def test_damage_is_found(spark, odd, tmp_path):
         castore.read_digests(spark, f"file://{tmp_path}/s").collect()
 
 
+def test_manifest_is_held_against_the_recipes(spark, odd, tmp_path):
+    """Recipes that change places, are lost or come twice, and an edited manifest, are found."""
+    path = f"{tmp_path}/s"
+    castore.write_store(odd, f"file://{path}", parts=2)
+    castore.verify_manifest(spark, f"file://{path}")
+    rows = castore.recipes(spark, f"file://{path}").orderBy("start").collect()
+    schema = castore.recipes(spark, f"file://{path}").schema
+    a, b = next((x, y) for x, y in zip(rows, rows[1:]) if x.part == y.part and x.n == y.n and x.root != y.root)
+
+    def put(changed):
+        spark.createDataFrame(changed, schema).write.mode("overwrite").parquet(f"{path}/recipes")
+        return castore.read_digests(spark, f"file://{path}")
+
+    own = lambda r, other: (r.part, other.id, r.start, other.n, other.root, other.digests)
+    for changed, what in (
+        ([own(a, b) if r == a else own(b, a) if r == b else tuple(r) for r in rows], "Merkle root"),
+        ([(r.part, r.id, r.start + (r == rows[-1]), r.n, r.root, r.digests) for r in rows], "starts elsewhere"),
+        (list(map(tuple, rows[1:])), "not what the manifest says"),
+        (list(map(tuple, [*rows, rows[0]])), "not what the manifest says"),
+    ):
+        with pytest.raises(Exception, match=what):
+            put(changed).collect()
+    assert put(list(map(tuple, rows))).count() == len(rows)
+    kind = spark.read.parquet(f"{path}/manifest").schema
+    listed = spark.read.parquet(f"{path}/manifest").collect()
+    for wrong, what in (({"root": b"x" * 32}, "Merkle root"), ({"first": 5}, "not what"), ({"docs": 0}, "not what")):
+        spark.createDataFrame([tuple({**r.asDict(), **wrong}.values()) for r in listed], kind).write.mode("overwrite").parquet(f"{path}/manifest")
+        with pytest.raises(Exception, match=what):
+            castore.read_digests(spark, f"file://{path}").collect()
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 20_000).astype("<u4")
