@@ -34,7 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--method", choices=METHODS, default="dsgd")
     for x, default in (("update", "Nzsl"), ("regularize", "None"), ("loss", "Nzsl"), ("decay", "BoldDriver(0.001)"), ("order", "WOR"), ("strata", "COWOR"), ("balance", "None"), ("balance-method", "optimal")):
         p.add_argument(f"--{x}", default=default)
-    for x, default in (("epochs", 10), ("blocks", 4), ("group", 1), ("seed", 1)):
+    for x, default in (("epochs", 10), ("blocks", 0), ("batches", 4), ("staleness", -1), ("group", 1), ("seed", 1)):
         p.add_argument(f"--{x}", type=int, default=default)
     p.add_argument("--truncate", type=float, nargs=2)
     p.add_argument("--max-norm", type=float)
@@ -93,7 +93,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             spec = Spec(method="sgd", update="Nzsl_L2(50)", loss="Nzsl_L2(50)", decay="Auto(0.01,7)", epochs=a.epochs)
             problem = described.open_problem(spark, a.matrix, rank=a.rank)
         else:
-            spec = Spec(a.method, a.update, a.regularize, a.loss, a.decay, a.epochs, a.blocks, a.order, a.strata, a.group, a.balance, a.balance_method, a.abs, tuple(a.truncate) if a.truncate else None, a.max_norm, a.average_deltas, a.seed, a.cache_kb)
+            spec = Spec(a.method, a.update, a.regularize, a.loss, a.decay, a.epochs, a.blocks, a.order, a.strata, a.group, a.balance, a.balance_method, a.abs, tuple(a.truncate) if a.truncate else None, a.max_norm, a.average_deltas, a.seed, a.cache_kb, a.batches, a.staleness)
             rows, columns = (None if x == "-" else x for x in (a.rows, a.columns))
             problem = described.open_problem(spark, a.matrix, a.test, rows, columns, rank=a.rank, seed=a.seed)
         got = factorize(problem, spec)

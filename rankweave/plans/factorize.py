@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from ..model import Problem
 from ..operators import loss as L
 from ..operators import regularize as R
 from ..operators.balance import balanced
-from . import als, kernels, local, multiplicative, sgd
+from . import als, kernels, local, multiplicative, parallel, sgd
 from .store import Tables
 
 METHODS = ("sgd", "psgd", "csgd", "dsgd", "overlapped", "asgd", "als", "gnmf", "lee")
@@ -28,13 +29,20 @@ VALID = {
 }
 
 
+#: Entries that a block has on average at most where the number of blocks is not given, and those that one task may take.
+BLOCK_ENTRIES, ONE_TASK = 4_000_000, 50_000_000
+
+
 @dataclass(frozen=True)
 class Spec:
     """What to run.
 
-    ``blocks`` is the number of strata, whatever the cluster.  ``psgd`` is ``dsgd`` by another name (its
-    threads become strata), ``csgd`` visits each stratum by squares that fit ``cache_kb`` of cache,
-    ``overlapped`` has twice as many column blocks as row blocks.
+    ``blocks`` is the number of strata, whatever the cluster; 0 takes 4, or more where a block would have
+    over ``BLOCK_ENTRIES``.  ``psgd`` deals the points of each of ``batches`` mini-batches to ``blocks`` tasks
+    that share one copy of the factors, ``csgd`` visits each stratum by squares that fit ``cache_kb`` of
+    cache, ``overlapped`` has twice as many column blocks as row blocks, and ``asgd`` works on factors
+    that are at most ``staleness`` steps old (-1: a round).  ``sgd`` is one block and so one task: more
+    than ``ONE_TASK`` entries are refused.
     """
 
     method: str = "dsgd"
@@ -43,7 +51,7 @@ class Spec:
     loss: str = "Nzsl"
     decay: str = "BoldDriver(0.001)"
     epochs: int = 10
-    blocks: int = 4
+    blocks: int = 0
     order: str = "WOR"
     strata: str = "COWOR"
     group: int = 1
@@ -55,6 +63,8 @@ class Spec:
     average: bool = False
     seed: int = 1
     cache_kb: float = 256
+    batches: int = 4
+    staleness: int = -1
 
     def checked(self) -> Spec:
         if self.method not in METHODS:
@@ -135,12 +145,16 @@ def factorize(problem: Problem, spec: Spec) -> Result:
     if not alternating:
         u = parse(spec.update)
         args = u.args if u.name != "Biased" else (u.args + (0.0,) * 4)[:4]
-        d = 1 if spec.method == "sgd" else spec.blocks
+        n_entries = problem.v.count()
+        if spec.method == "sgd" and n_entries > ONE_TASK:
+            raise ValueError(f"{n_entries} entries are too many for one task: take dsgd")
+        d = 1 if spec.method == "sgd" else spec.blocks or max(4, math.ceil((n_entries / BLOCK_ENTRIES) ** 0.5))
         regularizer, r = regularizer_of(spec.regularize), parse(spec.regularize)
-        inside = spec.method != "asgd" and regularizer.per_stratum
-        cells = max(1, kernels.cache_blocks(problem.meta.size1, problem.meta.size2, problem.v.count(), rank, spec.cache_kb) // d) if spec.method == "csgd" else 1
+        inside = spec.method not in ("asgd", "psgd") and regularizer.per_stratum
+        cells = max(1, kernels.cache_blocks(problem.meta.size1, problem.meta.size2, n_entries, rank, spec.cache_kb) // d) if spec.method == "csgd" else 1
         rule = sgd.Rule(u.name, args, spec.order, spec.abs_, spec.truncate, spec.max_norm, (r.name, r.args) if inside else ("None", ()), cells)
-        stratified = sgd.Stratified(problem, rule, d, 2 * d if spec.method == "overlapped" else d, tables)
+        if spec.method != "psgd":
+            stratified = sgd.Stratified(problem, rule, d, 2 * d if spec.method == "overlapped" else d, tables)
         trials = Trials(problem, rule, spec)
         policy = D.parse_decay(spec.decay, trial=trials)
     for epoch in range(1, spec.epochs + 1):
@@ -157,14 +171,18 @@ def factorize(problem: Problem, spec: Spec) -> Result:
         else:
             trials.factors = w, h
             eps = policy.next(epoch - 1, previous, current)
-            if spec.method == "asgd":
-                sgd.asynchronous_round(stratified, eps, (spec.seed, epoch), spec.average)
+            if spec.method == "psgd":
+                w, h = parallel.epoch(problem, w, h, rule, eps, spec.seed, epoch, d, spec.batches, tables)
+            elif spec.method == "asgd":
+                sgd.asynchronous_round(stratified, eps, (spec.seed, epoch), spec.average, None if spec.staleness < 0 else spec.staleness)
             else:
                 stratified.epoch(epoch, eps, spec.seed, spec.strata, spec.group)
-            w, h = stratified.w(), stratified.h()
+            if stratified:
+                w, h = stratified.w(), stratified.h()
             if regularizer.name != "None" and not inside:
                 w, h = (tables.put(x) for x in regularizer.apply(problem.v, w, h, rank, eps))
-                stratified.set_factors(w, h)
+                if stratified:
+                    stratified.set_factors(w, h)
         if spec.balance.upper() != "NONE":
             w, h = (tables.put(x) for x in balanced(problem.v, w, h, rank, spec.balance, spec.balance_method))
             if stratified:

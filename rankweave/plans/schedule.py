@@ -26,7 +26,7 @@ def stratum_schedule(order: str, d: int, rng: np.random.Generator, group: int =
         return np.stack([rng.permutation(d) for _ in range(d)])
     if order == "WOR":
         return seq[rng.permutation(d)][:, rng.permutation(d)]
-    if order == "COWOR":  # groups of row blocks keep a group of column blocks for ``group`` sub-epochs
+    if order == "COWOR":  # groups of row blocks keep a group of column blocks, drawn anew each time, for ``group`` sub-epochs
         if d % group:
             raise ValueError(f"{d} blocks do not fall into groups of {group}")
         outer = stratum_schedule("WOR", d // group, rng)
@@ -35,7 +35,7 @@ def stratum_schedule(order: str, d: int, rng: np.random.Generator, group: int =
             for g in range(d // group):
                 inner = stratum_schedule("WOR", group, rng)
                 out[s * group : (s + 1) * group, g * group : (g + 1) * group] = outer[s, g] * group + inner
-        return out
+        return rng.permutation(d)[out]
     raise ValueError(f"unknown order {order!r}: one of {', '.join(ORDERS)}")
 
 

@@ -104,52 +104,73 @@ class Stratified:
         self.most = A.nnz_max(problem.v).first()[0] if weighted else 0
         self.set_factors(problem.w, problem.h)
 
-    def sub_epoch(self, factors: DataFrame, meets: np.ndarray, eps: float, seed: tuple) -> DataFrame:
-        """New factors after row block b1 met column block ``meets[b1]``; other column blocks pass as they are.
+    def meet(self, factors: DataFrame, meets: np.ndarray, eps: float, seeds: list[tuple], copies: bool = False) -> DataFrame:
+        """New factors after row block b1 met column blocks ``meets[0][b1]``, ``meets[1][b1]`` and so on; other column blocks pass as they are.
 
-        Factor blocks are dealt to the row block they meet, and so is the one data block each needs:
-        one exchange of factors, and over an epoch one of the data.  Row block b1 is partition b1,
-        so no two share a task.
+        Factor blocks are dealt to the row block they meet, and so are the data blocks it needs, in one
+        exchange.  Row block b1 is partition b1, so no two share a task.  A column block meets one
+        row block alone, unless ``copies``: then each row block changes a copy of its own, and the
+        result has rows of side "d" with the changes, beside the column blocks as they were.
         """
         rank, rule, d, most = self.problem.rank, self.rule, self.rows.blocks, self.most
-        host = {int(b2): b1 for b1, b2 in enumerate(meets)}
-        to = F.element_at(F.array(*(F.lit(host.get(b, b % d)) for b in range(self.cols.blocks))), (F.col("b") + 1).cast("int"))
-        left = factors.withColumn("key", F.when(F.col("side") == "w", F.col("b")).otherwise(to).cast("int")).repartitionById(d, F.col("key"))
-        now = F.element_at(F.array(*(F.lit(int(b)) for b in meets)), (F.col("b1") + 1).cast("int"))
-        mine = self.data.filter(F.col("b2") == now)  # on folders: a sub-epoch opens the files of its blocks alone
-        right = mine.withColumn("key", F.col("b1").cast("int")).drop("b1").repartitionById(d, F.col("key"))
-
-        def run(key, own, block):
-            rows = own.select(["side", "b", "flat", "n"]).to_pylist()
-            at, k = {(x["side"], x["b"]): x for x in rows}, key[0].as_py()
-            w, h = at["w", k], at["h", int(meets[k])]
-            wv, hv = (np.frombuffer(x["flat"]).reshape(-1, rank).copy() for x in (w, h))
-            if block.num_rows:
-                r = block.to_pylist()[0]
-                i, j, n1, n2 = (np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("i", "j", "n1", "n2"))
-                per_w, per_h = np.ones(len(wv)), np.ones(len(hv))
-                per_w[i], per_h[j] = n1, n2
-                rng = np.random.default_rng([*seed, r["key"], r["b2"]])
-                kernels.epoch(rule.kind, rule.args, i, j, np.frombuffer(r["x"]), wv, hv, eps, rng, per_w, per_h, rule.order, rule.abs_, rule.truncate, rule.max_norm, rule.cells)
-            name, args = rule.regularizer
-            if name in PER_STRATUM:
-                n = (np.frombuffer(x["n"], np.int32) if x["n"] is not None else None for x in (w, h))
-                wv, hv = local.regularize(name, args, wv, hv, eps / d, *n, most)
-            w["flat"], h["flat"] = wv.tobytes(), hv.tobytes()
-            return _table(rows)
-
-        return left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(run, FACTOR_SQL)
+        hosts = [[b1 for b1 in range(d) if b in meets[:, b1]] or [b % d] for b in range(self.cols.blocks)]
+        listed = lambda lists, at: F.split(F.element_at(F.split(F.lit(";".join(" ".join(map(str, x)) for x in lists)), ";"), (at + 1).cast("int")), " ")  # noqa: E731 (two literals, however many blocks)
+        none = [F.lit(None).cast("binary").alias(c) for c in ("j", "n1", "n2")]
+        left = factors.withColumn("to", F.when(F.col("side") == "w", F.array(F.col("b").cast("string"))).otherwise(listed(hosts, F.col("b"))))
+        left = left.withColumn("to", F.explode("to") if copies else F.col("to")[0]).select(F.col("to").cast("int").alias("key"), "side", "b", "flat", "n", *none)
+        mine = self.data.filter(F.array_contains(listed(meets.T.tolist(), F.col("b1")), F.col("b2").cast("string")))  # on folders: the files of these blocks alone are opened
+        right = mine.select(F.col("b1").cast("int").alias("key"), F.lit("v").alias("side"), F.col("b2").alias("b"), F.col("x").alias("flat"), F.col("i").alias("n"), "j", "n1", "n2")
+
+        def run(batches):
+            rows = [r for batch in batches for r in batch.to_pylist()]
+            if not rows:
+                return
+            k = rows[0]["key"]
+            at = {(r["side"], r["b"]): r for r in rows}
+            w = at["w", k]
+            wv = np.frombuffer(w["flat"]).reshape(-1, rank).copy()
+            for b, seed in zip(meets[:, k].tolist(), seeds):
+                h, v = at["h", b], at.pop(("v", b), None)
+                hv = np.frombuffer(h["flat"]).reshape(-1, rank).copy()
+                if v is not None:
+                    i, j, n1, n2 = (np.frombuffer(v[c], np.int32).astype(np.int64) for c in ("n", "j", "n1", "n2"))
+                    per_w, per_h = np.ones(len(wv)), np.ones(len(hv))
+                    per_w[i], per_h[j] = n1, n2
+                    kernels.epoch(rule.kind, rule.args, i, j, np.frombuffer(v["flat"]), wv, hv, eps, np.random.default_rng([*seed, k, b]), per_w, per_h, rule.order, rule.abs_, rule.truncate, rule.max_norm, rule.cells)
+                name, args = rule.regularizer
+                if name in PER_STRATUM:
+                    n = (np.frombuffer(x["n"], np.int32) if x["n"] is not None else None for x in (w, h))
+                    wv, hv = local.regularize(name, args, wv, hv, eps / d, *n, most)
+                if copies:
+                    at["d", b] = h | {"side": "d", "flat": (hv - np.frombuffer(h["flat"]).reshape(-1, rank)).tobytes()}
+                    if k != hosts[b][0]:
+                        del at["h", b]
+                else:
+                    h["flat"] = hv.tobytes()
+            w["flat"] = wv.tobytes()
+            yield from _table(list(at.values())).to_batches()
+
+        return left.union(right).repartitionById(d, F.col("key")).mapInArrow(run, FACTOR_SQL)
+
+    def plan(self, number: int, seed: int, order: str = "COWOR", group: int = 1) -> np.ndarray:
+        """Which column block each row block meets in each sub-epoch of an epoch."""
+        rng = np.random.default_rng([seed, number])
+        return overlapped_schedule(self.rows.blocks, rng) if self.cols.blocks == 2 * self.rows.blocks else stratum_schedule(order, self.rows.blocks, rng, group)
 
     def epoch(self, number: int, eps: float, seed: int, order: str = "COWOR", group: int = 1) -> None:
-        """All sub-epochs of one pass; its end is written, and every ``CUT`` sub-epochs, so that plans and what a lost executor repeats stay bounded."""
-        rng = np.random.default_rng([seed, number])
-        plan = overlapped_schedule(self.rows.blocks, rng) if self.cols.blocks == 2 * self.rows.blocks else stratum_schedule(order, self.rows.blocks, rng, group)
-        factors = self.factors
-        for s, meets in enumerate(plan):
-            factors = self.sub_epoch(factors, meets, eps, (seed, number, s))
-            if (s + 1) % CUT == 0 and s + 1 < len(plan):
-                factors = self.tables.put(factors)
-        self.factors = self.tables.put(factors)
+        """All sub-epochs of one pass; its end is written, and every ``CUT`` exchanges, so that plans and what a lost executor repeats stay bounded.
+
+        Sub-epochs in a row that share no column block need one exchange: of twice as many column
+        blocks as row blocks, a half is at work while the other moves, so there are half as many.
+        """
+        plan = self.plan(number, seed, order, group)
+        factors, done = self.factors, 0
+        for first, last in disjoint(plan):
+            factors = self.meet(factors, plan[first:last], eps, [(seed, number, s) for s in range(first, last)])
+            done += 1
+            if done % CUT == 0 and last < len(plan):
+                factors = self.tables.put(factors, plain=True)
+        self.factors = self.tables.put(factors, plain=True)
 
     def set_factors(self, w: DataFrame, h: DataFrame) -> None:
         counts = [A.nnz_of(self.problem.v, axis) if self.rule.regularizer[0] == "Nzl2" else None for axis in ("i", "j")]
@@ -162,40 +183,45 @@ class Stratified:
         return from_blocks(self.factors, "h", self.cols, self.problem.rank, "j", "h")
 
 
-def asynchronous_round(run: Stratified, eps: float, seed: tuple, average: bool = False) -> None:
-    """One round of delta exchange: every row block works on its own copy of all of H, then the changes of H are summed or averaged.
+def disjoint(plan: np.ndarray) -> list[tuple[int, int]]:
+    """Runs (first, past the last) of sub-epochs in which no column block is met twice."""
+    out, first, met = [], 0, set()
+    for s, line in enumerate(plan.tolist()):
+        if met & set(line):
+            out.append((first, s))
+            first, met = s, set()
+        met |= set(line)
+    return [*out, (first, len(plan))]
 
-    The copies are joined by block, so a task holds one row block's entries and the H it touches.
-    """
-    spark, rank, rule, d = run.problem.v.sparkSession, run.problem.rank, run.rule, run.rows.blocks
-    w = run.factors.filter("side = 'w'").select(F.col("b").alias("b1"), F.lit(-1).cast("long").alias("b2"), F.col("flat").alias("fw"))
-    blocks = spark.range(d).select(F.col("id").alias("b1"))
-    h = run.factors.filter("side = 'h'").select(F.col("b").alias("b2"), F.col("flat").alias("fh"))
-    work = run.data.join(h, "b2").select("b1", "b2", F.lit(None).cast("binary").alias("fw"), "fh", "i", "j", "x", "n1", "n2")
-    none = [F.lit(None).cast("binary").alias(c) for c in ("fh", "i", "j", "x", "n1", "n2")]
-    work = work.union(w.select("b1", "b2", "fw", *none)).join(F.broadcast(blocks), "b1")  # d rows
-
-    def one(key, own):
-        rows = own.to_pylist()
-        wv = next(np.frombuffer(r["fw"]).reshape(-1, rank).copy() for r in rows if r["b2"] < 0)
-        out = []
-        for r in sorted((r for r in rows if r["b2"] >= 0), key=lambda r: r["b2"]):
-            hv = np.frombuffer(r["fh"]).reshape(-1, rank).copy()
-            old = hv.copy()
-            i, j, n1, n2 = (np.frombuffer(r[c], np.int32).astype(np.int64) for c in ("i", "j", "n1", "n2"))
-            per_w, per_h = np.ones(len(wv)), np.ones(len(hv))
-            per_w[i], per_h[j] = n1, n2
-            rng = np.random.default_rng([*seed, r["b1"], r["b2"]])
-            kernels.epoch(rule.kind, rule.args, i, j, np.frombuffer(r["x"]), wv, hv, eps, rng, per_w, per_h, rule.order, rule.abs_, rule.truncate, rule.max_norm)
-            out.append({"side": "d", "b": r["b2"], "flat": (hv - old).tobytes(), "n": None})
-        return _table([*out, {"side": "w", "b": key[0].as_py(), "flat": wv.tobytes(), "n": None}])
-
-    done = run.tables.put(work.groupBy("b1").applyInArrow(one, FACTOR_SQL))
-    share = 1 / d if average else 1.0
+
+def _added(share: float):
+    """Column blocks and ``share`` of all changes of each, added up."""
 
     def add(key, own):
         total = sum(np.frombuffer(f) * (share if s == "d" else 1.0) for s, f in zip(own.column("side").to_pylist(), own.column("flat").to_pylist()))
-        return _table([{"side": "h", "b": key[0].as_py(), "flat": np.asarray(total).tobytes(), "n": None}])
+        n = next((n for n in own.column("n").to_pylist() if n is not None), None)
+        return _table([{"side": "h", "b": key[0].as_py(), "flat": np.asarray(total).tobytes(), "n": n}])
+
+    return add
+
 
-    merged = run.factors.filter("side = 'h'").union(done.filter("side = 'd'")).groupBy("b").applyInArrow(add, FACTOR_SQL)
-    run.factors = run.tables.put(merged.union(done.filter("side = 'w'")))
+def asynchronous_round(run: Stratified, eps: float, seed: tuple, average: bool = False, staleness: int | None = None) -> None:
+    """One round of delta exchange, in which a row block works on copies of H that are at most ``staleness`` steps old (None: a round).
+
+    In step t row block b1 works on column block (b1 + t) mod d.  Every ``staleness + 1`` steps the
+    changes of each column block are summed or averaged into a new version of it.  A task holds one
+    row block and that many column blocks, whatever the size of H.  With a staleness of 0 no two
+    row blocks work on one column block at a time, and the round is that of some serial order.
+    """
+    d = run.rows.blocks
+    span = d if staleness is None else min(staleness + 1, d)
+    plan = (np.arange(d)[:, None] + np.arange(d)[None, :]) % d
+    factors = run.factors
+    for first in range(0, d, span):
+        meets = plan[first : first + span]
+        share = 1 / len(meets) if average else 1.0
+        factors = run.meet(factors, meets, eps, [(*seed, s) for s in range(first, first + len(meets))], copies=len(meets) > 1)
+        if len(meets) > 1:
+            done = run.tables.put(factors)
+            factors = done.filter("side = 'w'").union(done.filter("side <> 'w'").groupBy("b").applyInArrow(_added(share), FACTOR_SQL))
+    run.factors = run.tables.put(factors)

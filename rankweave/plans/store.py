@@ -28,9 +28,19 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = ship(spark), shared_dir(spark), 0
 
-    def put(self, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        """``df`` as written and read back; with ``by``, in folders that filters on those columns prune."""
+    def put(self, df: DataFrame, by: tuple[str, ...] = (), plain: bool = False) -> DataFrame:
+        """``df`` as written and read back; with ``by``, in folders that filters on those columns prune.
+
+        ``plain`` is for plans whose partitions are given: nothing is left to adapt between stages.
+        """
         self.n += 1
         path = f"{self.path}/{self.n:05d}"
-        df.write.partitionBy(*by).parquet(path)
+        adaptive = "spark.sql.adaptive.enabled"
+        was = self.spark.conf.get(adaptive)
+        if plain:
+            self.spark.conf.set(adaptive, "false")
+        try:
+            df.write.partitionBy(*by).parquet(path)
+        finally:
+            self.spark.conf.set(adaptive, was)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ from .model import Blocking, MatrixMeta, Problem
 from .operators import analysis as N
 from .operators import linear
 from .operators import reshape as P
-from .plans import kernels, sgd
+from .plans import kernels, parallel, replay, sgd
 from .plans.factorize import Spec, factorize
 from .plans.schedule import schedule_table
 from .plans.store import Tables
@@ -261,28 +261,30 @@ def valid_specs(s, d):
     return s.createDataFrame([(n,)], "n long")
 
 
-@query("orders_of_entries", "SELECT * FROM (VALUES ('SEQ', TRUE, TRUE), ('WOR', TRUE, TRUE), ('WR', TRUE, FALSE), ('WOR in squares', TRUE, TRUE)) t(name, serial, once)")
+@query("orders_of_entries", f"""WITH {V}, b AS (SELECT i % 8 AS b1, count(*) AS visits, sum(x) AS total FROM v GROUP BY 1), n AS (SELECT unnest(['SEQ', 'WOR', 'WOR in bursts', 'WOR in squares']) AS name)
+    SELECT name, b1, visits, visits AS entries, total, CAST(0 AS BIGINT) AS clashes FROM b, n""")
 def orders_of_entries(s, d):
-    """A pass in steps of many entries gives what one entry after another gives, and visits each once but for draws with replacement."""
-    rng = np.random.default_rng(4)
-    cell = np.unique(rng.integers(0, 30, 400) * 20 + rng.integers(0, 20, 400))
-    i, j = cell // 20, cell % 20
-    x, w, h = rng.random(len(i)), rng.random((30, 3)), rng.random((20, 3))
-    out = []
-    for name, order, cells in (("SEQ", "SEQ", 1), ("WOR", "WOR", 1), ("WR", "WR", 1), ("WOR in squares", "WOR", 4)):
-        a, b, c, e, visits = w.copy(), h.copy(), w.copy(), h.copy(), []
-        plain, kernels_batches = kernels.batches, []
-        try:
-            kernels.batches = lambda i, j, o: kernels_batches.append(o) or plain(i, j, o)
-            kernels.epoch("Nzsl", (), i, j, x, a, b, 0.05, np.random.default_rng(7), order=order, cells=cells)
-        finally:
-            kernels.batches = plain
-        for k in kernels_batches[0].tolist():
-            visits.append(k)
-            nw, nh = kernels.step("Nzsl", (), x[k : k + 1], c[i[k]][None], e[j[k]][None], 0.05)
-            c[i[k]], e[j[k]] = nw[0], nh[0]
-        out.append((name, bool(np.allclose(a, c) and np.allclose(b, e)), len(set(visits)) == len(x) == len(visits)))
-    return s.createDataFrame(out, "name string, serial boolean, once boolean")
+    """Each order of a pass over the blocks of the matrix visits every entry once, and in no step two of one row or column."""
+    names = {"SEQ": ("SEQ", 1, 1 << 30), "WOR": ("WOR", 1, 1 << 30), "WOR in bursts": ("WOR", 1, 20), "WOR in squares": ("WOR", 4, 1 << 30)}
+
+    def f(key, own):
+        i, j, x = (own.column(c).to_numpy() for c in ("i", "j", "x"))
+        i, j = (np.unique(c, return_inverse=True)[1] for c in (i, j))
+        rows = []
+        for name, (order, cells, heavy) in names.items():
+            sequence = kernels.sequence_of(order, i, j, int(i.max()) + 1, int(j.max()) + 1, np.random.default_rng(key[0].as_py()), cells)
+            seen, clashes = [], 0
+            for p, groups in kernels.waves(i, j, sequence, order == "WOR", heavy):
+                one = [(i[p], j[p])] + [(i[q] if side else i[q[:, 0]], j[q[:, 0]] if side else j[q]) for side, q in groups]
+                for k in (0, 1):
+                    axis = np.concatenate([c[k].ravel() for c in one])
+                    clashes += len(axis) - len(np.unique(axis))
+                seen += [p, *(q.ravel() for _, q in groups)]
+            seen = np.concatenate(seen)
+            rows.append((name, key[0].as_py(), len(seen), len(np.unique(seen)), float(x[seen].astype(float).sum()), clashes))
+        return pa.table(dict(zip(("name", "b1", "visits", "entries", "total", "clashes"), map(list, zip(*rows)))))
+
+    return matrix(s, d).withColumn("b1", F.col("i") % 8).groupBy("b1").applyInArrow(f, "name string, b1 long, visits long, entries long, total double, clashes long")
 
 
 # --- blocks and fits --------------------------------------------------------------------------------
@@ -297,50 +299,68 @@ def block_tasks(s, d):
     return P.per_block(matrix(s, d), Blocking(10_003, 7), Blocking(99_997, 7), f, "b1 long, b2 long, n long, total double")
 
 
-def _planted(s, rank=3):
-    p, _, _ = G.problem(s, G.RandomMatrix(60, 50, 1500, 100, rank, "Normal(0,1)", "Normal(0,0.01)"))
-    keep = Tables(s).put
-    return Problem(keep(p.v), keep(p.w), keep(p.h), p.meta, rank, keep(p.test))
-
-
 def _arrays(w, h):
     return np.array([r.w for r in w.orderBy("i").collect()]), np.array([r.h for r in h.orderBy("j").collect()])
 
 
-@query("strata_replay", "SELECT * FROM (VALUES ('strata', TRUE), ('one block', TRUE), ('rounds', TRUE), ('averaged rounds', TRUE)) t(name, equal)")
+_REPLAYS = ("one block", "strata", "overlapped strata", "fresh rounds", "rounds a step old", "whole rounds", "averaged rounds", "mini-batches", "mini-batches within bounds")
+
+
+@query("strata_replay", f"WITH {V}, n AS (SELECT unnest({list(_REPLAYS)}) AS name) SELECT name, (SELECT count(*) FROM v) AS entries, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS vectors, CAST(0 AS BIGINT) AS far FROM n")
 def strata_replay(s, d):
-    """Epochs as jobs give what plain loops over the entries in the same order give."""
-    p = _planted(s)
-    v = sorted((r.i, r.j, r.x) for r in p.v.collect())
-    w0, h0 = _arrays(p.w, p.h)
+    """Epochs as jobs over the matrix give the vectors that plain loops over its entries in the same order give."""
+    keep = Tables(s)
+    p = C.dense_problem(s, d, 3)
+    p = Problem(keep.put(p.v), keep.put(p.w), keep.put(p.h), p.meta, p.rank)
+    v = sorted((r.i, r.j, float(r.x)) for r in p.v.collect())
+    ids = [np.array(sorted(r[0] for r in f.select(c).collect())) for f, c in ((p.w, "i"), (p.h, "j"))]
+    sizes_ = p.meta.size1, p.meta.size2
+    n1, n2 = (np.maximum(np.bincount([e[k] for e in v], minlength=n), 1) for k, n in enumerate(sizes_))
     out = []
-    for name, blocks in (("strata", 2), ("one block", 1)):
-        run = sgd.Stratified(p, sgd.Rule(order="SEQ"), blocks)
-        run.epoch(1, 0.01, 7, "SEQ")
-        w, h = w0.copy(), h0.copy()
-        for sub in range(blocks):
-            for b1 in range(blocks):
-                for i, j, x in v:
-                    if i * blocks // 60 == b1 and j * blocks // 50 == (sub + b1) % blocks:
-                        a, b = kernels.step("Nzsl", (), np.array([x]), w[i : i + 1], h[j : j + 1], 0.01)
-                        w[i], h[j] = a[0], b[0]
-        got = _arrays(run.w(), run.h())
-        out.append((name, bool(np.allclose(got[0], w) and np.allclose(got[1], h))))
-    for name, average in (("rounds", False), ("averaged rounds", True)):
-        run = sgd.Stratified(p, sgd.Rule(order="SEQ"), 2)
-        sgd.asynchronous_round(run, 0.01, (1, 1), average)
-        w, delta = w0.copy(), np.zeros_like(h0)
-        for b1 in range(2):
-            h = h0.copy()
-            for b2 in range(2):
-                for i, j, x in v:
-                    if i // 30 == b1 and j // 25 == b2:
-                        a, b = kernels.step("Nzsl", (), np.array([x]), w[i : i + 1], h[j : j + 1], 0.01)
-                        w[i], h[j] = a[0], b[0]
-            delta += h - h0
-        got = _arrays(run.w(), run.h())
-        out.append((name, bool(np.allclose(got[0], w) and np.allclose(got[1], h0 + delta / (2 if average else 1)))))
-    return s.createDataFrame(out, "name string, equal boolean")
+    for name in _REPLAYS:
+        rule = sgd.Rule("Nzsl_L2", (0.5,), "SEQ", truncate=(-1.0, 0.9) if "bounds" in name else None)
+        w, h = (np.zeros((n, 3)) for n in sizes_)
+        for f, c, at in ((p.w, "w", w), (p.h, "h", h)):
+            for r in f.collect():
+                at[r[0]] = r[1]
+        if name.startswith("mini"):
+            dealt = parallel.dealt(p.v, 7, 1, 3, 4).collect()
+            points = {}
+            for r in sorted(dealt, key=lambda r: (r.place, r.i, r.j)):
+                points.setdefault((r.batch, r.task), []).append((r.i, r.j, float(r.x)))
+            replay.parallel(rule, 0.002, points, 4, w, h, n1, n2)
+            got = parallel.epoch(p, p.w, p.h, sgd.Rule("Nzsl_L2", (0.5,), "WOR", truncate=rule.truncate), 0.002, 7, 1, 3, 4, keep)
+        else:
+            d1 = 1 if name == "one block" else 3
+            run = sgd.Stratified(p, rule, d1, 6 if name.startswith("overlapped") else d1, keep)
+            blocks = {}
+            for e in v:
+                blocks.setdefault(tuple(int(np.searchsorted(x.offsets, e[k], side="right")) - 1 for k, x in enumerate((run.rows, run.cols))), []).append(e)
+            if "rounds" in name:
+                span = {"fresh rounds": 0, "rounds a step old": 1}.get(name)
+                sgd.asynchronous_round(run, 0.002, (1, 1), name.startswith("averaged"), span)
+                replay.rounds(rule, 0.002, blocks, d1, d1 if span is None else span + 1, name.startswith("averaged"), w, h, n1, n2)
+            else:
+                run.epoch(1, 0.002, 7, "WOR")
+                replay.stratified(rule, 0.002, blocks, run.plan(1, 7, "WOR"), w, h, n1, n2)
+            got = run.w(), run.h()
+        far = sum(int((np.abs(x - y[at]) > 1e-9).any(axis=1).sum()) for x, y, at in zip(_arrays(*got), (w, h), ids))
+        out.append((name, len(v), sum(map(len, ids)), far))
+    return s.createDataFrame(out, "name string, entries long, vectors long, far long")
+
+
+@query("parallel_gradient_step", f"""WITH {V}, {wl(plus=1)}, {C.hl(plus=1)}, {C.e_()},
+    g AS (SELECT i, k, sum(2 * 0.001 * (x / 25 - dot) * h) AS g FROM e JOIN hl USING (j) GROUP BY 1, 2)
+    SELECT wl.i, CAST(wl.k AS INTEGER) AS k, round(w + coalesce(g, 0), 8) AS value FROM wl LEFT JOIN g ON g.i = wl.i AND g.k = wl.k""")
+def parallel_gradient_step(s, d):
+    """One mini-batch of all points, each a task of its own: a step along the summed gradient."""
+    p = C.dense_problem(s, d)
+    n = p.v.count()
+    points = p.v.withColumns({"place": F.lit(0.0), "n1": F.lit(1).cast("long"), "n2": F.lit(1).cast("long")}).withColumn("task", F.shiftrightunsigned(F.xxhash64("i", "j"), 1))
+    assert n == points.select("task").distinct().count()
+    rule = sgd.Rule("Nzsl")
+    found = parallel.changes(points, p.w, p.h, rule, 0.001, (1,))
+    return rounded(long(parallel.moved(p.w, "i", "w", found, "w", RANK, rule), "i", "w"), "value", digits=8)
 
 
 FITS = {
@@ -349,6 +369,7 @@ FITS = {
     "stratified": dict(method="dsgd", update="Nzsl", regularize="Nzl2(0.01)", loss="Nzsl_Nzl2(0.01)", decay="BoldDriver(0.005)", epochs=2, blocks=4, group=2),
     "overlapped": dict(method="overlapped", update="Nzsl_L2(1)", loss="Nzsl_L2(1)", decay="Const(0.005)", epochs=1, blocks=3),
     "rounds": dict(method="asgd", update="Nzsl", loss="Nzsl", decay="Const(0.002)", epochs=2, blocks=4, balance="L2"),
+    "rounds of bounded staleness": dict(method="asgd", update="Nzsl", loss="Nzsl", decay="Const(0.002)", epochs=2, blocks=4, staleness=1),
     "cache squares": dict(method="csgd", update="Nzsl", regularize="L2(0.1)", loss="Nzsl_L2(0.1)", decay="Sequential(0.005,0.5)", epochs=2, blocks=4, cache_kb=16),
     "alternating": dict(method="als", loss="Nzsl_L2(1)", epochs=3),
     "searched": dict(method="dsgd", update="Nzsl", loss="Nzsl", decay="Auto(0.01,5)", epochs=2, blocks=2),

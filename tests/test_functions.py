@@ -58,6 +58,17 @@ def test_schedules_are_latin(order):
         assert sorted(line) == list(range(6))
 
 
+def test_groups_of_column_blocks_are_drawn():
+    """In a turn a group of row blocks keeps as many column blocks as it has rows; which ones go together differs from seed to seed."""
+    found = set()
+    for seed in range(20):
+        t = stratum_schedule("COWOR", 8, np.random.default_rng(seed), 2)
+        groups = {frozenset(t[s : s + 2, g : g + 2].ravel().tolist()) for s in range(0, 8, 2) for g in range(0, 8, 2)}
+        assert len(groups) == 4 and all(len(g) == 2 for g in groups)
+        found.add(frozenset(groups))
+    assert len(found) > 10
+
+
 def test_other_schedules():
     wr = stratum_schedule("WR", 5, np.random.default_rng(1))
     assert all(sorted(row) == list(range(5)) for row in wr)

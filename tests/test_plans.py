@@ -8,20 +8,90 @@ from rankweave.operators import loss as L
 from rankweave.operators import reshape as P
 from rankweave.functions.specs import parse
 from rankweave.operators import linear
-from rankweave.plans import als, kernels, local, multiplicative
+from rankweave.plans import als, kernels, local, multiplicative, replay
+from rankweave.plans import factorize as factorize_module
 from rankweave.plans.factorize import Spec, Trials, factorize, loss_of, regularizer_of
-from rankweave.plans.sgd import Rule, Stratified
+from rankweave.plans.schedule import overlapped_schedule, stratum_schedule
+from rankweave.plans.sgd import Rule, Stratified, disjoint
 from rankweave.plans.store import Tables
 from rankweave.sources import generate as G
 
 
-def test_batches_never_share_and_cover():
+@pytest.mark.parametrize("most", [1 << 30, 20])
+def test_waves_never_share_and_cover(most):
     rng = np.random.default_rng(1)
-    i, j = rng.integers(0, 9, 300), rng.integers(0, 7, 300)
-    parts = kernels.batches(i, j, rng.permutation(300))
-    assert sorted(np.concatenate(parts)) == list(range(300))
-    for p in parts:
-        assert len(set(i[p])) == len(p) == len(set(j[p]))
+    cell = np.unique(np.concatenate([rng.integers(0, 40 * 50, 400), 3 * 50 + np.arange(50), np.arange(40) * 50 + 7]))
+    i, j = cell // 50, cell % 50
+    seen, steps = [], 0
+    for p, groups in kernels.waves(i, j, rng.permutation(len(i)), most < 100, most):
+        rows = np.concatenate([i[p], *(i[q][:, 0] if side == 0 else i[q].ravel() for side, q in groups)])
+        cols = np.concatenate([j[p], *(j[q].ravel() if side == 0 else j[q][:, 0] for side, q in groups)])
+        assert len(set(rows)) == len(rows) and len(set(cols)) == len(cols)
+        assert all((i[q] == i[q][:, :1]).all() if side == 0 else (j[q] == j[q][:, :1]).all() for side, q in groups)
+        seen += [p, *(q.ravel() for _, q in groups)]
+        steps += 1
+    assert sorted(np.concatenate(seen)) == list(range(len(i)))
+    assert most > 100 or steps < 50  # a row of 50 takes no 50 steps
+
+
+@pytest.mark.parametrize("order", ["SEQ", "WOR", "WR"])
+@pytest.mark.parametrize("kind,args", [("Nzsl", ()), ("Nzsl_L2", (0.3,)), ("Nzsl_Nzl2", (0.1,)), ("Nzsl_L1", (0.1,)), ("Gkl", ())])
+def test_heavy_rows_and_columns_are_a_serial_order(monkeypatch, kind, args, order):
+    """Rows and columns solved in bursts give what single steps in the same order give."""
+    monkeypatch.setattr(kernels, "HEAVY", 20)
+    monkeypatch.setattr(kernels, "BURST", 7)
+    rng = np.random.default_rng(3)
+    cell = np.unique(np.concatenate([rng.integers(0, 40 * 300, 600), 5 * 300 + rng.integers(0, 300, 200), rng.integers(0, 40, 60) * 300 + 7]))
+    i, j = cell // 300, cell % 300
+    x, w, h = rng.random(len(i)), rng.random((40, 3)), rng.random((300, 3))
+    n1, n2 = np.maximum(np.bincount(i, minlength=40), 1), np.maximum(np.bincount(j, minlength=300), 1)
+    a, b, c, d = w.copy(), h.copy(), w.copy(), h.copy()
+    kernels.epoch(kind, args, i, j, x, a, b, 0.02, np.random.default_rng(3), n1, n2, order=order)
+    sequence = kernels.sequence_of(order, i, j, 40, 300, np.random.default_rng(3))
+    if kind in kernels.LINEAR and order == "WOR":
+        sequence = kernels._bursts(i, j, sequence, 20)[0]
+    replay.steps(Rule(kind, args), 0.02, [(i[k], j[k], x[k]) for k in sequence], c, d, n1, n2)
+    assert np.allclose(a, c, atol=1e-11) and np.allclose(b, d, atol=1e-11)
+    assert order == "WR" or sorted(sequence) == list(range(len(i)))
+
+
+def test_a_hot_row_takes_no_step_an_entry():
+    rng = np.random.default_rng(1)
+    cell = np.unique(np.concatenate([rng.integers(0, 20_000 * 100_000, 150_000), 3 * 100_000 + np.arange(100_000)]))
+    i, j = cell // 100_000, cell % 100_000
+    steps = sum(1 for _ in kernels.waves(i, j, rng.permutation(len(i)), True))
+    assert steps < 2 * 100_000 / kernels.BURST
+
+
+def test_sub_epochs_that_share_no_column_block():
+    plan = overlapped_schedule(5, np.random.default_rng(2))
+    assert disjoint(plan) == [(k, k + 2) for k in range(0, 10, 2)]
+    assert disjoint(stratum_schedule("WOR", 4, np.random.default_rng(2))) == [(k, k + 1) for k in range(4)]
+
+
+def test_blocks_follow_the_entries(spark, monkeypatch):
+    """Without a number of blocks there are four, or more for more entries; one task takes no more than it may."""
+    p, _, _ = planted(spark)
+    monkeypatch.setattr(factorize_module, "ONE_TASK", 100)
+    with pytest.raises(ValueError, match="too many for one task"):
+        factorize(p, Spec(method="sgd", epochs=1))
+    monkeypatch.setattr(factorize_module, "BLOCK_ENTRIES", 40)
+    seen, plain = [], Stratified.__init__
+    monkeypatch.setattr(Stratified, "__init__", lambda self, problem, rule, d, *more: seen.append(d) or plain(self, problem, rule, d, *more))
+    factorize(p, Spec(decay="Const(0.01)", epochs=1))
+    monkeypatch.setattr(factorize_module, "BLOCK_ENTRIES", 4000)
+    factorize(p, Spec(decay="Const(0.01)", epochs=1))
+    assert seen == [7, 4]
+
+
+def test_parallel_descent_is_no_stratified_one(spark):
+    p, _, _ = planted(spark)
+    fits = {m: factorize(p, Spec(method=m, decay="Const(0.02)", epochs=2, blocks=3, truncate=(-100.0, 100.0))) for m in ("psgd", "dsgd")}
+    w = {m: np.array([r.w for r in f.w.orderBy("i").collect()]) for m, f in fits.items()}
+    loss = {m: [r.loss for r in f.trace.orderBy("epoch").collect()] for m, f in fits.items()}
+    assert not np.allclose(w["psgd"], w["dsgd"]) and all(x[-1] < x[0] for x in loss.values())
+    again = factorize(Problem(p.v.repartition(5), p.w, p.h, p.meta, 3, p.test), Spec(method="psgd", decay="Const(0.02)", epochs=2, blocks=3, truncate=(-100.0, 100.0)))
+    assert np.allclose(w["psgd"], np.array([r.w for r in again.w.orderBy("i").collect()]), atol=1e-12)
 
 
 @pytest.mark.parametrize("kind,args", [("Nzsl", ()), ("Nzsl_L2", (0.5,)), ("Nzsl_Nzl2", (0.5,)), ("Nzsl_L1", (0.5,)), ("Biased", (0.1, 0.2, 0.3, 0.4)), ("Sl", ()), ("Gkl", ()), ("None", ())])
@@ -36,10 +106,9 @@ def test_a_pass_is_a_serial_order(kind, args):
     a, b = w.copy(), h.copy()
     kernels.epoch(kind, args, i, j, x, a, b, 0.05, np.random.default_rng(5), n1, n2)
     c, d = w.copy(), h.copy()
-    for p in kernels.batches(i, j, np.random.default_rng(5).permutation(len(x))):
-        for k in p:
-            r, s = i[k : k + 1], j[k : k + 1]
-            c[r], d[s] = kernels.step(kind, args, x[k : k + 1], c[r], d[s], 0.05, n1[r], n2[s])
+    for k in np.random.default_rng(5).permutation(len(x)):
+        r, s = i[k : k + 1], j[k : k + 1]
+        c[r], d[s] = kernels.step(kind, args, x[k : k + 1], c[r], d[s], 0.05, n1[r], n2[s])
     assert np.allclose(a, c) and np.allclose(b, d)
 
 
@@ -192,15 +261,10 @@ def test_cache_squares():
     b = kernels.cache_blocks(100_000, 100_000, 1_000_000, 10, 256)
     assert abs(256 * 1024 * b * b - 200_000 * 10 * 8 * b - 24_000_000) < 2 * 256 * 1024 * b
     rng = np.random.default_rng(1)
-    i, j, seen = rng.integers(0, 40, 500), rng.integers(0, 40, 500), []
-    plain = kernels.batches
-    try:
-        kernels.batches = lambda i, j, o: seen.append(o) or plain(i, j, o)
-        kernels.epoch("Nzsl", (), i, j, np.ones(500), np.ones((40, 2)), np.ones((40, 2)), 1e-3, rng, cells=4)
-    finally:
-        kernels.batches = plain
-    square = (i * 4 // 40 * 4 + j * 4 // 40)[seen[0]]
-    assert sorted(seen[0]) == list(range(500)) and (np.diff(square) != 0).sum() == len(set(square)) - 1
+    i, j = rng.integers(0, 40, 500), rng.integers(0, 40, 500)
+    sequence = kernels.sequence_of("WOR", i, j, 40, 40, rng, 4)
+    square = (i * 4 // 40 * 4 + j * 4 // 40)[sequence]
+    assert sorted(sequence) == list(range(500)) and (np.diff(square) != 0).sum() == len(set(square)) - 1
 
 
 def test_svd_start_is_the_best_product(spark):
