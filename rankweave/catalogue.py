@@ -176,7 +176,7 @@ query("loss_biased_nzl2", BASE + """SELECT (SELECT sum(CASE WHEN k = 0 THEN 0.12
 query("loss_sum_nzsl_nzl2", BASE + f"SELECT (SELECT sum((x - dot) * (x - dot)) FROM e) + {_NZ} AS loss")(
     lambda s, d: L.summed(L.squared(*problem_parts(s, d), RANK), L.weighted_l2(*problem_parts(s, d), RANK, 0.5))
 )
-query("loss_none", "SELECT CAST(0 AS DOUBLE) AS loss")(lambda s, d: L.nothing(s))
+query("loss_none", f"WITH {V} SELECT count(*) AS entries, CAST(0 AS DOUBLE) AS loss FROM v")(lambda s, d: A.nnz(matrix(s, d)).withColumnRenamed("nnz", "entries").crossJoin(L.nothing(s)))  # one row each
 
 # --- projection, blocks, reshape ----------------------------------------------------------------
 
@@ -429,7 +429,9 @@ query("bold_driver_trace", f"""WITH {_T}, q AS (SELECT *, lag(loss) OVER (ORDER
     lambda s, d: rounded(D.bold_driver_steps(_trace(s, d), 0.01), "eps", digits=12)
 )
 query("sequential_decay", f"WITH {_T} SELECT epoch, round(0.5 * 3 ** 0.75 / (epoch + 3) ** 0.75, 9) AS eps FROM t")(lambda s, d: rounded(D.sequential_steps(_trace(s, d), 0.5, 0.75, 2.0), "eps", digits=9))
-query("schedule_seq", "SELECT s.range AS sub_epoch, b.range AS b1, (s.range + b.range) % 7 AS b2 FROM range(7) s, range(7) b")(lambda s, d: sequential(s, 7))
+query("schedule_seq", f"WITH {V} SELECT (j + 7 - i % 7) % 7 AS sub_epoch, i % 7 AS b1, j % 7 AS b2, count(*) AS entries FROM v GROUP BY 1, 2, 3")(
+    lambda s, d: sequential(s, 7).join(matrix(s, d).groupBy((F.col("i") % 7).alias("b1"), (F.col("j") % 7).alias("b2")).agg(F.count("*").alias("entries")), ["b1", "b2"]).select("sub_epoch", "b1", "b2", "entries")
+)
 
 # --- alternating steps --------------------------------------------------------------------------
 
@@ -620,14 +622,16 @@ def parse_event_log(s, d):
     return N.parse_events(e.select(line.alias("value")).union(s.createDataFrame([("no event",), ("",)], "value string")))
 
 
-@query("generate_counts", "SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS cells, TRUE AS inside")
+@query("generate_counts", f"WITH {V} SELECT count(*) AS n, count(*) AS cells, TRUE AS inside FROM v")
 def generate_counts(s, d):
-    v = G.sparse(s, G.RandomMatrix(1000, 800, 5000))
-    return v.agg(F.count("*").alias("n"), F.countDistinct("i", "j").alias("cells"), (F.max(F.col("i")) < 1000).alias("inside"))
+    """As many cells as the matrix has, drawn at random from its range."""
+    m = sizes(s, d)
+    v = G.sparse(s, G.RandomMatrix(m.size1, m.size2, matrix(s, d).count()))
+    return v.agg(F.count("*").alias("n"), F.countDistinct("i", "j").alias("cells"), ((F.max(F.col("i")) < m.size1) & (F.max(F.col("j")) < m.size2)).alias("inside"))
 
 
-query("permutation_is_one_to_one", "SELECT count(*) AS n, CAST(sum(range) AS BIGINT) AS total, max(range) AS top FROM range(500)")(
-    lambda s, d: P.permutation(500, s, 2).agg(F.countDistinct("new").alias("n"), F.sum("new").alias("total"), F.max("new").alias("top"))
+query("permutation_is_one_to_one", "SELECT count(*) AS n, CAST(sum(i) AS BIGINT) AS total, max(i) AS top FROM (SELECT unnest(range(max(l_partkey) + 1)) AS i FROM lineitem)")(
+    lambda s, d: P.permutation(sizes(s, d).size2, s, 2).agg(F.countDistinct("new").alias("n"), F.sum("new").alias("total"), F.max("new").alias("top"))
 )
 query("from_factors", f"WITH {V}, {wl()}, {hl()}, {e_()} SELECT i, j, dot AS x FROM e")(lambda s, d: G.from_factors(matrix(s, d).select("i", "j"), row_factor(s, d), column_factor(s, d), RANK))
 
@@ -658,11 +662,11 @@ query("overlapped_fit")(fitted(method="overlapped", update="Nzsl", loss="Nzsl",
 query("asgd_fit")(fitted(method="asgd", update="Nzsl", loss="Nzsl", decay="Const(0.002)", epochs=2, blocks=4, average=True))
 query("csgd_fit")(fitted(method="csgd", update="Nzsl", regularize="L2(0.1)", loss="Nzsl_L2(0.1)", decay="Sequential(0.005,0.5)", epochs=2, blocks=4))
 query("auto_decay_fit")(fitted(method="dsgd", update="Nzsl", loss="Nzsl", decay="Auto(0.01,5)", epochs=2, blocks=2))
-query("generate_sparse")(lambda s, d: G.sparse(s, G.RandomMatrix(1000, 800, 5000)))
-query("generate_problem")(lambda s, d: G.problem(s, G.RandomMatrix(500, 400, 4000, 400, 5))[0].v)
-query("generate_poisson")(lambda s, d: P.poisson(G.sparse(s, G.RandomMatrix(300, 200, 2000), "Uniform(0,5)"), 3))
+query("generate_sparse")(lambda s, d: G.sparse(s, _properties._like_matrix(s, d)))
+query("generate_problem")(lambda s, d: G.problem(s, _properties._like_matrix(s, d, nnz_test=400, rank=5))[0].v)
+query("generate_poisson")(lambda s, d: P.poisson(G.sparse(s, _properties._like_matrix(s, d), "Uniform(0,5)"), 3))
 query("random_submatrix")(lambda s, d: P.random_submatrix(matrix(s, d), sizes(s, d), 5, 100).data)
-query("shuffle_rows")(lambda s, d: P.permuted(G.factor(s, 500, 4, "Normal(0,1)", 1), "i", P.permutation(500, s, 2)))
+query("shuffle_rows")(lambda s, d: P.permuted(row_factor(s, d), "i", P.permutation(sizes(s, d).size1, s, 2)))
 
 
 from . import properties as _properties  # noqa: E402, F401  registers its queries

@@ -1,10 +1,11 @@
-"""Small dense linear algebra on the driver or inside a group, NumPy arrays in and out; and the leading singular vectors of a matrix table."""
+"""Small dense linear algebra inside a group or an Arrow batch, tall-skinny QR and least squares over tables, and the leading singular vectors of a matrix table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,119 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.solve(a, b)
 
 
+def lu_many(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`lu` of a stack of square matrices at once."""
+    m = np.array(a, float)
+    n, r = m.shape[:2]
+    every, order = np.arange(n), np.tile(np.arange(r), (n, 1))
+    for k in range(r):
+        p = k + np.abs(m[:, k:, k]).argmax(axis=1)
+        for x in (m, order):
+            x[every, k], x[every, p] = x[every, p].copy(), x[every, k].copy()
+        pivot = m[:, k, k]
+        m[:, k + 1 :, k] /= np.where(pivot == 0, 1, pivot)[:, None]
+        m[:, k + 1 :, k + 1 :] -= m[:, k + 1 :, k, None] * m[:, None, k, k + 1 :]
+    return m, order
+
+
+def lu_solve_many(factors: tuple[np.ndarray, np.ndarray], b: np.ndarray) -> np.ndarray:
+    """Solutions of a stack of systems; those of a singular one are not a number."""
+    m, order = factors
+    r = m.shape[1]
+    y = np.take_along_axis(np.array(b, float), order, axis=1)
+    for k in range(1, r):
+        y[:, k] -= (m[:, k, :k] * y[:, :k]).sum(axis=1)
+    for k in range(r - 1, -1, -1):
+        pivot = m[:, k, k]
+        y[:, k] = (y[:, k] - (m[:, k, k + 1 :] * y[:, k + 1 :]).sum(axis=1)) / np.where(pivot == 0, np.nan, pivot)
+    return y
+
+
+def _stack(column: pa.Array, *shape: int) -> np.ndarray:
+    return column.flatten().to_numpy().astype(float).reshape(len(column), *shape)
+
+
+def _vectors(x: np.ndarray) -> pa.Array:
+    flat = x.reshape(len(x), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+
+
+def lu_rows(systems: DataFrame, index: str, matrix: str, rank: int, rhs: str | None = None) -> DataFrame:
+    """(index, lu, order) of a table with a square matrix a row, flat in ``matrix``; with ``rhs`` also ``solution`` (null for a singular matrix)."""
+
+    def run(batches):
+        for batch in batches:
+            m, order = lu_many(_stack(batch.column(matrix), rank, rank))
+            cols = {index: batch.column(index), "lu": _vectors(m), "order": _vectors(order.astype(np.int32))}
+            if rhs:
+                x = lu_solve_many((m, order), _stack(batch.column(rhs), rank))
+                bad = np.isnan(x).any(axis=1)
+                cols["solution"] = pa.array([None if b else r for r, b in zip(x.tolist(), bad)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_pydict(cols)
+
+    kind = systems.schema[index].dataType.simpleString()
+    return systems.select(index, matrix, *([rhs] if rhs else [])).mapInArrow(run, f"{index} {kind}, lu array<double>, order array<int>" + (", solution array<double>" if rhs else ""))
+
+
 def qr(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.linalg.qr(a)
+    """QR with a diagonal of R that is not negative, so that R is one whatever the order of the rows."""
+    q, r = np.linalg.qr(a)
+    sign = np.where(np.diag(r) < 0, -1.0, 1.0)
+    return q * sign, r * sign[:, None]
+
+
+def tall_qr(df: DataFrame, index: str, vector: str, rank: int, write: Callable[[DataFrame], DataFrame], block_rows: int = 1 << 16, fan: int = 64, with_q: bool = True) -> tuple[DataFrame | None, np.ndarray]:
+    """Q (index, vector) and R (rank x rank) of a table of vectors, row by row of any number.
+
+    Blocks of about ``block_rows`` rows are factorized side by side; their triangles are stacked
+    ``fan`` at a time and factorized again, up a tree; on the way back every block gets the
+    rank x rank matrix that its own Q is to be multiplied with.  Only R reaches the driver.
+    """
+    blocks = 1 + df.count() // block_rows
+    square = f"b long, {index} {df.schema[index].dataType.simpleString()}, {vector} array<double>, up array<double>"
+
+    def leaf(key, own):
+        x = _stack(own.column(vector).combine_chunks(), rank)
+        pad = np.vstack([x, np.zeros((max(0, rank - len(x)), rank))])  # fewer rows than columns
+        q, r = qr(pad)
+        none = pa.nulls(1, own.schema.field(index).type)
+        up = pa.table([pa.array([key[0].as_py()]), none, pa.nulls(1, pa.list_(pa.float64())), _vectors(r[None])], names=["b", index, vector, "up"])
+        rows = pa.table([pa.array(np.full(len(x), key[0].as_py())), own.column(index), _vectors(q[: len(x)]), pa.nulls(len(x), pa.list_(pa.float64()))], names=["b", index, vector, "up"])
+        return pa.concat_tables([up, rows] if with_q else [up])
+
+    done = write(df.select(index, vector, F.pmod(F.xxhash64(index), F.lit(blocks)).alias("b")).groupBy("b").applyInArrow(leaf, square))
+    levels, left = [], done.filter("up is not null").select("b", "up")
+
+    def merge(key, own):
+        own = own.sort_by("b")
+        q, r = qr(np.vstack([*_stack(own.column("up").combine_chunks(), rank, rank), np.zeros((rank, rank))]))
+        parts = q[: own.num_rows * rank].reshape(own.num_rows, rank, rank)
+        return pa.table([own.column("b"), pa.array(np.full(own.num_rows, key[0].as_py())), _vectors(parts), _vectors(np.tile(r, (own.num_rows, 1, 1)))], names=["b", "to", "part", "up"])
+
+    while True:
+        level = write(left.withColumn("to", F.floor(F.col("b") / fan)).groupBy("to").applyInArrow(merge, "b long, to long, part array<double>, up array<double>"))
+        levels.append(level.select("b", "to", "part"))
+        left = level.groupBy(F.col("to").alias("b")).agg(F.any_value("up").alias("up"))
+        blocks = -(-blocks // fan)
+        if blocks == 1:
+            break
+    top = left.head()
+    r = np.array(top.up).reshape(rank, rank) if top else np.zeros((rank, rank))
+    if not with_q:
+        return None, r
+    down = levels[-1].select("b", F.col("part").alias("m"))
+    cell = lambda a, b: sum((F.col("part")[a * rank + k] * F.col("m")[k * rank + b] for k in range(rank)), F.lit(0.0))
+    for level in levels[-2::-1]:
+        down = level.join(down.withColumnRenamed("b", "to"), "to").select("b", F.array(*(cell(a, b) for a in range(rank) for b in range(rank))).alias("m"))
+    q = done.filter("up is null").join(down, "b")
+    return q.select(index, each(rank, lambda k: sum((F.col(vector)[a] * F.col("m")[a * rank + k] for a in range(rank)), F.lit(0.0))).alias(vector)), r
+
+
+def tall_least_squares(df: DataFrame, index: str, vector: str, rhs: str, rank: int, sides: int, write: Callable[[DataFrame], DataFrame], block_rows: int = 1 << 16, fan: int = 64) -> np.ndarray:
+    """The rank x sides matrix B of least squares over all rows of vector' B - rhs, by the triangle of vectors and right-hand sides together."""
+    both = df.select(index, F.concat(vector, rhs).alias("v"))
+    _, r = tall_qr(both, index, "v", rank + sides, write, block_rows, fan, with_q=False)
+    return least_squares(r[:rank, :rank], r[:rank, rank:])
 
 
 def least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -90,18 +90,27 @@ def compose(new: DataFrame, old: DataFrame) -> DataFrame:
 def core(v: DataFrame, threshold: int, write) -> Projected:
     """:func:`frequent` until nothing goes.  ``write`` stores a table and returns it as read back, which cuts the lineage of every round.
 
-    A round counts both axes in one pass over grouping sets and drops by the rare indexes, which
-    are few in all rounds but the first; it ends when there are none.
+    Entries are counted once, by rows and by columns in one pass.  A round cuts the entries of rare rows and
+    columns from the others and takes them off the counts, so it reads what is left of the matrix
+    once, counts only what goes, and ends when no count is small.
     """
+    def counted(entries: DataFrame) -> DataFrame:
+        return entries.groupingSets([["i"], ["j"]], "i", "j").agg(F.count("*").alias("nnz"), F.grouping("i").alias("of_j")).select("of_j", F.coalesce("i", "j").alias("id"), "nnz")
+
     data = write(v.select("i", "j", "x"))
+    counts = write(counted(data))
     while True:
-        counts = data.groupingSets([["i"], ["j"]], "i", "j").agg(F.count("*").alias("nnz"), F.grouping("i").alias("of_j"))
-        rare = write(counts.filter(F.col("nnz") <= threshold).select(F.when(F.col("of_j") == 0, F.col("i")).alias("ri"), F.when(F.col("of_j") == 1, F.col("j")).alias("rj")))
+        rare = counts.filter(F.col("nnz") <= threshold)
         if rare.isEmpty():
             break
-        lost_i, lost_j = rare.filter("ri is not null").select(F.col("ri").alias("i")), rare.filter("rj is not null").select(F.col("rj").alias("j"))
-        data = write(data.join(lost_i, "i", "left_anti").join(lost_j, "j", "left_anti").select("i", "j", "x"))
-    return submatrix(data, renumbered(data, "i"), renumbered(data, "j"))
+        lost = [rare.filter(F.col("of_j") == k).select(F.col("id").alias(c), F.lit(True).alias(f"lost_{c}")) for k, c in enumerate("ij")]
+        marked = data.join(lost[0], "i", "left").join(lost[1], "j", "left").select("i", "j", "x", F.coalesce("lost_i", "lost_j", F.lit(False)).alias("gone"))
+        marked = write(marked, by=("gone",))
+        data, less = (marked.filter(F.col("gone") == k).drop("gone") for k in (False, True))
+        left = F.col("nnz") - F.coalesce("less", F.lit(0))
+        counts = write(counts.filter(F.col("nnz") > threshold).join(counted(less).withColumnRenamed("nnz", "less"), ["of_j", "id"], "left").select("of_j", "id", left.alias("nnz")).filter("nnz > 0"))
+    keep = [renumbered(counts.filter(F.col("of_j") == k).select(F.col("id").alias(c)), c) for k, c in enumerate("ij")]
+    return submatrix(data, *keep)
 
 
 def gather(factor: DataFrame, index: str, vector: str, wanted: DataFrame) -> DataFrame:

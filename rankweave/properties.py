@@ -53,9 +53,14 @@ def refused(f, *args, **kw) -> str:
 # --- formats and files ----------------------------------------------------------------------------
 
 
-@query("formats", "SELECT * FROM (VALUES ('mmc', 'coordinate', TRUE), ('mma', 'array', FALSE), ('parquet', 'parquet', TRUE), ('csv', 'csv', TRUE), ('mfp', 'projected', TRUE), ('mfm', 'map', FALSE), ('rm', 'random', TRUE), ('xml', 'blocked', TRUE)) t(ext, fmt, sparse)")
+_KINDS = "['mmc', 'mma', 'parquet', 'csv', 'mfp', 'mfm', 'rm', 'xml']", "['coordinate', 'array', 'parquet', 'csv', 'projected', 'map', 'random', 'blocked']"
+
+
+@query("formats", f"SELECT n_name || '.' || ({_KINDS[0]})[1 + n_nationkey % 8] AS name, ({_KINDS[1]})[1 + n_nationkey % 8] AS fmt, n_nationkey % 8 NOT IN (1, 5) AS sparse FROM nation")
 def formats(s, d):
-    return s.createDataFrame([(e, M.format_of(f"/a.b/m.{e}"), M.is_sparse(M.format_of(f"m.{e}"))) for e in M.FORMATS], "ext string, fmt string, sparse boolean")
+    """The format and form of files named after the nations."""
+    names = [f"{r.n_name}.{list(M.FORMATS)[r.n_nationkey % len(M.FORMATS)]}" for r in table(s, d, "nation").collect()]
+    return s.createDataFrame([(n, M.format_of(f"/a.b/{n}"), M.is_sparse(M.format_of(n))) for n in names], "name string, fmt string, sparse boolean")
 
 
 @query("refusals", "SELECT * FROM (VALUES ('platform archive', 'NotImplementedError'), ('unknown file', 'ValueError'), ('dense as coordinate', 'NotImplementedError'), ('unknown loss for als', 'ValueError'), ('update that does not fit', 'ValueError'), ('regularizer with overlapped strata', 'ValueError'), ('unknown decay', 'ValueError'), ('unknown distribution', 'ValueError'), ('more cells than there are', 'ValueError'), ('more blocks than rows', 'ValueError')) t(what, error)")
@@ -132,11 +137,23 @@ def io_index_pair(s, d):
 # --- generators -----------------------------------------------------------------------------------
 
 
-@query("described_problem", facts_sql(train=4000, test=400, rows=500, columns=400, rank=5, unequal=0))
+_SIZES = "(SELECT count(*) FROM v) AS n, (SELECT max(i) + 1 FROM v) AS r, (SELECT max(j) + 1 FROM v) AS c"
+
+
+def _like_matrix(s, d, **more):
+    """A random problem with the sizes and the number of entries of the matrix."""
+    return G.RandomMatrix(sizes(s, d).size1, sizes(s, d).size2, matrix(s, d).count(), **more)
+
+
+def _sized(**wanted) -> str:
+    return f"WITH {V}, z AS (SELECT {_SIZES}), f AS (SELECT unnest([" + ", ".join(f"{{'fact': '{k}', 'value': CAST({v} AS BIGINT)}}" for k, v in wanted.items()) + "]) AS f FROM z) SELECT f.fact AS fact, f.value AS value FROM f"
+
+
+@query("described_problem", _sized(train="n", test="n // 10", rows="r", columns="c", rank=5, unequal=0))
 def described_problem(s, d):
-    """A .rm file opened twice gives one problem."""
-    path = _path(s, "p.rm")
-    described.write_random(s, G.RandomMatrix(500, 400, 4000, 400, 5), path)
+    """A .rm file with the sizes of the matrix, opened twice, gives one problem."""
+    path, m = _path(s, "p.rm"), _like_matrix(s, d)
+    described.write_random(s, G.RandomMatrix(m.size1, m.size2, m.nnz, m.nnz // 10, 5), path)
     one, two = (described.open_problem(s, path) for _ in range(2))
     unequal = one.v.exceptAll(two.v.repartition(3)).count() + one.w.exceptAll(two.w).count() + one.test.exceptAll(two.test).count()
     return facts(s, train=one.v.count(), test=one.test.count(), rows=one.meta.size1, columns=one.meta.size2, rank=one.rank, unequal=unequal)
@@ -150,51 +167,48 @@ def problem_from_files(s, d):
     return facts(s, entries=p.v.count(), rows=p.meta.size1, columns=p.meta.size2, rank=p.rank, row_factors=p.w.count())
 
 
-@query("draws_by_cell", facts_sql(unequal_values=0, unequal_factors=0, unequal_permutations=0, unequal_counts=0))
+@query("draws_by_cell", _sized(entries="n", changed="n", unequal_values=0, vectors="(SELECT count(*) FROM supplier)", unequal_factors=0, unequal_permutations=0, unequal_counts=0))
 def draws_by_cell(s, d):
-    """Draws do not depend on partitions."""
-    m = G.RandomMatrix(300, 200, 5000)
-    v = Tables(s).put(G.sparse(s, m))
+    """Noise on the matrix, counts with its values as means, and vectors of its rows do not depend on partitions; noise changes every value."""
+    v, w = Tables(s).put(matrix(s, d).withColumn("x", F.col("x").cast("double"))), table(s, d, "supplier").select(F.col("s_suppkey").alias("id"))
     noisy = lambda df: P.noisy(df, Distribution.parse("Normal(0,1)"), 4)
     many = lambda df: df.repartition(7)
-    counts = lambda df: P.poisson(df.withColumn("x", F.abs("x") * 40), 3)
-    perm = P.permutation(500, s, 2), P.permutation(500, s, 2)
+    counts = lambda df: P.poisson(df, 3)
+    perm = [P.permutation(sizes(s, d).size2, s, 2) for _ in range(2)]
     draw = lambda ids: ids.select("id", each(4, lambda k: Distribution.parse("Uniform(2,3)").column(9, F.col("id"), F.lit(k))).alias("w"))
     return facts(
-        s, unequal_values=noisy(v).exceptAll(noisy(many(v))).count(), unequal_factors=draw(s.range(500)).exceptAll(draw(s.range(0, 500, 1, 9))).count(),
-        unequal_permutations=perm[0].exceptAll(perm[1]).count(), unequal_counts=counts(v).exceptAll(counts(many(v))).count(),
+        s, entries=noisy(v).count(), changed=noisy(v).join(v.withColumnRenamed("x", "y"), ["i", "j"]).filter("x <> y").count(), unequal_values=noisy(v).exceptAll(noisy(many(v))).count(),
+        vectors=draw(w).count(), unequal_factors=draw(w).exceptAll(draw(many(w))).count(), unequal_permutations=perm[0].exceptAll(perm[1]).count(), unequal_counts=counts(v).exceptAll(counts(many(v))).count(),
     )
 
 
-@query("distributions", "SELECT * FROM (VALUES ('Normal(3,0.5)', TRUE, TRUE, TRUE), ('Uniform(2,5)', TRUE, TRUE, TRUE)) t(spec, mean_fits, deviation_fits, inside)")
+@query("distributions", f"WITH {V} SELECT spec, (SELECT count(*) FROM v) AS n, TRUE AS mean_fits, TRUE AS deviation_fits, TRUE AS inside FROM (VALUES ('Normal(3,0.5)'), ('Uniform(2,5)')) t(spec)")
 def distributions(s, d):
-    """200,000 draws of each: mean and deviation within five standard errors, Uniform inside its bounds."""
-    out = None
+    """A draw for each cell of the matrix: mean and deviation within six standard errors, Uniform inside its bounds."""
+    out, cells = None, matrix(s, d)
     for spec, mean, sd in (("Normal(3,0.5)", 3.0, 0.5), ("Uniform(2,5)", 3.5, 3 / 12**0.5)):
-        x = s.range(200_000).select(Distribution.parse(spec).column(11, F.col("id")).alias("x"))
+        x = cells.select(Distribution.parse(spec).column(11, F.col("i"), F.col("j")).alias("x"))
         inside = (F.min("x") > 2) & (F.max("x") < 5) if spec.startswith("U") else F.lit(True)
-        near = lambda c, y, scale: F.abs(c - y) < 5 * scale / 200_000**0.5
-        row = x.agg(F.lit(spec).alias("spec"), near(F.avg("x"), mean, sd).alias("mean_fits"), near(F.stddev("x"), sd, sd).alias("deviation_fits"), inside.alias("inside"))
+        near = lambda c, y, scale: F.abs(c - y) < 6 * scale / F.sqrt(F.count("*"))
+        row = x.agg(F.lit(spec).alias("spec"), F.count("*").alias("n"), near(F.avg("x"), mean, sd).alias("mean_fits"), near(F.stddev("x"), sd, sd).alias("deviation_fits"), inside.alias("inside"))
         out = row if out is None else out.union(row)
     return out
 
 
-@query("poisson_counts", "SELECT CAST(mean AS DOUBLE) AS mean, mean_fits, variance_fits, whole FROM (VALUES (0.5, TRUE, TRUE, TRUE), (12.0, TRUE, TRUE, TRUE), (300.0, TRUE, TRUE, TRUE)) t(mean, mean_fits, variance_fits, whole)")
+@query("poisson_counts", f"WITH {V} SELECT CAST(x AS BIGINT) % 5 AS part, count(*) AS n, TRUE AS mean_fits, TRUE AS whole FROM v GROUP BY 1")
 def poisson_counts(s, d):
-    out = None
-    for mean in (0.5, 12.0, 300.0):
-        x = P.poisson(s.range(60_000).select("id", (F.col("id") % 7).alias("j"), F.lit(mean).alias("x")).toDF("i", "j", "x"), 5)
-        near = lambda c, scale: F.abs(c - mean) < 6 * scale / 60_000**0.5  # noqa: E731, B023
-        row = x.agg(F.lit(mean).alias("mean"), near(F.avg("x"), mean**0.5).alias("mean_fits"), near(F.variance("x"), (mean + 2 * mean * mean) ** 0.5).alias("variance_fits"), F.every(F.col("x") == F.floor("x")).alias("whole"))
-        out = row if out is None else out.union(row)
-    return out
+    """Counts with the values of the matrix as means: their sum is within six standard errors of the sum of the means."""
+    v = matrix(s, d).select("i", "j", F.col("x").cast("double").alias("x"))
+    both = P.poisson(v, 5).withColumnRenamed("x", "k").join(v, ["i", "j"])
+    return both.groupBy((F.col("x").cast("long") % 5).alias("part")).agg(F.count("*").alias("n"), (F.abs(F.sum("k") - F.sum("x")) < 6 * F.sqrt(F.sum("x"))).alias("mean_fits"), F.every((F.col("k") == F.floor("k")) & (F.col("k") >= 0)).alias("whole"))
 
 
-@query("shuffle_keeps_rows", facts_sql(rows=500, kept=500))
+@query("shuffle_keeps_rows", f"WITH {wl()} SELECT i, CAST(k AS INTEGER) AS k, w AS value FROM wl")
 def shuffle_keeps_rows(s, d):
-    f, perm = G.factor(s, 500, 4, "Normal(0,1)", 1), P.permutation(500, s, 2)
-    back = P.permuted(f, "i", perm).join(perm.select(F.col("new").alias("i"), "old"), "i").select(F.col("old").alias("i"), "w")
-    return facts(s, rows=back.count(), kept=back.join(f, ["i", "w"]).count())
+    """Row vectors under a permutation of their indexes, and back."""
+    perm = P.permutation(sizes(s, d).size1, s, 2)
+    back = P.permuted(row_factor(s, d), "i", perm).join(perm.select(F.col("new").alias("i"), "old"), "i").select(F.col("old").alias("i"), "w")
+    return long(back, "i", "w")
 
 
 @query("random_submatrix_facts", f"WITH {V} " + facts_sql(rows=5, columns=100, strange_entries=0, out_of_order=0))
@@ -211,33 +225,64 @@ def random_submatrix_facts(s, d):
 
 # --- schedules, orders, decays ----------------------------------------------------------------------
 
-_ORDERS = {"SEQ": 1, "RSEQ": 1, "WR": 1, "WOR": 1, "COWOR": 3}
+_ORDERS = {"SEQ": 1, "RSEQ": 1, "WOR": 1, "COWOR": 3, "OVERLAPPED": 1}
+
+
+def _block_counts(s, d, d1: int, d2: int) -> DataFrame:
+    """(b1, b2, n): entries of the blocks of the matrix, by remainders of its indexes."""
+    return matrix(s, d).groupBy((F.col("i") % d1).cast("long").alias("b1"), (F.col("j") % d2).cast("long").alias("b2")).agg(F.count("*").alias("n"))
 
 
-@query("schedule_facts", "SELECT * FROM (VALUES " + ", ".join(f"('{o}', 36, 6, {'CAST(NULL AS BIGINT)' if o == 'WR' else 36})" for o in _ORDERS) + ", ('OVERLAPPED', 72, 6, 72)) t(name, n, least, cells)")
+@query("schedule_facts", f"WITH {V}, b AS (SELECT i % 6 AS b1, count(*) AS entries FROM v GROUP BY 1) SELECT name, b1, entries, CASE name WHEN 'OVERLAPPED' THEN 12 ELSE 6 END AS turns, CAST(6 AS BIGINT) AS least FROM b, (SELECT unnest({list(_ORDERS)}) AS name)")
 def schedule_facts(s, d):
-    """Meetings, column blocks met in each sub-epoch at least, and different cells visited (any number with repeats across sub-epochs)."""
+    """Entries that each row block meets in an epoch, all of its own once; sub-epochs; column blocks at work in each at least."""
     out = None
-    for name, group in (*_ORDERS.items(), ("OVERLAPPED", 1)):
+    for name, group in _ORDERS.items():
         t = schedule_table(s, name, 6, 3, group)
-        each_ = t.groupBy("sub_epoch").agg(F.countDistinct("b2").alias("k")).agg(F.min("k").alias("least"))
-        row = t.agg(F.count("*").alias("n"), F.countDistinct("b1", "b2").alias("cells")).crossJoin(each_).select(F.lit(name).alias("name"), F.col("n").cast("int").alias("n"), F.col("least").cast("int").alias("least"), (F.col("cells") if name != "WR" else F.lit(None)).cast("long").alias("cells"))  # one row each
+        met = t.join(_block_counts(s, d, 6, 12 if name == "OVERLAPPED" else 6), ["b1", "b2"], "left").groupBy("b1").agg(F.sum("n").alias("entries"))
+        least = t.groupBy("sub_epoch").agg(F.countDistinct("b2").alias("k")).agg(F.min("k").alias("least"), F.count("*").cast("int").alias("turns"))
+        row = met.crossJoin(least).select(F.lit(name).alias("name"), "b1", "entries", "turns", "least")  # one row
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query("schedule_with_replacement", f"WITH {V} SELECT i % 6 AS b1, CAST(6 AS BIGINT) AS meetings, TRUE AS possible FROM v GROUP BY 1")
+def schedule_with_replacement(s, d):
+    """Each row block meets six column blocks; those that come again count again."""
+    t = schedule_table(s, "WR", 6, 3).join(_block_counts(s, d, 6, 6), ["b1", "b2"], "left")
+    top = _block_counts(s, d, 6, 6).groupBy("b1").agg(F.max("n").alias("top"))
+    return t.groupBy("b1").agg(F.count("*").alias("meetings"), F.sum("n").alias("entries")).join(top, "b1").select("b1", "meetings", (F.col("entries") <= 6 * F.col("top")).alias("possible"))
+
+
+@query("schedule_overlap", f"WITH {V} SELECT i % 7 AS b1, count(*) AS entries, CAST(0 AS BIGINT) AS shared FROM v GROUP BY 1")
+def schedule_overlap(s, d):
+    """Entries that each row block meets under the overlapped schedule, and those in column blocks that the sub-epoch before also has."""
+    t, n = schedule_table(s, "OVERLAPPED", 7, 5), _block_counts(s, d, 7, 14)
+    before = t.select((F.col("sub_epoch") + 1).alias("sub_epoch"), "b2", F.lit(True).alias("again"))
+    met = t.join(before, ["sub_epoch", "b2"], "left").join(n, ["b1", "b2"])
+    return met.groupBy("b1").agg(F.sum("n").alias("entries"), F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("shared"))
+
+
+@query("schedule_groups", f"WITH {V} SELECT seed, i % 8 // 2 AS g1, count(*) AS entries, CAST(2 AS BIGINT) AS most, CAST(8 AS BIGINT) AS met FROM v, (SELECT unnest([1, 2, 3]) AS seed) GROUP BY 1, 2")
+def schedule_groups(s, d):
+    """Under random groups of two: entries that a pair of row blocks meets, column blocks that it has in a turn at most, and in all turns."""
+    n, out = _block_counts(s, d, 8, 8), None
+    for seed in (1, 2, 3):
+        t = schedule_table(s, "COWOR", 8, seed, 2).withColumns({"turn": F.floor(F.col("sub_epoch") / 2), "g1": F.floor(F.col("b1") / 2)})
+        most = t.groupBy("g1", "turn").agg(F.countDistinct("b2").alias("k")).groupBy("g1").agg(F.max("k").alias("most"))
+        row = t.join(n, ["b1", "b2"], "left").groupBy("g1").agg(F.sum("n").alias("entries"), F.countDistinct("b2").alias("met")).join(most, "g1").select(F.lit(seed).alias("seed"), "g1", "entries", "most", "met")
         out = row if out is None else out.union(row)
     return out
 
 
-query("schedule_overlap", "SELECT CAST(0 AS BIGINT) AS shared")(
-    lambda s, d: schedule_table(s, "OVERLAPPED", 7, 5).alias("a").join(schedule_table(s, "OVERLAPPED", 7, 5).alias("b"), F.expr("a.sub_epoch + 1 = b.sub_epoch and a.b2 = b.b2")).agg(F.count("*").alias("shared"))
-)
-query("schedule_groups", "SELECT g AS turn, CAST(2 AS BIGINT) AS groups FROM range(4) t(g)")(  # a group of row blocks keeps one group of column blocks for a turn
-    lambda s, d: schedule_table(s, "COWOR", 8, 5, 2).select(F.floor(F.col("sub_epoch") / 2).alias("turn"), F.floor(F.col("b1") / 2).alias("g1"), F.floor(F.col("b2") / 2).alias("g2")).distinct().groupBy("turn", "g1").agg(F.count("*").alias("n")).groupBy("turn").agg((F.max("n") * 2).alias("groups"))
-)
 query("constant_decay", f"WITH {C._T} SELECT epoch, CAST(0.01 AS DOUBLE) AS eps FROM t")(lambda s, d: D.constant_steps(C._trace(s, d), D.parse_decay("Const(0.01)").next(0, None, 1.0)))
 
 
-@query("decay_names", "SELECT spec, kind, CAST(first AS DOUBLE) AS first FROM (VALUES ('Const(0.3)', 'Constant', 0.3), ('BoldDriver(0.2)', 'BoldDriver', 0.2), ('Sequential(0.5,0.5,1)', 'Sequential', 0.5)) t(spec, kind, first)")
+@query("decay_names", "SELECT n_name AS name, ['Constant', 'BoldDriver', 'Sequential'][1 + n_nationkey % 3] AS kind, (n_nationkey + 1) / 10 AS first FROM nation")
 def decay_names(s, d):
-    return s.createDataFrame([(x, type(p := D.parse_decay(x)).__name__, p.next(0, None, 1.0)) for x in ("Const(0.3)", "BoldDriver(0.2)", "Sequential(0.5,0.5,1)")], "spec string, kind string, first double")
+    """Policies named by a specification with a nation's number in it, and their first steps."""
+    spec = lambda k: f"{('Const', 'BoldDriver', 'Sequential')[k % 3]}({(k + 1) / 10}{',0.5,1' if k % 3 == 2 else ''})"
+    return s.createDataFrame([(r.n_name, type(p := D.parse_decay(spec(r.n_nationkey))).__name__, p.next(0, None, 1.0)) for r in table(s, d, "nation").collect()], "name string, kind string, first double")
 
 
 @query("step_search", "SELECT epoch, CAST(eps AS DOUBLE) AS eps FROM (VALUES (0, 0.125), (1, 0.25), (2, 0.125), (3, 0.13125)) t(epoch, eps)")
@@ -248,9 +293,11 @@ def step_search(s, d):
     return s.createDataFrame([(k, auto.next(k, *x)) for k, x in enumerate(losses)], "epoch int, eps double").withColumn("eps", F.round("eps", 9))
 
 
-@query("spec_grammar", "SELECT spec, name, n, CAST(total AS DOUBLE) AS total FROM (VALUES ('Nzsl_L2( 0.5 )', 'Nzsl_L2', 1, 0.5), ('None', 'None', 0, 0.0), ('Biased(1,2,3,4)', 'Biased', 4, 10.0)) t(spec, name, n, total)")
+@query("spec_grammar", "SELECT n_name AS name, CAST(n_nationkey % 4 AS INTEGER) AS n, CAST(n_nationkey * (n_nationkey % 4) AS DOUBLE) AS total FROM nation")
 def spec_grammar(s, d):
-    return s.createDataFrame([(x, p.name, len(p.args), float(sum(p.args))) for x in ("Nzsl_L2( 0.5 )", "None", "Biased(1,2,3,4)") for p in [parse(x)]], "spec string, name string, n int, total double")
+    """Specifications named after the nations, with as many arguments as a remainder says."""
+    found = [(r.n_name, r.n_nationkey, parse(f" {r.n_name.replace(' ', '_')}( {' , '.join([str(r.n_nationkey)] * (r.n_nationkey % 4))} ) " if r.n_nationkey % 4 else r.n_name.replace(" ", "_"))) for r in table(s, d, "nation").collect()]
+    return s.createDataFrame([(name if p.name == name.replace(" ", "_") else p.name, len(p.args), float(sum(p.args))) for name, _, p in found], "name string, n int, total double")
 
 
 @query("valid_specs", "SELECT CAST(10 AS BIGINT) AS n")
@@ -388,46 +435,86 @@ for _name, _spec in FITS.items():
     query(f"fit_{_name.replace(' ', '_')}", facts_sql(rows=_spec["epochs"] + 1, descends=1, finite=1))(_fit_facts(_name))
 
 
-@query("trace_source", "SELECT * FROM (VALUES (-1, 'run <- list(trace=list('), (0, 'list(it=0, epoch=0, loss=9.0, loss_test=NaN, eps=0.5),'), (1, 'list(it=1, epoch=1, loss=8.25, loss_test=NaN, eps=0.525)'), (2, '));')) t(epoch, line)")
+@query("trace_source", """WITH t AS (SELECT n_nationkey AS e, 'list(it=' || n_nationkey || ', epoch=' || n_nationkey || ', loss=' || n_regionkey || '.5, loss_test=NaN, eps=0.25)' || CASE WHEN n_nationkey < 24 THEN ',' ELSE '' END AS line FROM nation)
+    SELECT -1 AS epoch, 'run <- list(trace=list(' AS line UNION ALL SELECT e, line FROM t UNION ALL SELECT 25, '));'""")
 def trace_source(s, d):
-    t = s.createDataFrame([(0, 0, 9.0, float("nan"), 0.5), (1, 1, 8.25, float("nan"), 0.525)], "it long, epoch long, loss double, loss_test double, eps double")
+    """A trace with a row a nation, as the source of a list."""
+    t = table(s, d, "nation").select(F.col("n_nationkey").alias("it"), F.col("n_nationkey").alias("epoch"), (F.col("n_regionkey") + F.lit(0.5).cast("double")).alias("loss"), F.lit(float("nan")).alias("loss_test"), F.lit(0.25).cast("double").alias("eps"))
     return N.trace_lines(t, "run").withColumn("epoch", F.col("epoch").cast("int"))
 
 
 # --- small linear algebra -----------------------------------------------------------------------------
 
 
-def _back(name):
-    """The Gram matrix of the row factors plus the identity, put together again from its parts."""
+_GRAM = f"WITH {wl()} SELECT CAST(p.k AS INTEGER) AS a, CAST(q.k AS INTEGER) AS b, round(sum(p.w * q.w) + CASE WHEN p.k = q.k THEN 1 ELSE 0 END, 9) AS value FROM wl p JOIN wl q USING (i) GROUP BY p.k, q.k"
 
-    def run(s, d):
-        g = linear._gram(row_factor(s, d), "w", RANK) + np.eye(RANK)
-        if name == "lu":
-            m, order = linear.lu(g)
-            back = np.empty_like(g)
-            back[order] = (np.tril(m, -1) + np.eye(RANK)) @ np.triu(m)
-        elif name == "qr":
-            q, r = linear.qr(g)
-            back = q @ r
-        else:
-            back = g @ np.column_stack([linear.least_squares(g, e) for e in g.T])  # g times the identity
-            back = back if name == "lls" else back
-        return rounded(s.createDataFrame([(a, b, float(back[a, b])) for a in range(RANK) for b in range(RANK)], "a int, b int, value double"), "value", digits=9)
 
-    return run
+def _square(s, m) -> DataFrame:
+    return rounded(s.createDataFrame([(a, b, float(m[a, b])) for a in range(len(m)) for b in range(len(m))], "a int, b int, value double"), "value", digits=9)
 
 
-_GRAM = f"WITH {wl()} SELECT CAST(p.k AS INTEGER) AS a, CAST(q.k AS INTEGER) AS b, round(sum(p.w * q.w) + CASE WHEN p.k = q.k THEN 1 ELSE 0 END, 9) AS value FROM wl p JOIN wl q USING (i) GROUP BY p.k, q.k"
-for _name in ("lu", "qr", "lls"):
-    query(f"linear_{_name}", _GRAM)(_back(_name))
+@query("linear_qr", _GRAM)
+def linear_qr(s, d):
+    """R'R + I of the triangle R of all row vectors, by a tree over blocks of 7 rows."""
+    _, r = linear.tall_qr(row_factor(s, d), "i", "w", RANK, Tables(s).put, 7, 3)
+    return _square(s, r.T @ r + np.eye(RANK))
+
+
+@query("linear_qr_rows", f"WITH {wl()} SELECT i, CAST(k AS INTEGER) AS k, round(w, 9) AS value FROM wl")
+def linear_qr_rows(s, d):
+    """Q R is the table of row vectors again, row by row."""
+    q, r = linear.tall_qr(row_factor(s, d), "i", "w", RANK, Tables(s).put, 7, 3)
+    back = q.select("i", each(RANK, lambda b: sum((F.col("w")[a] * float(r[a, b]) for a in range(RANK)), F.lit(0.0))).alias("w"))
+    return rounded(long(back, "i", "w"), "value", digits=9)
+
 
+@query("linear_qr_orthogonal", f"WITH {wl()} SELECT CAST(p.k AS INTEGER) AS a, CAST(q.k AS INTEGER) AS b, count(*) AS rows, CAST(CASE WHEN p.k = q.k THEN 1 ELSE 0 END AS DOUBLE) AS value FROM wl p JOIN wl q USING (i) GROUP BY p.k, q.k")
+def linear_qr_orthogonal(s, d):
+    """Q'Q over all rows is the identity."""
+    q = long(linear.tall_qr(row_factor(s, d), "i", "w", RANK, Tables(s).put, 7, 3)[0], "i", "w")
+    pairs = q.select("i", F.col("k").alias("a"), F.col("value").alias("x")).join(q.select("i", F.col("k").alias("b"), F.col("value").alias("y")), "i")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("rows"), (F.round(F.sum(F.col("x") * F.col("y")), 6) + 0.0).alias("value"))
 
-@query("linear_solve", f"WITH {wl()}, g AS ({_GRAM[len(f'WITH {wl()} '):]}) SELECT a, round(sum(value * (b + 1)), 9) AS rhs FROM g GROUP BY 1")
+
+@query("linear_lls", _GRAM)
+def linear_lls(s, d):
+    """The B of W B = W (W'W + I), by least squares over the rows of W."""
+    w = row_factor(s, d)
+    g = linear._gram(w, "w", RANK) + np.eye(RANK)
+    rhs = each(RANK, lambda b: sum((F.col("w")[a] * float(g[a, b]) for a in range(RANK)), F.lit(0.0)))
+    return _square(s, linear.tall_least_squares(w.withColumn("y", rhs), "i", "w", "y", RANK, RANK, Tables(s).put, 7, 3))
+
+
+def _systems(s, d) -> DataFrame:
+    """Of each supplier with parts the normal equations of its row: the Gram matrix of its parts' vectors plus the identity, and the sums of x h."""
+    v = matrix(s, d).join(column_factor(s, d), "j")
+    h = F.col("h")
+    sums = v.groupBy("i").agg(*(F.sum(h[a] * h[b]).alias(f"g{a}_{b}") for a in range(RANK) for b in range(RANK)), *(F.sum(F.col("x") * h[k]).alias(f"b{k}") for k in range(RANK)))
+    return sums.select("i", F.array(*(F.col(f"g{a}_{b}") + (1.0 if a == b else 0.0) for a in range(RANK) for b in range(RANK))).alias("m"), each(RANK, lambda k: F.col(f"b{k}").cast("double")).alias("b"))
+
+
+@query("linear_lu", f"WITH {V}, {C.hl()} SELECT v.i, CAST(p.k AS INTEGER) AS a, CAST(q.k AS INTEGER) AS b, round(sum(p.h * q.h) + CASE WHEN p.k = q.k THEN 1 ELSE 0 END, 9) AS value FROM v JOIN hl p USING (j) JOIN hl q USING (j) GROUP BY v.i, p.k, q.k")
+def linear_lu(s, d):
+    """Each row's matrix, put together again from its factors L and U and its row order."""
+    def run(batches):
+        for batch in batches:
+            m = batch.column("lu").flatten().to_numpy().reshape(-1, RANK, RANK)
+            order = batch.column("order").flatten().to_numpy().reshape(-1, RANK)
+            back = np.empty_like(m)
+            np.put_along_axis(back, order[:, :, None], (np.tril(m, -1) + np.eye(RANK)) @ np.triu(m), axis=1)
+            at = np.indices(m.shape)
+            yield pa.RecordBatch.from_pydict({"i": np.repeat(batch.column("i").to_numpy(), RANK * RANK), "a": at[1].ravel().astype(np.int32), "b": at[2].ravel().astype(np.int32), "value": back.ravel()})
+
+    return rounded(linear.lu_rows(_systems(s, d), "i", "m", RANK).mapInArrow(run, "i long, a int, b int, value double"), "value", digits=9)
+
+
+@query("linear_solve", f"WITH {V}, {C.hl()} SELECT v.i, CAST(k AS INTEGER) AS k, round(sum(x * h), 6) AS rhs FROM v JOIN hl USING (j) GROUP BY v.i, k")
 def linear_solve(s, d):
-    """G x for the x that LU finds for G x = G (1, 2, 3, ...)."""
-    g = linear._gram(row_factor(s, d), "w", RANK) + np.eye(RANK)
-    x = linear.lu_solve(linear.lu(g), g @ np.arange(1.0, RANK + 1))
-    return rounded(s.createDataFrame([(a, float(y)) for a, y in enumerate(g @ x)], "a int, rhs double"), "rhs", digits=9)
+    """Each row's matrix times the solution of its system is the right-hand side."""
+    systems = Tables(s).put(_systems(s, d))
+    got = linear.lu_rows(systems, "i", "m", RANK, "b").join(systems, "i")
+    back = got.select("i", each(RANK, lambda a: sum((F.col("m")[a * RANK + k] * F.col("solution")[k] for k in range(RANK)), F.lit(0.0))).alias("b"))
+    return rounded(long(back, "i", "b", "rhs"), "rhs")
 
 
 @query("svd_start_product", f"WITH cells AS (SELECT count(*) AS cells FROM supplier, part) SELECT cells, CAST(0 AS BIGINT) AS far FROM cells")
@@ -523,22 +610,26 @@ def tool_prepare(s, d):
     return facts(s, row_factors_fit=n["w"].count() == n["map1"].count(), column_factors_fit=n["h"].count() == n["map2"].count(), rare_rows=rare, rank=len(n["w"].first().w))
 
 
-@query("tool_generate", facts_sql(train=600, test=60, rows=40, columns=30, described=0))
+def _sizes_as_arguments(s, d, *more) -> list[str]:
+    m = _like_matrix(s, d)
+    return ["--size1", str(m.size1), "--size2", str(m.size2), "--nnz", str(m.nnz), "--nnz-test", str(m.nnz // 10), "--rank", "3"]
+
+
+@query("tool_generate", _sized(train="n", test="n // 10", rows="r", columns="c", described=0))
 def tool_generate(s, d):
-    """A problem written out, and the same one by way of its description."""
+    """A problem with the sizes of the matrix written out, and the same one by way of its description."""
     path = _path(s, "g")
-    at = path.rsplit("/", 1)[0]
-    args = ["--size1", "40", "--size2", "30", "--nnz", "600", "--nnz-test", "60", "--rank", "3"]
+    at, args = path.rsplit("/", 1)[0], _sizes_as_arguments(s, d)
     main(["generate", path, *args], s)
     main(["describe", f"{at}/p.rm", *args], s)
     train = s.read.parquet(f"{path}/train.parquet")
     return facts(s, train=train.count(), test=s.read.parquet(f"{path}/test.parquet").count(), rows=s.read.parquet(f"{path}/w").count(), columns=s.read.parquet(f"{path}/h").count(), described=train.exceptAll(described.open_matrix(s, f"{at}/p.rm")[0]).count())
 
 
-@query("tool_factors", facts_sql(rows=40, columns=30, rank=3, inside=1))
+@query("tool_factors", _sized(rows="r", columns="c", rank=3, inside=1))
 def tool_factors(s, d):
     path = _path(s, "f")
-    main(["factors", path, "--size1", "40", "--size2", "30", "--rank", "3", "--values", "Uniform(1,2)"], s)
+    main(["factors", path, "--size1", str(sizes(s, d).size1), "--size2", str(sizes(s, d).size2), "--rank", "3", "--values", "Uniform(1,2)"], s)
     w, h = s.read.parquet(f"{path}/w"), s.read.parquet(f"{path}/h")
     low = w.select(F.array_min("w")).agg(F.min("array_min(w)")).first()[0]
     return facts(s, rows=w.count(), columns=h.count(), rank=len(h.first().h), inside=1 < low < 2)
