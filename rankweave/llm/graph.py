@@ -17,6 +17,11 @@ from .common import Store
 HOT, HOT_ROWS = 1024, 1000
 
 
+def shuffled(small: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it shuffles also where it is small enough to be sent, so that small inputs take the path of large ones."""
+    return small.hint("merge")
+
+
 def attach(store: Store, big: DataFrame, small: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """``big`` inner join ``small`` on ``key``, where ``small`` has each key once, with ``size``, its number of rows in ``big``.
 
@@ -28,8 +33,8 @@ def attach(store: Store, big: DataFrame, small: DataFrame, key: str, size: str,
     is_hot = (F.col(size) > HOT_ROWS) & (F.col(size) * HOT > total)
     hot = small.filter(is_hot).drop(size)
     if hot.isEmpty():
-        return big.join(small.drop(size), key)
-    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.filter(~is_hot).drop(size), key)
+        return big.join(shuffled(small.drop(size)), key)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(shuffled(small.filter(~is_hot).drop(size)), key)
     return big.join(F.broadcast(hot), key).unionByName(rest)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import Store, pieces, table, two_columns, with_row_key
-from .graph import attach, components
+from .graph import attach, components, shuffled
 
 SIGS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("ck", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("ck", pa.binary()), ("n", pa.int64()), ("hashes", pa.binary())])
@@ -177,8 +177,8 @@ def verify(store: Store, pairs: DataFrame, sets: DataFrame, num: int, den: int)
     """
     size = store.put(pairs.groupBy("a").agg(F.count("*").alias("size")).withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int")), "sizes")
     salted = store.put(attach(store, pairs, size, "a", "size", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")), "salted")
-    member = sets.withColumnRenamed("ck", "b").join(salted, "b").select("a", "b", "salt", "n", "hashes")
-    leader = sets.withColumnRenamed("ck", "a").join(size, "a").select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "n", "hashes")
+    member = sets.withColumnRenamed("ck", "b").join(shuffled(salted), "b").select("a", "b", "salt", "n", "hashes")
+    leader = sets.withColumnRenamed("ck", "a").join(shuffled(size), "a").select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "n", "hashes")
 
     def run(batches):
         whose, own = None, None
@@ -229,7 +229,7 @@ def decisions(
     n_members = members.count()
     hubs = members.groupBy("bk").agg(F.max_by("ck", F.struct("score", "ck")).alias("hub"), F.count("*").alias("size"))
     wanted = store.put(members.select("ck").distinct().join(classes.select("ck", F.col("top.row").alias("row")), "ck"), "wanted")
-    sets = store.put(shingle_sets(docs.join(wanted, "row"), k), "sets")
+    sets = store.put(shingle_sets(docs.join(shuffled(wanted), "row"), k), "sets")
 
     pairs = store.put(attach(store, members.select("bk", "ck"), hubs, "bk", "size", n_members).select(F.col("hub").alias("a"), F.col("ck").alias("b")).filter("a <> b").distinct(), "pairs")
     links = store.put(verify(store, pairs, sets, num, den), "verified")
@@ -239,7 +239,7 @@ def decisions(
     broken = placed.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("bk", "size")
     rest = store.put(attach(store, placed, broken, "bk", "size", n_members).select("ck", "comp").distinct(), "broken")
     if not rest.isEmpty():
-        more = apart(store, rarest(sets.join(rest, "ck"), num, den), num, den)
+        more = apart(store, rarest(sets.join(shuffled(rest), "ck"), num, den), num, den)
         more = store.put(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
         links = store.put(verify(store, more, sets, num, den), "verified2")
         if not links.isEmpty():
@@ -278,7 +278,7 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     gone = decisions(keyed, id_col=id_col, text_col=text_col, row_col=key, k=k, **settings).filter("not first")
     gone = gone.select(F.col("row").alias(key), F.col("id").alias(f"{key}_id"))
     same = (keyed[key] == gone[key]) & keyed[f"`{id_col}`"].cast("long").eqNullSafe(gone[f"{key}_id"])
-    return keyed.join(gone, same, "left_anti").select(docs.columns)
+    return keyed.join(shuffled(gone), same, "left_anti").select(docs.columns)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
