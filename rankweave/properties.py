@@ -82,6 +82,27 @@ def io_descriptor(s, d):
     return described.open_matrix(s, f"{path}/description.xml")[0]
 
 
+_B57 = f"WITH {V}, z AS (SELECT max(i) + 1 AS r, max(j) + 1 AS c FROM v), o AS (SELECT i, j, x, (SELECT count(*) - 1 FROM range(5) t(b) WHERE b * (r // 5) + least(b, r % 5) <= i) AS b1, (SELECT count(*) - 1 FROM range(7) t(b) WHERE b * (c // 7) + least(b, c % 7) <= j) AS b2 FROM v, z)"
+
+
+def _block_files(s, d) -> str:
+    path = _path(s, "files")
+    K.write_block_files(matrix(s, d), sizes(s, d), 5, 7, path, "m")
+    return f"{path}/m.xml"
+
+
+query("io_block_files", f"WITH {V} SELECT i, j, x FROM v")(lambda s, d: described.open_matrix(s, _block_files(s, d))[0])  # 35 text files and their description
+query("io_some_block_files", f"{_B57} SELECT i, j, x FROM o WHERE b1 IN (1, 4) AND b2 IN (0, 2, 6)")(lambda s, d: K.read_blocked(s, _block_files(s, d), [1, 4], [0, 2, 6])[0])
+
+
+@query("io_some_blocks", f"{_B57} SELECT i, j, x FROM o WHERE (b1, b2) IN ((0, 0), (3, 5))")
+def io_some_blocks(s, d):
+    """Two blocks of one text file."""
+    path = _path(s, "m.mmc")
+    M.write_matrix(matrix(s, d), sizes(s, d), path)
+    return K.read_some_blocks(s, path, 5, 7, [(0, 0), (3, 5)])[0]
+
+
 @query("io_projection_file", f"WITH {_OP}, {C._FREQ.format(t=4)} SELECT r.new AS i, c.new AS j, x, r.old AS row, c.old AS col FROM v JOIN r ON r.old = v.i JOIN c ON c.old = v.j")
 def io_projection_file(s, d):
     """A projection as a description, a matrix and two index maps, read again with both maps."""
