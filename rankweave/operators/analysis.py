@@ -87,6 +87,37 @@ def slots(tasks: DataFrame, key: str = "rank") -> DataFrame:
     return tasks.select(F.col(key).cast("long").alias(key), F.col("task").cast("long").alias("task"), "start", "stop").groupBy(key).applyInArrow(run, f"{key} long, task long, slot int")
 
 
+def spread_slots(tasks: DataFrame, write, key: str = "rank") -> DataFrame:
+    """``slot`` of each task (key, task, start, stop), as few slots as ever run at once, in no task all tasks of a key.
+
+    Free slots are taken in the order in which they became free: start number n of a key with a peak of
+    P has slot n if n < P, and else that of the task whose stop is number n - P.  Numbers come from
+    time ranges that are counted alone and shifted by those before; chains of tasks of one slot are
+    halved in every round.  ``write`` stores a table and returns it as read back.
+    """
+    own = tasks.select(F.col(key).cast("long").alias(key), F.col("task").cast("long").alias("task"), "start", "stop")
+    # at one time: stops, then starts, then stops of tasks that take no time
+    first = own.select(key, "task", F.col("start").alias("at"), F.lit(1).alias("turn"))
+    last = own.select(key, "task", F.col("stop").alias("at"), F.when(F.col("start") < F.col("stop"), 0).otherwise(2).alias("turn"))
+    events = write(first.union(last).repartitionByRange(key, "at", "turn", "task").withColumn("part", F.spark_partition_id()))
+    plus = F.when(F.col("turn") == 1, 1).otherwise(0)
+    ahead = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = events.groupBy(key, "part").agg(F.sum(plus).alias("n1"), F.sum(1 - plus).alias("n0"))
+    sums = sums.select(key, "part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("n1", "n0")))
+    within = Window.partitionBy(key, "part").orderBy("at", "turn", "task").rowsBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumns({"r1": F.sum(plus).over(within), "r0": F.sum(1 - plus).over(within)}).join(sums, [key, "part"])
+    counted = write(counted.select(key, "task", "turn", (F.col("n1") + F.col("r1")).alias("starts"), (F.col("n0") + F.col("r0")).alias("stops")))
+    peak = counted.groupBy(key).agg(F.max(F.col("starts") - F.col("stops")).alias("peak"))
+    begun = counted.filter("turn = 1").join(peak, key).select(key, "task", (F.col("starts") - 1).alias("n"), "peak")
+    ended = counted.filter("turn <> 1").select(key, F.col("task").alias("before"), (F.col("stops") - 1).alias("m"))
+    links = begun.withColumn("m", F.col("n") - F.col("peak")).join(ended, [key, "m"], "left")
+    links = write(links.select(key, "task", F.when(F.col("m") >= 0, F.col("before")).alias("to"), F.when(F.col("m") < 0, F.col("n").cast("int")).alias("slot")))
+    while not links.filter("slot is null").isEmpty():
+        far = links.select(key, F.col("task").alias("to"), F.col("to").alias("next"), F.col("slot").alias("found"))
+        links = write(links.join(far, [key, "to"], "left").select(key, "task", F.when(F.col("found").isNull(), F.col("next")).alias("to"), F.coalesce("slot", "found").alias("slot")))
+    return links.select(key, "task", "slot")
+
+
 def offsets(sizes: DataFrame, order: str, value: str, keys: list[str]) -> DataFrame:
     """``sizes`` with ``offset``: the sum of what comes before in the order, by ``keys``."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

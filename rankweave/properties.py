@@ -569,6 +569,22 @@ def event_slot_facts(s, d):
     return placed.withColumn("last", last).groupBy("rank").agg(F.count("*").alias("tasks"), F.sum(F.when(F.col("last") > F.col("start"), 1).otherwise(0)).alias("overlaps"))
 
 
+_PEAK = """t AS (SELECT start, stop FROM sec WHERE stop IS NOT NULL), ev AS (SELECT start AS moment, 1 AS d FROM t UNION ALL SELECT stop, -1 FROM t),
+    run AS (SELECT sum(d) OVER (ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS n FROM ev)"""
+
+
+@query("event_slots_of_one_rank", C._SEC.rstrip() + f", {_PEAK} SELECT (SELECT count(*) FROM t) AS tasks, (SELECT CAST(max(n) AS BIGINT) FROM run) AS slots, CAST(0 AS BIGINT) AS overlaps")
+def event_slots_of_one_rank(s, d):
+    """All tasks of all users as one rank's: as many slots as ever run at once, and no two tasks of one slot overlap."""
+    t = _sections(s, d).filter("stop is not null").select(F.lit(1).alias("rank"), F.col("start").alias("task"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
+    t = Tables(s).put(t)
+    placed = N.spread_slots(t, Tables(s).put).join(t, ["rank", "task"])
+    from pyspark.sql.window import Window
+
+    last = F.max("stop").over(Window.partitionBy("slot").orderBy("start", "task").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("last", last).agg(F.count("*").alias("tasks"), F.countDistinct("slot").alias("slots"), F.sum(F.when(F.col("last") > F.col("start"), 1).otherwise(0)).alias("overlaps"))
+
+
 # --- tools ----------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.model import Blocking, MatrixMeta
-from rankweave.operators import linear
+from rankweave.operators import analysis, linear
 from rankweave.operators import reshape as P
 from rankweave.plans.store import Tables
 from rankweave.sources import blocked as K
@@ -103,3 +103,20 @@ def test_core_by_deltas(spark, threshold):
     back = got.data.join(got.map1.select(F.col("new").alias("i"), F.col("old").alias("a")), "i").join(got.map2.select(F.col("new").alias("j"), F.col("old").alias("b")), "j")
     assert sorted((r.a, r.b, r.x) for r in back.collect()) == sorted((i, j, float(i * 100 + j)) for i, j in left)
     assert got.map1.count() == len({i for i, _ in left}) and got.map2.count() == len({j for _, j in left})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slots_of_large_ranks(spark, seed):
+    """As few slots as ever run at once, and no overlap; also with equal times and tasks that take none."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(rng.integers(0, 2)), k, float(a), float(a + rng.integers(0, 6) * (seed > 0) + (seed == 0))) for k, a in enumerate(rng.integers(0, 60, 150))]
+    t = spark.createDataFrame(rows, "rank long, task long, start double, stop double")
+    got = {(r["rank"], r.task): r.slot for r in analysis.spread_slots(t, Tables(spark).put).collect()}
+    assert len(got) == len(rows)
+    for rank in (0, 1):
+        own = [r for r in rows if r[0] == rank]
+        events = sorted([(a, 1, 1) for _, _, a, b in own] + [(b, 0 if a < b else 2, -1) for _, _, a, b in own])
+        assert len({got[rank, r[1]] for r in own}) == max(np.cumsum([e[2] for e in events]))
+        for slot in {got[rank, r[1]] for r in own}:
+            mine = sorted((a, b) for _, k, a, b in own if got[rank, k] == slot)
+            assert all(b <= c for (_, b), (c, _) in zip(mine, mine[1:]))
