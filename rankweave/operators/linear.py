@@ -204,19 +204,77 @@ def _root(g: np.ndarray, power: float) -> np.ndarray:
     return q * np.where(good, np.where(good, value, 1.0) ** power, 0.0)
 
 
-def svd_start(v: DataFrame, start: DataFrame, rank: int, write: Callable[[DataFrame], DataFrame], rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Starting factors U sqrt(D) and V sqrt(D) of the leading ``rank`` singular triples of V(i, j, x), absent cells being 0.
+def _inner(df: DataFrame, a: str, b: str, n: int, m: int) -> np.ndarray:
+    """The n x m sums over all rows of products of components of two vectors."""
+    row = df.agg(*(F.sum(F.col(a)[x] * F.col(b)[y]).alias(f"s{x}_{y}") for x in range(n) for y in range(m))).head()
+    return np.array([0.0 if x is None else x for x in row]).reshape(n, m)
 
-    Subspace iteration from ``start`` (j, h): each round is two joins with partial sums and one
-    small matrix on the driver.  ``write`` stores a table and returns it as read back.  Rows and
-    columns without entries are absent from the result: their vectors are 0.
+
+def leading_singular(v: DataFrame, start: DataFrame, rank: int, write: Callable[[DataFrame], DataFrame], tol: float = 1e-10, blocks: int = 4, restarts: int = 30) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """V h (i, w), orthonormal right singular vectors (j, h) and the ``rank`` largest singular values of V(i, j, x), absent cells being 0.
+
+    Block Lanczos on V'V: each of ``blocks`` steps applies it to the newest ``rank`` vectors and takes off,
+    twice, what lies along those before; the small matrix of inner products gives the best vectors in
+    reach.  It ends when V'V changes each of them by its value to within ``tol`` of the largest, and else
+    starts again from them.  A step is two joins with partial sums and sums of rank x rank x blocks
+    products; only those reach the driver.  Where V has a lower rank there are fewer vectors.
+    """
+    span = lambda first, n: F.slice("q", first + 1, n)
+
+    def applied(h: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        w = write(_product(v, h, "j", "i", "h", "w", n))
+        return w, write(_product(v, w, "i", "j", "w", "z", n))
+
+    def orthonormal(df: DataFrame, n: int, scale: float) -> tuple[np.ndarray, int]:
+        value, turn = np.linalg.eigh(_inner(df, "z", "z", n, n))
+        good = value > max(scale, value.max(initial=0)) * 1e-26 + 1e-300 if scale else value > np.finfo(float).eps * n * max(value.max(initial=0), 0)
+        return (turn[:, good] / np.sqrt(value[good])) if good.any() else np.zeros((n, 0)), int(good.sum())
+
+    def times(m: np.ndarray, c: str):
+        return each(m.shape[1], lambda k: sum((F.col(c)[a] * float(m[a, k]) for a in range(m.shape[0])), F.lit(0.0)))
+
+    _, z = applied(start, rank)
+    turn, n = orthonormal(z, rank, 0.0)
+    if not n:
+        none = write(z.select("j", F.array().cast("array<double>").alias("h")).limit(0))
+        return write(v.select("i", F.array().cast("array<double>").alias("w")).limit(0)), none, np.zeros(0)
+    q, rank = write(z.select("j", times(turn, "z").alias("q"))), n
+    for _ in range(restarts):
+        small, newest, size = np.zeros((0, 0)), rank, rank
+        for b in range(blocks):
+            _, z = applied(q.select("j", span(size - newest, newest).alias("h")), newest)
+            both = write(q.join(z, "j"))
+            along = _inner(both, "q", "z", size, newest)
+            grown = np.zeros((size, size))
+            grown[: len(small), : len(small)] = small
+            grown[:, size - newest :], grown[size - newest :, :] = along, along.T
+            small, top = grown, float(np.abs(np.linalg.eigvalsh(grown)).max())
+            if b == blocks - 1:
+                break
+            less = lambda m: each(m.shape[1], lambda k: F.col("z")[k] - sum((F.col("q")[a] * float(m[a, k]) for a in range(m.shape[0])), F.lit(0.0)))
+            both = write(both.select("j", "q", less(along).alias("z")))
+            both = write(both.select("j", "q", less(_inner(both, "q", "z", size, newest)).alias("z")))
+            turn, found = orthonormal(both, newest, top * top)
+            if not found:  # nothing is left outside
+                break
+            q, newest, size = write(both.select("j", F.concat("q", times(turn, "z")).alias("q"))), found, size + found
+        value, best = np.linalg.eigh(small)
+        value, best = value[::-1][:rank], best[:, ::-1][:, :rank]
+        h = write(q.select("j", times(best, "q").alias("h")))
+        w, z = applied(h, rank)
+        far = z.join(h, "j").select(each(rank, lambda k: F.col("z")[k] - F.col("h")[k] * float(value[k])).alias("z"))
+        if np.sqrt(np.diag(_inner(far, "z", "z", rank, rank)).max()) <= tol * value[0]:
+            break
+        q = write(h.select("j", F.col("h").alias("q")))
+    return w, h, np.sqrt(np.maximum(value, 0))
+
+
+def svd_start(v: DataFrame, start: DataFrame, rank: int, write: Callable[[DataFrame], DataFrame], tol: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+    """Starting factors U sqrt(D) and V sqrt(D) of the leading ``rank`` singular triples of V(i, j, x), absent cells being 0, found from ``start`` (j, h).
+
+    Rows and columns without entries are absent from the result: their vectors are 0.  Components
+    beyond the rank of V are 0 too.
     """
-    h = start
-    for _ in range(rounds):
-        w = write(_product(v, h, "j", "i", "h", "w", rank))
-        h = write(_product(v, w, "i", "j", "w", "h", rank))
-        h = write(_times(h, "j", "h", _root(_gram(h, "h", rank), -0.5)))
-    w = write(_product(v, h, "j", "i", "h", "w", rank))
-    value, q = np.linalg.eigh(_gram(w, "w", rank))  # squared singular values
-    value, q = np.maximum(value[::-1], 0), q[:, ::-1]
-    return _times(w, "i", "w", q * np.where(value > 0, np.where(value > 0, value, 1.0) ** -0.25, 0.0)), _times(h, "j", "h", q * value**0.25)
+    w, h, value = leading_singular(v, start, rank, write, tol)
+    padded = lambda power: np.hstack([np.diag(np.where(value > 0, np.where(value > 0, value, 1.0) ** power, 0.0)), np.zeros((len(value), rank - len(value)))])
+    return _times(w, "i", "w", padded(-0.5)), _times(h, "j", "h", padded(0.5))

@@ -4,12 +4,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave import catalogue
 from rankweave.model import Blocking, MatrixMeta
 from rankweave.operators import analysis, linear
 from rankweave.operators import reshape as P
 from rankweave.plans.store import Tables
 from rankweave.sources import blocked as K
 from rankweave.sources import described
+from rankweave.sources import generate as G
+from tests.conftest import SF
 
 CELLS = sorted({(a % 11, (a * a + 3 * a) % 17, float(a) / 4) for a in range(60) if a % 11 != 10})
 CELLS = list({(i, j): (i, j, x) for i, j, x in CELLS}.values())
@@ -120,3 +123,27 @@ def test_slots_of_large_ranks(spark, seed):
         for slot in {got[rank, r[1]] for r in own}:
             mine = sorted((a, b) for _, k, a, b in own if got[rank, k] == slot)
             assert all(b <= c for (_, b), (c, _) in zip(mine, mine[1:]))
+
+
+@pytest.mark.parametrize("kind", ["lineitem", "close values", "low rank", "nothing"])
+def test_leading_singular_values(spark, kind):
+    """As a dense decomposition gives them, also where values lie close or vectors run out."""
+    rng = np.random.default_rng(1)
+    if kind == "lineitem":
+        v = catalogue.matrix(spark, SF).withColumn("x", F.col("x").cast("double"))
+        dense = np.zeros((11, 201))
+        for r in v.collect():
+            dense[r.i, r.j] = r.x
+    else:
+        u, t = (np.linalg.qr(rng.normal(size=(n, n)))[0] for n in (12, 30))
+        values = {"close values": np.linspace(1.02, 1.0, 12), "low rank": np.array([5.0, 2.0] + [0.0] * 10), "nothing": np.zeros(12)}[kind]
+        dense = u * values @ t[:12]
+        v = spark.createDataFrame([(i, j, float(x)) for (i, j), x in np.ndenumerate(dense)], "i long, j long, x double")
+    start = G.factor(spark, dense.shape[1], 3, "Normal(0,1)", 3, "j", "h")
+    w, h, value = linear.leading_singular(v, start, 3, Tables(spark).put)
+    want = np.linalg.svd(dense)[1][:3]
+    want = want[want > 1e-12]
+    assert len(value) == len(want) and np.allclose(value, want, rtol=1e-8)
+    if len(want):
+        rows = np.array([r.h for r in h.collect()])
+        assert np.allclose(rows.T @ rows, np.eye(len(want)), atol=1e-9)
