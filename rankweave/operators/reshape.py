@@ -67,13 +67,22 @@ def _as_table(v: DataFrame) -> DataFrame:
         return Tables(v.sparkSession).put(v.select("i", "j", "x"))
 
 
+def _counted(entries: DataFrame) -> DataFrame:
+    """(of_j, old, nnz): entries of each row (of_j = 0) and column (1), in one pass."""
+    return entries.groupingSets([["i"], ["j"]], "i", "j").agg(F.count("*").alias("nnz"), F.grouping("i").alias("of_j")).select("of_j", F.coalesce("i", "j").cast("long").alias("old"), "nnz")
+
+
+def _both_renumbered(ids: DataFrame) -> list[DataFrame]:
+    """(new, old) of the rows and of the columns of a table of distinct (of_j, old), ranked together."""
+    ranked = _ranked(ids.select("of_j", "old").filter("old is not null"), "of_j")
+    rows = ranked.filter("of_j = 0").count()
+    return [ranked.filter(F.col("of_j") == k).select((F.col("new") - k * rows).alias("new"), "old") for k in (0, 1)]
+
+
 def frequent(v: DataFrame | Projected, threshold: int = 0) -> Projected:
     """Rows and columns with more than ``threshold`` entries, counted once on the input; maps of a projected input lead to its own originals."""
     data = _as_table(v.data if isinstance(v, Projected) else v)
-    counts = data.groupingSets([["i"], ["j"]], "i", "j").agg(F.count("*").alias("nnz"), F.grouping("i").alias("of_j"))
-    counts = Tables(data.sparkSession).put(counts.filter(F.col("nnz") > threshold).drop("nnz"))  # both axes in one pass
-    keep = [renumbered(counts.filter(F.col("of_j") == k), axis) for k, axis in enumerate(("i", "j"))]
-    out = submatrix(data, *keep)
+    out = submatrix(data, *_both_renumbered(_counted(data).filter(F.col("nnz") > threshold)))
     return Projected(out.data, compose(out.map1, v.map1), compose(out.map2, v.map2)) if isinstance(v, Projected) else out
 
 
@@ -94,23 +103,19 @@ def core(v: DataFrame, threshold: int, write) -> Projected:
     columns from the others and takes them off the counts, so it reads what is left of the matrix
     once, counts only what goes, and ends when no count is small.
     """
-    def counted(entries: DataFrame) -> DataFrame:
-        return entries.groupingSets([["i"], ["j"]], "i", "j").agg(F.count("*").alias("nnz"), F.grouping("i").alias("of_j")).select("of_j", F.coalesce("i", "j").alias("id"), "nnz")
-
     data = write(v.select("i", "j", "x"))
-    counts = write(counted(data))
+    counts = write(_counted(data))
     while True:
         rare = counts.filter(F.col("nnz") <= threshold)
         if rare.isEmpty():
             break
-        lost = [rare.filter(F.col("of_j") == k).select(F.col("id").alias(c), F.lit(True).alias(f"lost_{c}")) for k, c in enumerate("ij")]
+        lost = [rare.filter(F.col("of_j") == k).select(F.col("old").alias(c), F.lit(True).alias(f"lost_{c}")) for k, c in enumerate("ij")]
         marked = data.join(lost[0], "i", "left").join(lost[1], "j", "left").select("i", "j", "x", F.coalesce("lost_i", "lost_j", F.lit(False)).alias("gone"))
         marked = write(marked, by=("gone",))
         data, less = (marked.filter(F.col("gone") == k).drop("gone") for k in (False, True))
         left = F.col("nnz") - F.coalesce("less", F.lit(0))
-        counts = write(counts.filter(F.col("nnz") > threshold).join(counted(less).withColumnRenamed("nnz", "less"), ["of_j", "id"], "left").select("of_j", "id", left.alias("nnz")).filter("nnz > 0"))
-    keep = [renumbered(counts.filter(F.col("of_j") == k).select(F.col("id").alias(c)), c) for k, c in enumerate("ij")]
-    return submatrix(data, *keep)
+        counts = write(counts.filter(F.col("nnz") > threshold).join(_counted(less).withColumnRenamed("nnz", "less"), ["of_j", "old"], "left").select("of_j", "old", left.alias("nnz")).filter("nnz > 0"))
+    return submatrix(data, *_both_renumbered(counts))
 
 
 def gather(factor: DataFrame, index: str, vector: str, wanted: DataFrame) -> DataFrame:

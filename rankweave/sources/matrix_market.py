@@ -41,14 +41,17 @@ def _head(spark: SparkSession, path: str) -> tuple[list[str], MatrixMeta, int |
     """Banner words, sizes and number of entries (coordinate form); the driver reads the first lines of the first file that has any."""
     banner = None
     for file in _files(spark, path):
-        for (line,) in spark.read.text(file).limit(10_000).toLocalIterator():
-            if banner is None:
-                banner = line.split()
-                if len(banner) != 5 or banner[0] != "%%MatrixMarket" or banner[1] != "matrix":
-                    raise ValueError(f"{path}: not a MatrixMarket banner: {line!r}")
-            elif line.strip() and not line.startswith("%"):
-                sizes = [int(x) for x in line.split()]
-                return banner, MatrixMeta(sizes[0], sizes[1]), sizes[2] if len(sizes) > 2 else None
+        lines = spark.read.text(file)
+        if banner is None:
+            first = lines.head(1)
+            if not first:
+                continue
+            banner = first[0].value.split()
+            if len(banner) != 5 or banner[0] != "%%MatrixMarket" or banner[1] != "matrix":
+                raise ValueError(f"{path}: not a MatrixMarket banner: {first[0].value!r}")
+        for row in lines.filter("trim(value) <> '' and not startswith(value, '%')").head(1):  # after any number of comments
+            sizes = [int(x) for x in row.value.split()]
+            return banner, MatrixMeta(sizes[0], sizes[1]), sizes[2] if len(sizes) > 2 else None
     raise ValueError(f"{path}: no sizes")
 
 

@@ -12,6 +12,7 @@ from rankweave.plans.store import Tables
 from rankweave.sources import blocked as K
 from rankweave.sources import described
 from rankweave.sources import generate as G
+from rankweave.sources import matrix_market as M
 from tests.conftest import SF
 
 CELLS = sorted({(a % 11, (a * a + 3 * a) % 17, float(a) / 4) for a in range(60) if a % 11 != 10})
@@ -147,3 +148,9 @@ def test_leading_singular_values(spark, kind):
     if len(want):
         rows = np.array([r.h for r in h.collect()])
         assert np.allclose(rows.T @ rows, np.eye(len(want)), atol=1e-9)
+
+
+def test_sizes_after_many_comments(spark, tmp_path):
+    (tmp_path / "m.mmc").write_text("%%MatrixMarket matrix coordinate real general\n" + "% note\n" * 30_000 + "\n2 3 1\n2 3 0.5\n")
+    v, meta = M.read_matrix(spark, f"file://{tmp_path}/m.mmc")
+    assert meta == MatrixMeta(2, 3) and _rows(v) == [(1, 2, 0.5)]
