@@ -306,12 +306,21 @@ def decay_names(s, d):
     return s.createDataFrame([(r.n_name, type(p := D.parse_decay(spec(r.n_nationkey))).__name__, p.next(0, None, 1.0)) for r in table(s, d, "nation").collect()], "name string, kind string, first double")
 
 
-@query("step_search", "SELECT epoch, CAST(eps AS DOUBLE) AS eps FROM (VALUES (0, 0.125), (1, 0.25), (2, 0.125), (3, 0.13125)) t(epoch, eps)")
+@query("step_search", f"""WITH {V}, {wl(plus=1)}, {C.hl(plus=1)}, {C.e_()}, t AS (SELECT 1 / pow(2, k) AS eps FROM range(6) r(k)),
+    l AS (SELECT eps, sum((x / 25 - dot * (1 - eps)) ** 2) AS loss FROM e, t GROUP BY 1) SELECT eps, round(loss, 4) AS loss FROM l ORDER BY l.loss LIMIT 1""")
 def step_search(s, d):
-    """Steps over 0.3 diverge and larger ones are better below that; after the rise of epoch 2 the bold driver's rule stays."""
-    auto = D.Auto(1.0, 3, lambda ladder: [float("nan") if e > 0.3 else 10 - e for e in ladder])
-    losses = [(None, 9.0), (9.0, 8.0), (8.0, 8.5), (8.5, 7.0)]
-    return s.createDataFrame([(k, auto.next(k, *x)) for k, x in enumerate(losses)], "epoch int, eps double").withColumn("eps", F.round("eps", 9))
+    """The best of six step sizes, each tried on the whole matrix: how much the product of the factors is to shrink."""
+    p = C.dense_problem(s, d)
+    e = Tables(s).put(p.v.join(p.w, "i").join(p.h, "j").select("x", dot("w", "h", RANK).alias("dot")))
+    tried = {}
+
+    def trial(ladder):
+        row = e.agg(*(F.sum((F.col("x") - F.col("dot") * (1 - k)) ** 2) for k in ladder)).head()
+        tried.update(zip(ladder, row))
+        return list(row)
+
+    eps = D.Auto(1.0, 6, trial).next(0, None, 0.0)
+    return rounded(s.createDataFrame([(eps, tried[eps])], "eps double, loss double"), "loss", digits=4)
 
 
 @query("spec_grammar", "SELECT n_name AS name, CAST(n_nationkey % 4 AS INTEGER) AS n, CAST(n_nationkey * (n_nationkey % 4) AS DOUBLE) AS total FROM nation")
