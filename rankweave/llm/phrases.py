@@ -179,10 +179,11 @@ def collocations(
     docs = docs.withColumnRenamed(key, "row").withColumn("lang_hash", F.xxhash64("lang"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     merged = store.put(merge(count(docs, 1 + n_bytes // 3 // PER_PART), least), "merged")  # about six bytes a word, two n-grams
-    grams = store.put(texts_of(docs, merged).select("lang", "words", "a", F.concat("lang", F.lit("\0"), F.array_join("words", " ")).alias("name")), "grams")
+    key_of = lambda words: F.concat(F.length("lang").cast("string"), F.lit(":"), "lang", F.array_join(words, " "))  # noqa: E731 (one key for one language and phrase, whatever characters they hold)
+    grams = store.put(texts_of(docs, merged).select("lang", "words", "a", key_of("words").alias("name")), "grams")
     total = merged.filter("n = 0").select(F.col("key").alias("row"), "a").join(docs.select("row", "lang"), "row").groupBy("lang").agg(F.sum("a").alias("n"))
 
-    part = lambda a, n: F.concat("lang", F.lit("\0"), F.array_join(F.slice("words", a, n), " "))
+    part = lambda a, n: key_of(F.slice("words", a, n))
     long = grams.filter(F.size("words") > 1)
     cuts = store.put(long.select("lang", "words", "name", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")).select("lang", "name", "a", "k", part(1, F.col("k")).alias("left"), part(F.col("k") + 1, F.size("words") - F.col("k")).alias("right")), "cuts")
     n_cuts = cuts.count()
@@ -195,7 +196,7 @@ def collocations(
     longer = long.select("a", "lang", "words", F.explode(F.sequence(F.lit(2), F.size("words") - 1)).alias("m")).filter("m < size(words)")
     longer = longer.select("a", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("m") + 1), lambda i: part(i, F.col("m")))).alias("name")).groupBy("name").agg(F.max("a").alias("most"))
     kept = scored.join(longer, "name", "left").filter(F.col("most").isNull() | (F.col("most") * 100 < F.col("a") * inside))
-    kept = kept.select("lang", F.substring_index("name", "\0", -1).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
+    kept = kept.select("lang", F.expr("substring(name, length(cast(length(lang) as string)) + length(lang) + 2)").alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     for keys in (("lang", "salt"), ("lang",)):
         kept = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= top)

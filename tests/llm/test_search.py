@@ -130,12 +130,12 @@ def test_collocations(spark, odd, none, monkeypatch, shard):
     monkeypatch.setattr(phrases, "SHARD", shard)
     monkeypatch.setattr(phrases, "PER_PART", 500)
     rng = random.Random(4)
-    words = ["New", "york", "CITY", "a", "b", "c", "ça", "x-y", "z", "in", "the", "of"]
+    words = ["New", "york", "CITY", "a", "b", "c", "ça", "x-y\0w", "z\0", "in", "the", "of"]
     rows = []
     for _ in range(300):
         own = rng.choices(words, weights=range(12, 0, -1), k=rng.randint(0, 60))
         rows.append((rng.choice(["en", "fr", None]), "".join(w + rng.choice([" ", " ", " ", "\t ", ", ", ".", "\n"]) for w in own)))
-    rows += [("en", None), ("en", ""), ("de", "new york " * 20), ("en", " ".join(["a"] * 500)), (None, "...\n")]
+    rows += [("en", None), ("en", ""), ("d\0e", "new york " * 20), ("en", " ".join(["a"] * 500)), (None, "...\n")]
     docs = spark.createDataFrame(rows, "lang string, text string").withColumns({"words": F.lit(1), "a": F.lit("q"), "row": F.lit(0)}).repartition(4)
     for top in (2000, 7):
         got = [tuple(r) for r in phrases.collocations(docs, top=top).orderBy("lang", "rank").collect()]
