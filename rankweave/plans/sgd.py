@@ -113,7 +113,11 @@ class Stratified:
         result has rows of side "d" with the changes, beside the column blocks as they were.
         """
         rank, rule, d, most = self.problem.rank, self.rule, self.rows.blocks, self.most
-        hosts = [[b1 for b1 in range(d) if b in meets[:, b1]] or [b % d] for b in range(self.cols.blocks)]
+        hosts = [[] for _ in range(self.cols.blocks)]
+        for b1, own in enumerate(meets.T.tolist()):
+            for b in dict.fromkeys(own):
+                hosts[b].append(b1)
+        hosts = [own or [b % d] for b, own in enumerate(hosts)]
         listed = lambda lists, at: F.split(F.element_at(F.split(F.lit(";".join(" ".join(map(str, x)) for x in lists)), ";"), (at + 1).cast("int")), " ")  # noqa: E731 (two literals, however many blocks)
         none = [F.lit(None).cast("binary").alias(c) for c in ("j", "n1", "n2")]
         left = factors.withColumn("to", F.when(F.col("side") == "w", F.array(F.col("b").cast("string"))).otherwise(listed(hosts, F.col("b"))))
