@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import each
+from ..session import ship
 from . import aggregate as A
 
 
@@ -85,6 +86,8 @@ def _vectors(x: np.ndarray) -> pa.Array:
 def lu_rows(systems: DataFrame, index: str, matrix: str, rank: int, rhs: str | None = None) -> DataFrame:
     """(index, lu, order) of a table with a square matrix a row, flat in ``matrix``; with ``rhs`` also ``solution`` (null for a singular matrix)."""
 
+    ship(systems.sparkSession)
+
     def run(batches):
         for batch in batches:
             m, order = lu_many(_stack(batch.column(matrix), rank, rank))
@@ -113,6 +116,7 @@ def tall_qr(df: DataFrame, index: str, vector: str, rank: int, write: Callable[[
     ``fan`` at a time and factorized again, up a tree; on the way back every block gets the
     rank x rank matrix that its own Q is to be multiplied with.  Only R reaches the driver.
     """
+    ship(df.sparkSession)
     blocks = 1 + df.count() // block_rows
     square = f"b long, {index} {df.schema[index].dataType.simpleString()}, {vector} array<double>, up array<double>"
 

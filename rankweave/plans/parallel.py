@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import draws
 from ..model import Problem
 from ..operators import aggregate as A
+from ..session import ship
 from . import kernels
 from .store import Tables
 
@@ -49,6 +50,8 @@ def _vectors(ids: np.ndarray, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray
 def changes(points: DataFrame, w: DataFrame, h: DataFrame, rule, eps: float, seed: tuple) -> DataFrame:
     """(side, id, delta): what each ``task`` of a mini-batch changes, starting from ``w`` and ``h``."""
 
+    ship(points.sparkSession)
+
     def run(key, own):
         own = own.sort_by([("place", "ascending"), ("i", "ascending"), ("j", "ascending")])
         i, j, x, n1, n2 = (own.column(c).to_numpy() for c in ("i", "j", "x", "n1", "n2"))

@@ -27,6 +27,7 @@ from .plans import kernels, parallel, replay, sgd
 from .plans.factorize import Spec, factorize
 from .plans.schedule import schedule_table
 from .plans.store import Tables
+from .session import ship
 from .sources import blocked as K
 from .sources import described
 from .sources import generate as G
@@ -342,6 +343,7 @@ def valid_specs(s, d):
     SELECT name, b1, visits, visits AS entries, total, CAST(0 AS BIGINT) AS clashes FROM b, n""")
 def orders_of_entries(s, d):
     """Each order of a pass over the blocks of the matrix visits every entry once, and in no step two of one row or column."""
+    ship(s)
     names = {"SEQ": ("SEQ", 1, 1 << 30), "WOR": ("WOR", 1, 1 << 30), "WOR in bursts": ("WOR", 1, 20), "WOR in squares": ("WOR", 4, 1 << 30)}
 
     def f(key, own):
@@ -426,20 +428,6 @@ def strata_replay(s, d):
     return s.createDataFrame(out, "name string, entries long, vectors long, far long")
 
 
-@query("parallel_gradient_step", f"""WITH {V}, {wl(plus=1)}, {C.hl(plus=1)}, {C.e_()},
-    g AS (SELECT i, k, sum(2 * 0.001 * (x / 25 - dot) * h) AS g FROM e JOIN hl USING (j) GROUP BY 1, 2)
-    SELECT wl.i, CAST(wl.k AS INTEGER) AS k, round(w + coalesce(g, 0), 8) AS value FROM wl LEFT JOIN g ON g.i = wl.i AND g.k = wl.k""")
-def parallel_gradient_step(s, d):
-    """One mini-batch of all points, each a task of its own: a step along the summed gradient."""
-    p = C.dense_problem(s, d)
-    n = p.v.count()
-    points = p.v.withColumns({"place": F.lit(0.0), "n1": F.lit(1).cast("long"), "n2": F.lit(1).cast("long")}).withColumn("task", F.shiftrightunsigned(F.xxhash64("i", "j"), 1))
-    assert n == points.select("task").distinct().count()
-    rule = sgd.Rule("Nzsl")
-    found = parallel.changes(points, p.w, p.h, rule, 0.001, (1,))
-    return rounded(long(parallel.moved(p.w, "i", "w", found, "w", RANK, rule), "i", "w"), "value", digits=8)
-
-
 FITS = {
     "sequential": dict(method="sgd", update="Nzsl_Nzl2(0.01)", loss="Nzsl_Nzl2(0.01)", decay="BoldDriver(0.005)", epochs=2),
     "parallel": dict(method="psgd", update="Nzsl", loss="Nzsl", decay="BoldDriver(0.005)", epochs=2, blocks=4, truncate=(-100.0, 100.0)),
@@ -526,6 +514,8 @@ def _systems(s, d) -> DataFrame:
 @query("linear_lu", f"WITH {V}, {C.hl()} SELECT v.i, CAST(p.k AS INTEGER) AS a, CAST(q.k AS INTEGER) AS b, round(sum(p.h * q.h) + CASE WHEN p.k = q.k THEN 1 ELSE 0 END, 9) AS value FROM v JOIN hl p USING (j) JOIN hl q USING (j) GROUP BY v.i, p.k, q.k")
 def linear_lu(s, d):
     """Each row's matrix, put together again from its factors L and U and its row order."""
+    ship(s)
+
     def run(batches):
         for batch in batches:
             m = batch.column("lu").flatten().to_numpy().reshape(-1, RANK, RANK)
