@@ -7,6 +7,8 @@ stages before the table.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +77,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of about ``size`` bytes of text (one longer text may stand alone), with bytes and offsets."""
     for batch in batches:
@@ -84,7 +96,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", size: int
             stop = max(start + 1, int(np.searchsorted(at, at[start] + size, side="right")) - 1)
             yield batch.slice(start, stop - start), data[at[start] : at[stop]], at[start : stop + 1] - at[start]
             start = stop
-    pa.default_memory_pool().release_unused()  # workers live on after a task
+    release()
 
 
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Store, pieces, table, two_columns, with_row_key
+from .common import Store, pieces, release, table, two_columns, with_row_key
 from .graph import attach, components, shuffled
 
 SIGS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("ck", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -199,6 +199,7 @@ def verify(store: Store, pairs: DataFrame, sets: DataFrame, num: int, den: int)
                     a.append(x)
                     b.append(y)
             yield table(EDGES, a, b)
+        release()
 
     return leader.union(member).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a binary, b binary")
 
