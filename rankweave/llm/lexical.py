@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Store, pieces, table, two_columns, with_row_key
+from .common import Store, pieces, release, table, two_columns, with_row_key
 from .words import hashes, spans
 
 K, BLOCK, SALTS = 50, 1 << 19, 256
+#: Terms, and meetings of a term with an item, of the documents that a task takes at once (one document may be over it).
+AT_ONCE = 1 << 18
 #: Slots of the bitmap of the items' terms.
 SLOTS = 1 << 24
 _BREAK = np.ones(256, bool)  # all of ASCII but letters and digits
@@ -51,7 +53,7 @@ def term_rows(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None  # of fixed size
 
     def run(batches):
-        for batch, data, at in pieces(batches, size=4 << 20):
+        for batch, data, at in pieces(batches):
             start, end, word_at = spans(data, at, _BREAK)
             term = hashes(data, start, end)
             n = np.diff(word_at)
@@ -96,6 +98,17 @@ def _firsts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))
 
 
+def _slices(batch: pa.RecordBatch, weigh, most: int):
+    """Slices of a batch of documents in which ``weigh`` of the terms adds up to ``most`` or less, or that are one document."""
+    sizes = batch.column("terms").value_lengths().to_numpy()
+    load = np.concatenate([[0], np.cumsum(weigh(batch.column("terms").flatten().to_numpy()))])[np.concatenate([[0], np.cumsum(sizes)])]
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(load, load[start] + most, side="right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def peaks(rows: DataFrame, n_docs: int, n_terms: int, k: int) -> DataFrame:
     """(term, df, peaks): in how many documents each term is, and its ``k`` largest impacts without the weight, falling."""
 
@@ -107,6 +120,7 @@ def peaks(rows: DataFrame, n_docs: int, n_terms: int, k: int) -> DataFrame:
             new, place = _firsts(term)
             df = np.diff(np.append(new, len(term)))
             yield table(PEAKS, term[new], df, _lists(base[place < k], np.minimum(df, k), pa.int64()))
+        release()
 
     top = F.slice(F.sort_array(F.flatten(F.collect_list("peaks")), False), 1, k).alias("peaks")
     some = rows.mapInArrow(run, "term long, df long, peaks array<long>").withColumn("salt", F.spark_partition_id() % SALTS)
@@ -135,6 +149,11 @@ class _Block:
         self.least = np.zeros(len(self.items), np.int64)
         self.least[item] = got.column("least").to_numpy()
 
+    def met(self, term) -> np.ndarray:
+        """One and the number of items that have it, of each term."""
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        return np.where(self.terms[at] == term, self.end[at] - self.start[at], 0) + 1
+
     def pairs(self, which, term, base, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the document, place of the entry and impact, for every term of a document that is one of ``wanted`` entries."""
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
@@ -156,7 +175,7 @@ def best(rows: DataFrame, block: pa.Table, n_docs: int, n_terms: int, k: int) ->
         own = sent.value
         least, size = own.least.copy(), len(own.items)
         top = [np.zeros(0, np.int64) for _ in range(4)]  # item, score, id, whether that is none
-        for batch in batches:
+        for batch in (own_rows for many in batches for own_rows in _slices(many, own.met, AT_ONCE)):
             which, term, base = _bases(batch, n_docs, n_terms)
             seed = own.rest >= least[own.item]
             other = np.zeros(size, np.int64)  # what an item's other terms may add
@@ -195,6 +214,7 @@ def best(rows: DataFrame, block: pa.Table, n_docs: int, n_terms: int, k: int) ->
         item, score, ids, none = top
         salt = np.full(len(item), int(item.sum() + score.sum()) % SALTS)
         yield table(BEST, own.items[item], pa.array(ids, mask=none.astype(bool)), score, salt)
+        release()
 
     return rows.mapInArrow(run, "item long, id long, score long, salt int")
 
