@@ -6,7 +6,11 @@ more often than its share of clean ones explains marks its tokens toxic.  A two-
 trained on those tags, in stretches of ``CHAIN`` words, by its exact likelihood gradient
 (marginals of the forward-backward recursion).  Scoring runs the recursion over whole texts, one
 chain each, and every token gets the marginal probability of the toxic tag.  A document's score is a logistic function of how certain its
-surest token is and how many toxic tokens are expected; tokens over one half are its spans.
+surest token is, how many toxic tokens are expected and their share; tokens over one half are its spans.
+
+Labels may also show by what texts of label 0 hold, so a second chain of the same kind learns the words that
+speak for it.  The logistic function is fitted on texts that neither chain was trained on (``FOLDS``), and
+the second chain scores only if it makes that fit better.
 
 Training runs on the driver over a bounded sample of labelled rows; scoring is one scan in
 which whole texts count.
@@ -25,6 +29,8 @@ from .quality import labelled
 
 CHAIN, BITS, PREFIXES = 64, 18, (4, 5, 6, 7)
 KINDS = 2 + len(PREFIXES)
+#: How many times as common in documents of its label a telling feature is; windows with tags that a fit takes; folds and least gain a text of the document layer.
+TIMES, WINDOWS, FOLDS, GAIN = (20, 10, 5, 3, 2), 2000, 2, 0.005
 SCORED = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 SCORED_SQL = "id long, score double, starts array<long>, ends array<long>"
 _EDGE = np.zeros(256, bool)
@@ -142,53 +148,53 @@ def marginals(emission: np.ndarray, first: np.ndarray, size: np.ndarray, trans:
     return out, pairs
 
 
-class Model:
-    """Feature weights, transitions and the document layer."""
+class Chain:
+    """Feature weights and transitions of a chain whose tag 1 marks words that speak for label 1."""
 
-    def __init__(self, f: np.ndarray, word_at: np.ndarray, y: np.ndarray, rounds: int = 25, rate: float = 0.4, seed: int = 11):
+    def __init__(self, f: np.ndarray, word_at: np.ndarray, y: np.ndarray, cells: tuple[np.ndarray, np.ndarray], rounds: int = 25, rate: float = 0.4, seed: int = 11):
         self.w, self.bias, self.trans = np.zeros(1 << BITS), -6.0, np.zeros((2, 2))
-        self.doc = np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0])
         if not len(f) or not 0 < y.sum() < len(y):
             return
-        doc = np.repeat(np.arange(len(y)), np.diff(word_at))
-        tag = self._tags(f, doc, y)
+        tag = self._tags(f, y, *cells)
         first, size, _ = _windows(*chains(word_at))
         hot = np.add.reduceat(tag, first) > 0
         rng = np.random.default_rng(seed)
-        cold = rng.permutation(np.flatnonzero(~hot))[: 3 * hot.sum() + 500]
-        pick = np.sort(np.concatenate([np.flatnonzero(hot), cold]))
+        warm = rng.permutation(np.flatnonzero(hot))[:WINDOWS]
+        cold = rng.permutation(np.flatnonzero(~hot))[: 3 * len(warm) + 500]
+        pick = np.sort(np.concatenate([warm, cold]))
         at = np.concatenate([[0], np.cumsum(size[pick])])
         rows = np.arange(at[-1]) + np.repeat(first[pick] - at[:-1], size[pick])
         self._fit(f[rows], tag[rows].astype(float), at[:-1], size[pick], rounds, rate)
-        self._calibrate(f, word_at, y)
 
     @staticmethod
-    def _tags(f: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def _tags(f: np.ndarray, y: np.ndarray, of: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Which words the document labels mark.
 
         Candidates are features in three toxic documents at least and 20 times as common there as in
         clean ones.  The one in most toxic documents not yet explained is taken, again and again
         while it explains three more; so what merely goes along with toxic words, as in copies of
-        one document, stays out.  Candidates in 3 % of the toxic documents need no such test.
+        one document, stays out.  Candidates in 3 % of the toxic documents need no such test.  While half of
+        the toxic documents are not explained, features less telling become candidates.
         """
         n1, n0 = y.sum(), len(y) - y.sum()
-        cell = np.concatenate([np.unique(doc.astype(np.int64) << BITS + 3 | f[:, k].astype(np.int64) << 3 | k) for k in range(KINDS - 1)])  # endings alone are no evidence
-        of, key = cell >> BITS + 3, cell & (1 << BITS + 3) - 1
         toxic = y[of] == 1
         in1, in0 = np.bincount(key[toxic], minlength=1 << BITS + 3), np.bincount(key[~toxic], minlength=1 << BITS + 3)
-        good = (in1 >= 3) & (in1 / n1 > 20 * (in0 + 0.5) / n0)
-        taken = good & (in1 >= max(5, 0.03 * n1))
-        keep = toxic & good[key]
-        of, key = of[keep], key[keep]
-        free = np.ones(len(y), bool)
-        free[of[taken[key]]] = False
-        while True:
-            left = np.bincount(key[free[of]], minlength=1 << BITS + 3)
-            best = int(left.argmax())
-            if left[best] < 3:
+        taken, free = np.zeros(1 << BITS + 3, bool), np.ones(len(y), bool)
+        for times in TIMES:
+            good = (in1 >= 3) & (in1 / n1 > times * (in0 + 0.5) / n0)
+            taken |= good & (in1 >= max(5, 0.03 * n1))
+            keep = toxic & good[key]
+            some, own = of[keep], key[keep]
+            free[some[taken[own]]] = False
+            while True:
+                left = np.bincount(own[free[some]], minlength=1 << BITS + 3)
+                best = int(left.argmax())
+                if left[best] < 3:
+                    break
+                taken[best] = True
+                free[some[own == best]] = False
+            if free[y == 1].mean() < 0.5:
                 break
-            taken[best] = True
-            free[of[key == best]] = False
         return np.any([taken[f[:, k].astype(np.int64) << 3 | k] for k in range(KINDS - 1)], axis=0)
 
     def _emission(self, f: np.ndarray) -> np.ndarray:
@@ -216,29 +222,76 @@ class Model:
             b2 += err.sum() ** 2
             self.bias += rate * err.sum() / np.sqrt(b2)
 
-    def _summary(self, p: np.ndarray, word_at: np.ndarray) -> np.ndarray:
-        """(1, log-odds of the surest token, log of 1 + expected toxic tokens) of each text."""
-        top, total = np.full(len(word_at) - 1, 1e-6), np.zeros(len(word_at) - 1)
-        some = np.flatnonzero(np.diff(word_at))
+    def summary(self, f: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of the words; log-odds of the surest one, log of 1 + those expected and their share, of each text."""
+        p = marginals(self._emission(f), *chains(word_at), self.trans)[0]
+        top, total, size = np.full(len(word_at) - 1, 1e-6), np.zeros(len(word_at) - 1), np.diff(word_at)
+        some = np.flatnonzero(size)
         if len(some):
             top[some] = np.maximum(np.maximum.reduceat(p, word_at[some]), 1e-6)
             total[some] = np.add.reduceat(p, word_at[some])
         top = np.minimum(top, 1 - 1e-6)
-        return np.column_stack([np.ones(len(top)), np.log(top / (1 - top)) / 5, np.log1p(total)])
+        return p, np.column_stack([np.log(top / (1 - top)) / 5, np.log1p(total), 10 * total / (size + 10)])
 
-    def _calibrate(self, f, word_at, y):
-        s = self._summary(marginals(self._emission(f), *chains(word_at), self.trans)[0], word_at)
-        for _ in range(25):  # Newton steps with a ridge
-            q = 1 / (1 + np.exp(-(s @ self.doc)))
-            self.doc -= np.linalg.solve(s.T @ (s * (q * (1 - q))[:, None]) + 0.1 * np.eye(3), s.T @ (q - y) + 0.1 * self.doc)
+
+class Model(Chain):
+    """The chain of words that speak for label 1, one of those that speak for label 0 if it helps, and the document layer."""
+
+    def __init__(self, f: np.ndarray, word_at: np.ndarray, y: np.ndarray, rounds: int = 25, rate: float = 0.4, seed: int = 11):
+        of, key = _cells(f, word_at)
+        super().__init__(f, word_at, y, (of, key), rounds, rate, seed)
+        self.against, self.doc = None, np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0, 0.0])
+        if not len(f) or not 0 < y.sum() < len(y):
+            return
+        part = np.random.default_rng(seed).permutation(len(y)) % FOLDS
+        x = np.ones((len(y), 7))
+        for k in range(FOLDS):  # the layer learns from texts that the chains have not seen
+            seen = part != k
+            rest, own = (_chosen(f, word_at, np.flatnonzero(m)) for m in (seen, ~seen))
+            cells = (np.cumsum(seen) - 1)[of[seen[of]]], key[seen[of]]
+            for at, label in ((1, y), (4, 1 - y)):
+                x[~seen, at : at + 3] = Chain(*rest, label[seen], cells, rounds, rate, seed).summary(*own)[1]
+        self.doc, loss = _logistic(x[:, :4], y)
+        both, less = _logistic(x, y)
+        if less < loss - GAIN * len(y):
+            self.doc, self.against = both, Chain(f, word_at, 1 - y, (of, key), rounds, rate, seed)
 
     def score(self, data: np.ndarray, at: np.ndarray):
         """Document scores, and text number, start and end byte of each toxic token."""
         f, start, end, word_at = features(data, at)
-        p = marginals(self._emission(f), *chains(word_at), self.trans)[0]
+        p, x = self.summary(f, word_at)
+        x = [np.ones((len(x), 1)), x] + ([self.against.summary(f, word_at)[1]] if self.against else [])
         bad = np.flatnonzero(p > 0.5)
         doc = np.searchsorted(word_at, bad, side="right") - 1
-        return 1 / (1 + np.exp(-(self._summary(p, word_at) @ self.doc))), doc, start[bad] - at[doc], end[bad] - at[doc]
+        return 1 / (1 + np.exp(-(np.hstack(x) @ self.doc))), doc, start[bad] - at[doc], end[bad] - at[doc]
+
+
+def _cells(f: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text with each of its features once; endings are left out, as they are no evidence alone."""
+    doc = np.repeat(np.arange(len(word_at) - 1), np.diff(word_at))
+    own = []
+    for k in range(KINDS - 1):
+        cell = np.sort(doc << BITS + 3 | f[:, k].astype(np.int64) << 3 | k)
+        own.append(cell[np.append(True, cell[1:] != cell[:-1])[: len(cell)]])
+    cell = np.concatenate(own)
+    return cell >> BITS + 3, cell & (1 << BITS + 3) - 1
+
+
+def _chosen(f: np.ndarray, word_at: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and word offsets of some of the texts."""
+    size = np.diff(word_at)[docs]
+    at = np.concatenate([[0], np.cumsum(size)])
+    return f[np.arange(at[-1]) + np.repeat(word_at[docs] - at[:-1], size)], at
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by Newton steps with a ridge, and the loss."""
+    out, ridge = np.zeros(x.shape[1]), 0.1
+    for _ in range(25):
+        q = 1 / (1 + np.exp(-np.clip(x @ out, -30, 30)))
+        out -= np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + ridge * np.eye(len(out)), x.T @ (q - y) + ridge * out)
+    z = x @ out
+    return out, float(np.sum(np.logaddexp(0, z) - y * z))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 3000, most_bytes: int = 32 << 20) -> Model:

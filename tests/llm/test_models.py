@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankweave.llm import langid, quality, toxicity
 from rankweave.llm.common import bounded_sample, near_fraction
@@ -115,6 +116,17 @@ def test_few_ids_with_many_rows(spark, ids):
         assert module.score(few, module.train(few, labels, most=10)).count() == 2000
 
 
+@pytest.mark.parametrize("flipped", [False, True])
+def test_toxicity_ranks_held_out_rows(spark, tmp_path, flipped):
+    """Held-out rows of label 1 come first, whether toxic words speak for label 1 or for label 0."""
+    spark.read.parquet(f"{SF1}/documents.parquet").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet(f"{SF1}/labels.parquet").withColumn("toxic", F.abs(F.col("toxic") - int(flipped)))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = toxicity.op7_toxicity_crf(spark, str(tmp_path)).filter("held_out").join(labels, "doc_id").select("score", "toxic").collect()
+    one, zero = (np.array([r.score for r in rows if r.toxic == y]) for y in (1, 0))
+    assert np.mean((one[:, None] > zero) + 0.5 * (one[:, None] == zero)) >= 0.93
+
+
 def test_many_toxic_words_in_one_text(spark):
     """Offsets take time in proportion to the text, and count code points."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
