@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, pieces, table, with_row_key
+from .common import Store, pieces, release, table, with_row_key
 from .suffix import _eights, common_prefixes, suffix_array
 from .words import mix
 
@@ -36,7 +36,9 @@ SIZE = 50
 GRAMS = (20, 35, SIZE)
 MEET = 4096
 #: Contexts that a task combines at once, contexts and bytes of open contexts of a shard.
-COMBINE, PER_SHARD, SHARD_BYTES = 1 << 20, 1 << 19, 2 << 20
+COMBINE, PER_SHARD, SHARD_BYTES = 1 << 18, 1 << 19, 2 << 20
+#: Contexts or bytes of a group after which a worker gives freed memory back.
+LARGE = 1 << 18
 _K = np.uint64(0x9FB21C651E98DF25)
 DEALT = pa.schema([("shard", pa.int64()), ("key", pa.binary()), ("whole", pa.binary()), ("id", pa.binary()), ("pid", pa.binary()), ("a", pa.binary()), ("n", pa.binary())])
 DEALT_SQL = "shard long, key binary, whole binary, id binary, pid binary, a binary, n binary"
@@ -143,6 +145,8 @@ def judge(dealt: DataFrame, last: bool) -> DataFrame:
             is_open = own[by][new] != own[by][end - 1]
             kind[by] = np.repeat(np.where(is_open, np.where((end - new > MEET) & (not last), HOT, OPEN), -1), end - new)
         some = np.flatnonzero(kind >= 0)
+        if len(key) > LARGE:
+            release()
         return pa.table([pid[some], a[some], n[some].astype(np.int32), (key[some].astype(np.int64) << 24) ^ number, kind[some]], schema=JUDGED)
 
     part = F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("a"), F.lit(1 << 12))).otherwise(F.col("shard"))
@@ -191,6 +195,9 @@ def covered(cuts: DataFrame, size: int = SIZE) -> DataFrame:
         first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         which = np.searchsorted(begin, first, side="right") - 1
         move = got.column("base").to_numpy()[which] - begin[which]
+        if len(data) > LARGE:
+            del text, data, order, shared, fits, own, least, gone, edge
+            release()
         return pa.table([got.column("row").to_numpy()[which], first + move, end + move + size - 1], schema=COVER)
 
     return cuts.groupBy("part").applyInArrow(run, "row long, start long, end long")
