@@ -48,28 +48,27 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def suffix_order(text: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     """Places of the suffixes of an array of ids, in the order of their first ``longest`` ids at least, by prefix doubling."""
-    rank, k, order = text.astype(np.int64), 1, np.argsort(text, kind="stable")
+    rank, k, order = text.astype(np.int64), 1, None
     while k < longest:
-        after = np.zeros(len(rank), np.int64)
-        after[:-k] = rank[k:] + 1
-        pair = rank * (len(rank) + 2) + after  # ranks are at most the length
+        pair = rank * (len(rank) + 2)  # ranks are at most the length
+        pair[:-k] += rank[k:] + 1
         order = np.argsort(pair, kind="stable")
-        new = np.concatenate([[False], pair[order][1:] != pair[order][:-1]])
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.cumsum(new)
+        pair = pair[order]
+        rank[order] = np.cumsum(np.concatenate([[False], pair[1:] != pair[:-1]]))
+        del pair
         k *= 2
-    return order
+    return np.argsort(text, kind="stable") if order is None else order
 
 
 def ngram_counts(word: np.ndarray, last: np.ndarray, longest: int = LONGEST):
     """For n from 1 to ``longest``: places of one occurrence of each n-gram of hashed words, and how often it occurs; no n-gram goes over the ``last`` word of a piece."""
-    place = np.arange(len(word)) + np.concatenate([[0], np.cumsum(last)[:-1]]) if len(word) else np.zeros(0, np.int64)
-    text = np.zeros(len(word) + int(last.sum()), np.int64)
-    text[place] = np.unique(word, return_inverse=True)[1] + 1
-    order = suffix_order(text, longest)
-    number = np.full(len(text), -1, np.int64)
+    place = (np.arange(len(word)) + np.concatenate([[0], np.cumsum(last)[:-1]])).astype(np.int32) if len(word) else np.zeros(0, np.int32)
+    padded = np.zeros(len(word) + int(last.sum()) + longest, np.int32)  # a shard's words are fewer than 2**31
+    padded[place] = np.unique(word, return_inverse=True)[1] + 1
+    order = suffix_order(padded[: len(padded) - longest], longest).astype(np.int32)
+    number = np.full(len(order), -1, np.int32)
     number[place] = np.arange(len(word))
-    padded = np.append(text, np.zeros(longest, np.int64))
+    del place
     same = np.ones(max(len(order) - 1, 0), bool)
     whole = np.ones(len(order), bool)
     for n in range(1, longest + 1):
@@ -81,6 +80,12 @@ def ngram_counts(word: np.ndarray, last: np.ndarray, longest: int = LONGEST):
         yield n, number[order[first]], bound[np.searchsorted(bound, first, side="right")] - first
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary for each part of an array, without a copy of it."""
+    at = np.concatenate([[0], ends]).astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(values)])
+
+
 def count(docs: DataFrame, parts: int) -> DataFrame:
     """N-grams of (row, lang_hash, text) by part, packed; parts below 0 tell the documents' places in the shards."""
 
@@ -89,6 +94,7 @@ def count(docs: DataFrame, parts: int) -> DataFrame:
 
         def out():
             row, n, word, last = (np.concatenate(c) for c in zip(*held))
+            held.clear()
             shard = int(mix(row[:1].view(np.uint64) + np.uint64(len(row))).view(np.int64)[0])
             yield table(COUNTS, [-1 - shard % (1 << 12)], [0], [shard], *([c.astype(np.int64).tobytes()] for c in (row, n, np.cumsum(n) - n)))
             for k, pos, times in ngram_counts(word, last):
@@ -98,11 +104,12 @@ def count(docs: DataFrame, parts: int) -> DataFrame:
                 part = (key % np.uint64(parts)).astype(np.int64)
                 by = np.lexsort((key, part))
                 part, cols = part[by], (key[by], times[by].astype(np.uint32), pos[by].astype(np.uint32))
+                del key, by, times, pos
                 cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
                 ends = np.append(cut[1:], len(part))
-                yield table(COUNTS, part[cut], np.full(len(cut), k), np.full(len(cut), shard), *([c[a:b].tobytes() for a, b in zip(cut, ends)] for c in cols))
+                yield table(COUNTS, part[cut], np.full(len(cut), k), np.full(len(cut), shard), *(_packed(c, ends) for c in cols))
 
-        for batch, data, at in pieces(batches, size=4 << 20):
+        for batch, data, at in pieces(batches):
             start, end, word_at, last = words_of(data, at)
             n = np.diff(word_at)
             lang = np.repeat(batch.column("lang_hash").to_numpy().view(np.uint64), n)
