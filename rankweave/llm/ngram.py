@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Store, fold, table, two_columns, utf8
+from .common import Store, fold, release, table, two_columns, utf8
 
 #: Rows of a block, bytes of a text that is a block of its own, text bytes a reducer's share, buckets of context frequency, histogram steps an octave.
 BLOCK_ROWS, LONE, SHARE, BUCKETS, STEPS = 1024, 1 << 17, 8 << 20, 24, 8
@@ -108,6 +108,8 @@ def _count_grams(batches, bits):
                 held.append((g, np.concatenate([data[at[i] : at[i + 1]] for i in pick]), np.concatenate([[0], np.cumsum(at[pick + 1] - at[pick])])))
     if last is not None:
         yield from flush(last, first, held)
+    held.clear()
+    release()
 
 
 def _reduce(key, own):

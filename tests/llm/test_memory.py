@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rankweave.llm import lexical, phrases, repeats
+from rankweave.llm import lexical, ngram, phrases, repeats
 
 
 class Task:
@@ -52,3 +52,12 @@ def test_meetings_are_bounded():
     assert np.concatenate([s.column("id").to_numpy() for s in slices]).tolist() == list(range(2001))
     assert all(s.num_rows == 1 or block.met(s.column("terms").flatten().to_numpy()).sum() <= 5000 for s in slices) and len(slices) > 100
     assert list(lexical._slices(rows.slice(0, 0), block.met, 5000)) == []
+
+
+def test_counting_gives_memory_back(batch, monkeypatch):
+    """Workers live on beside those of later stages, so what a task has freed goes back when it ends."""
+    calls = []
+    monkeypatch.setattr(ngram, "release", lambda: calls.append(1))
+    few = batch.slice(0, 100)
+    rows = pa.RecordBatch.from_pydict({"text": few.column("text"), "place": few.column("id"), "block": np.zeros(100, np.int64), "part": np.zeros(100, np.int32)})
+    assert sum(b.num_rows for b in ngram._count_grams(iter([rows]), 2)) == 4 and calls == [1]
