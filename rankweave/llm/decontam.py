@@ -12,12 +12,16 @@ A part of an item need not cover a segment: every run of ``RUN`` characters of a
 starts, is looked up by a hash of its q-grams and compared with the document.  Items of fewer than
 ``LEAST`` characters are found as they stand, as whole words.
 
-The items are read by the driver in blocks of at most ``BLOCK_BYTES`` of text, each block is
-sent to the executors and met by all documents in one scan: no shuffle, whatever the sizes.
+The different texts of the items are read by the driver in blocks of about ``BLOCK_BYTES`` and sent to
+the executors.  A task meets one block after another with about ``HELD_BYTES`` of documents, so it holds
+one index at a time, and the postings of ``POSTINGS`` hits: one scan of the documents and no shuffle,
+whatever the sizes.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +31,9 @@ from ..session import ship
 from .common import pieces, table, two_columns
 from .words import LOWER, mix
 
-Q, SEGMENT, STRIDE, LEAST, BLOCK_BYTES = 8, 120, 60, 24, 4 << 20
+Q, SEGMENT, STRIDE, LEAST, BLOCK_BYTES = 8, 120, 60, 24, 1 << 20
+HELD_BYTES = 32 << 20  # of documents that meet a block at once, if there are several
+POSTINGS = 1 << 21  # of the hits in a text that are spread out at once
 RUN = 50  # the shortest exact part of a longer item that counts
 CELL = 16  # width w of the half-bands; over the largest number of edits
 FOUND = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("segments", pa.int32()), ("of", pa.int32()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
@@ -197,6 +203,8 @@ class Index:
             return []
         close = np.zeros(len(at) + 1, np.int64)
         for length, bound in self.classes:  # so many hits lie within a region's length, or none of this class is there
+            if len(at) < bound:  # as in a last piece of a few words
+                continue
             i = np.flatnonzero(at[bound - 1 :] - at[: len(at) - bound + 1] < length)
             np.add.at(close, i, 1)
             np.add.at(close, i + bound, -1)
@@ -206,14 +214,26 @@ class Index:
         if not len(size):
             return []
         ends = np.cumsum(size)
-        post = np.arange(ends[-1]) + np.repeat(self.first[k] - (ends - size), size)
-        seg = self.seg[post]
         rows = (len(body) + SEGMENT) // CELL + 3
-        key = seg * rows + (np.repeat(at, size) - self.pos[post] + SEGMENT) // CELL
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + POSTINGS, POSTINGS), side="right"))
+
+        def spread_out(a, b):
+            n = size[a:b]
+            post = np.arange(n.sum()) + np.repeat(self.first[k[a:b]] - (ends[a:b] - n - (ends[a - 1] if a else 0)), n)
+            seg = self.seg[post]
+            return seg, seg * rows + (np.repeat(at[a:b], n) - self.pos[post] + SEGMENT) // CELL
+
+        ranges = [(int(a), int(b)) for a, b in zip(np.append(0, cuts), np.append(cuts, len(size))) if a < b]
+        parts = [spread_out(*ranges[0])] if len(ranges) == 1 else None
         slot = lambda x: (x * 0x9E3779B1) & 0xFFFFF  # noqa: E731  sums over slots are at least the true counts
-        count = np.bincount(slot(key), minlength=1 << 20)
-        near = count[slot(key)] + np.maximum(count[slot(key + 1)], count[slot(key - 1)]) >= self.bound[seg]
-        key, n = np.unique(key[near], return_counts=True)
+        count = np.zeros(1 << 20, np.int64)
+        for _, key in parts or (spread_out(*x) for x in ranges):
+            count += np.bincount(slot(key), minlength=1 << 20)
+        kept = []
+        for seg, key in parts or (spread_out(*x) for x in ranges):
+            near = count[slot(key)] + np.maximum(count[slot(key + 1)], count[slot(key - 1)]) >= self.bound[seg]
+            kept.append(key[near])
+        key, n = np.unique(np.concatenate(kept), return_counts=True)
         if not len(key):
             return []
         true = dict(zip(key.tolist(), n.tolist()))
@@ -285,15 +305,44 @@ def find_passages(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[
     return [(d, k, x[0], index.of[k], x[1], x[2] - int(at[d]), x[3] - int(at[d])) for (d, k), x in sorted(found.items())]
 
 
-def _blocks(bench: DataFrame):
-    block, size = [], 0
-    for i, text in bench.orderBy("id").toLocalIterator():
+def _blocks(bench: DataFrame) -> list[bytes]:
+    """The different texts and the ids of each, as pickled blocks: [((id, ...), text), ...]; equal texts meet the documents once."""
+    out, block, size, ids, last = [], [], 0, [], None
+    for i, text in bench.orderBy("text", "id").toLocalIterator():
+        if ids and text == last:
+            ids.append(i)
+            continue
+        if ids:
+            block.append((tuple(ids), last))
+            size += len(last or "")
         if block and size + len(text or "") > BLOCK_BYTES:
-            yield block
+            out.append(pickle.dumps(block))
             block, size = [], 0
-        block.append((i, text))
-        size += len(text or "")
-    yield block
+        ids, last = [i], text
+    if ids:
+        block.append((tuple(ids), last))
+    return [*out, pickle.dumps(block)]
+
+
+def _held(batches, several: bool):
+    """Lists of batches with about ``HELD_BYTES`` in all; single ones if there is one block of items."""
+    own, size = [], 0
+    for batch in batches:
+        own.append(batch)
+        size += batch.nbytes
+        if not several or size >= HELD_BYTES:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def _indexes(blocks: list[bytes], rate: float):
+    """A function that gives the index of each block in turn, one at a time; that of a single block is kept."""
+    if len(blocks) > 1:
+        return lambda: (Index(pickle.loads(b), rate) for b in blocks)
+    only = [Index(pickle.loads(blocks[0]), rate)]
+    return lambda: only
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.075) -> DataFrame:
@@ -306,39 +355,43 @@ def contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", t
     without letters and digits; rows with null or repeated ids are reported like others; other
     columns are not read; an empty table on either side gives no rows.
     """
-    docs, result = two_columns(docs, id_col, text_col), None
-    for block in _blocks(two_columns(bench, item_col, item_text_col)):
+    blocks = _blocks(two_columns(bench, item_col, item_text_col))
 
-        def run(batches, block=block):
-            index = Index(block, rate)
-            for batch, data, at in pieces(batches, size=1 << 18):
-                rows, ids = [], None
-                for d, k, n, of, edits, a, b in find_passages(index, data, at):
-                    ids = ids or batch.column("id").to_pylist()
-                    text = data[at[d] : at[d] + b].tobytes()
-                    rows.append((ids[d], index.items[k], n, of, edits, len(text[:a].decode("utf8", "ignore")), len(text.decode("utf8", "ignore"))))
-                if rows:
-                    yield table(FOUND, *map(list, zip(*rows)))
+    def run(batches):
+        indexes = _indexes(blocks, rate)
+        for own in _held(batches, len(blocks) > 1):
+            for index in indexes():
+                for batch, data, at in pieces(iter(own), size=1 << 18):
+                    rows, ids = [], None
+                    for d, k, n, of, edits, a, b in find_passages(index, data, at):
+                        ids = ids or batch.column("id").to_pylist()
+                        text = data[at[d] : at[d] + b].tobytes()
+                        start, end = len(text[:a].decode("utf8", "ignore")), len(text.decode("utf8", "ignore"))
+                        rows += [(ids[d], i, n, of, edits, start, end) for i in index.items[k]]
+                    for first in range(0, len(rows), 100_000):
+                        yield table(FOUND, *map(list, zip(*rows[first : first + 100_000])))
 
-        got = docs.mapInArrow(run, FOUND_SQL)
-        result = got if result is None else result.union(got)
-    return result
+    return two_columns(docs, id_col, text_col).mapInArrow(run, FOUND_SQL)
 
 
 def without_passages(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.075) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no part of an item."""
     ship(docs.sparkSession)
-    for block in _blocks(two_columns(bench, item_col, item_text_col)):
-
-        def run(batches, block=block):
-            index = Index(block, rate)
-            for batch, data, at in pieces(batches, text_col, 1 << 18):
-                clean = np.ones(batch.num_rows, bool)
-                clean[[x[0] for x in find_passages(index, data, at)]] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    blocks = _blocks(two_columns(bench, item_col, item_text_col))
+
+    def run(batches):
+        indexes = _indexes(blocks, rate)
+        for own in _held(batches, len(blocks) > 1):
+            for index in indexes():  # a document that holds part of an item meets no further block
+                left = []
+                for batch, data, at in pieces(iter(own), text_col, 1 << 18):
+                    clean = np.ones(batch.num_rows, bool)
+                    clean[[x[0] for x in find_passages(index, data, at)]] = False
+                    left.append(batch.filter(pa.array(clean)))
+                own = left
+            yield from own
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import lzma
 import math
+import pickle
 import random
 import re
 import urllib.parse
@@ -203,6 +204,36 @@ def test_decontamination_table(spark):
     assert all(any(norm(b)[a : a + 30] in norm(dict(docs)[i]) for a in range(0, len(norm(b)) - 30, 5)) for i, k in got for b in [dict(bench)[k]])
 
 
+def test_pieces_with_fewer_hits_than_an_item_needs():
+    """A piece of any length of an item, alone, as the last documents of a split may be."""
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar papa quebec"
+    index = decontam.Index([(1, item), (2, item[:30])], 0.075)
+    for n in range(len(item) + 1):
+        found = decontam.find_passages(index, np.frombuffer(item[:n].encode(), np.uint8), np.array([0, n]))
+        assert {k for _, k, *_ in found} >= {k for k, least in ((0, decontam.RUN), (1, 30)) if n >= least}
+
+
+def test_blocks_of_items_meet_the_documents_in_turn(spark, monkeypatch):
+    """Many blocks, few postings and few documents at once give the rows of one block, in one scan; equal texts are indexed once and found under every id."""
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    once, clean = decontam.contaminated(docs, bench).collect(), decontam.without_passages(docs, bench).collect()
+    twice = bench.union(bench.selectExpr("item_id + 1000", "text"))
+    want = sorted([tuple(r) for r in once] + [(r[0], r[1] + 1000, *r[2:]) for r in once])
+    for name, n in (("BLOCK_BYTES", 2000), ("HELD_BYTES", 100_000), ("POSTINGS", 50)):
+        monkeypatch.setattr(decontam, name, n)
+    blocks = decontam._blocks(twice.select(F.col("item_id").alias("id"), "text"))
+    assert len(blocks) > 3 and sum(len(pickle.loads(b)) for b in blocks) == bench.select("text").distinct().count()
+    found = decontam.contaminated(docs, twice)
+    assert len(re.findall("MapInArrow", found._jdf.queryExecution().executedPlan().toString())) == 1
+    assert sorted(map(tuple, found.collect())) == want
+    assert sorted(decontam.without_passages(docs, twice).collect()) == sorted(clean)
+    body = np.frombuffer(" ".join(r.text for r in docs.collect() if r.doc_id in {x[0] for x in want[:40]}).encode(), np.uint8)
+    index = decontam.Index([x for b in blocks for x in pickle.loads(b)], 0.075)
+    few = decontam.find_passages(index, body, np.array([0, len(body)]))
+    monkeypatch.setattr(decontam, "POSTINGS", 1 << 21)
+    assert few and few == decontam.find_passages(index, body, np.array([0, len(body)]))
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
