@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,7 +18,7 @@ from ..operators import loss as L
 from ..operators import regularize as R
 from ..operators.balance import balanced
 from . import als, kernels, local, multiplicative, parallel, sgd
-from .store import Tables
+from .store import Tables, clean_shuffles
 
 METHODS = ("sgd", "psgd", "csgd", "dsgd", "overlapped", "asgd", "als", "gnmf", "lee")
 #: Combinations of update, regularizer and loss that descend the loss they report.
@@ -30,7 +30,7 @@ VALID = {
 
 
 #: Entries that a block has on average at most where the number of blocks is not given, and those that one task may take.
-BLOCK_ENTRIES, ONE_TASK = 4_000_000, 50_000_000
+BLOCK_ENTRIES, ONE_TASK = 4_000_000, 1_000_000_000
 
 
 @dataclass(frozen=True)
@@ -124,9 +124,15 @@ def factorize(problem: Problem, spec: Spec) -> Result:
 
     In alternating methods an epoch updates one factor: ALS and Lee start with W, GNMF with H.
     """
-    spec, problem = spec.checked(), problem.verified()
+    spec = spec.checked()
+    with clean_shuffles(problem.v.sparkSession):
+        return _factorized(problem, spec)
+
+
+def _factorized(problem: Problem, spec: Spec) -> Result:
     spark, rank = problem.v.sparkSession, problem.rank
     tables = Tables(spark)
+    problem = replace(problem, v=tables.put(problem.v.select("i", "j", "x"))).verified()  # every epoch reads it
     test_loss = "Biased" if parse(spec.loss).name == "Biased" else "Nzsl"
     began, rows = time.time(), []
 

@@ -160,7 +160,12 @@ def sequence_of(order: str, i: np.ndarray, j: np.ndarray, size1: int, size2: int
     if order == "WOR":
         sequence = rng.permutation(n)
         if cells > 1:
-            square = rng.permutation(cells * cells)[i * cells // size1 * cells + j * cells // size2]
+            square = i * cells // size1 * cells + j * cells // size2
+            if cells * cells > max(4 * n, 1 << 20):  # most squares are empty
+                square = np.unique(square, return_inverse=True)[1]
+                square = rng.permutation(int(square.max(initial=0)) + 1)[square]
+            else:
+                square = rng.permutation(cells * cells)[square]
             sequence = sequence[np.argsort(square[sequence], kind="stable")]
         return sequence
     raise ValueError(f"unknown order {order!r}: SEQ, WOR or WR")

@@ -2,19 +2,21 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave import catalogue, properties
 from rankweave.model import MatrixMeta, Problem
 from rankweave.operators import balance as B
 from rankweave.operators import loss as L
 from rankweave.operators import reshape as P
 from rankweave.functions.specs import parse
 from rankweave.operators import linear
-from rankweave.plans import als, kernels, local, multiplicative, replay
+from rankweave.plans import als, kernels, local, multiplicative, parallel, replay, sgd, store
 from rankweave.plans import factorize as factorize_module
 from rankweave.plans.factorize import Spec, Trials, factorize, loss_of, regularizer_of
 from rankweave.plans.schedule import overlapped_schedule, stratum_schedule
 from rankweave.plans.sgd import Rule, Stratified, disjoint
 from rankweave.plans.store import Tables
 from rankweave.sources import generate as G
+from tests.conftest import SF
 
 
 @pytest.mark.parametrize("most", [1 << 30, 20])
@@ -314,3 +316,29 @@ def test_generators_are_exact_and_repeatable(spark):
     assert counts[0] == counts[1] == counts[2] and all(x == 0 for i, _, x in counts[0] if not i) and 38 < np.mean([x for i, _, x in counts[0] if i]) < 42
     f = G.factor(spark, 500, 4, "Uniform(2,3)", 1).collect()
     assert len(f) == 500 and all(2 <= x < 3 for r in f for x in r.w)
+
+
+def test_large_blocks_are_taken_in_parts(spark, monkeypatch):
+    """Blocks in parts and points in pieces give the vectors of plain loops; parts hold every entry once and no task gets a block as one row."""
+    monkeypatch.setattr(sgd, "PART", 60)
+    monkeypatch.setattr(parallel, "HELD", 100)
+    assert {(r.name, r.far) for r in properties.strata_replay(spark, SF).collect()} == {(name, 0) for name in properties._REPLAYS}
+    p = catalogue.dense_problem(spark, SF)
+    n = p.v.count()
+    for rule in (Rule(), Rule(order="SEQ"), Rule(cells=9)):
+        run = Stratified(p, rule, 2)
+        parts = [(r.b1, r.b2, r.part, np.frombuffer(r.i, np.int32) + run.rows.offsets[r.b1], np.frombuffer(r.j, np.int32) + run.cols.offsets[r.b2]) for r in run.data.collect()]
+        assert len({(r[0], r[1], r[2]) for r in parts}) == len(parts) > 16 * (rule.cells == 1)
+        assert len({(i, j) for r in parts for i, j in zip(r[3], r[4])}) == n == sum(len(r[3]) for r in parts)
+        if rule == Rule():
+            assert max(len(r[3]) for r in parts) < 2 * sgd.PART
+    for spec in (Spec(method="sgd", decay="Const(0.005)", epochs=1), Spec(method="csgd", decay="Const(0.005)", epochs=1, blocks=2, cache_kb=4), Spec(method="asgd", decay="Const(0.002)", epochs=1, blocks=3, staleness=1)):
+        first, last = (r.loss for r in factorize(p, spec).trace.orderBy("epoch").collect())
+        assert last < first
+
+
+def test_fits_leave_no_shuffle_setting(spark):
+    was = spark.conf.get(store.CLEANUP, None)
+    with store.clean_shuffles(spark):
+        assert spark.conf.get(store.CLEANUP) == "true"
+    assert spark.conf.get(store.CLEANUP, None) == was
