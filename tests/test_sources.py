@@ -163,3 +163,19 @@ def test_late_events_go(spark, tmp_path):
     q.stop()
     got = {r.start.hour: r.n for r in spark.table("late").collect()}
     assert got[0] == 1 and got[1] == 1 and got[5] == 1
+
+
+def test_array_text_in_ranges_of_cells(spark, tmp_path, monkeypatch):
+    """Ranges of any size hold the cells in order, zeros between; nothing but the given cells is shuffled, and no line is sorted."""
+    v = spark.createDataFrame([(i, j, i + j / 7 - 3) for i in range(9) for j in range(11) if (i * j) % 5 == 3] + [(0, 3, None)], "i long, j long, x double")
+    want = {(i, j): 0.0 for i in range(9) for j in range(11)} | {(r.i, r.j): r.x or 0.0 for r in v.collect()}
+    for cells, lines, ends in ((7, 3, ()), (1000, 100_000, ()), (1000, 5, (0.01, 0.01, 0.4, 1.0))):
+        monkeypatch.setattr(M, "PART_CELLS", cells)
+        monkeypatch.setattr(M, "LINES", lines)
+        path = f"{tmp_path}/{cells}-{lines}.mma"
+        M.write_array(v, MatrixMeta(9, 11), path, ends=ends)
+        got = M.read_matrix(spark, path)[0]
+        assert {(r.i, r.j): r.x for r in got.collect()} == want and got.count() == 99
+        assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Window", "Sort"))
+    with pytest.raises(Exception, match="there twice"):
+        M.write_array(v.union(v), MatrixMeta(9, 11), f"{tmp_path}/twice.mma")
