@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot, each
+from ..session import ship
 from .scale import cosine
 
+#: Vectors of a block of a group.
+BLOCK = 1024
+
 
 def similar(h: DataFrame, index: str, vector: str, rank: int, which: int, top: int) -> DataFrame:
     """The ``top`` vectors most like that of ``which`` by cosine; ties go to smaller indexes."""
@@ -25,11 +30,34 @@ def predictions(w: DataFrame, h: DataFrame, rank: int, which: int, top: int) ->
 
 
 def cosine_distances(a: DataFrame, b: DataFrame, rank: int, exp: bool = False) -> DataFrame:
-    """(a, b, distance) of every vector of ``a`` (id, v) with every one of ``b`` of the same group ``g``, or of their exponentials; callers bound the groups."""
-    if exp:
-        a, b = (x.withColumn("v", each(rank, lambda k: F.exp(F.col("v")[k]))) for x in (a, b))
-    left, right = a.select("g", F.col("id").alias("a"), F.col("v").alias("va")), b.select("g", F.col("id").alias("b"), F.col("v").alias("vb"))
-    return left.join(right, "g").select("a", "b", (1 - cosine("va", "vb", rank)).alias("distance"))
+    """(a, b, distance) of every vector of ``a`` (id, v) with every one of ``b`` of the same group ``g``, or of their exponentials.
+
+    A group's vectors are dealt to blocks of about ``BLOCK`` by their ids, and a task multiplies one
+    block of each side at a time, whatever the size of the group.  The cosine is 0 if a vector is 0, null
+    or has null components, or if the quotient is not finite.
+    """
+    ship(a.sparkSession)
+    x = F.col("v")
+    part = lambda k: F.exp(x[k]) if exp else x[k]
+    sizes = a.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("n1")).join(b.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("n2")), "g")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    vector = each(rank, part)
+    left, right = (df.select("g", "id", vector.alias("v")).join(sizes, "g") for df in (a, b))
+    left = left.select(F.col("g").alias("g1"), own("n1").alias("a1"), every("n2").alias("a2"), F.col("id").alias("a"), F.col("v").alias("va"))
+    right = right.select(F.col("g").alias("g2"), every("n1").alias("b1"), own("n2").alias("b2"), F.col("id").alias("b"), F.col("v").alias("vb"))
+
+    def arrays(side, i, v):
+        m = np.asarray(side.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, rank)  # null as not a number
+        return side.column(i).to_numpy(), m, np.sqrt((m * m).sum(axis=1))
+
+    def run(one, two):
+        (i, x, n), (j, y, m) = arrays(one, "a", "va"), arrays(two, "b", "vb")
+        with np.errstate(all="ignore"):
+            near = (x @ y.T) / (n[:, None] * m[None, :])
+        return pa.table({"a": np.repeat(i, len(j)), "b": np.tile(j, len(i)), "distance": 1 - np.where(np.isfinite(near), near, 0.0).ravel()})
+
+    return left.groupBy("g1", "a1", "a2").cogroup(right.groupBy("g2", "b1", "b2")).applyInArrow(run, "a long, b long, distance double")
 
 
 _LINE = r"^\s*([0-9.eE+-]+)\s+(\S+)\s+(\d+)\s+(\d+)\s+([0-9.eE+-]+)\s+([+-])\s+(.*?)\s*$"

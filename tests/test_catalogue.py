@@ -1,9 +1,11 @@
 """Every query with SQL gives the rows that DuckDB gives; the others run."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from rankweave import catalogue
+from rankweave.operators import analysis
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -75,3 +77,22 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_distances_of_vectors_by_blocks(spark, monkeypatch):
+    """Groups of many blocks give every pair once, with the distances of plain loops; vectors with nulls and zero vectors are at 1 from all."""
+    rng = np.random.default_rng(5)
+    rows = [(k, k % 2 if k < 60 else None, rng.normal(size=3).tolist()) for k in range(70)] + [(100, 0, None), (101, 0, [1.0, None, 2.0]), (102, 1, [0.0, 0.0, 0.0]), (103, 7, [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    plain = analysis.cosine_distances(v.filter("id % 5 = 0"), v, 3)
+    monkeypatch.setattr(analysis, "BLOCK", 4)
+    got = analysis.cosine_distances(v.filter("id % 5 = 0"), v, 3)
+    found = {(r.a, r.b): r.distance for r in got.collect()}
+    vectors = {i: np.array(x) for i, g, x in rows if x and None not in x and any(x)}
+    groups = {i: g for i, g, _ in rows}
+    want = {(a, b) for a in groups if a % 5 == 0 for b in groups if groups[a] is not None and groups[a] == groups[b]}
+    assert set(found) == want and got.count() == len(want) == plain.count()
+    for (a, b), x in found.items():
+        one, two = vectors.get(a), vectors.get(b)
+        assert x == 1 if one is None or two is None else abs(x - (1 - one @ two / np.sqrt((one @ one) * (two @ two)))) < 1e-12
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
